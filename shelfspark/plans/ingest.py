@@ -37,18 +37,37 @@ def split_sentences(
     return raw.select(*kept, F.posexplode(pieces).alias("piece_idx", "content"))
 
 
-def enhance_titles(pieces: DataFrame, order: str = "piece_no") -> DataFrame:
-    """Mark titles and prefix the pieces after one with it, per file along ``order``."""
+def enhance_titles(pieces: DataFrame) -> DataFrame:
+    """Mark titles and prefix the pieces after one with it, per file along part and piece.
+
+    Inside a text the title is carried by a window; what a text inherits from the texts
+    before it is one row per text, filled forward in blocks.
+    """
+    inside = (
+        Window.partitionBy("file_id", "part")
+        .orderBy("piece_idx")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     marked = pieces.withColumn("_title", F.when(is_title(F.col("content")), F.col("content")))
-    carried = fill_forward(marked, ["file_id"], order, "_title", "_last")
+    tails = marked.groupBy("file_id", "part").agg(
+        F.max_by("_title", F.when(F.col("_title").isNotNull(), F.col("piece_idx"))).alias("_tail")
+    )
+    inherited = (
+        fill_forward(tails, ["file_id"], "part", "_tail", "_before", inclusive=False)
+        .where("_before is not null")
+        .drop("_tail")
+    )
     own = F.col("_title").isNotNull()
-    content = F.when(own | F.col("_last").isNull(), F.col("content")).otherwise(
-        titled(F.col("content"), F.col("_last"))
+    last = F.coalesce("_local", "_before")
+    content = F.when(own | last.isNull(), F.col("content")).otherwise(
+        titled(F.col("content"), last)
     )
     return (
-        carried.withColumn("category", F.when(own, TITLE_CATEGORY))
+        marked.withColumn("_local", F.last("_title", ignorenulls=True).over(inside))
+        .join(inherited, ["file_id", "part"], "left")
+        .withColumn("category", F.when(own, TITLE_CATEGORY))
         .withColumn("content", content)
-        .drop("_title", "_last")
+        .drop("_title", "_local", "_before")
     )
 
 
@@ -58,29 +77,45 @@ def second_split(pieces: DataFrame, cfg: Settings = Settings(), measure=None) ->
     return pieces.withColumn("_cut", cut).drop("content")
 
 
-def number_chunks(split: DataFrame, block_rows: int = 65536) -> DataFrame:
-    """Number the final texts from zero per file, along ``piece_no``.
+def number_chunks(split: DataFrame, block_parts: int = 65536) -> DataFrame:
+    """Number the final texts from zero per file, along part and piece.
 
-    Texts are counted per block of pieces, and the counts carried over the blocks, so a file
-    with most of the pieces is numbered by many tasks.
+    Positions inside a text come from a window over that text alone. Texts are counted, and
+    the counts summed in blocks of texts, so a file with most of the rows (a large table,
+    say) is numbered by many tasks. Files of one text have nothing to carry.
     """
-    kept = [c for c in split.columns if c not in ("_cut", "piece_no")]
-    blocked = split.where(F.size("_cut") > 0).withColumn(
-        "_block", F.floor(F.col("piece_no") / block_rows)
+    kept = [c for c in split.columns if c not in ("_cut", "part", "piece_idx")]
+    sized = split.where(F.size("_cut") > 0).withColumn("_n", F.size("_cut").cast("bigint"))
+    earlier = Window.unboundedPreceding, -1
+    in_text = Window.partitionBy("file_id", "part").orderBy("piece_idx").rowsBetween(*earlier)
+    texts = (
+        sized.groupBy("file_id", "part")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_block", F.floor(F.col("part") / block_parts))
     )
-    counts = blocked.groupBy("file_id", "_block").agg(F.sum(F.size("_cut")).alias("_n"))
-    before = (
-        Window.partitionBy("file_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("file_id", "_block").orderBy("part").rowsBetween(*earlier)
+    over_blocks = Window.partitionBy("file_id").orderBy("_block").rowsBetween(*earlier)
+    blocks = (
+        texts.groupBy("file_id", "_block")
+        .agg(F.sum("_n").alias("_n"))
+        .select("file_id", "_block", F.sum("_n").over(over_blocks).alias("_blocks_before"))
+        .where("_blocks_before > 0")
     )
-    offsets = counts.withColumn("_before", F.sum("_n").over(before)).where("_before > 0").drop("_n")
-    inside = (
-        Window.partitionBy("file_id", "_block")
-        .orderBy("piece_no")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        texts.withColumn("_texts_before", F.sum("_n").over(in_block))
+        .join(blocks, ["file_id", "_block"], "left")
+        .select(
+            "file_id",
+            "part",
+            (F.coalesce("_texts_before", F.lit(0)) + F.coalesce("_blocks_before", F.lit(0))).alias(
+                "_before"
+            ),
+        )
+        .where("_before > 0")
     )
     placed = (
-        blocked.withColumn("_inside", F.coalesce(F.sum(F.size("_cut")).over(inside), F.lit(0)))
-        .join(offsets, ["file_id", "_block"], "left")
+        sized.withColumn("_inside", F.coalesce(F.sum("_n").over(in_text), F.lit(0)))
+        .join(offsets, ["file_id", "part"], "left")
         .withColumn("_start", F.coalesce("_before", F.lit(0)) + F.col("_inside"))
     )
     return placed.select(*kept, "_start", F.posexplode("_cut").alias("_at", "content")).select(
@@ -95,9 +130,7 @@ def chunk_parts(
     raw: DataFrame, cfg: Settings = Settings(), kind: Column | None = None, measure=None
 ) -> DataFrame:
     """Chunks of files that may have several texts (``part``), titles carried over if set."""
-    pieces = split_sentences(raw, cfg, kind).withColumn(
-        "piece_no", F.col("part").cast("bigint") * (1 << 32) + F.col("piece_idx")
-    ).drop("part", "piece_idx")
+    pieces = split_sentences(raw, cfg, kind)
     if cfg.title_enhance:
         pieces = enhance_titles(pieces).drop("category")
     return number_chunks(second_split(pieces, cfg, measure))
