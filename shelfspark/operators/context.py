@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import EMBED_VERSION, Settings
 from shelfspark.functions.names import is_tabular
+from shelfspark.storage import cut_lineage
 
 
 def attach_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -64,36 +65,61 @@ def with_runs(df: DataFrame, keys: list[str], idx: str, out: str = "run_start")
     return marked.withColumn(out, F.min(idx).over(whole)).drop("_island")
 
 
-def expand(hits: DataFrame, chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Widen hits with their neighbours and merge them into runs of consecutive chunks."""
-    sizes = chunks.select("file_id", "chunk_idx", F.length("content").alias("size"))
-    spread = reach(hits.select("file_id", "chunk_idx").distinct(), sizes, cfg)
-    members = (
-        hits.join(spread, ["file_id", "chunk_idx"])
-        .groupBy("query_id", "file_id", "idx")
-        .agg(F.min(F.when(F.col("idx") == F.col("chunk_idx"), F.col("dist"))).alias("dist"))
+def locate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with their file name and whether it is tabular; hits without a chunk are dropped."""
+    known = chunks.select("file_id", "chunk_idx", "file_name")
+    return hits.join(known, ["file_id", "chunk_idx"]).withColumn(
+        "tabular", is_tabular(F.col("file_name"))
+    )
+
+
+def chunk_sizes(chunks: DataFrame) -> DataFrame:
+    """Characters per chunk; a stored ``size`` column spares reading the texts."""
+    size = F.col("size") if "size" in chunks.columns else F.length("content")
+    return chunks.select("file_id", "chunk_idx", size.alias("size"))
+
+
+def members(located: DataFrame, chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Chunks of every context, by number only: tabular hits alone, others with their reach."""
+    keys = ["query_id", "file_id"]
+    alone = located.where("tabular").select(
+        *keys, F.col("chunk_idx").alias("idx"), "dist", "rank",
+        F.col("chunk_idx").alias("run_start"), "tabular",
+    )
+    prose = located.where(~F.col("tabular"))
+    centres = prose.select("file_id", "chunk_idx").distinct()
+    spread = reach(centres, chunk_sizes(chunks), cfg)
+    own = F.col("idx") == F.col("chunk_idx")
+    widened = (
+        prose.join(spread, ["file_id", "chunk_idx"])
+        .groupBy(*keys, "idx")
+        .agg(F.min(F.when(own, F.col("dist"))).alias("dist"))
+    )
+    runs = with_runs(widened, keys, "idx")
+    return alone.unionByName(
+        runs.select(*keys, "idx", "dist", F.lit(0).alias("rank"), "run_start",
+                    F.lit(False).alias("tabular"))
     )
-    runs = with_runs(members, ["query_id", "file_id"], "idx")
-    texts = chunks.select("file_id", F.col("chunk_idx").alias("idx"), "file_name", "content")
-    return merge_runs(runs.join(texts, ["file_id", "idx"]), cfg)
 
 
-def merge_runs(members: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """One row per run: text in chunk order, the hit chunks as kernel, the best score.
+def merge_runs(parts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """One row per context: text in chunk order, the hit chunks as kernel, the best score.
 
-    A run holds at most the reach of k hits, so collecting it is bounded.
+    A context holds at most the reach of k hits, so collecting it is bounded. Scores of
+    widened contexts have four decimals; ``arrival`` columns keep the order of arrival.
     """
-    parts = F.array_sort(
+    listed = F.array_sort(
         F.collect_list(F.struct("idx", "content", F.col("dist").isNotNull().alias("hit")))
     )
-    best = F.coalesce(F.min("dist"), F.lit(cfg.no_hit_distance))
+    similarity = 1 - F.coalesce(F.col("_dist"), F.lit(cfg.no_hit_distance))
     return (
-        members.groupBy("query_id", "file_id", "run_start")
+        parts.groupBy("query_id", "file_id", "run_start", "tabular")
         .agg(
             F.first("file_name").alias("file_name"),
             F.max("idx").alias("run_end"),
-            parts.alias("_parts"),
-            F.round(1 - best, 4).alias("score"),
+            F.min("dist").alias("_dist"),
+            F.min("rank").alias("arrival_rank"),
+            listed.alias("_parts"),
         )
         .select(
             "query_id",
@@ -105,31 +131,23 @@ def merge_runs(members: DataFrame, cfg: Settings = Settings()) -> DataFrame:
             F.array_join(
                 F.transform(F.filter("_parts", lambda p: p["hit"]), lambda p: p["content"]), "|"
             ).alias("kernel"),
-            "score",
+            F.when(F.col("tabular"), similarity).otherwise(F.round(similarity, 4)).alias("score"),
+            F.when(F.col("tabular"), 0).otherwise(1).alias("arrival"),
+            "arrival_rank",
         )
     )
 
 
 def contexts(hits: DataFrame, chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Tabular hits as they are, other hits widened; ``arrival`` columns keep their order."""
-    known = attach_chunks(hits, chunks)
-    tabular = known.where(is_tabular(F.col("file_name"))).select(
-        "query_id",
-        "file_id",
-        "file_name",
-        F.col("chunk_idx").alias("run_start"),
-        F.col("chunk_idx").alias("run_end"),
-        "content",
-        F.col("content").alias("kernel"),
-        (1 - F.col("dist")).alias("score"),
-        F.lit(0).alias("arrival"),
-        F.col("rank").alias("arrival_rank"),
-    )
-    prose = known.where(~is_tabular(F.col("file_name"))).drop("content", "file_name")
-    widened = expand(prose, chunks, cfg).select(
-        "*", F.lit(1).alias("arrival"), F.lit(0).alias("arrival_rank")
-    )
-    return tabular.unionByName(widened)
+    """Tabular hits as they are, other hits widened and merged.
+
+    The located hits (k narrow rows per query) are read several times below, so they are
+    checkpointed: the search behind them runs once. Chunk texts are joined once, at the end,
+    and only for the chunks that are part of a context.
+    """
+    located = cut_lineage(locate(hits, chunks))
+    texts = chunks.select("file_id", F.col("chunk_idx").alias("idx"), "file_name", "content")
+    return merge_runs(members(located, chunks, cfg).join(texts, ["file_id", "idx"]), cfg)
 
 
 ARRIVAL = ("arrival", "arrival_rank", "file_id", "run_start")

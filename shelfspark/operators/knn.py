@@ -87,15 +87,15 @@ def _keep_best(table: pa.Table, k: int) -> pa.Table:
     )
 
 
-def _scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _scan(rows: list, vectors: DataFrame, k: int) -> DataFrame:
     by_user: dict[str, tuple[list, list]] = {}
-    for row in queries.select("query_id", "user_id", "qvec").collect():  # size checked by knn()
-        ids, rows = by_user.setdefault(row["user_id"], ([], []))
+    for row in rows:
+        ids, points = by_user.setdefault(row["user_id"], ([], []))
         ids.append(row["query_id"])
-        rows.append(row["qvec"])
+        points.append(row["qvec"])
     packed = {
-        user: (np.array(ids, dtype=object), np.array(rows, dtype=np.float32))
-        for user, (ids, rows) in by_user.items()
+        user: (np.array(ids, dtype=object), np.array(points, dtype=np.float32))
+        for user, (ids, points) in by_user.items()
     }
     shared = vectors.sparkSession.sparkContext.broadcast(packed)
     limit = k
@@ -196,14 +196,16 @@ def rank_hits(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _fits(queries: DataFrame, query_bytes: int) -> bool:
-    """Whether the packed queries stay under ``query_bytes``; counts no further than that."""
-    first = queries.select(F.size("qvec").alias("n")).head()
-    bound = max(1, query_bytes // (4 * max(1, first["n"] if first else 1) + 64))
-    return queries.select("query_id").limit(bound + 1).count() <= bound
+def _small(queries: DataFrame, query_bytes: int) -> list | None:
+    """The queries, if packed they stay under ``query_bytes``; reads no further than that."""
+    asked = queries.select("query_id", "user_id", "qvec")
+    first = asked.head()
+    bound = max(1, query_bytes // (4 * max(1, len(first["qvec"]) if first else 1) + 64))
+    rows = asked.limit(bound + 1).collect()
+    return rows if len(rows) <= bound else None
 
 
-def knn(
+def score(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 100,
@@ -212,19 +214,20 @@ def knn(
     query_tile: int = QUERY_TILE,
     vector_tile: int = VECTOR_TILE,
 ) -> DataFrame:
-    """Top-k hits of every query among all vectors of the same user."""
-    if plan in ("auto", "scan"):
-        fits = _fits(queries, query_bytes)
-        if plan == "scan" and not fits:
-            raise ValueError("the queries exceed query_bytes; use the tile plan")
-        plan = "scan" if fits else "tile"
-    if plan == "scan":
-        scored = _scan(queries, vectors, k)
-    elif plan == "tile":
-        scored = _tile(queries, vectors, k, query_tile, vector_tile)
-    else:
+    """Scored candidates that hold the top k of every query, at most k per block."""
+    if plan not in ("auto", "scan", "tile"):
         raise ValueError(f"unknown plan {plan!r}")
-    return rank_hits(scored, k)
+    rows = None if plan == "tile" else _small(queries, query_bytes)
+    if rows is not None:
+        return _scan(rows, vectors, k)
+    if plan == "scan":
+        raise ValueError("the queries exceed query_bytes; use the tile plan")
+    return _tile(queries, vectors, k, query_tile, vector_tile)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 100, **options) -> DataFrame:
+    """Top-k hits of every query among all vectors of the same user."""
+    return rank_hits(score(queries, vectors, k, **options), k)
 
 
 def knn_within_kbs(queries: DataFrame, vectors: DataFrame, k: int = 100, **options) -> DataFrame:
@@ -239,11 +242,8 @@ def knn_within_kbs(queries: DataFrame, vectors: DataFrame, k: int = 100, **optio
         "qvec",
     )
     bases = vectors.select(F.col("kb_id").alias("user_id"), "file_id", "chunk_idx", "embedding")
-    found = knn(units, bases, k, **options).select(
-        F.get_json_object("query_id", "$.query_id").alias("query_id"),
-        "file_id",
-        "chunk_idx",
-        (1 - F.col("dist")).alias("ip"),
+    found = score(units, bases, k, **options).select(
+        F.get_json_object("query_id", "$.query_id").alias("query_id"), "file_id", "chunk_idx", "ip"
     )
     return rank_hits(found.join(queries.select("query_id", "user_id"), "query_id"), k)
 

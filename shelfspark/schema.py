@@ -11,7 +11,7 @@ KBS = (
     .add("kb_id", "string")
     .add("user_id", "string")
     .add("kb_name", "string")
-    .add("deleted", "int")
+    .add("deleted", "integer")
 )
 FILES = (
     T.StructType()
@@ -20,29 +20,29 @@ FILES = (
     .add("file_name", "string")
     .add("status", "string")
     .add("timestamp", "string")
-    .add("deleted", "int")
-    .add("file_size", "bigint")
-    .add("content_length", "bigint")
-    .add("chunk_size", "bigint")
+    .add("deleted", "integer")
+    .add("file_size", "long")
+    .add("content_length", "long")
+    .add("chunk_size", "long")
 )
 FILE_EVENTS = (
     T.StructType()
     .add("file_id", "string")
     .add("kb_id", "string")
-    .add("seq", "bigint")
+    .add("seq", "long")
     .add("op", "string")
     .add("file_name", "string")
     .add("status", "string")
     .add("timestamp", "string")
-    .add("file_size", "bigint")
-    .add("content_length", "bigint")
-    .add("chunk_size", "bigint")
+    .add("file_size", "long")
+    .add("content_length", "long")
+    .add("chunk_size", "long")
 )
 KB_EVENTS = (
     T.StructType()
     .add("kb_id", "string")
     .add("user_id", "string")
-    .add("seq", "bigint")
+    .add("seq", "long")
     .add("op", "string")
     .add("kb_name", "string")
 )
@@ -50,7 +50,7 @@ RAW_DOCS = (
     T.StructType()
     .add("file_id", "string")
     .add("file_name", "string")
-    .add("part", "int")
+    .add("part", "integer")
     .add("text", "string")
     .add("metadata", T.MapType(T.StringType(), T.StringType()))
 )
@@ -60,7 +60,7 @@ CHUNKS = (
     .add("kb_id", "string")
     .add("file_id", "string")
     .add("file_name", "string")
-    .add("chunk_idx", "int")
+    .add("chunk_idx", "integer")
     .add("chunk_id", "string")
     .add("content", "string")
 )
@@ -69,14 +69,14 @@ VECTORS = (
     .add("user_id", "string")
     .add("kb_id", "string")
     .add("file_id", "string")
-    .add("chunk_idx", "int")
+    .add("chunk_idx", "integer")
     .add("embedding", T.ArrayType(T.FloatType()))
 )
 SERVICE_EVENTS = (
     T.StructType()
     .add("service", "string")
     .add("ts", "timestamp")
-    .add("seq", "bigint")
+    .add("seq", "long")
     .add("status", "string")
     .add("detail", "string")
     .add("latency_ms", "double")
