@@ -10,23 +10,11 @@ from shelfspark.schema import FILE_EVENTS, FILES, KB_EVENTS, missing_columns, re
 from shelfspark.sources import sinks
 from shelfspark.storage import fresh_path
 from shelfspark.workload import bind
-from shelfspark.workload.sql import with_parts
+from shelfspark.workload.sql import registry
 
-QUERIES = {}
-SQL = {}
 STAMP = "1700000000"
 
 
-def register(name: str, sql: str | None = None, parts: dict | None = None):
-    def keep(query):
-        QUERIES[name] = query
-        if sql is not None:
-            SQL[name] = with_parts(sql, {**PARTS, **(parts or {})})
-        return query
-
-    return keep
-
-
 PARTS = {
     "asked_kbs": """
         SELECT DISTINCT 'u' || CAST(doc_id % 6 AS VARCHAR) AS user_id,
@@ -63,6 +51,8 @@ def web_files(spark, d):
     )
 
 
+QUERIES, SQL, register = registry(PARTS)
+
 # --- projections and filters --------------------------------------------------
 
 
@@ -628,9 +618,9 @@ def snk_new_users(spark, d):
     "fn_fmt_size",
     """SELECT doc_id, CASE WHEN size < 0 THEN '未知'
               WHEN size < 1024 THEN CAST(size AS VARCHAR) || 'B'
-              WHEN size < 1048576 THEN printf('%.2fKB', size / 1024.0)
-              WHEN size < 1073741824 THEN printf('%.2fMB', size / 1048576.0)
-              ELSE printf('%.2fG', size / 1073741824.0) END AS shown
+              WHEN size < 1048576 THEN printf('%.2fKB', round(size / 1024.0, 2))
+              WHEN size < 1073741824 THEN printf('%.2fMB', round(size / 1048576.0, 2))
+              ELSE printf('%.2fG', round(size / 1073741824.0, 2)) END AS shown
        FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n_chars WHEN 1 THEN n_chars * 1000
                     WHEN 2 THEN n_chars * 10000000 ELSE -1 END AS size FROM documents)""",
 )

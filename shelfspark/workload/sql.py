@@ -176,3 +176,20 @@ def with_parts(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     parts = ",\n".join(f"{name} AS ({known[name].strip()})" for name in order)
     return f"WITH {parts}\n{body}" if parts else body
+
+
+def registry(parts: dict[str, str] | None = None):
+    """(queries, sqls, decorator) of one module; the decorator files a query with its SQL."""
+    queries: dict = {}
+    sqls: dict[str, str] = {}
+
+    def register(name: str, sql: str | None = None, more: dict[str, str] | None = None):
+        def keep(query):
+            queries[name] = query
+            if sql is not None:
+                sqls[name] = with_parts(sql, {**(parts or {}), **(more or {})})
+            return query
+
+        return keep
+
+    return queries, sqls, register
