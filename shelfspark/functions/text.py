@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 FIRST_BOUNDARIES = (
     r"([;；.!?。！？\?])([^”’])",
     r"(\.{6})([^\"’”」』])",
-    r"(\…{2})([^\"’”」』])",
+    r"(…{2})([^\"’”」』])",
     r"([;；!?。！？\?][\"’”」』]{0,2})([^;；!?，。！？\?])",
 )
 CLAUSE_BOUNDARY = r"([,，.][\"’”」』]{0,2})([^,，.])"

@@ -59,6 +59,10 @@ def file_name(doc_id, source):
 
 
 def files(spark, sf_dir):
+    return as_files(table(spark, sf_dir, "documents"))
+
+
+def as_files(documents):
     doc = F.col("doc_id")
     status = (
         F.when(doc % 17 == 0, "red")
@@ -67,7 +71,7 @@ def files(spark, sf_dir):
         .otherwise("green")
     )
     day = F.lpad((doc % 28 + 1).cast("string"), 2, "0")
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         _file_id(doc).alias("file_id"),
         F.concat(F.lit("KB_"), _user(doc), F.lit("_"), "source").alias("kb_id"),
         file_name(doc, F.col("source")).alias("file_name"),
@@ -82,7 +86,11 @@ def files(spark, sf_dir):
 
 def texts(spark, sf_dir):
     """Whole document texts as (file_id, part, text)."""
-    return table(spark, sf_dir, "documents").select(
+    return as_texts(table(spark, sf_dir, "documents"))
+
+
+def as_texts(documents):
+    return documents.select(
         _file_id(F.col("doc_id")).alias("file_id"), F.lit(0).alias("part"), "text"
     )
 
@@ -164,8 +172,12 @@ def queries(spark, sf_dir):
 
 def service_events(spark, sf_dir):
     """Events as outcomes of services; details and latencies are partly missing."""
+    return as_service_events(table(spark, sf_dir, "events"))
+
+
+def as_service_events(events):
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_type").alias("service"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
