@@ -130,6 +130,13 @@ def fn_is_title(spark, d):
     )
 
 
+@register("flt_title", f"SELECT file_id, piece_idx, content FROM pieces WHERE {_TITLE}")
+def flt_title(spark, d):
+    return pieces(spark, d).where(text.is_title(F.col("content"))).select(
+        "file_id", "piece_idx", "content"
+    )
+
+
 @register(
     "win_title",
     f"""SELECT file_id, piece_idx, CASE WHEN is_title THEN 'cn_Title' ELSE '' END AS category,
