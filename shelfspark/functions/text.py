@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.config import TITLE_CATEGORY
+
 # Boundary patterns. Each match gets a newline between its two groups.
 FIRST_BOUNDARIES = (
     r"([;；.!?。！？\?])([^”’])",
@@ -100,6 +102,41 @@ def titled(content: Column, title: Column) -> Column:
     return F.concat(F.lit("下文与("), title, F.lit(")有关。"), content)
 
 
+def titled_pieces(pieces: Column, titles: Column, inherited: Column | None = None) -> Column:
+    """Array of (content, category): titles marked, what follows one prefixed with it.
+
+    ``pieces`` is an array column and ``titles`` the positions of its titles; ``inherited``
+    is the last title before this text. Each piece is visited once.
+    """
+
+    def shown(content, category=None):
+        return F.struct(
+            content.alias("content"), F.lit(category).cast("string").alias("category")
+        )
+
+    def segment(start, number):
+        title = F.get(pieces, start)
+        end = F.coalesce(F.get(titles, number + 1), F.size(pieces))
+        rest = F.slice(pieces, start + 2, end - start - 1)
+        return F.concat(
+            F.array(shown(title, TITLE_CATEGORY)),
+            F.transform(rest, lambda piece: shown(titled(piece, title))),
+        )
+
+    def opening(piece):
+        if inherited is None:
+            return shown(piece)
+        return shown(F.when(inherited.isNull(), piece).otherwise(titled(piece, inherited)))
+
+    head = F.slice(pieces, F.lit(1), F.coalesce(F.get(titles, F.lit(0)), F.size(pieces)))
+    return F.concat(F.transform(head, opening), F.flatten(F.transform(titles, segment)))
+
+
+def title_positions(pieces: Column) -> Column:
+    found = F.transform(pieces, lambda piece, at: F.when(is_title(piece), at))
+    return F.filter(found, lambda at: at.isNotNull())
+
+
 # --- recursive token splitting ------------------------------------------------
 
 # Separators, coarse to fine.
@@ -156,21 +193,28 @@ def token_pieces(
     return out
 
 
-def token_split(text: Column, limit: int = 400, overlap: int = 200, measure=None) -> Column:
-    """Second split. Texts under the limit stay in the JVM; only longer ones reach Python."""
+def token_split(pieces: Column, limit: int = 400, overlap: int = 200, measure=None) -> Column:
+    """Second split of an array of pieces into one flat array of final texts.
+
+    Arrays without a long piece stay in the JVM, where the split only strips blanks; the
+    others go to Python in Arrow batches.
+    """
     counter = measure or _approximate_tokens
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: None if t is None else token_pieces(t, limit, overlap, counter)
-        )
+    def cut(arrays: pd.Series) -> pd.Series:
+        def one(array):
+            if array is None:
+                return None
+            return [t for p in array for t in token_pieces(p, limit, overlap, counter)]
+
+        return arrays.map(one)
 
     if measure is not None:
-        return cut(text)
-    small = F.length(text) < 4 * limit
-    whole = F.filter(F.array(trim_blanks(text)), lambda piece: piece != "")
-    return F.when(small, whole).otherwise(cut(F.when(~small, text)))
+        return cut(pieces)
+    long = F.exists(pieces, lambda piece: F.length(piece) >= 4 * limit)
+    stripped = F.filter(F.transform(pieces, trim_blanks), lambda piece: piece != "")
+    return F.when(~long, stripped).otherwise(cut(F.when(long, pieces)))
 
 
 # --- web pages ----------------------------------------------------------------

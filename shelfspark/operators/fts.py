@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import tokens
+from shelfspark.storage import spread
 
 FIELDS = ("content", "file_id", "file_name", "chunk_id")
 SALTS = 16
@@ -13,7 +14,7 @@ SALTS = 16
 
 def index(chunks: DataFrame) -> DataFrame:
     """Token arrays per chunk and field: (chunk_id, file_id, chunk_idx, <field>_tokens...)."""
-    return chunks.select(
+    return spread(chunks, "chunk_id").select(
         "chunk_id",
         "file_id",
         "chunk_idx",

@@ -7,92 +7,101 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.config import TITLE_CATEGORY, Settings
+from shelfspark.config import Settings
 from shelfspark.functions import names
-from shelfspark.functions.text import is_title, sentence_pieces, titled, token_split
+from shelfspark.functions.text import (
+    sentence_pieces,
+    title_positions,
+    titled_pieces,
+    token_split,
+)
 from shelfspark.models import embed
 from shelfspark.operators.dml import stage_status
 from shelfspark.operators.scan import fill_forward
+from shelfspark.storage import spread
 
 WHOLE_KINDS = ("csv", "xlsx", "pptx", "eml")
 
 
+def _piece_arrays(raw: DataFrame, cfg: Settings, kind: Column | None) -> DataFrame:
+    """``text`` replaced by the array of its sentence pieces, ``pieces``."""
+    raw = spread(raw, "file_id")
+    pieces = sentence_pieces(F.col("text"), cfg.sentence_chars)
+    if kind is not None:
+        pieces = (
+            F.when(kind.isin(*WHOLE_KINDS), F.array("text"))
+            .when(kind == "pdf", sentence_pieces(F.col("text"), cfg.sentence_chars, pdf=True))
+            .otherwise(pieces)
+        )
+    return raw.withColumn("pieces", pieces).drop("text")
+
+
+def _exploded(df: DataFrame, array: str, at: str, element: str) -> DataFrame:
+    """One row per element with its position.
+
+    The outer form, because the plain one would have the optimizer test the size of the
+    array, and so compute it again, in a filter before the shuffle.
+    """
+    kept = [c for c in df.columns if c != array]
+    return df.select(*kept, F.posexplode_outer(array).alias(at, element)).where(
+        F.col(at).isNotNull()
+    )
+
+
 def split_sentences(
     raw: DataFrame, cfg: Settings = Settings(), kind: Column | None = None
 ) -> DataFrame:
-    """(…, piece_idx, content) from texts (file_id, part, text): the first split.
+    """(…, piece_idx, content) from texts (file_id, text): the first split.
 
     With ``kind``, scanned pages are normalised first and row, slide and mail texts stay
-    whole. Pieces of one text are numbered where they are cut; no window is involved.
+    whole.
     """
-    text = F.col("text")
-    pieces = sentence_pieces(text, cfg.sentence_chars)
-    if kind is not None:
-        pieces = (
-            F.when(kind.isin(*WHOLE_KINDS), F.array(text))
-            .when(kind == "pdf", sentence_pieces(text, cfg.sentence_chars, pdf=True))
-            .otherwise(pieces)
-        )
-    kept = [c for c in raw.columns if c != "text"]
-    return raw.select(*kept, F.posexplode(pieces).alias("piece_idx", "content"))
+    arrays = _piece_arrays(raw, cfg, kind)
+    kept = [c for c in arrays.columns if c != "pieces"]
+    return _exploded(arrays.select(*kept, "pieces"), "pieces", "piece_idx", "content")
 
 
-def enhance_titles(pieces: DataFrame) -> DataFrame:
-    """Mark titles and prefix the pieces after one with it, per file along part and piece.
+def _with_titles(arrays: DataFrame) -> DataFrame:
+    """Pieces as (content, category), titles carried within a text and over the parts.
 
-    Inside a text the title is carried by a window; what a text inherits from the texts
-    before it is one row per text, filled forward in blocks.
+    Inside a text the pieces are an array of one row, so nothing is shuffled. What a text
+    inherits from the parts before it is one title per part, filled forward in blocks.
     """
-    inside = (
-        Window.partitionBy("file_id", "part")
-        .orderBy("piece_idx")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    marked = pieces.withColumn("_title", F.when(is_title(F.col("content")), F.col("content")))
-    tails = marked.groupBy("file_id", "part").agg(
-        F.max_by("_title", F.when(F.col("_title").isNotNull(), F.col("piece_idx"))).alias("_tail")
-    )
-    inherited = (
-        fill_forward(tails, ["file_id"], "part", "_tail", "_before", inclusive=False)
-        .where("_before is not null")
-        .drop("_tail")
-    )
-    own = F.col("_title").isNotNull()
-    last = F.coalesce("_local", "_before")
-    content = F.when(own | last.isNull(), F.col("content")).otherwise(
-        titled(F.col("content"), last)
-    )
-    return (
-        marked.withColumn("_local", F.last("_title", ignorenulls=True).over(inside))
-        .join(inherited, ["file_id", "part"], "left")
-        .withColumn("category", F.when(own, TITLE_CATEGORY))
-        .withColumn("content", content)
-        .drop("_title", "_local", "_before")
-    )
+    located = arrays.withColumn("_titles", title_positions(F.col("pieces")))
+    inherited = None
+    if "part" in arrays.columns:
+        tails = located.select(
+            "file_id", "part", F.get("pieces", F.array_max("_titles")).alias("_tail")
+        )
+        before = (
+            fill_forward(tails, ["file_id"], "part", "_tail", "_inherited", inclusive=False)
+            .where("_inherited is not null")
+            .drop("_tail")
+        )
+        located = located.join(before, ["file_id", "part"], "left")
+        inherited = F.col("_inherited")
+    shown = titled_pieces(F.col("pieces"), F.col("_titles"), inherited)
+    return located.withColumn("pieces", shown).drop("_titles", "_inherited")
 
 
-def second_split(pieces: DataFrame, cfg: Settings = Settings(), measure=None) -> DataFrame:
-    """Split the pieces by tokens; a piece becomes an array of final texts."""
-    cut = token_split(F.col("content"), cfg.chunk_tokens, cfg.chunk_overlap_tokens, measure)
-    return pieces.withColumn("_cut", cut).drop("content")
+def enhance_titles(
+    raw: DataFrame, cfg: Settings = Settings(), kind: Column | None = None
+) -> DataFrame:
+    """(…, piece_idx, content, category) of the first split with titles marked and carried."""
+    shown = _with_titles(_piece_arrays(raw, cfg, kind))
+    kept = [c for c in shown.columns if c != "pieces"]
+    rows = _exploded(shown.select(*kept, "pieces"), "pieces", "piece_idx", "_piece")
+    return rows.select(*kept, "piece_idx", "_piece.content", "_piece.category")
 
 
-def number_chunks(split: DataFrame, block_parts: int = 65536) -> DataFrame:
-    """Number the final texts from zero per file, along part and piece.
+def _part_offsets(sized: DataFrame, block_parts: int = 65536) -> DataFrame:
+    """Final texts before each part of a file (file_id, part, _before), zero left out.
 
-    Positions inside a text come from a window over that text alone. Texts are counted, and
-    the counts summed in blocks of texts, so a file with most of the rows (a large table,
-    say) is numbered by many tasks. Files of one text have nothing to carry.
+    Counts are summed in blocks of parts, so a file with most of the rows (a large table,
+    say) is numbered by many tasks.
     """
-    kept = [c for c in split.columns if c not in ("_cut", "part", "piece_idx")]
-    sized = split.where(F.size("_cut") > 0).withColumn("_n", F.size("_cut").cast("bigint"))
     earlier = Window.unboundedPreceding, -1
-    in_text = Window.partitionBy("file_id", "part").orderBy("piece_idx").rowsBetween(*earlier)
-    texts = (
-        sized.groupBy("file_id", "part")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_block", F.floor(F.col("part") / block_parts))
-    )
+    texts = sized.withColumn("_block", F.floor(F.col("part") / block_parts))
     in_block = Window.partitionBy("file_id", "_block").orderBy("part").rowsBetween(*earlier)
     over_blocks = Window.partitionBy("file_id").orderBy("_block").rowsBetween(*earlier)
     blocks = (
@@ -101,39 +110,47 @@ def number_chunks(split: DataFrame, block_parts: int = 65536) -> DataFrame:
         .select("file_id", "_block", F.sum("_n").over(over_blocks).alias("_blocks_before"))
         .where("_blocks_before > 0")
     )
-    offsets = (
+    before = F.coalesce("_texts_before", F.lit(0)) + F.coalesce("_blocks_before", F.lit(0))
+    return (
         texts.withColumn("_texts_before", F.sum("_n").over(in_block))
         .join(blocks, ["file_id", "_block"], "left")
-        .select(
-            "file_id",
-            "part",
-            (F.coalesce("_texts_before", F.lit(0)) + F.coalesce("_blocks_before", F.lit(0))).alias(
-                "_before"
-            ),
-        )
+        .select("file_id", "part", before.alias("_before"))
         .where("_before > 0")
     )
-    placed = (
-        sized.withColumn("_inside", F.coalesce(F.sum("_n").over(in_text), F.lit(0)))
-        .join(offsets, ["file_id", "part"], "left")
-        .withColumn("_start", F.coalesce("_before", F.lit(0)) + F.col("_inside"))
-    )
-    return placed.select(*kept, "_start", F.posexplode("_cut").alias("_at", "content")).select(
-        *kept,
-        (F.col("_start") + F.col("_at")).cast("int").alias("chunk_idx"),
-        names.chunk_id(F.col("file_id"), F.col("_start") + F.col("_at")).alias("chunk_id"),
-        "content",
-    )
 
 
-def chunk_parts(
+def chunk_texts(
     raw: DataFrame, cfg: Settings = Settings(), kind: Column | None = None, measure=None
 ) -> DataFrame:
-    """Chunks of files that may have several texts (``part``), titles carried over if set."""
-    pieces = split_sentences(raw, cfg, kind)
+    """Both splits: (…, chunk_idx, chunk_id, content) from texts (file_id, text).
+
+    A text is split inside its row and numbered by position: no shuffle. Files of several
+    texts have a ``part`` number (from zero); their counts are added up per file, and only
+    those numbers are shuffled.
+    """
+    arrays = _piece_arrays(raw, cfg, kind)
+    pieces = F.col("pieces")
     if cfg.title_enhance:
-        pieces = enhance_titles(pieces).drop("category")
-    return number_chunks(second_split(pieces, cfg, measure))
+        arrays = _with_titles(arrays)
+        pieces = F.transform("pieces", lambda piece: piece["content"])
+    cut = token_split(pieces, cfg.chunk_tokens, cfg.chunk_overlap_tokens, measure)
+    texts = arrays.withColumn("_cut", cut).drop("pieces")
+    start = F.lit(0)
+    if "part" in raw.columns:
+        sized = texts.select("file_id", "part", F.size("_cut").cast("bigint").alias("_n"))
+        texts = texts.join(_part_offsets(sized), ["file_id", "part"], "left")
+        start = F.coalesce("_before", F.lit(0))
+    kept = [c for c in raw.columns if c not in ("text", "part")]
+    numbered = _exploded(
+        texts.select(*kept, start.alias("_start"), "_cut"), "_cut", "_at", "content"
+    )
+    number = (F.col("_start") + F.col("_at")).cast("int")
+    return numbered.select(
+        *kept,
+        number.alias("chunk_idx"),
+        names.chunk_id(F.col("file_id"), number).alias("chunk_id"),
+        "content",
+    )
 
 
 def stamp(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -152,7 +169,7 @@ def ingest(
     cfg: Settings = Settings(),
     measure=None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, vectors, outcome) of texts (file_id, part, text) for known files.
+    """(chunks, vectors, outcome) of texts (file_id, text and, if several, part).
 
     ``files`` has file_id, user_id, kb_id and file_name. ``outcome`` gives per file its
     characters, chunks and status; a file without any text row failed to parse. Write the
@@ -161,7 +178,7 @@ def ingest(
     kind = names.parser_kind(F.col("file_name"), F.col("file_name").rlike(r"\Ahttps?://"))
     known = raw.join(files.select("file_id", "file_name"), "file_id").withColumn("_kind", kind)
     readable = known.where(F.col("_kind").isNotNull()).drop("file_name")
-    chunks = stamp(chunk_parts(readable, cfg, F.col("_kind"), measure).drop("_kind"), files)
+    chunks = stamp(chunk_texts(readable, cfg, F.col("_kind"), measure).drop("_kind"), files)
     embedded = embed(chunks, model, cfg=cfg)
     failed = embedded.groupBy("file_id").agg(
         F.bool_and(F.col("embedding_error").isNull()).alias("_embedded"),

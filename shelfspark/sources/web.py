@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.text import html_text
-from shelfspark.storage import cut_lineage
+from shelfspark.storage import cut_lineage, spread
 
 _ANCHOR = r"(?is)<a(?=[\s>/])[^>]*>"
 _HREF = r"(?is)\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*)"
@@ -19,7 +19,9 @@ _HREF = r"(?is)\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*)"
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """(url, text) of each page; the address serves as file name."""
-    return pages.select("url", F.col("url").alias("file_name"), html_text(F.col("html")).alias("text"))
+    return spread(pages, "url").select(
+        "url", F.col("url").alias("file_name"), html_text(F.col("html")).alias("text")
+    )
 
 
 def origin(url: Column) -> Column:

@@ -32,3 +32,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared one that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str, split_bytes: int = 128 << 20) -> DataFrame:
+    """Spread a small table by ``keys`` over the cores before heavy work per row.
+
+    A small file is often one row group, hence one task. A table with at least a split per
+    core is left where it lies; streams are too.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * split_bytes else df

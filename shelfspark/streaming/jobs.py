@@ -16,7 +16,7 @@ from shelfspark.config import SERVICES, Settings
 from shelfspark.functions import answers as parse
 from shelfspark.operators.health import complete_services, outcome_windows, state_aggregates
 from shelfspark.operators.scan import ordered_concat
-from shelfspark.plans.ingest import chunk_parts
+from shelfspark.plans.ingest import chunk_texts
 
 
 def _start(df: DataFrame, checkpoint: str, mode: str, sink: Callable) -> StreamingQuery:
@@ -45,16 +45,17 @@ def _has_rows(spark: SparkSession, path: str) -> bool:
 def ingest(
     texts: DataFrame, path: str, checkpoint: str, cfg: Settings = Settings()
 ) -> StreamingQuery:
-    """Chunk texts (file_id, part, text) as they arrive; a file seen in an earlier batch is
+    """Chunk texts (file_id, text) as they arrive; a file seen in an earlier batch is
     not taken again."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["file_id", "part"])
+        keys = [c for c in ("file_id", "part") if c in batch.columns]
+        fresh = batch.dropDuplicates(keys)
         if number and _has_rows(spark, path):
             earlier = spark.read.parquet(path).where(F.col("batch") < number)
             fresh = fresh.join(earlier.select("file_id"), "file_id", "left_anti")
-        chunk_parts(fresh, cfg).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        chunk_texts(fresh, cfg).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return _start(texts, checkpoint, "append", write)
 

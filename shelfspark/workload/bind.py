@@ -85,13 +85,13 @@ def as_files(documents):
 
 
 def texts(spark, sf_dir):
-    """Whole document texts as (file_id, part, text)."""
+    """Whole document texts as (file_id, text)."""
     return as_texts(table(spark, sf_dir, "documents"))
 
 
 def as_texts(documents):
     return documents.select(
-        _file_id(F.col("doc_id")).alias("file_id"), F.lit(0).alias("part"), "text"
+        _file_id(F.col("doc_id")).alias("file_id"), "text"
     )
 
 

@@ -114,13 +114,13 @@ def fn_pdf_normalise(spark, d):
 
 @register("fn_token_split")
 def fn_token_split(spark, d):
-    cut = text.token_split(F.col("text"), CFG.chunk_tokens, CFG.chunk_overlap_tokens)
+    cut = text.token_split(F.array("text"), CFG.chunk_tokens, CFG.chunk_overlap_tokens)
     return bind.texts(spark, d).select("file_id", F.posexplode(cut).alias("pos", "content"))
 
 
 @register("win_chunk_idx", "SELECT file_id, chunk_idx, content FROM final_chunks")
 def win_chunk_idx(spark, d):
-    return ingest.chunk_parts(bind.texts(spark, d), CFG).select("file_id", "chunk_idx", "content")
+    return ingest.chunk_texts(bind.texts(spark, d), CFG).select("file_id", "chunk_idx", "content")
 
 
 @register("fn_is_title", f"SELECT file_id, piece_idx, {_TITLE} AS title FROM pieces")
@@ -148,7 +148,7 @@ def flt_title(spark, d):
              FROM (SELECT file_id, piece_idx, content, {_TITLE} AS is_title FROM pieces))""",
 )
 def win_title(spark, d):
-    return ingest.enhance_titles(pieces(spark, d)).select(
+    return ingest.enhance_titles(bind.texts(spark, d), CFG).select(
         "file_id", "piece_idx", F.coalesce("category", F.lit("")).alias("category"), "content"
     )
 
