@@ -235,13 +235,16 @@ def knn_within_kbs(queries: DataFrame, vectors: DataFrame, k: int = 100, **optio
 
     Each (query, base) pair is searched as a unit of its own, then the best k are kept.
     """
-    pairs = queries.select(F.explode(F.array_distinct("kb_ids")).alias("_kb"), "query_id", "qvec")
+    pairs = queries.select(
+        F.explode(F.array_distinct("kb_ids")).alias("_kb"), "query_id", "user_id", "qvec"
+    )
     units = pairs.select(
         F.to_json(F.struct("query_id", "_kb")).alias("query_id"),
-        F.col("_kb").alias("user_id"),
+        F.concat_ws("\u0001", "user_id", "_kb").alias("user_id"),
         "qvec",
     )
-    bases = vectors.select(F.col("kb_id").alias("user_id"), "file_id", "chunk_idx", "embedding")
+    base = F.concat_ws("\u0001", "user_id", "kb_id")
+    bases = vectors.select(base.alias("user_id"), "file_id", "chunk_idx", "embedding")
     found = score(units, bases, k, **options).select(
         F.get_json_object("query_id", "$.query_id").alias("query_id"), "file_id", "chunk_idx", "ip"
     )

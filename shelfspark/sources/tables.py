@@ -79,16 +79,21 @@ def _csv_rows(text: str) -> Iterator[list[dict]]:
         yield [{"name": n, "value": v} for n, v in merged.items()]
 
 
+def _frames(file_id: str, sheet: str, text: str) -> Iterator[pd.DataFrame]:
+    rows = list(_csv_rows(text))
+    if rows:
+        yield pd.DataFrame(
+            {"file_id": file_id, "sheet": sheet, "row": range(len(rows)), "cells": rows}
+        )
+
+
 def csv_files(texts: DataFrame) -> DataFrame:
     """Rows of many small CSV files (file_id, text), each with a header of its own."""
 
     def parse(frames):
         for frame in frames:
             for file_id, text in zip(frame["file_id"], frame["text"], strict=True):
-                rows = list(_csv_rows(text or ""))
-                yield pd.DataFrame(
-                    {"file_id": file_id, "sheet": "", "row": range(len(rows)), "cells": rows}
-                )
+                yield from _frames(file_id, "", text or "")
 
     return texts.select("file_id", "text").mapInPandas(parse, ROWS_SCHEMA)
 
@@ -163,10 +168,7 @@ def xlsx_files(files: DataFrame) -> DataFrame:
         for frame in frames:
             for file_id, content in zip(frame["file_id"], frame["content"], strict=True):
                 for sheet, values in _sheets(content):
-                    rows = list(_csv_rows(_sheet_csv(values)))
-                    yield pd.DataFrame(
-                        {"file_id": file_id, "sheet": sheet, "row": range(len(rows)), "cells": rows}
-                    )
+                    yield from _frames(file_id, sheet, _sheet_csv(values))
 
     return files.select("file_id", "content").mapInPandas(parse, ROWS_SCHEMA)
 
