@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import tokens
+from shelfspark.operators.scan import explode_rows
 from shelfspark.storage import spread
 
 FIELDS = ("content", "file_id", "file_name", "chunk_id")
@@ -25,10 +26,13 @@ def index(chunks: DataFrame) -> DataFrame:
 def postings(indexed: DataFrame) -> DataFrame:
     """Every occurrence: (token, field, pos, chunk_id)."""
     per_field = [
-        indexed.select(
-            "chunk_id",
-            F.lit(name).alias("field"),
-            F.posexplode(f"{name}_tokens").alias("pos", "token"),
+        explode_rows(
+            indexed.select(
+                "chunk_id", F.lit(name).alias("field"), F.col(f"{name}_tokens").alias("_tokens")
+            ),
+            "_tokens",
+            "token",
+            "pos",
         )
         for name in FIELDS
     ]
@@ -55,10 +59,9 @@ def _containing(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A frequent token spreads over ``SALTS`` tasks; the small wanted side is repeated.
     """
-    held = indexed.select(
-        "chunk_id",
-        F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("_salt"),
-        F.explode(_all_tokens()).alias("token"),
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("_salt")
+    held = explode_rows(
+        indexed.select("chunk_id", salt, _all_tokens().alias("_tokens")), "_tokens", "token"
     )
     spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return held.join(spread, ["token", "_salt"]).drop("_salt")
@@ -66,7 +69,7 @@ def _containing(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _frequencies(indexed: DataFrame, asked: DataFrame) -> DataFrame:
     """In how many chunks each asked token occurs, combined before the shuffle."""
-    held = indexed.select(F.explode(_all_tokens()).alias("token"))
+    held = explode_rows(indexed.select(_all_tokens().alias("_tokens")), "_tokens", "token")
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return asked.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -122,7 +125,8 @@ def _match_prefix(indexed: DataFrame, terms: DataFrame, length: int) -> DataFram
 
     Terms of at least ``length`` characters meet the vocabulary by their first characters.
     """
-    vocabulary = indexed.select(F.explode(_all_tokens()).alias("token")).distinct()
+    tokens_held = indexed.select(_all_tokens().alias("_tokens"))
+    vocabulary = explode_rows(tokens_held, "_tokens", "token").distinct()
     wanted = terms.select(
         "query_id", F.size("terms").alias("_n"), F.explode("terms").alias("term")
     )

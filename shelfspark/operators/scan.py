@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from shelfspark.storage import cut_lineage
 
 
+def explode_rows(df: DataFrame, array: str, element: str, at: str | None = None) -> DataFrame:
+    """One row per element of an array column, with its position if ``at`` is given.
+
+    The outer form is used because the plain one makes the optimizer test the size of the
+    array in a filter below, which computes a costly array a second time, before any shuffle.
+    """
+    kept = [c for c in df.columns if c != array]
+    place = at or "_place"
+    rows = df.select(*kept, F.posexplode_outer(array).alias(place, element))
+    rows = rows.where(F.col(place).isNotNull())
+    return rows if at else rows.drop(place)
+
+
 def fill_forward(
     df: DataFrame,
     keys: list[str],

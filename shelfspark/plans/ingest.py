@@ -17,7 +17,7 @@ from shelfspark.functions.text import (
 )
 from shelfspark.models import embed
 from shelfspark.operators.dml import stage_status
-from shelfspark.operators.scan import fill_forward
+from shelfspark.operators.scan import explode_rows, fill_forward
 from shelfspark.storage import spread
 
 WHOLE_KINDS = ("csv", "xlsx", "pptx", "eml")
@@ -36,18 +36,6 @@ def _piece_arrays(raw: DataFrame, cfg: Settings, kind: Column | None) -> DataFra
     return raw.withColumn("pieces", pieces).drop("text")
 
 
-def _exploded(df: DataFrame, array: str, at: str, element: str) -> DataFrame:
-    """One row per element with its position.
-
-    The outer form, because the plain one would have the optimizer test the size of the
-    array, and so compute it again, in a filter before the shuffle.
-    """
-    kept = [c for c in df.columns if c != array]
-    return df.select(*kept, F.posexplode_outer(array).alias(at, element)).where(
-        F.col(at).isNotNull()
-    )
-
-
 def split_sentences(
     raw: DataFrame, cfg: Settings = Settings(), kind: Column | None = None
 ) -> DataFrame:
@@ -58,7 +46,7 @@ def split_sentences(
     """
     arrays = _piece_arrays(raw, cfg, kind)
     kept = [c for c in arrays.columns if c != "pieces"]
-    return _exploded(arrays.select(*kept, "pieces"), "pieces", "piece_idx", "content")
+    return explode_rows(arrays.select(*kept, "pieces"), "pieces", "content", "piece_idx")
 
 
 def _with_titles(arrays: DataFrame) -> DataFrame:
@@ -90,7 +78,7 @@ def enhance_titles(
     """(…, piece_idx, content, category) of the first split with titles marked and carried."""
     shown = _with_titles(_piece_arrays(raw, cfg, kind))
     kept = [c for c in shown.columns if c != "pieces"]
-    rows = _exploded(shown.select(*kept, "pieces"), "pieces", "piece_idx", "_piece")
+    rows = explode_rows(shown.select(*kept, "pieces"), "pieces", "_piece", "piece_idx")
     return rows.select(*kept, "piece_idx", "_piece.content", "_piece.category")
 
 
@@ -141,8 +129,8 @@ def chunk_texts(
         texts = texts.join(_part_offsets(sized), ["file_id", "part"], "left")
         start = F.coalesce("_before", F.lit(0))
     kept = [c for c in raw.columns if c not in ("text", "part")]
-    numbered = _exploded(
-        texts.select(*kept, start.alias("_start"), "_cut"), "_cut", "_at", "content"
+    numbered = explode_rows(
+        texts.select(*kept, start.alias("_start"), "_cut"), "_cut", "content", "_at"
     )
     number = (F.col("_start") + F.col("_at")).cast("int")
     return numbered.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.text import html_text
+from shelfspark.operators.scan import explode_rows
 from shelfspark.storage import cut_lineage, spread
 
 _ANCHOR = r"(?is)<a(?=[\s>/])[^>]*>"
@@ -48,9 +49,9 @@ def resolve(base: Column, href: Column) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst): links below the page's own address, fragments dropped."""
-    anchors = pages.select(
-        F.col("url").alias("src"),
-        F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_ANCHOR), 0))).alias("tag"),
+    tags = F.array_distinct(F.regexp_extract_all("html", F.lit(_ANCHOR), 0))
+    anchors = explode_rows(
+        spread(pages, "url").select(F.col("url").alias("src"), tags.alias("_tags")), "_tags", "tag"
     )
     quoted = F.regexp_extract("tag", _HREF, 1)
     href = F.trim(F.regexp_replace(quoted, r"\A[\"']|[\"']\z", ""))

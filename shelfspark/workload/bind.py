@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.answers import answer_line
 from shelfspark.operators.answers import exchanges
+from shelfspark.storage import spread
 
 PIECES = 10  # vectors per file in the given data
 
@@ -102,7 +103,7 @@ def chunks(spark, sf_dir):
     end = F.floor((F.col("chunk_idx") + 1) * size / PIECES).cast("int")
     pieces = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"), "doc_id")
         .select("*", pieces.alias("chunk_idx"))
         .select(
             _user(doc).alias("user_id"),

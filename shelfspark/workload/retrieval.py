@@ -582,8 +582,9 @@ def fn_messages(spark, d):
     """SELECT query_id, prompt, round(mean, 6) AS mean_score, grounded, n_sources FROM prompts""",
 )
 def prompts(spark, d):
+    queries = cut_lineage(bind.queries(spark, d))  # derived by joins, read several times
     return retrieve.grounded_prompts(
-        bind.queries(spark, d), bind.vectors(spark, d), bind.chunks(spark, d), CFG
+        queries, bind.vectors(spark, d), bind.chunks(spark, d), CFG
     ).select(
         "query_id", "prompt", F.round("mean_score", 6).alias("mean_score"), "grounded", "n_sources"
     )
