@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.storage import cut_lineage
+
 SCORE_DECIMALS = 10
 QUERY_BYTES = 64 << 20
 QUERY_TILE = 4096
 VECTOR_TILE = 16384
+PLAN_ROWS = 500_000
 HIT_SCHEMA = "query_id string, user_id string, file_id string, chunk_idx int, ip double"
 
 _HIT_ARROW = pa.schema(
@@ -140,7 +143,13 @@ def _tiles(df: DataFrame, size: int, out: str) -> DataFrame:
 
 
 def _tile(queries: DataFrame, vectors: DataFrame, k: int, query_tile: int, vector_tile: int):
-    plan = _tiles(queries, query_tile, "_qn").join(_tiles(vectors, vector_tile, "_vn"), "user_id")
+    # One row per user who asks. Joined by broadcast up to a counted bound, so that vectors are
+    # shuffled once, by tile, and never by user.
+    plan = cut_lineage(
+        _tiles(queries, query_tile, "_qn").join(_tiles(vectors, vector_tile, "_vn"), "user_id")
+    )
+    if plan.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS:
+        plan = F.broadcast(plan)
     left = (
         queries.select("query_id", "user_id", "qvec")
         .join(plan, "user_id")
