@@ -71,9 +71,11 @@ def crawl(
 
     Every unseen child of an expanded page is emitted once; children ending in a slash are
     expanded in turn and so emitted a second time. Excluded prefixes are not expanded.
-    ``edges`` are the (src, dst) of ``links``. One job per level; each level is
-    checkpointed, so a lost executor does not replay the walk.
+    ``edges`` are the (src, dst) of ``links``, read once from their pages and kept for all
+    levels. One job per level; each level is checkpointed, so a lost executor does not
+    replay the walk.
     """
+    edges = cut_lineage(edges.select("src", "dst"))
 
     def expandable(frontier: DataFrame, depth: int) -> DataFrame:
         if 0 < max_depth <= depth:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfspark.config import Settings
 from shelfspark.functions import tokens as tok
 from shelfspark.operators import context, knn, pack
+from shelfspark.storage import fresh_path
 
 VECTORS = "user_id string, kb_id string, file_id string, chunk_idx int, embedding array<float>"
 QUERIES = "query_id string, user_id string, kb_ids array<string>, qvec array<float>"
@@ -256,3 +257,23 @@ def test_messages_and_next_history(spark):
     ).head()
     assert [m["role"] for m in row["m"]] == ["system", "user", "assistant", "user", "assistant", "user"]
     assert [tuple(p) for p in row["h"]] == [("q1", "a1"), ("now", "ans")]
+
+
+def test_scan_reads_only_the_users_who_ask(spark, points):
+    rows, asked, vectors, queries = points
+    path = fresh_path(spark, "vectors")
+    vectors.write.partitionBy("user_id").parquet(path)
+    small = queries.where("user_id = 'small'")
+    df = knn.knn(small, spark.read.parquet(path), 3, plan="scan")
+    plan = df._jdf.queryExecution().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "user_id" in filters and "small" in filters
+    want = brute(rows, [a for a in asked if a[1] == "small"], 3)
+    assert as_dict(df) == want
+
+
+def test_hot_users_are_many_tiles(points):
+    rows, asked, vectors, queries = points
+    scored = knn.score(queries, vectors, 2, plan="tile", query_tile=5, vector_tile=30)
+    per_query = scored.groupBy("query_id").count().agg(F.max("count")).head()[0]
+    assert 2 < per_query <= 2 * math.ceil(305 / 30)
