@@ -103,9 +103,9 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PKG = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 
 
-def _column_number(reference: str) -> int:
+def _column_number(address: str) -> int:
     number = 0
-    for letter in re.match(r"[A-Z]+", reference).group():
+    for letter in re.match(r"[A-Z]+", address).group():
         number = number * 26 + ord(letter) - 64
     return number - 1
 

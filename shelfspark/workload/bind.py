@@ -148,7 +148,7 @@ def queries(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(
         F.col("item_id"), F.col("text").alias("question")
     )
-    n_items = items.agg(F.count("*").alias("_n"))
+    n_items = items.count()
     pairs = (
         exchanges(table(spark, sf_dir, "conversations"))
         .groupBy("conv_id")
@@ -157,8 +157,7 @@ def queries(spark, sf_dir):
     none = F.array().cast("array<struct<q:string,a:string>>")
     return (
         table(spark, sf_dir, "embeddings")
-        .join(F.broadcast(n_items))  # one row
-        .withColumn("item_id", F.col("vec_id") % F.col("_n"))
+        .withColumn("item_id", F.col("vec_id") % n_items)
         .join(items, "item_id")
         .join(pairs, F.col("conv_id") == F.col("vec_id"), "left")
         .select(

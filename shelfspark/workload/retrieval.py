@@ -350,11 +350,8 @@ def agg_dedup(spark, d):
     """SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text""",
 )
 def win_first_seen(spark, d):
-    documents = bind.table(spark, d, "documents").select(
-        "source", F.col("text").alias("content"), "doc_id"
-    )
     # One row per text over the whole table: an aggregate combines equal texts before the shuffle.
-    return documents.groupBy(F.col("content").alias("text")).agg(F.min("doc_id").alias("doc_id"))
+    return bind.table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
 @register("sort_retrieval", "SELECT query_id, position, file_id, run_start FROM ordered")

@@ -251,3 +251,15 @@ def test_token_search(spark):
     assert found(["wo", "hel"], "prefix") == ["f1_0"]
     assert found(["hello"], without=["foo"]) == ["f1_0"]
     assert found(["absent"]) == []
+
+
+def test_files_on_disk(spark, tmp_path):
+    (tmp_path / "a.TXT").write_bytes("中文".encode())
+    (tmp_path / "b.csv").write_text("k\nv\n")
+    (tmp_path / "c.bin").write_bytes(b"\x00")
+    files = documents.binary_files(spark, str(tmp_path))
+    kinds = {r["file_name"]: r["kind"] for r in files.select("file_name", "kind").collect()}
+    assert kinds == {"a.TXT": "text", "b.csv": "csv", "c.bin": None}
+    assert [r["file_name"] for r in documents.unsupported(files).collect()] == ["c.bin"]
+    read = documents.by_kind(files, "text").select(documents.decode_text(F.col("content")).alias("t"))
+    assert read.head()["t"] == "中文"
