@@ -147,3 +147,53 @@ def test_html_text(spark):
     page = "<p>a &amp; b<script>x<1</script><!-- c --><style>s</style><br>d&copy;</p>"
     df = spark.createDataFrame([(page,), ("plain",)], "h string")
     assert [r[0] for r in df.select(text.html_text(F.col("h"))).collect()] == ["a & bd©", "plain"]
+
+
+def split_model(body, limit, overlap, marks=text.TOKEN_SEPARATORS):
+    """The recursive split written over again with lists."""
+
+    def size(t):
+        return len(t) // 4
+
+    def join(parts):
+        packs, held = [], []
+        for part in parts:
+            if held and sum(map(size, held)) + size(part) > limit:
+                packs.append("".join(held))
+                while held and (
+                    sum(map(size, held)) > overlap
+                    or (sum(map(size, held)) + size(part) > limit and sum(map(size, held)) > 0)
+                ):
+                    held = held[1:]
+            held = held + [part]
+        packs.append("".join(held))
+        return [p.strip() for p in packs if p.strip()]
+
+    mark, rest = marks[-1], ()
+    for i, candidate in enumerate(marks):
+        if candidate in body:
+            mark, rest = candidate, marks[i + 1 :]
+            break
+    parts = [p for p in re.split(f"(?={re.escape(mark)})", body) if p]
+    out, run = [], []
+    for part in parts:
+        if size(part) < limit:
+            run.append(part)
+            continue
+        if run:
+            out += join(run)
+            run = []
+        out += split_model(part, limit, overlap, rest) if rest else [part]
+    return out + (join(run) if run else [])
+
+
+def test_token_pieces_against_model():
+    import random
+
+    rng = random.Random(5)
+    alphabet = "abc中文 \n.。!?；;、，, "
+    for _ in range(400):
+        body = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 400)))
+        limit = rng.choice([5, 9, 20])
+        overlap = rng.choice([0, 2, limit // 2])
+        assert text.token_pieces(body, limit, overlap) == split_model(body, limit, overlap), body
