@@ -4,9 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.llm.bpe import digests, encode_decode
 from shelfspark.llm.common import documents
 from shelfspark.llm.content_sort import content_sort
 from shelfspark.llm.mixing import mix
+from shelfspark.llm.token_counts import token_counts
+from shelfspark.llm.token_files import read_token_files, write_token_files
+from shelfspark.storage import fresh_path
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each document and of the text they decode to."""
+    return digests(encode_decode(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document."""
+    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +40,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("source")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from the binary files they were written to."""
+    folder = fresh_path(spark, "tokens")
+    manifest = write_token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), folder)
+    return read_token_files(manifest, folder, with_ids=False)
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -67,6 +95,9 @@ SQL = {
 }
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op4_token_counts": op4_token_counts,
     "op6_content_sort": op6_content_sort,
     "op8_mix_sources": op8_mix_sources,
+    "op10_token_files": op10_token_files,
 }
