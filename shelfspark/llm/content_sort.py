@@ -1,7 +1,9 @@
 """Exact duplicates by sorting contents (DataFrame functions only).
 
 Rows are range-partitioned by their normalised text at splitters that Spark samples, each
-partition is sorted (to disk when it must), and neighbours are compared in full. Texts with
+partition is sorted (to disk when it must), and neighbours are compared in full. So that the
+sample of splitters stays small however long texts are, the order is by the front of a text,
+then by a hash of the whole, then by the whole text. Texts with
 so many copies that they would fill much of a partition are cut into salted runs first, each
 run is settled like a text of its own, and the heads of the runs, a bounded number per text,
 are compared with each other.
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import lower_ascii, shuffle_partitions, text_or_empty
 from shelfspark.storage import cut_lineage
 
+#: Characters of a text that splitters are made of.
+FRONT = 48
+
 
 def row_key(doc_id: str | Column, text: str | Column) -> Column:
     """Names a row by its id and its normalised text."""
@@ -52,9 +57,12 @@ def content_sort(
     rows = rows.withColumn("salt", F.when(F.xxhash64("norm").isin(frequent), salt) if frequent else F.lit(None).cast("int"))
 
     first = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
-    run = Window.partitionBy("norm", "salt")
+    place = {"front": F.substring("norm", 1, FRONT), "hash": F.xxhash64("norm")}
+    salted = ["salt"] if frequent else []
+    run = Window.partitionBy(*place, "norm", *salted)
     settled = (
-        rows.repartitionByRange("norm", "salt")
+        rows.withColumns(place)
+        .repartitionByRange(*place, *salted)
         .withColumn("rank", F.row_number().over(run.orderBy(first)))
         .withColumn("head", F.first("doc_id").over(run.orderBy(first)))
         .withColumn("n", F.count("*").over(run))
