@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfspark.llm.bpe import digests, encode_decode
 from shelfspark.llm.common import documents
 from shelfspark.llm.content_sort import content_sort
+from shelfspark.llm.langid import identify
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.token_counts import token_counts
 from shelfspark.llm.token_files import read_token_files, write_token_files
+from shelfspark.llm.toxicity import toxicity
 from shelfspark.storage import fresh_path
 
 
@@ -20,6 +22,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from ``labels``."""
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    return identify(documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of each document and of the text they decode to."""
     return digests(encode_decode(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")))
@@ -95,6 +107,8 @@ SQL = {
 }
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_content_sort": op6_content_sort,
