@@ -28,7 +28,9 @@ from shelfspark.llm.arrow import Memo, map_texts
 CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 #: The characters of Unicode's White_Space property.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MEMO_CHUNKS, MEMO_WORDS = 250_000, 250_000
+MEMO_CHUNKS, MEMO_WORDS = 400_000, 400_000
+#: Bits for the place in a queue entry, a number made of the merge's rank and the place.
+PLACE = 40
 
 
 def byte_alphabet() -> list[str]:
@@ -49,74 +51,83 @@ class WordBpe:
         self.strings.update({t["id"]: t["content"] for t in spec["added_tokens"]})
         end = self.end = model["end_of_word_suffix"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        ranked = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.left, self.right, self.made = (list(x) for x in zip(*ranked))
+        self.merges = {(a, b): rank for rank, (a, b, _) in reversed(list(enumerate(ranked)))}
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
-        self.last = [vocab[c + end] for c in alphabet]
+        self.ends = {vocab[c]: vocab[c + end] for c in alphabet}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         split = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
-        self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
+        pattern = split["pattern"]["Regex"].replace(r"\s", SPACE)
+        self.split = regex.compile(pattern)
+        # The same for lower-cased ASCII texts, which the standard library scans faster.
+        self.ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.words, self.chunks = Memo(MEMO_WORDS), Memo(MEMO_CHUNKS)
 
     def merge(self, ids: list[int]) -> list[int]:
         """The symbols ``ids`` of one pre-token after all merges."""
-        count, merges = len(ids), self.merges
+        count, rank_of = len(ids), self.merges.get
         queue = []
-        for i in range(count - 1):
-            pair = (ids[i], ids[i + 1])
-            if pair in merges:
-                rank, made = merges[pair]
-                queue.append((rank, i, made, pair))
+        for i, pair in enumerate(zip(ids, ids[1:])):
+            rank = rank_of(pair)
+            if rank is not None:
+                queue.append(rank << PLACE | i)
         if not queue:
             return ids
         heapify(queue)
+        lefts, rights, mades = self.left, self.right, self.made
+        mask = (1 << PLACE) - 1
         before, after = list(range(-1, count - 1)), list(range(1, count + 1))
         while queue:
-            _, i, made, (left, right) = heappop(queue)
+            entry = heappop(queue)
+            i, rank = entry & mask, entry >> PLACE
             j = after[i]
-            if ids[i] != left or j == count or ids[j] != right:
+            if ids[i] != lefts[rank] or j == count or ids[j] != rights[rank]:
                 continue  # stale
-            ids[i], ids[j] = made, -1
+            ids[i] = made = mades[rank]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < count:
                 before[k] = i
-                pair = (made, ids[k])
-                if pair in merges:
-                    rank, new = merges[pair]
-                    heappush(queue, (rank, i, new, pair))
+                rank = rank_of((made, ids[k]))
+                if rank is not None:
+                    heappush(queue, rank << PLACE | i)
             h = before[i]
             if h >= 0:
-                pair = (ids[h], made)
-                if pair in merges:
-                    rank, new = merges[pair]
-                    heappush(queue, (rank, h, new, pair))
+                rank = rank_of((ids[h], made))
+                if rank is not None:
+                    heappush(queue, rank << PLACE | h)
         return [i for i in ids if i >= 0]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids (little-endian unsigned 32-bit) of a pre-token, and its decoded text."""
         found = self.words.get(word)
         if found is None:
-            data = word.encode("utf-8")
-            inner = self.inner
-            found = self.words.keep(word, self.merge([*(inner[b] for b in data[:-1]), self.last[data[-1]]]))
+            ids = [self.inner[b] for b in word.encode("utf-8")]
+            ids[-1] = self.ends[ids[-1]]
+            ids = self.merge(ids)
+            found = self.words.keep(word, (array("I", ids).tobytes(), self.decode(ids)))
         return found
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (little-endian unsigned 32-bit) of a run without ASCII white space, and its decoded text."""
+        """Ids of a run without ASCII white space, and its decoded text."""
         found = self.chunks.get(chunk)
         if found is None:
-            ids: list[int] = []
+            parts = []
             for piece in self.cut.split(chunk) if "<" in chunk else (chunk,):
                 if piece in self.special:
-                    ids.append(self.special[piece])
-                    continue
-                # One by one: a final capital sigma is not special.
-                lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                for word in self.split.findall(lowered):
-                    ids += self.word(word)
-            found = self.chunks.keep(chunk, (array("I", ids).tobytes(), self.decode(ids)))
+                    parts.append((array("I", [self.special[piece]]).tobytes(), piece))
+                elif piece.isascii():
+                    lowered = piece.lower()
+                    parts += map(self.word, (lowered,) if lowered.isalpha() else self.ascii.findall(lowered))
+                else:
+                    # One by one: a final capital sigma is not special.
+                    lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+                    parts += map(self.word, self.split.findall(lowered))
+            found = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+            self.chunks.keep(chunk, found)
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:

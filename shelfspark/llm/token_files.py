@@ -19,6 +19,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,9 @@ from shelfspark.llm.arrow import Memo, slices
 from shelfspark.storage import cut_lineage
 
 CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS, MEMO_CORES = 250_000, 500_000
+#: Marks that part what stands before them at the end of a run, if the library agrees.
+MARKS = ".,!?%$&*#|"
 DOC = np.dtype([("there", "u1"), ("doc_id", "<i8")])
 READ_DOCS = 4096
 
@@ -51,24 +54,46 @@ class Encoder:
         self.library.no_padding()
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_chunk = self._drops_space()
-        self.known = Memo(MEMO_CHUNKS)
+        self.by_core = self.by_chunk and self._parts_marks()
+        self.chunks, self.cores = Memo(MEMO_CHUNKS), Memo(MEMO_CORES)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def _drops_space(self) -> bool:
         """True if white space vanishes and parts its neighbours."""
-        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        return all(ids(f"a{s}b 1{s}{s}!c") == ids("a") + ids("b") + ids("1") + ids("!c") for s in " \t\n\r\f\v")
+        apart = self._ids("a") + self._ids("b") + self._ids("1") + self._ids("!c")
+        return all(self._ids(f"a{s}b 1{s}{s}!c") == apart for s in " \t\n\r\f\v")
+
+    def _parts_marks(self) -> bool:
+        """True if letters lose their case and marks behind them are tokens of their own."""
+        return all(self._ids(f"Word{m}{n}") == self._ids("word") + self._ids(m + n) for m in MARKS for n in MARKS)
+
+    def _cut(self, chunk: str) -> tuple[str, ...]:
+        """What the library sees of a chunk: a lower-case core and its marks, or the whole."""
+        core = chunk.rstrip(MARKS)
+        if self.by_core and core.isascii() and core.isalpha():
+            return (core.lower(), chunk[len(core) :]) if len(core) < len(chunk) else (core.lower(),)
+        return (chunk,)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = CHUNK.findall if self.by_chunk else lambda text: [text] if text else []
-        chunked = [cut(t) for t in texts]
-        missing = list({c for chunks in chunked for c in chunks if c not in self.known})
-        found = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        fresh = {c: np.array(e.ids, self.type).tobytes() for c, e in zip(missing, found)}
-        known = self.known.get
-        encoded = [b"".join([known(c) if c not in fresh else fresh[c] for c in chunks]) for chunks in chunked]
-        for chunk, ids in fresh.items():
-            self.known.keep(chunk, ids)
-        return encoded
+        chunked = [CHUNK.findall(t) if self.by_chunk else [t] if t else [] for t in texts]
+        chunks, cores = self.chunks, self.cores
+        cut = {c: self._cut(c) for c in set().union(*chunked) if c not in chunks}
+        missing = list({p for parts in cut.values() for p in parts if p not in cores})
+        encoded = self.library.encode_batch_fast(missing, add_special_tokens=False)
+        code = "H" if self.type.itemsize == 2 else "I"
+        fresh = {p: array(code, e.ids).tobytes() for p, e in zip(missing, encoded)}
+        made = {}
+        for chunk, parts in cut.items():
+            made[chunk] = b"".join([fresh[p] if p in fresh else cores[p] for p in parts])
+        known = chunks.get
+        result = [b"".join([made[c] if c in made else known(c) for c in found]) for found in chunked]
+        for part, ids in fresh.items():
+            cores.keep(part, ids)
+        for chunk, ids in made.items():
+            chunks.keep(chunk, ids)
+        return result
 
 
 @lru_cache(maxsize=2)
