@@ -78,18 +78,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     named = named.where(sampled("doc_id", named.count(), bound))  # so few rows may be sent to every task
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
-    def has(batch):
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "has": [features(t) for t in batch.column("text").to_pylist()]}
-
     rows = texts.join(F.broadcast(named), "doc_id").select("doc_id", "label", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = cut_lineage(map_texts(rows, has, f"doc_id {kind}, label int, has array<int>"))
+    rows = cut_lineage(rows.repartition(max(1, -(-min(named.count(), 2 * bound) // PART_ROWS)), "doc_id"))
 
     def count(batches):
         counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            for label, has in zip(batch.column("label").to_pylist(), batch.column("has")):
-                counts[int(label > 0), has.values.to_numpy()] += 1
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                counts[int(label > 0), features(text)] += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_pydict({"feature": at, "no": counts[0, at], "yes": counts[1, at]})
 
@@ -112,33 +108,38 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     weights = np.zeros(1 << BITS)
-    weights[chosen], intercept = regression(rows, place, ratio[chosen], float(np.log(yes / no)), -(-(yes + no) // PART_ROWS))
+    sent = docs.sparkSession.sparkContext.broadcast(place)
+
+    def has(batch):
+        placed = (sent.value[features(t)] for t in batch.column("text").to_pylist())
+        return {"label": batch.column("label"), "has": [p[p >= 0] for p in placed]}
+
+    placed = cut_lineage(map_texts(rows.select("label", "text"), has, "label int, has array<int>"))
+    weights[chosen], intercept = regression(placed, ratio[chosen], float(np.log(yes / no)))
     weights[chosen] *= ratio[chosen]
     return Classifier(weights, intercept)
 
 
-def regression(rows: DataFrame, place: np.ndarray, ratio: np.ndarray, intercept: float, parts: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression of rows (doc_id, label, has), by iterative
-    parameter mixing: each part improves the weights on its own rows, then they are averaged."""
-    spark = rows.sparkSession
-    dealt = cut_lineage(rows.repartition(parts, "doc_id"))
-    context = spark.sparkContext
-    sent = context.broadcast((place, ratio))
+def regression(rows: DataFrame, ratio: np.ndarray, intercept: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression of rows (label, has), by iterative
+    parameter mixing: the task of each partition improves the weights on its own rows, then
+    they are averaged."""
+    context = rows.sparkSession.sparkContext
+    sent = context.broadcast(ratio)
     model = np.append(np.zeros(len(ratio)), intercept)
     for _ in range(ROUNDS):
         start = context.broadcast(model)
 
         def improve(batches):
-            place, ratio = sent.value
             labels, features = [], []
             for batch in batches:
                 labels += batch.column("label").to_pylist()
-                features += [x[x >= 0] for x in (place[row.values.to_numpy()] for row in batch.column("has"))]
+                features += [row.values.to_numpy() for row in batch.column("has")]
             if labels:
-                better = descend(np.array(labels) > 0, features, ratio, start.value)
+                better = descend(np.array(labels) > 0, features, sent.value, start.value)
                 yield pa.RecordBatch.from_pydict({"n": [len(labels)], "model": [better]})
 
-        found = dealt.select("label", "has").mapInArrow(improve, "n long, model array<double>").toArrow()
+        found = rows.mapInArrow(improve, "n long, model array<double>").toArrow()
         total = sum(found.column("n").to_pylist())
         model = sum(n / total * m.values.to_numpy() for n, m in zip(found.column("n").to_pylist(), found.column("model")))
     return model[:-1], float(model[-1])
