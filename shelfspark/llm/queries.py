@@ -9,6 +9,7 @@ from shelfspark.llm.common import documents
 from shelfspark.llm.content_sort import content_sort
 from shelfspark.llm.langid import identify
 from shelfspark.llm.mixing import mix
+from shelfspark.llm.perplexity import quality_rules
 from shelfspark.llm.token_counts import token_counts
 from shelfspark.llm.token_files import read_token_files, write_token_files
 from shelfspark.llm.toxicity import toxicity
@@ -42,6 +43,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and perplexity of each document, and whether it is kept."""
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of ``documents``; the largest id of equal texts stays."""
     return content_sort(documents(spark, sf_dir), keep="largest").drop("row_key")
@@ -111,6 +117,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op6_content_sort": op6_content_sort,
     "op8_mix_sources": op8_mix_sources,
     "op10_token_files": op10_token_files,
