@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfspark.llm.bpe import digests, encode_decode
 from shelfspark.llm.common import documents
 from shelfspark.llm.content_sort import content_sort
 from shelfspark.llm.langid import identify
+from shelfspark.llm.license_scan import license_scan
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.perplexity import quality_rules
 from shelfspark.llm.token_counts import token_counts
@@ -58,6 +60,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("source")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license of each document that is covered best, and how many there are."""
+    found = license_scan(documents(spark, sf_dir))
+    best = F.reduce(
+        "licenses", F.get("licenses", F.lit(0)), lambda a, b: F.when(b["coverage"] > a["coverage"], b).otherwise(a)
+    )
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), best.alias("best")).select(
+        "doc_id", "n_licenses", "best.license", "best.coverage", "best.first_word", "best.last_word"
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read back from the binary files they were written to."""
     folder = fresh_path(spark, "tokens")
@@ -120,5 +133,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_content_sort": op6_content_sort,
     "op8_mix_sources": op8_mix_sources,
+    "op9_license_scan": op9_license_scan,
     "op10_token_files": op10_token_files,
 }
