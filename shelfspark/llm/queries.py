@@ -11,6 +11,7 @@ from shelfspark.llm.content_sort import content_sort
 from shelfspark.llm.langid import identify
 from shelfspark.llm.license_scan import license_scan
 from shelfspark.llm.mixing import mix
+from shelfspark.llm.ngram_join import ngram_join
 from shelfspark.llm.perplexity import quality_rules
 from shelfspark.llm.token_counts import token_counts
 from shelfspark.llm.token_files import read_token_files, write_token_files
@@ -55,6 +56,11 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(documents(spark, sf_dir), keep="largest").drop("row_key")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates."""
+    return ngram_join(documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mix(documents(spark, sf_dir)).drop("source")
@@ -86,6 +92,7 @@ SQL = {
         groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM norm GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM norm JOIN groups USING (t)""",
+    "op7_ngram_join": op7_ngram_join,
     "op8_mix_sources": r"""
         WITH sized AS (
             SELECT doc_id, source, coalesce(text, '') AS text,
