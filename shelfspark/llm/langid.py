@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrow import map_texts
+from shelfspark.llm.arrow import map_texts, slices
 from shelfspark.llm.common import held_out, learnable, sampled
 
 #: Bound on the rows that the model is fitted on: more are thinned by a hash of their ids.
@@ -26,6 +27,8 @@ WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE = 50_000, 20_000
 LONGEST_GRAM, LONGEST_WORD = 5, 32
 MEMO_WORDS = 200_000
 UNKNOWN = "und"
+#: Texts with a lower score are taken for no language.
+LEAST_SCORE = 0.5
 #: A word: a letter, then letters and the marks that combine with them.
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -178,3 +181,23 @@ def identify(
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_texts(rows, of, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
+
+
+def in_known_language(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    lang_column: str = "lang",
+    least: float = LEAST_SCORE,
+    bound: int = LEARN_ROWS,
+) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is told with a score of ``least`` or
+    more. Rows go where they lie, without a shuffle; with nothing to learn from, all go."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, id_column, text_column, lang_column, bound))
+
+    def kept(batches):
+        for batch in slices(batches, text_column):
+            found = (model.value.predict(t) for t in batch.column(text_column).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -256,3 +256,11 @@ def _links(signed: DataFrame, firsts: DataFrame, texts: DataFrame, words: int, p
         tried = _stored(tried.union(pairs), "tried")
         rest = named.where("not chosen").select("region", "x", "distance", "pending")
         pivots_each *= 4
+
+
+def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` but those linked, directly or not, with a smaller id; with all
+    their columns. Rows without words and with a null id stay."""
+    found = ngram_join(docs, id_column, text_column, words, percent)
+    copies = found.where("doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, F.col(id_column) == F.col("_copy"), "left_anti")
