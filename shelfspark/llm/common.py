@@ -55,3 +55,13 @@ def sampled(doc_id: str | Column, rows: int, bound: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import lower_ascii, shuffle_partitions, text_or_empty
+from shelfspark.llm.common import lower_ascii, shuffle_partitions, text_or_empty, unused
 from shelfspark.storage import cut_lineage
 
 #: Characters of a text that splitters are made of.
@@ -111,6 +111,7 @@ def without_copies(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest"
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = content_sort(docs, id_column, text_column, keep).where("kept").select(F.col("row_key").alias("_row_key"))
-    keyed = docs.withColumn("_row_key", row_key(id_column, text_column))
-    return keyed.join(stays, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    (key,) = unused(docs, "row_key")
+    stays = content_sort(docs, id_column, text_column, keep).where("kept").select(F.col("row_key").alias(key))
+    keyed = docs.withColumn(key, row_key(id_column, text_column))
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import WORD, text_or_empty
+from shelfspark.llm.common import WORD, text_or_empty, unused
 from shelfspark.operators.scan import dense_ids
 from shelfspark.storage import cut_lineage
 
@@ -130,25 +130,20 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """The rows of ``docs`` as the mix takes them: once for each whole time, with the text cut
     after its last taken word where a document is taken in part; rows of which nothing is
     taken go. Columns are those of ``docs``. Rows that share an id must agree in size."""
-    taken = (
+    same_id, same_size, taken, size, words = unused(docs, "same_id", "same_size", "taken", "size", "words")
+    takes = (
         mix(docs, id_column, text_column, **settings)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
-        .agg(F.max("taken").alias("_taken"))
-        .where("_taken > 0")
-    )
-    sized = docs.withColumn("_of", size_in_words(text_column))
-    joined = sized.join(taken, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_size")))
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    copies = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    return joined.withColumn("_words", F.explode(copies)).select(
-        *(
-            F.when(F.col("_words") == F.col("_size"), F.col(text_column)).otherwise(_front(F.col(text_column), F.col("_words"))).alias(c)
-            if c == text_column
-            else F.col(c)
-            for c in docs.columns
-        )
+        .groupBy(F.col("doc_id").alias(same_id), F.col("size").alias(same_size))
+        .agg(F.max("taken").alias(taken))
+        .where(F.col(taken) > 0)
     )
+    sized = docs.withColumn(size, size_in_words(text_column))
+    joined = sized.join(takes, F.col(id_column).eqNullSafe(F.col(same_id)) & (F.col(size) == F.col(same_size)))
+    whole = F.array_repeat(F.col(size).cast("int"), F.floor(F.col(taken) / F.col(size)).cast("int"))
+    rest = F.filter(F.array((F.col(taken) % F.col(size)).cast("int")), lambda n: n > 0)
+    text = F.when(F.col(words) == F.col(size), F.col(text_column)).otherwise(_front(F.col(text_column), F.col(words)))
+    repeated = joined.withColumn(words, F.explode(F.concat(whole, rest)))
+    return repeated.select(*(text.alias(c) if c == text_column else F.col(c) for c in docs.columns))
 
 
 def _front(text: Column, words: Column) -> Column:

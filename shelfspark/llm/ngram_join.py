@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrow import Memo, map_texts
-from shelfspark.llm.common import sampled
+from shelfspark.llm.common import sampled, unused
 from shelfspark.storage import cut_lineage, fresh_path
 
 WORDS, PERCENT = 5, 75
@@ -262,5 +262,6 @@ def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column:
     """The rows of ``docs`` but those linked, directly or not, with a smaller id; with all
     their columns. Rows without words and with a null id stay."""
     found = ngram_join(docs, id_column, text_column, words, percent)
-    copies = found.where("doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col(id_column) == F.col("_copy"), "left_anti")
+    (copy,) = unused(docs, "copy")
+    copies = found.where("doc_id != component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(copies, F.col(id_column) == F.col(copy), "left_anti")

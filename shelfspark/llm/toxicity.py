@@ -65,7 +65,8 @@ class Classifier:
 
     def score(self, text: str | None) -> float:
         margin = self.intercept + float(self.weights[features(text)].sum())
-        return float(1 / (1 + np.exp(-np.clip(margin, -700, 700))))
+        with np.errstate(over="ignore"):
+            return float(1 / (1 + np.exp(-margin)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, bound: int = LEARN_ROWS) -> Classifier:
