@@ -14,6 +14,7 @@ when it runs again, so executors may be lost at any time.
 
 from __future__ import annotations
 
+import json
 import mmap
 import os
 import re
@@ -33,7 +34,8 @@ from shelfspark.llm.arrow import Memo, slices
 from shelfspark.storage import cut_lineage
 
 CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
-MEMO_CHUNKS, MEMO_CORES = 250_000, 500_000
+MEMO_CHUNKS, MEMO_CORES = 500_000, 500_000
+JOINED = 1_000
 #: Marks that part what stands before them at the end of a run, if the library agrees.
 MARKS = ".,!?%$&*#|"
 DOC = np.dtype([("there", "u1"), ("doc_id", "<i8")])
@@ -54,7 +56,11 @@ class Encoder:
         self.library.no_padding()
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_chunk = self._drops_space()
-        self.by_core = self.by_chunk and self._parts_marks()
+        end = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        self.by_core = self.by_chunk and bool(end) and self._parts_marks()
+        self.last = np.zeros(self.library.get_vocab_size(), bool)  # ids that end a word
+        if self.by_core:
+            self.last[[i for string, i in self.library.get_vocab().items() if string.endswith(end)]] = True
         self.chunks, self.cores = Memo(MEMO_CHUNKS), Memo(MEMO_CORES)
 
     def _ids(self, text: str) -> list[int]:
@@ -79,22 +85,43 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [CHUNK.findall(t) if self.by_chunk else [t] if t else [] for t in texts]
         chunks, cores = self.chunks, self.cores
-        cut = {c: self._cut(c) for c in set().union(*chunked) if c not in chunks}
-        missing = list({p for parts in cut.values() for p in parts if p not in cores})
-        encoded = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        code = "H" if self.type.itemsize == 2 else "I"
-        fresh = {p: array(code, e.ids).tobytes() for p, e in zip(missing, encoded)}
-        made = {}
-        for chunk, parts in cut.items():
-            made[chunk] = b"".join([fresh[p] if p in fresh else cores[p] for p in parts])
-        known = chunks.get
-        result = [b"".join([made[c] if c in made else known(c) for c in found]) for found in chunked]
-        for part, ids in fresh.items():
-            cores.keep(part, ids)
-        for chunk, ids in made.items():
-            chunks.keep(chunk, ids)
+        seen = set().union(*chunked)
+        cut = {c: self._cut(c) for c in seen if c not in chunks}
+        parts = {p for parts in cut.values() for p in parts}
+        self._extend(cores, parts, self._encode_parts([p for p in parts if p not in cores]))
+        made = {c: b"".join([cores[p] for p in parts]) for c, parts in cut.items()}
+        self._extend(chunks, seen, made)
+        result = [b"".join(map(chunks.__getitem__, found)) for found in chunked]
+        for memo, new in ((cores, parts), (chunks, cut)):
+            for key in new:
+                if len(key) > memo.key_length:
+                    del memo[key]
         return result
 
+    @staticmethod
+    def _extend(memo: Memo, needed: set[str], new: dict[str, bytes]) -> None:
+        """Adds ``new`` to a memo; beyond its size only what is needed now stays."""
+        if len(memo) + len(new) > memo.most:
+            new.update((key, memo[key]) for key in needed if key in memo)
+            memo.clear()
+        memo.update(new)
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of each part. Words of ASCII letters go to the library many at a time, as its
+        overhead for a text is larger than the work on a word; their last ids are marked."""
+        plain = [p for p in parts if self.by_core and p.isascii() and p.isalpha()]
+        done = {}
+        for first in range(0, len(plain), JOINED):
+            words = plain[first : first + JOINED]
+            ids = np.array(self._ids(" ".join(words)), self.type)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.type.itemsize
+            flat = ids.tobytes()
+            done.update(zip(words, [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], strict=True))
+        rest = [p for p in parts if p not in done]
+        found = self.library.encode_batch_fast(rest, add_special_tokens=False)
+        code = "H" if self.type.itemsize == 2 else "I"
+        return done | {p: array(code, e.ids).tobytes() for p, e in zip(rest, found)}
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Encoder:
