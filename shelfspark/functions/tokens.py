@@ -22,8 +22,15 @@ def count_tokens(text: Column, measure=None) -> Column:
     return counted(text)
 
 
-def count_message_tokens(texts: Column) -> Column:
-    """Tokens of an array of strings plus three."""
+def count_message_tokens(texts: Column, measure=None) -> Column:
+    """Tokens of an array of strings plus three, by the counter of ``count_tokens``."""
+    if measure is not None:
+
+        @F.pandas_udf(T.IntegerType())
+        def counted(arrays: pd.Series) -> pd.Series:
+            return arrays.map(lambda a: 3 + sum(int(measure(t)) for t in a if t is not None))
+
+        return counted(texts)
     sizes = F.transform(texts, lambda t: F.floor(F.length(t) / 4).cast("int"))
     return F.aggregate(sizes, F.lit(3), lambda total, size: total + size)
 
@@ -33,14 +40,17 @@ def history_texts(history: Column) -> Column:
     return F.flatten(F.transform(history, lambda pair: F.array(pair["q"], pair["a"])))
 
 
-def context_budget(question: Column, history: Column, cfg: Settings = Settings()) -> Column:
-    """Tokens left for retrieved text; may be negative."""
+def context_budget(
+    question: Column, history: Column, cfg: Settings = Settings(), measure=None
+) -> Column:
+    """Tokens left for retrieved text, all counted by ``measure``; may be negative."""
     fixed = cfg.token_window - cfg.answer_tokens - cfg.offcut_tokens
-    template = len(cfg.prompt_template) // 4 + 3
+    size = measure(cfg.prompt_template) if measure else len(cfg.prompt_template) // 4
+    template = int(size) + 3
     return (
         F.lit(fixed - template)
-        - count_message_tokens(F.array(question))
-        - count_message_tokens(history_texts(history))
+        - count_message_tokens(F.array(question), measure)
+        - count_message_tokens(history_texts(history), measure)
     )
 
 

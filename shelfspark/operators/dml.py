@@ -105,13 +105,18 @@ def stage_status(parsed: Column, embedded: Column, indexed: Column | None) -> Co
 
 
 def clean_by_status(
-    files: DataFrame, kbs: DataFrame, status: str, seq: int, asked: DataFrame | None = None
+    files: DataFrame,
+    kbs: DataFrame,
+    status: str,
+    user_id: str,
+    seq: int,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Delete events (with names) for live files in ``status``.
+    """Delete events (with names) for a user's live files in ``status``.
 
-    Without ``asked`` (user_id, kb_id) rows, all live bases are cleaned.
+    Without ``asked`` (user_id, kb_id) rows, all live bases of the user are cleaned.
     """
-    bases = live(kbs).select("user_id", "kb_id")
+    bases = live(kbs).where(F.col("user_id") == user_id).select("user_id", "kb_id")
     if asked is not None:
         bases = bases.join(asked, ["user_id", "kb_id"], "left_semi")
     hit = files_by_status(files, status).join(bases.select("kb_id"), "kb_id", "left_semi")

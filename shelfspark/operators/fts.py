@@ -10,7 +10,6 @@ from shelfspark.operators.scan import explode_rows
 from shelfspark.storage import spread
 
 FIELDS = ("content", "file_id", "file_name", "chunk_id")
-SALTS = 16
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -57,13 +56,15 @@ def _terms(queries: DataFrame, column: str) -> DataFrame:
 def _containing(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Chunks holding the wanted ``token`` of a row, with the row.
 
-    A frequent token spreads over ``SALTS`` tasks; the small wanted side is repeated.
+    A frequent token spreads over as many tasks as a shuffle has; the small wanted side is
+    repeated.
     """
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("_salt")
+    salts = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("_salt")
     held = explode_rows(
         indexed.select("chunk_id", salt, _all_tokens().alias("_tokens")), "_tokens", "token"
     )
-    spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return held.join(spread, ["token", "_salt"]).drop("_salt")
 
 

@@ -18,7 +18,7 @@ from shelfspark.functions.text import (
 from shelfspark.models import embed
 from shelfspark.operators.dml import stage_status
 from shelfspark.operators.scan import explode_rows, fill_forward
-from shelfspark.storage import spread
+from shelfspark.storage import cut_lineage, spread
 
 WHOLE_KINDS = ("csv", "xlsx", "pptx", "eml")
 
@@ -33,6 +33,9 @@ def _piece_arrays(raw: DataFrame, cfg: Settings, kind: Column | None) -> DataFra
             .when(kind == "pdf", sentence_pieces(F.col("text"), cfg.sentence_chars, pdf=True))
             .otherwise(pieces)
         )
+    if "whole" in raw.columns:  # recognised text of pictures, say
+        pieces = F.when(F.col("whole"), F.array("text")).otherwise(pieces)
+        return raw.withColumn("pieces", pieces).drop("text", "whole")
     return raw.withColumn("pieces", pieces).drop("text")
 
 
@@ -128,7 +131,7 @@ def chunk_texts(
         sized = texts.select("file_id", "part", F.size("_cut").cast("bigint").alias("_n"))
         texts = texts.join(_part_offsets(sized), ["file_id", "part"], "left")
         start = F.coalesce("_before", F.lit(0))
-    kept = [c for c in raw.columns if c not in ("text", "part")]
+    kept = [c for c in raw.columns if c not in ("text", "part", "whole")]
     numbered = explode_rows(
         texts.select(*kept, start.alias("_start"), "_cut"), "_cut", "content", "_at"
     )
@@ -156,39 +159,52 @@ def ingest(
     model: Callable,
     cfg: Settings = Settings(),
     measure=None,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, vectors, outcome) of texts (file_id, text and, if several, part).
+    """(chunks, vectors, outcome) of texts (file_id, text and, if several, part and whole).
 
     ``files`` has file_id, user_id, kb_id and file_name. ``outcome`` gives per file its
-    characters, chunks and status; a file without any text row failed to parse. Write the
-    chunks before reading all three, or they are computed three times.
+    characters, chunks and status; a file without any text row failed to parse and is red, as
+    is one whose model call failed. ``store`` writes vectors and returns the file_ids that are
+    in the index then; the other files are yellow. The model runs once per chunk: its vectors
+    are checkpointed and all three results are read from there.
     """
     kind = names.parser_kind(F.col("file_name"), F.col("file_name").rlike(r"\Ahttps?://"))
     known = raw.join(files.select("file_id", "file_name"), "file_id").withColumn("_kind", kind)
     readable = known.where(F.col("_kind").isNotNull()).drop("file_name")
     chunks = stamp(chunk_texts(readable, cfg, F.col("_kind"), measure).drop("_kind"), files)
-    embedded = embed(chunks, model, cfg=cfg)
+    embedded = cut_lineage(embed(chunks, model, cfg=cfg))
+    chunks = embedded.select(*chunks.columns)
     failed = embedded.groupBy("file_id").agg(
         F.bool_and(F.col("embedding_error").isNull()).alias("_embedded"),
         F.sum(F.length("content")).alias("content_length"),
         F.count(F.lit(1)).alias("chunk_size"),
     )
+    # A file is indexed whole or not at all.
+    whole = failed.where("_embedded").select("file_id")
+    vectors = embedded.join(whole, "file_id", "left_semi").drop("embedding_error")
     parsed = readable.select("file_id", F.lit(True).alias("_parsed")).distinct()
-    outcome = (
+    reached = (
         files.select("file_id", "kb_id")
         .join(parsed, "file_id", "left")
         .join(failed, "file_id", "left")
+    )
+    indexed = F.lit(True)
+    if store is not None:
+        written = store(vectors).select("file_id", F.lit(True).alias("_indexed")).distinct()
+        reached = reached.join(written, "file_id", "left")
+        indexed = F.coalesce("_indexed", F.col("chunk_size").isNull())  # no chunk, nothing to write
+        vectors = vectors.join(written.select("file_id"), "file_id", "left_semi")
+    outcome = (
+        reached
         .select(
             "file_id",
             "kb_id",
             F.coalesce("content_length", F.lit(0)).alias("content_length"),
             F.coalesce("chunk_size", F.lit(0)).alias("chunk_size"),
             stage_status(
-                F.col("_parsed").isNotNull(), F.coalesce("_embedded", F.lit(True)), F.lit(True)
+                F.col("_parsed").isNotNull(), F.coalesce("_embedded", F.lit(True)), indexed
             ).alias("status"),
         )
     )
-    # A file is indexed whole or not at all.
-    complete = outcome.where("status = 'green'").select("file_id")
-    vectors = embedded.join(complete, "file_id", "left_semi")
-    return chunks, vectors.drop("embedding_error"), outcome
+    return chunks, vectors, outcome

@@ -41,6 +41,26 @@ def unsupported(files: DataFrame) -> DataFrame:
     return files.where(F.col("kind").isNull())
 
 
+def _likely_chinese(raw: bytes) -> bool:
+    """Whether pairs of bytes look like GB characters in common use.
+
+    These have two high bytes. In Western text an accented letter mostly stands before a
+    plain one, which GB takes for a rare character.
+    """
+    common = len(re.findall(rb"[\xa1-\xf7][\xa1-\xfe]", raw))
+    rare = len(re.findall(rb"[\x81-\xfe][\x40-\x7e\x80-\xa0]", raw))
+    return common > 3 * rare
+
+
+def _likely_utf16(raw: bytes) -> bool:
+    """Whether there is a byte order mark, or a zero byte as in every blank."""
+    return raw[:2] in (b"\xff\xfe", b"\xfe\xff") or 0 in raw
+
+
+#: A charset that accepts almost any bytes is taken if they look like it.
+LIKELY = {"gb18030": _likely_chinese, "utf-16": _likely_utf16}
+
+
 def decode_text(content: Column, charsets=CHARSETS) -> Column:
     """UTF-8 in the JVM; only other bytes go to Python, which tries ``charsets`` in turn."""
 
@@ -51,9 +71,11 @@ def decode_text(content: Column, charsets=CHARSETS) -> Column:
                 return None
             for charset in charsets:
                 try:
-                    return bytes(raw).decode(charset)
+                    text = bytes(raw).decode(charset)
                 except UnicodeDecodeError:
                     continue
+                if LIKELY.get(charset, bool)(bytes(raw)) or not raw:
+                    return text
             return None
 
         return contents.map(one)
@@ -75,7 +97,11 @@ def mail_text(raw: bytes) -> str:
             continue
         payload = part.get_payload(decode=True)
         if payload:
-            parts.append(payload.decode(part.get_content_charset() or "utf-8", errors="replace"))
+            charset = part.get_content_charset() or "utf-8"
+            try:
+                parts.append(payload.decode(charset, errors="replace"))
+            except LookupError:  # no such charset
+                parts.append(payload.decode("utf-8", errors="replace"))
     return "\n\n".join(parts)
 
 
@@ -165,12 +191,20 @@ def _parts(files: DataFrame, reader) -> DataFrame:
     def parse(frames):
         for frame in frames:
             for file_id, content in zip(frame["file_id"], frame["content"], strict=True):
-                rows = [(file_id, i, *part) for i, part in enumerate(reader(content))]
+                try:
+                    rows = [(file_id, i, *part) for i, part in enumerate(reader(content))]
+                except (zipfile.BadZipFile, ET.ParseError, LookupError, StopIteration, ValueError, TypeError, RuntimeError) as error:
+                    rows = [(file_id, 0, "error", f"{type(error).__name__}: {error}", None)]
                 yield pd.DataFrame(rows, columns=["file_id", "pos", "kind", "text", "image"])
 
     return files.select("file_id", "content").mapInPandas(parse, PARTS_SCHEMA)
 
 
+def failures(parts: DataFrame) -> DataFrame:
+    """(file_id, error) of the files that could not be read; the others are unharmed."""
+    return parts.where("kind = 'error'").select("file_id", F.col("text").alias("error"))
+
+
 def word_parts(files: DataFrame) -> DataFrame:
     """Text and embedded images of word-processor files (file_id, content)."""
     return _parts(files, _word_parts)
@@ -182,11 +216,16 @@ def slide_parts(files: DataFrame) -> DataFrame:
 
 
 def word_documents(parts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(file_id, part, text): the text, then the recognised lines of all images together."""
-    body = parts.where("kind = 'text'").select("file_id", F.lit(0).alias("part"), "text")
+    """(file_id, part, text, whole): the text, then the recognised lines of all images
+    together, which stay one piece (``whole``) when the text is split."""
+    body = parts.where("kind = 'text'").select(
+        "file_id", F.lit(0).alias("part"), "text", F.lit(False).alias("whole")
+    )
     if lines is None:
         return body
-    read = image_documents(lines).select("file_id", F.lit(1).alias("part"), "text")
+    read = image_documents(lines).select(
+        "file_id", F.lit(1).alias("part"), "text", F.lit(True).alias("whole")
+    )
     return body.unionByName(read)
 
 
@@ -200,10 +239,10 @@ def slide_documents(parts: DataFrame, lines: DataFrame | None = None) -> DataFra
     )
     if lines is not None:
         texts = texts.unionByName(lines.select("file_id", "pos", "line_no", "text"))
-    numbered = texts.withColumn("at", F.col("pos") * 100000 + F.col("line_no"))
-    joined = ordered_concat(numbered, ["file_id"], "at", "text", "text", "\n\n")
+    shapes = ordered_concat(texts, ["file_id", "pos"], "line_no", "text", "text", "\n\n")
+    joined = ordered_concat(shapes, ["file_id"], "pos", "text", "text", "\n\n")
     return (
-        parts.select("file_id").distinct().join(joined, "file_id", "left")
+        parts.where("kind != 'error'").select("file_id").distinct().join(joined, "file_id", "left")
         .select("file_id", F.coalesce("text", F.lit("")).alias("text"))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import logging
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -12,13 +13,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions.text import trim_blanks
 from shelfspark.operators.scan import fill_forward
 
+log = logging.getLogger(__name__)
+
 # Fixed value: the line around a row.
 RULE = "-" * 24
 CELLS = "array<struct<name:string,value:string>>"
+RAGGED = "_ragged_record"
 ROWS_SCHEMA = f"file_id string, sheet string, row bigint, cells {CELLS}"
 
 
@@ -28,17 +33,32 @@ def csv_table(
     """Rows of large CSV files with one shared header, read in splits.
 
     Rows are numbered by split and position, so one very large file is still numbered by
-    many tasks. Missing trailing cells are read as empty here; ``csv_files`` tells them apart.
+    many tasks. As in ``csv_files`` an empty cell is empty and a missing trailing one null. A
+    file with another header and a row with more cells than the header are errors.
     """
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": encoding}
+    names = spark.read.csv(path, **options).columns
+    fields = [T.StructField(n, T.StringType()) for n in (*names, RAGGED)]
     raw = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=multi_line, encoding=encoding
+        path,
+        schema=T.StructType(fields),
+        enforceSchema=False,
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord=RAGGED,
+        **options,
     )
-    names = raw.columns
-    placed = raw.select(
+    # A record whose number of cells is not the header's comes with its own text as well.
+    cells = F.regexp_count(F.regexp_replace(f"`{RAGGED}`", '"[^"]*"', ""), F.lit(",")) + 1
+    many = F.raise_error(F.lit("a row has more cells than the header"))
+    width = F.when(F.col(f"`{RAGGED}`").isNull(), len(names)).when(cells > len(names), many.cast("int"))
+    placed = raw.withColumn(RAGGED, width.otherwise(cells)).select(
         F.array(
             *(
-                F.struct(F.lit(n).alias("name"), F.coalesce(f"`{n}`", F.lit("")).alias("value"))
-                for n in names
+                F.struct(
+                    F.lit(n).alias("name"),
+                    F.when(F.col(f"`{RAGGED}`") > i, F.coalesce(f"`{n}`", F.lit(""))).alias("value"),
+                )
+                for i, n in enumerate(names)
             )
         ).alias("cells"),
         F.col("_metadata.file_path").alias("file_id"),
@@ -87,13 +107,25 @@ def _frames(file_id: str, sheet: str, text: str) -> Iterator[pd.DataFrame]:
         )
 
 
+def _readable(read) -> list[pd.DataFrame]:
+    """All frames of a file, or none if any part of it cannot be read."""
+    try:
+        return list(read())
+    except (ValueError, KeyError, IndexError, TypeError, csv.Error, zipfile.BadZipFile, ET.ParseError) as error:
+        log.warning("unreadable file: %s", error)
+        return []
+
+
 def csv_files(texts: DataFrame) -> DataFrame:
-    """Rows of many small CSV files (file_id, text), each with a header of its own."""
+    """Rows of many small CSV files (file_id, text), each with a header of its own.
+
+    A file with a row of more cells than its header has no rows, so its ingest ends red.
+    """
 
     def parse(frames):
         for frame in frames:
             for file_id, text in zip(frame["file_id"], frame["text"], strict=True):
-                yield from _frames(file_id, "", text or "")
+                yield from _readable(lambda: _frames(file_id, "", text or ""))
 
     return texts.select("file_id", "text").mapInPandas(parse, ROWS_SCHEMA)
 
@@ -162,13 +194,18 @@ def _sheet_csv(rows: list[list]) -> str:
 
 
 def xlsx_files(files: DataFrame) -> DataFrame:
-    """Rows of all sheets of workbooks (file_id, content BINARY)."""
+    """Rows of all sheets of workbooks (file_id, content BINARY); a broken one has none."""
 
     def parse(frames):
         for frame in frames:
             for file_id, content in zip(frame["file_id"], frame["content"], strict=True):
-                for sheet, values in _sheets(content):
-                    yield from _frames(file_id, sheet, _sheet_csv(values))
+                yield from _readable(
+                    lambda: (
+                        frame
+                        for sheet, values in _sheets(content)
+                        for frame in _frames(file_id, sheet, _sheet_csv(values))
+                    )
+                )
 
     return files.select("file_id", "content").mapInPandas(parse, ROWS_SCHEMA)
 

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.config import SERVICES, Settings
 from shelfspark.functions import answers as parse
+from shelfspark.functions.names import chunk_id
 from shelfspark.operators.health import complete_services, outcome_windows, state_aggregates
 from shelfspark.operators.scan import ordered_concat
 from shelfspark.plans.ingest import chunk_texts
+from shelfspark.storage import cut_lineage
 
 
 def _start(df: DataFrame, checkpoint: str, mode: str, sink: Callable) -> StreamingQuery:
@@ -45,17 +47,45 @@ def _has_rows(spark: SparkSession, path: str) -> bool:
 def ingest(
     texts: DataFrame, path: str, checkpoint: str, cfg: Settings = Settings()
 ) -> StreamingQuery:
-    """Chunk texts (file_id, text) as they arrive; a file seen in an earlier batch is
-    not taken again."""
+    """Chunk texts (file_id, text and, if files have several, part) as they arrive.
+
+    A text seen in an earlier batch is not taken again; of texts that share file and part in
+    one batch the first by code point is. A part that arrives later goes on numbering where
+    its file stands. What has been taken is kept in a ledger of one row per text beside
+    ``path``, so chunks are not read again.
+    """
+    ledger = f"{path}-taken"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keys = [c for c in ("file_id", "part") if c in batch.columns]
-        fresh = batch.dropDuplicates(keys)
-        if number and _has_rows(spark, path):
-            earlier = spark.read.parquet(path).where(F.col("batch") < number)
-            fresh = fresh.join(earlier.select("file_id"), "file_id", "left_anti")
-        chunk_texts(fresh, cfg).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kept = [c for c in batch.columns if c not in (*keys, "text")]
+        first = F.min(F.struct("text", *kept)).alias("_first")
+        fresh = batch.groupBy(*keys).agg(first).select(*keys, "_first.*")
+        earlier = None
+        if number and _has_rows(spark, ledger):
+            earlier = spark.read.parquet(ledger).where(F.col("batch") < number)
+            fresh = fresh.join(earlier.select(*keys), keys, "left_anti")
+        chunks = chunk_texts(cut_lineage(fresh), cfg)
+        if earlier is not None:
+            taken = earlier.groupBy("file_id").agg(F.sum("n").alias("_taken"))
+            at = (F.col("chunk_idx") + F.coalesce("_taken", F.lit(0))).cast("int")
+            chunks = (
+                chunks.join(taken, "file_id", "left")
+                .withColumn("chunk_idx", at)
+                .withColumn("chunk_id", chunk_id(F.col("file_id"), F.col("chunk_idx")))
+                .drop("_taken")
+            )
+        chunks.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        counts = spark.read.parquet(f"{path}/batch={number}").groupBy("file_id").count()
+        # The number of chunks stands with one text of the file.
+        texts = fresh.select(*keys).withColumn(
+            "_nth", F.row_number().over(Window.partitionBy("file_id").orderBy(*keys))
+        )
+        n = F.when(F.col("_nth") == 1, F.coalesce("count", F.lit(0))).otherwise(0)
+        texts.join(counts, "file_id", "left").select(*keys, n.alias("n")).write.mode(
+            "overwrite"
+        ).parquet(f"{ledger}/batch={number}")
 
     return _start(texts, checkpoint, "append", write)
 

@@ -200,6 +200,8 @@ def answer_events(spark, sf_dir):
         stream, F.posexplode(F.split("text", r"(?<=\n)")).alias("seq", "line")
     ).select("stream_id", F.col("seq").cast("bigint").alias("seq"), answer_line(F.col("line")).alias("raw"))
     ends = turns.select(
-        stream, F.lit(1 << 20).cast("bigint").alias("seq"), F.lit("data: [DONE]\n\n").alias("raw")
+        stream,
+        F.size(F.split("text", r"(?<=\n)")).cast("bigint").alias("seq"),
+        F.lit("data: [DONE]\n\n").alias("raw"),
     )
     return lines.unionByName(ends)

@@ -542,10 +542,10 @@ def dml_delete_partition(spark, d):
 @register(
     "dml_clean_status",
     """SELECT file_id, file_name FROM live_files WHERE status = 'gray'
-         AND kb_id IN (SELECT kb_id FROM kbs WHERE deleted = 0)""",
+         AND kb_id IN (SELECT kb_id FROM kbs WHERE deleted = 0 AND user_id = 'u2')""",
 )
 def dml_clean_status(spark, d):
-    events = dml.clean_by_status(bind.files(spark, d), bind.kbs(spark, d), "gray", LAST)
+    events = dml.clean_by_status(bind.files(spark, d), bind.kbs(spark, d), "gray", "u2", LAST)
     return events.select("file_id", "file_name")
 
 

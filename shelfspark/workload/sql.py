@@ -55,8 +55,9 @@ PARTS: dict[str, str] = {
     "queries": f"""
         SELECT CAST(e.vec_id AS VARCHAR) AS query_id, {_USER.format('e.vec_id')} AS user_id,
                b.text AS question, e.embedding AS qvec, p.q AS hq, p.a AS ha
-        FROM embeddings e
-        JOIN benchmark b ON b.item_id = e.vec_id % (SELECT count(*) FROM benchmark)
+        FROM (SELECT vec_id, embedding, vec_id % n AS item
+              FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM benchmark)) e
+        JOIN benchmark b ON b.item_id = e.item
         LEFT JOIN first_pairs p ON p.conv_id = e.vec_id""",
     "scored": """
         SELECT q.query_id, q.user_id, v.file_id, v.chunk_idx, v.kb_id,
@@ -160,6 +161,10 @@ def budgeted(token_window: int, template_tokens: int) -> dict[str, str]:
     }
 
 
+# Parts that are read several times or dear to compute.
+MATERIALIZED = {"chunks", "vectors", "queries", "scored", "hits", "named", "found", "ordered", "packed"}
+
+
 def with_parts(body: str, extra: dict[str, str] | None = None) -> str:
     """``body`` behind a WITH clause of the parts it needs, in dependency order."""
     known = {**PARTS, **(extra or {})}
@@ -174,7 +179,10 @@ def with_parts(body: str, extra: dict[str, str] | None = None) -> str:
 
     pending: set[str] = set()
     visit(body)
-    parts = ",\n".join(f"{name} AS ({known[name].strip()})" for name in order)
+    parts = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' * (name in MATERIALIZED)}({known[name].strip()})"
+        for name in order
+    )
     return f"WITH {parts}\n{body}" if parts else body
 
 

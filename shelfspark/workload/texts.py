@@ -112,10 +112,26 @@ def fn_pdf_normalise(spark, d):
     )
 
 
-@register("fn_token_split")
+@register(
+    "fn_token_split",
+    r"""SELECT file_id, regexp_replace(text, '\s', '', 'g') AS content, true AS fits FROM texts""",
+)
 def fn_token_split(spark, d):
-    cut = text.token_split(F.array("text"), CFG.chunk_tokens, CFG.chunk_overlap_tokens)
-    return bind.texts(spark, d).select("file_id", F.posexplode(cut).alias("pos", "content"))
+    """Pieces without overlap, put together again without blanks, are the text without
+    blanks; a piece has at most so many tokens or no place to cut it."""
+    cut = text.token_split(F.array("text"), CFG.chunk_tokens, 0)
+    fits = F.forall(
+        "cut", lambda p: (F.length(p) / 4 < CFG.chunk_tokens + 1) | ~F.trim(p).rlike(r"[\s]")
+    )
+    return (
+        bind.texts(spark, d)
+        .select("file_id", cut.alias("cut"))
+        .select(
+            "file_id",
+            F.regexp_replace(F.array_join("cut", ""), r"\s", "").alias("content"),
+            fits.alias("fits"),
+        )
+    )
 
 
 @register("win_chunk_idx", "SELECT file_id, chunk_idx, content FROM final_chunks")
@@ -369,7 +385,7 @@ def read_image(raw: bytes) -> list[str]:
 def src_docx(spark, d):
     parts = documents.word_parts(office_files(spark, d, _word_files))
     lines = models.recognise(parts.where("kind = 'image'"), read_image)
-    return documents.word_documents(parts, lines)
+    return documents.word_documents(parts, lines).drop("whole")
 
 
 @register(

@@ -66,7 +66,7 @@ def test_swap_and_clean(spark, catalogue):
     asked = files.select("file_id")
     swapped = {r["file_id"]: r["status"] for r in dml.swap_status(files, asked, "gray", "red").collect()}
     assert swapped["f2"] == "red" and swapped["f1"] == "green"
-    gone = dml.clean_by_status(files, kbs, "gray", 5).collect()
+    gone = dml.clean_by_status(files, kbs, "gray", "u1", 5).collect()
     assert [(r["file_id"], r["op"], r["seq"]) for r in gone] == [("f2", "delete", 5)]
     _, inside = dml.delete_kb_events(kbs, files, spark.createDataFrame([("u2", "k1"), ("u1", "k1")], "user_id string, kb_id string"), 7)
     assert {r["file_id"] for r in inside.collect()} == {"f1", "f2", "f3"}
