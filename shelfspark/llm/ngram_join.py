@@ -15,7 +15,10 @@ such shingle gathers a region. In each region:
    their windows, until none is left or all documents of the region are connected.
 
 Comparisons within a component are never made, as they can add nothing to it; a group of near
-copies costs about one comparison a document. Equal sets are one document from the start.
+copies costs about one comparison a document. Equal sets are one document from the start. A
+pair that is due is measured on its texts only if the first shingles that both have in regions
+are enough for a link: all shingles of one document up to the end of its first ones are known,
+so the intersection has at most those in common and the rest of that document.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ from shelfspark.llm.common import sampled, unused
 from shelfspark.storage import cut_lineage, fresh_path
 
 WORDS, PERCENT = 5, 75
-#: Frequent shingles are found in about so many documents; only speed hangs on it.
-SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 4_000, 3, 200_000
+#: Frequent shingles are found in one of so many documents, or in about so many if that is more;
+#: at most so many are told apart from rare ones. Only speed hangs on this, no link.
+SAMPLE_SHARE, SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 16, 4_000, 3, 1_000_000
+#: Pivots of a region grow by this factor from level to level.
+MORE_PIVOTS = 16
 #: Ids that may be sent to every task to pick texts; beyond, texts and ids are joined by shuffle.
 BROADCAST_IDS = 500_000
 REGION_BITS = 48
@@ -92,7 +98,8 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of shingles that several of the sampled texts have."""
-    some = texts.where(sampled("doc_id", texts.count(), SAMPLE_ROWS))
+    rows = texts.count()
+    some = texts.where(sampled("doc_id", rows, max(SAMPLE_ROWS, rows // SAMPLE_SHARE)))
 
     def of(batch):
         sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
@@ -122,6 +129,20 @@ def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return map_texts(texts, of, f"doc_id {kind}, n_shingles long, digest binary, regions array<long>")
 
 
+def promising(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link by their sizes and the regions both are in; ``shared`` has x,
+    the number n of its shingles, and its regions with other documents."""
+    side = lambda name: shared.select(
+        F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("regions").alias(f"regions_{name}")
+    )
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    less, more = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    common = F.size(F.array_intersect("regions_a", "regions_b"))
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
+    beyond = F.ceil(more * percent / 100) - 1  # shingles after the first ones
+    return both.where((100 * less >= percent * more) & (common + beyond >= needed)).select("a", "b")
+
+
 def measure(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) with their distance and whether they link."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -189,11 +210,11 @@ def ngram_join(
     takes the component of equal sets, else null. A row per input row; other columns are not read.
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    signed = _stored(signatures(texts, words, percent), "signatures")
+    signed = _stored(signatures(texts, words, percent), "signatures")  # read several times
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
     classes = _stored(classes, "classes")
-    firsts = signed.drop("n_shingles").join(classes, "digest").where("doc_id = first")
-    found = components(_links(signed, firsts, texts.where("doc_id is not null"), words, percent))
+    firsts = signed.join(classes, "digest").where("doc_id = first")
+    found = components(_links(firsts, texts.where("doc_id is not null"), words, percent))
 
     own = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     joined = own.join(found, own["first"] == found["node"], "left")
@@ -201,28 +222,41 @@ def ngram_join(
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _links(signed: DataFrame, firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that connect the documents as all links do."""
-    places = _stored(firsts.select(F.col("doc_id").alias("x"), "regions").distinct(), "places")
+    places = firsts.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "regions")
+    places = _stored(places, "places")
     placed = places.select(F.explode("regions").alias("region"), "x")
     regions = placed.groupBy("region").agg(F.count("*").alias("n"), F.min("x").alias("pivot")).where("n > 1")
     regions = _stored(regions.select("region", "pivot"), "regions")
     members = _stored(placed.join(regions, "region").where("x != pivot"), "members")
 
+    # Regions of a document with others: their number is bounded by the length of its text.
+    joint = members.select("x", "region").union(regions.select(F.col("pivot").alias("x"), "region"))
+    joint = joint.groupBy("x").agg(F.collect_set("region").alias("regions"))
+    shared = places.select("x", "n").groupBy("x").agg(F.max("n").alias("n")).join(joint, "x")
+    shared = _stored(shared, "shared")
+
+    def measured_pairs(pairs):
+        """Distance and link of pairs, null and false where they cannot link."""
+        hopeful = _stored(promising(pairs, shared, percent), "promising")
+        return measure(hopeful, texts, words, percent)
+
     # The first level: every region's pivot with all its members.
-    pairs = members.select(F.col("x").alias("a"), F.col("pivot").alias("b")).distinct()
-    measured = measure(pairs, texts, words, percent)
+    pairs = _stored(members.select(F.col("x").alias("a"), F.col("pivot").alias("b")).distinct(), "level-pairs")
+    measured = measured_pairs(pairs)
     links = measured.where("link").select("a", "b")
-    failed = measured.where("not link")
+    failed = pairs.join(links, ["a", "b"], "left_anti")
     if failed.isEmpty():
         return links
     reach = F.lit((100 - percent) / 100 + 1e-9)
     missed = members.join(failed.select(F.col("a").alias("x"), F.col("b").alias("pivot")), ["x", "pivot"])
     open_regions = _stored(missed.select("region").distinct(), "open")
     away = measured.select(F.col("a").alias("x"), F.col("b").alias("pivot"), "distance", "link")
-    rest = members.join(open_regions, "region", "left_semi").join(away, ["x", "pivot"])
-    rest = _stored(rest.select("region", "x", "distance", (~F.col("link")).alias("pending")), "rest")
-    tried = _stored(measured.select("a", "b"), "tried")
+    rest = members.join(open_regions, "region", "left_semi").join(away, ["x", "pivot"], "left")
+    pending = ~F.coalesce("link", F.lit(False))
+    rest = _stored(rest.select("region", "x", "distance", pending.alias("pending")), "rest")
+    tried = pairs
 
     pivots_each = 1
     while True:
@@ -246,16 +280,16 @@ def _links(signed: DataFrame, firsts: DataFrame, texts: DataFrame, words: int, p
         pivots = named.where("chosen").select(
             "region", F.col("x").alias("q"), F.col("distance").alias("q_distance"), F.col("component").alias("q_component")
         )
-        near = named.join(pivots, "region").where(
-            (F.col("component") != F.col("q_component")) & (F.abs(F.col("distance") - F.col("q_distance")) <= reach)
-        )
+        # Distances that were not measured tell nothing.
+        window = F.coalesce(F.abs(F.col("distance") - F.col("q_distance")) <= reach, F.lit(True))
+        near = named.join(pivots, "region").where((F.col("component") != F.col("q_component")) & window)
         pairs = near.select(F.greatest("x", "q").alias("a"), F.least("x", "q").alias("b")).distinct()
         pairs = _stored(pairs.join(tried, ["a", "b"], "left_anti"), "level-pairs")
-        measured = measure(pairs, texts, words, percent)
+        measured = measured_pairs(pairs)
         links = _stored(links.union(measured.where("link").select("a", "b")), "links")
         tried = _stored(tried.union(pairs), "tried")
         rest = named.where("not chosen").select("region", "x", "distance", "pending")
-        pivots_each *= 4
+        pivots_each *= MORE_PIVOTS
 
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
