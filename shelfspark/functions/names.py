@@ -63,7 +63,10 @@ def truncate_name(name: Column, stamp: Column, max_bytes: int = 200) -> Column:
     ext = extension(name)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
     tail = F.concat(F.lit("_"), stamp, ext)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(stem) / 4).cast("int")))
+    # What fits has at most ``max_bytes`` characters, so no fewer cuts need to be tried.
+    last = F.greatest(F.lit(1), F.ceil(F.length(stem) / 4).cast("int"))
+    first = F.greatest(F.lit(1), F.ceil((F.length(stem) - max_bytes) / 4).cast("int"))
+    steps = F.sequence(F.least(first, last), last)
     shortened = F.transform(
         steps,
         lambda n: F.concat(

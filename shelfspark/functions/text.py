@@ -225,11 +225,16 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
+# What stands between the name and the end of a tag; a quoted value may hold ``>``.
+INSIDE_TAG = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+
+
 def html_text(page: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags removed, entities decoded."""
-    text = F.regexp_replace(page, r"(?is)<(script|style|template|rt|rp)\b[^>]*>.*?</\1\s*>", "")
+    hidden = rf"(?is)<(script|style|template|rt|rp)\b{INSIDE_TAG}>.*?</\1\s*>"
+    text = F.regexp_replace(page, hidden, "")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?s)<[a-zA-Z/!][^>]*>", "")
+    text = F.regexp_replace(text, rf"(?s)<[a-zA-Z/!]{INSIDE_TAG}>", "")
     coded = text.contains("&")
     return F.when(coded, _unescape(F.when(coded, text))).otherwise(text)
 

@@ -25,7 +25,7 @@ WHOLE_KINDS = ("csv", "xlsx", "pptx", "eml")
 
 def _piece_arrays(raw: DataFrame, cfg: Settings, kind: Column | None) -> DataFrame:
     """``text`` replaced by the array of its sentence pieces, ``pieces``."""
-    raw = spread(raw, "file_id")
+    raw = spread(raw, *(c for c in ("file_id", "part") if c in raw.columns))
     pieces = sentence_pieces(F.col("text"), cfg.sentence_chars)
     if kind is not None:
         pieces = (

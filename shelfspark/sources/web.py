@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.text import html_text
+from shelfspark.functions.text import INSIDE_TAG, html_text
 from shelfspark.operators.scan import explode_rows
 from shelfspark.storage import cut_lineage, spread
 
-_ANCHOR = r"(?is)<a(?=[\s>/])[^>]*>"
+_ANCHOR = rf"(?is)<a(?=[\s>/]){INSIDE_TAG}>"
 _HREF = r"(?is)\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*)"
 
 

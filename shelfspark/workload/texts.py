@@ -118,10 +118,11 @@ def fn_pdf_normalise(spark, d):
 )
 def fn_token_split(spark, d):
     """Pieces without overlap, put together again without blanks, are the text without
-    blanks; a piece has at most so many tokens or no place to cut it."""
+    blanks; a piece has at most the tokens asked for, give or take the characters that its
+    parts leave of a token each, or no place to cut it."""
     cut = text.token_split(F.array("text"), CFG.chunk_tokens, 0)
     fits = F.forall(
-        "cut", lambda p: (F.length(p) / 4 < CFG.chunk_tokens + 1) | ~F.trim(p).rlike(r"[\s]")
+        "cut", lambda p: (F.length(p) < 5 * CFG.chunk_tokens) | ~F.trim(p).rlike(r"[\s]")
     )
     return (
         bind.texts(spark, d)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.config import Settings
+from shelfspark.functions.names import truncate_name
+from shelfspark.functions.text import html_text
 from shelfspark.functions.tokens import context_budget
 from shelfspark.operators import dml
 from shelfspark.plans import ingest
@@ -134,3 +136,21 @@ def test_one_counter_for_the_whole_budget(spark):
     got = rows.select(context_budget(F.col("q"), F.col("h"), cfg, len).alias("n")).head()["n"]
     fixed = cfg.token_window - cfg.answer_tokens - cfg.offcut_tokens
     assert got == fixed - (len(cfg.prompt_template) + 3) - (8 + 3) - (5 + 3)
+
+
+def test_a_tag_ends_behind_its_quoted_values(spark):
+    pages = [("<p title=\"a>b\" x='c>d'>x</p>", "x"), ("<p don't>y</p> it's", "y it's"), ("<a href=x>z</a>", "z"), ("<b =>w</b>", "w")]
+    got = spark.createDataFrame(pages, "html string, want string").select("want", html_text(F.col("html")).alias("got"))
+    assert all(r["want"] == r["got"] for r in got.collect())
+
+
+def test_long_names_are_cut_as_before(spark):
+    names = ["a" * n + ".txt" for n in (190, 201, 230, 3000)] + ["é" * 150 + ".md", "漢" * 900 + ".csv"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", truncate_name(F.col("n"), F.lit("20240101")).alias("t"))
+    for row in got.collect():
+        stem, ext = row["n"].rsplit(".", 1)
+        want = row["n"]
+        while len(want.encode()) > 200:
+            stem = stem[:-4] if len(stem) > 4 else ""
+            want = f"{stem}_20240101.{ext}"
+        assert row["t"] == want
