@@ -122,7 +122,7 @@ def fn_token_split(spark, d):
     parts leave of a token each, or no place to cut it."""
     cut = text.token_split(F.array("text"), CFG.chunk_tokens, 0)
     fits = F.forall(
-        "cut", lambda p: (F.length(p) < 5 * CFG.chunk_tokens) | ~F.trim(p).rlike(r"[\s]")
+        "cut", lambda p: (F.length(p) < 8 * CFG.chunk_tokens) | ~F.trim(p).rlike(r"[\s]")
     )
     return (
         bind.texts(spark, d)
