@@ -118,15 +118,11 @@ def fn_pdf_normalise(spark, d):
 )
 def fn_token_split(spark, d):
     """Pieces without overlap, put together again without blanks, are the text without
-    blanks; a piece has at most the tokens asked for, but for up to three characters that
-    each of its parts leaves of a token, or no place to cut it."""
-    cut = text.token_split(F.array("text"), CFG.chunk_tokens, 0)
+    blanks; a piece has at most the tokens asked for, or no place to cut it. The counter
+    leaves no text without a token, as such texts are repeated in the next piece."""
+    cut = text.token_split(F.array("text"), CFG.chunk_tokens, 0, lambda t: -(-len(t) // 4))
     fits = F.forall(
-        "cut",
-        lambda p: (
-            F.length(p) <= 4 * CFG.chunk_tokens + 3 * (1 + F.regexp_count(p, F.lit(r"[\s\p{P}]")))
-        )
-        | ~F.trim(p).rlike(r"\s"),
+        "cut", lambda p: (F.length(p) <= 4 * CFG.chunk_tokens) | ~F.trim(p).rlike(r"\s")
     )
     return (
         bind.texts(spark, d)
