@@ -129,6 +129,15 @@ def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return map_texts(texts, of, f"doc_id {kind}, n_shingles long, digest binary, regions array<long>")
 
 
+def may_link(n_a, n_b, common, percent: int):
+    """Whether sets of these sizes may link with at most ``common`` of their first shingles in
+    common: the rest of the larger set is the most that can come to it."""
+    less, more = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    needed = F.ceil((n_a + n_b) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
+    beyond = F.ceil(more * percent / 100) - 1
+    return (100 * less >= percent * more) & (common + beyond >= needed)
+
+
 def promising(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may link by their sizes and the regions both are in; ``shared`` has x,
     the number n of its shingles, and its regions with other documents."""
@@ -136,11 +145,8 @@ def promising(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
         F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("regions").alias(f"regions_{name}")
     )
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    less, more = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     common = F.size(F.array_intersect("regions_a", "regions_b"))
-    needed = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
-    beyond = F.ceil(more * percent / 100) - 1  # shingles after the first ones
-    return both.where((100 * less >= percent * more) & (common + beyond >= needed)).select("a", "b")
+    return both.where(may_link(F.col("n_a"), F.col("n_b"), common, percent)).select("a", "b")
 
 
 def measure(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -214,7 +220,7 @@ def ngram_join(
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
     classes = _stored(classes, "classes")
     firsts = signed.join(classes, "digest").where("doc_id = first")
-    found = components(_links(firsts, texts.where("doc_id is not null"), words, percent))
+    found = _connected(firsts, texts.where("doc_id is not null"), words, percent)
 
     own = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     joined = own.join(found, own["first"] == found["node"], "left")
@@ -222,8 +228,8 @@ def ngram_join(
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _links(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the documents as all links do."""
+def _connected(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component of the documents that have links."""
     places = firsts.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "regions")
     places = _stored(places, "places")
     placed = places.select(F.explode("regions").alias("region"), "x")
@@ -246,21 +252,23 @@ def _links(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     pairs = _stored(members.select(F.col("x").alias("a"), F.col("pivot").alias("b")).distinct(), "level-pairs")
     measured = measured_pairs(pairs)
     links = measured.where("link").select("a", "b")
+    known = components(links)
     failed = pairs.join(links, ["a", "b"], "left_anti")
     if failed.isEmpty():
-        return links
+        return known
     reach = F.lit((100 - percent) / 100 + 1e-9)
     missed = members.join(failed.select(F.col("a").alias("x"), F.col("b").alias("pivot")), ["x", "pivot"])
     open_regions = _stored(missed.select("region").distinct(), "open")
     away = measured.select(F.col("a").alias("x"), F.col("b").alias("pivot"), "distance", "link")
     rest = members.join(open_regions, "region", "left_semi").join(away, ["x", "pivot"], "left")
     pending = ~F.coalesce("link", F.lit(False))
-    rest = _stored(rest.select("region", "x", "distance", pending.alias("pending")), "rest")
+    joint_with = F.size("regions").alias("joint")  # the most first shingles in common with any
+    rest = rest.join(shared.select("x", "n", joint_with), "x")
+    rest = _stored(rest.select("region", "x", "n", "joint", "distance", pending.alias("pending")), "rest")
     tried = pairs
 
     pivots_each = 1
     while True:
-        known = components(links)
         named = rest.join(known.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
         named = _stored(named, "named")
         waiting = F.col("pending")
@@ -272,23 +280,31 @@ def _links(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
         )
         state = _stored(state.where("n_pending > 0 and low != high").drop("low", "high"), "state")
         if state.isEmpty():
-            return links
+            return known
         named = named.join(state, "region")
         share = F.pmod(F.xxhash64("x", F.lit(pivots_each)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         chosen = waiting & ((F.col("x") == F.col("least")) | (share * F.col("n_pending") < pivots_each))
-        named = _stored(named.select("region", "x", "distance", "pending", "component", chosen.alias("chosen")), "level")
+        named = _stored(named.select(*rest.columns, "component", chosen.alias("chosen")), "level")
         pivots = named.where("chosen").select(
-            "region", F.col("x").alias("q"), F.col("distance").alias("q_distance"), F.col("component").alias("q_component")
+            "region",
+            F.col("x").alias("q"),
+            F.col("n").alias("q_n"),
+            F.col("joint").alias("q_joint"),
+            F.col("distance").alias("q_distance"),
+            F.col("component").alias("q_component"),
         )
         # Distances that were not measured tell nothing.
         window = F.coalesce(F.abs(F.col("distance") - F.col("q_distance")) <= reach, F.lit(True))
-        near = named.join(pivots, "region").where((F.col("component") != F.col("q_component")) & window)
+        due = window & may_link(F.col("n"), F.col("q_n"), F.least("joint", "q_joint"), percent)
+        near = named.join(pivots, "region").where((F.col("component") != F.col("q_component")) & due)
         pairs = near.select(F.greatest("x", "q").alias("a"), F.least("x", "q").alias("b")).distinct()
         pairs = _stored(pairs.join(tried, ["a", "b"], "left_anti"), "level-pairs")
         measured = measured_pairs(pairs)
-        links = _stored(links.union(measured.where("link").select("a", "b")), "links")
+        links = measured.where("link").select("a", "b")
+        if not links.isEmpty():  # components so far stand for all earlier links
+            known = components(links.union(known.select("node", "component")))
         tried = _stored(tried.union(pairs), "tried")
-        rest = named.where("not chosen").select("region", "x", "distance", "pending")
+        rest = named.where("not chosen").select(*rest.columns)
         pivots_each *= MORE_PIVOTS
 
 
