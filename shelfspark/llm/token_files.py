@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 from shelfspark.llm.arrow import Memo, slices
 from shelfspark.storage import cut_lineage
 
-CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
+#: Unicode's white space, and four controls that Python, but not Unicode, counts to it.
+SPACE = " \t\n\r\f\v\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+CONTROLS = "\x1c\x1d\x1e\x1f"
+CHUNK = re.compile(f"[^{SPACE}]+")
 MEMO_CHUNKS, MEMO_CORES = 500_000, 500_000
 JOINED = 1_000
 #: Marks that part what stands before them at the end of a run, if the library agrees.
@@ -42,9 +45,14 @@ DOC = np.dtype([("there", "u1"), ("doc_id", "<i8")])
 READ_DOCS = 4096
 
 
+def runs(text: str) -> list[str]:
+    """Runs without white space."""
+    return CHUNK.findall(text) if any(c in text for c in CONTROLS) else text.split()
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each distinct run without ASCII
-    white space once as long as the memo holds it. The library's rules for a vocabulary of
+    """Ids of texts by the tokenizers library, which sees each distinct run without white
+    space once as long as the memo holds it. The library's rules for a vocabulary of
     words never look beyond such a run; others are encoded as whole texts."""
 
     def __init__(self, path: str):
@@ -69,7 +77,7 @@ class Encoder:
     def _drops_space(self) -> bool:
         """True if white space vanishes and parts its neighbours."""
         apart = self._ids("a") + self._ids("b") + self._ids("1") + self._ids("!c")
-        return all(self._ids(f"a{s}b 1{s}{s}!c") == apart for s in " \t\n\r\f\v")
+        return all(self._ids(f"a{s}b 1{s}{s}!c") == apart for s in SPACE)
 
     def _parts_marks(self) -> bool:
         """True if letters lose their case and marks behind them are tokens of their own."""
@@ -83,7 +91,7 @@ class Encoder:
         return (chunk,)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [CHUNK.findall(t) if self.by_chunk else [t] if t else [] for t in texts]
+        chunked = [runs(t) if self.by_chunk else [t] if t else [] for t in texts]
         chunks, cores = self.chunks, self.cores
         seen = set().union(*chunked)
         cut = {c: self._cut(c) for c in seen if c not in chunks}
