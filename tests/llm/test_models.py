@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, and defined results for hard cases."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -64,12 +65,12 @@ def test_toxicity_of_hard_cases(spark):
 
 
 def plain_base(text):
-    words = text.split(" ") if False else [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
     hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
     lines, dup, seen = text.split("\n"), 0, set()
     for line in lines:
-        if __import__("re").search(r"[^\x20\x09-\x0D]", line):
+        if re.search(r"[^\x20\x09-\x0D]", line):
             dup += line in seen
             seen.add(line)
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)

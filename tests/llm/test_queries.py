@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from shelfspark.llm.queries import QUERIES, SQL
+from tests.llm.tables import empty_table, hard_table
 from tests.sidebyside import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,14 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "mixture":
             assert all(before[r.doc_id].startswith(r.text) for r in after)
     assert corpus_pipeline.run(spark, SF).count() == len(after)
+
+
+@pytest.mark.parametrize("table", [hard_table, empty_table])
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_hard_tables(spark, table, name, stage):
+    docs = table(spark)
+    got = stage(spark, docs, SF)
+    rows = got.collect()
+    if name != "encoding":
+        assert got.columns == docs.columns
+    assert bool(rows) == (table is hard_table)
