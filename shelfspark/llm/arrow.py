@@ -29,13 +29,34 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
 def map_texts(df: DataFrame, of: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
     """``df`` through ``of``, which turns a slice of rows into columns of equal length."""
 
+    owner = of.__module__
+
     def run(batches):
+        hold_only(owner)
         for batch in slices(batches, text):
             yield pa.RecordBatch.from_pydict(of(batch))
 
     return df.mapInArrow(run, schema)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(owner: str, key, make: Callable):
+    """What ``make`` gives, kept by the Python worker for later tasks of the same operator."""
+    hold_only(owner)
+    if (owner, key) not in _held:
+        _held.clear()
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
+def hold_only(owner: str) -> None:
+    """Lets go of what other operators hold: workers serve one after the other."""
+    if any(name != owner for name, _ in _held):
+        _held.clear()
+
+
 class Memo(dict):
     """A dict that starts anew when it holds ``most`` entries; long keys are not kept."""
 

@@ -15,20 +15,19 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrow import Memo, map_texts
+from shelfspark.llm.arrow import Memo, held, map_texts
 
 #: Runs without ASCII white space: no rule of the file looks beyond them.
 CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 #: The characters of Unicode's White_Space property.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MEMO_CHUNKS, MEMO_WORDS = 400_000, 400_000
+MEMO_CHUNKS, MEMO_WORDS = 300_000, 400_000
 #: Bits for the place in a queue entry, a number made of the merge's rank and the place.
 PLACE = 40
 
@@ -143,9 +142,8 @@ class WordBpe:
         return " ".join([strings[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    return held(__name__, path, lambda: WordBpe(path))
 
 
 def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

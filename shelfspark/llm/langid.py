@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrow import map_texts, slices
+from shelfspark.llm.arrow import hold_only, map_texts, slices
 from shelfspark.llm.common import held_out, learnable, sampled
 
 #: Bound on the rows that the model is fitted on: more are thinned by a hash of their ids.
@@ -196,6 +196,7 @@ def in_known_language(
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, id_column, text_column, lang_column, bound))
 
     def kept(batches):
+        hold_only(__name__)
         for batch in slices(batches, text_column):
             found = (model.value.predict(t) for t in batch.column(text_column).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))

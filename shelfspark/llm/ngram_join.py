@@ -23,14 +23,13 @@ so the intersection has at most those in common and the rest of that document.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrow import Memo, map_texts
+from shelfspark.llm.arrow import Memo, held, map_texts
 from shelfspark.llm.common import sampled, unused
 from shelfspark.storage import cut_lineage, fresh_path
 
@@ -48,9 +47,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
 def _words() -> Memo:
-    return Memo(MEMO_WORDS)
+    return held(__name__, "words", lambda: Memo(MEMO_WORDS))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:

@@ -13,12 +13,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrow import Memo, map_texts
+from shelfspark.llm.arrow import Memo, held, map_texts
 
 BLANK = "▁"  # stands for a blank inside pieces
 MEMO_PRETOKENS = 400_000
@@ -61,9 +60,8 @@ class PieceCounter:
         return counts
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return held(__name__, path, lambda: PieceCounter(path))
 
 
 def token_counts(

@@ -21,7 +21,6 @@ import re
 import uuid
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrow import Memo, slices
+from shelfspark.llm.arrow import Memo, held, slices
 from shelfspark.storage import cut_lineage
 
 #: Unicode's white space, and four controls that Python, but not Unicode, counts to it.
@@ -131,9 +130,8 @@ class Encoder:
         return done | {p: array(code, e.ids).tobytes() for p, e in zip(rest, found)}
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Encoder:
-    return Encoder(path)
+    return held(__name__, path, lambda: Encoder(path))
 
 
 def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
