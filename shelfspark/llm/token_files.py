@@ -36,7 +36,7 @@ from shelfspark.storage import cut_lineage
 SPACE = " \t\n\r\f\v\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 CONTROLS = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile(f"[^{SPACE}]+")
-MEMO_CHUNKS, MEMO_CORES = 500_000, 500_000
+MEMO_CHUNKS, MEMO_CORES = 1_000_000, 700_000
 JOINED = 1_000
 #: Marks that part what stands before them at the end of a run, if the library agrees.
 MARKS = ".,!?%$&*#|"
