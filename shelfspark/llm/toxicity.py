@@ -6,6 +6,11 @@ a logistic regression is fitted on the scaled features. The ratio is brought tow
 standard errors, so that the very many n-grams that tell nothing have a ratio of 0: else their
 noise would drown the few that do in long texts.
 
+A text is scored by windows of bounded length that cover all of it, as a sum over a whole text
+grows with its length. The highest margin of its windows counts, above a level that rises with
+the logarithm of their number as fast as the highest of so many windows of clean texts does,
+so that a clean text is seldom above it whatever its length.
+
 The classifier is fitted on at most about ``LEARN_ROWS`` labelled texts; counts of features
 and the weights are arrays of fixed length.
 """
@@ -32,39 +37,75 @@ REGULARISATION = 1e-3
 PART_ROWS = 4_000
 ROUNDS, STEPS, RATE = 4, 50, 0.03
 THRESHOLD = 0.3
+#: Windows are two neighbouring blocks of so many n-gram starts; so many are scored at a time.
+BLOCK, WINDOWS_AT_ONCE = 1_000, 1_000
+#: The rise of the level is the mean excess of clean windows over this quantile; one clean text
+#: in 1 / (1 - TAIL) may be above the level.
+TAIL = 0.99
 
 
-def features(text: str | None, bits: int = BITS, lengths=LENGTHS) -> np.ndarray:
-    """The features a text has, without order or repeats; none for an empty one.
+def codes_of(text: str | None) -> np.ndarray:
+    """Code points of a text; none for an empty one.
 
     Letters are lower-cased and white space becomes single blanks, also around the text, so
     that n-grams know where words begin and end.
     """
     if not text or not (words := text.lower().split()):
+        return np.zeros(0, np.uint32)
+    return np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def slots_of(codes: np.ndarray, length: int, bits: int = BITS) -> np.ndarray:
+    """The feature of the n-gram that starts at each place."""
+    n = max(0, len(codes) - length + 1)
+    mixed = np.full(n, length, np.uint32)
+    for at in range(length):
+        mixed *= np.uint32(0x01000193)
+        mixed ^= codes[at : at + n]
+        mixed *= np.uint32(0x9E3779B1)
+    return mixed >> np.uint32(32 - bits)
+
+
+def features(text: str | None, bits: int = BITS, lengths=LENGTHS) -> np.ndarray:
+    """The features a text has, without order or repeats; none for an empty one."""
+    codes = codes_of(text)
+    if not len(codes):
         return np.zeros(0, np.int32)
-    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     seen = np.zeros(1 << bits, bool)
     for length in lengths:
-        if len(codes) < length:
-            break
-        n = len(codes) - length + 1
-        mixed = np.full(n, length, np.uint32)
-        for at in range(length):
-            mixed *= np.uint32(0x01000193)
-            mixed ^= codes[at : at + n]
-            mixed *= np.uint32(0x9E3779B1)
-        seen[mixed >> np.uint32(32 - bits)] = True
+        seen[slots_of(codes, length, bits)] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
 class Classifier:
-    """Weights of the features and the intercept."""
-
-    def __init__(self, weights: np.ndarray, intercept: float):
-        self.weights, self.intercept = weights, intercept
+    """Weights of the features, the intercept, and the rise and start of the level."""
+
+    def __init__(self, weights: np.ndarray, intercept: float, rise: float = 0.0, start: float = 0.0):
+        self.weights, self.intercept, self.rise, self.start = weights, intercept, rise, start
+        self.known = weights != 0
+
+    def margins(self, text: str | None) -> np.ndarray:
+        """The margin of each window; a text of up to two blocks is one window."""
+        codes = codes_of(text)
+        windows = max(1, -(-(len(codes) - LENGTHS[0] + 1) // BLOCK) - 1)
+        found = np.full(windows, self.intercept)
+        for first in range(0, windows, WINDOWS_AT_ONCE):
+            n = min(WINDOWS_AT_ONCE, windows - first)
+            start, stop = first * BLOCK, (first + n + 1) * BLOCK
+            keys = []
+            for length in LENGTHS:
+                slots = slots_of(codes[start : stop + length - 1], length)
+                at = np.flatnonzero(self.known[slots])
+                keys.append(at // BLOCK << BITS | slots[at])  # by block
+            own = np.concatenate(keys)
+            own = np.concatenate([own, own - (1 << BITS)])  # by window: a block ends one and begins one
+            own = np.unique(own[(own >= 0) & (own < n << BITS)])
+            found[first : first + n] += np.bincount(own >> BITS, self.weights[own & ((1 << BITS) - 1)], n)
+        return found
 
     def score(self, text: str | None) -> float:
-        margin = self.intercept + float(self.weights[features(text)].sum())
+        margins = self.margins(text)
+        margin = float(margins.max()) - max(0.0, self.start + self.rise * float(np.log(len(margins))))
         with np.errstate(over="ignore"):
             return float(1 / (1 + np.exp(-margin)))
 
@@ -118,7 +159,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     placed = cut_lineage(map_texts(rows.select("label", "text"), has, "label int, has array<int>"))
     weights[chosen], intercept = regression(placed, ratio[chosen], float(np.log(yes / no)))
     weights[chosen] *= ratio[chosen]
-    return Classifier(weights, intercept)
+    return Classifier(weights, intercept, *level_of(rows, Classifier(weights, intercept)))
+
+
+def level_of(rows: DataFrame, model: Classifier) -> tuple[float, float]:
+    """Rise and start of the level. The highest margin of clean windows rises by the rise when
+    there are e times as many: it is the mean excess of the clean texts among rows (label,
+    text) over a high quantile, the scale of an exponential tail. The start is where that
+    quantile lies below the usual threshold; few windows do not change a score."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def of(batch):
+        found = [sent.value.margins(t) for t in batch.column("text").to_pylist()]
+        return {"margin": np.concatenate(found)}
+
+    margins = cut_lineage(map_texts(rows.where("label <= 0").select("text"), of, "margin double"))
+    level = margins.agg(F.percentile_approx("margin", TAIL, 10_000)).first()[0]
+    rise = margins.where(F.col("margin") > level).agg(F.avg(F.col("margin") - level)).first()[0]
+    return rise or 0.0, min(0.0, level - float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
 def regression(rows: DataFrame, ratio: np.ndarray, intercept: float) -> tuple[np.ndarray, float]:
@@ -186,7 +244,8 @@ def toxicity(
 
     Learns from labelled texts whose id is not held out; of several labels of an id the
     largest counts, null labels and ids do not. Labels, ids and other columns are no inputs of
-    a score. Null and empty texts have no features and score the intercept. With labels of one
+    a score. Null and empty texts have no features and score the intercept. A long text scores by its
+    highest window, so that neither its length nor clean text around a passage decides. With labels of one
     kind only, or none, every score is that kind (0 if none). A row per input row, repeated
     rows included.
     """

@@ -5,10 +5,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from shelfspark.llm.common import held_out
 from shelfspark.llm.langid import identify, in_known_language
 from shelfspark.llm.perplexity import KneserNey, base_counts, ngrams_of, quality_rules, symbols_of
-from shelfspark.llm.toxicity import toxicity
+from shelfspark.llm.toxicity import BLOCK, Classifier, features, learn, toxicity
 from tests.llm.tables import empty_table, hard_cases, hard_table
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +57,37 @@ def test_toxic_held_out_texts_score_higher(docs, labels):
     assert np.mean([s >= 0.3 for s in no]) < 0.05
 
 
+def test_toxicity_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = learn(docs, labels, "doc_id", "text", "toxic")
+    held = docs.join(labels, "doc_id").where(held_out("doc_id") & F.col("text").isNotNull()).orderBy("doc_id")
+    clean = [r.text for r in held.where("toxic = 0").collect()]
+    passages = [r.text[:2000] for r in held.where("toxic = 1").collect()]
+    passages = [p for p in passages if model.score(p) > 0.999][::10]  # clear ones
+    assert len(passages) >= 3
+    pick = np.random.default_rng(5)
+    for size in (300_000, 1_000_000, 5_000_000):
+        parts = [clean[i] for i in pick.integers(len(clean), size=size // 1000)]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        parts = parts[: int(np.searchsorted(ends, size)) + 1]
+        assert model.score("\n".join(parts)) < 0.3
+        for passage in passages:
+            at = len(parts) // 3
+            assert model.score("\n".join([*parts[:at], passage, *parts[at:]])) >= 0.3
+
+
+def test_windows_cover_texts():
+    words = [f"w{i * i % 7919}" for i in range(3000)]
+    weights = np.random.default_rng(2).normal(size=1 << 20) * (np.arange(1 << 20) % 3 == 0)
+    model = Classifier(weights, 0.5)
+    short = " ".join(words)[: 2 * BLOCK - 2]
+    assert model.margins(short) == pytest.approx([0.5 + weights[features(short)].sum()])
+    text = " ".join(words)
+    assert len(model.margins(text)) == -(-len(text) // BLOCK) - 1
+    assert model.margins(None) == model.margins(" ") == [0.5]
+
+
 def test_toxicity_of_hard_cases(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (8, 0), (9, None), (None, 1), (11, 0)], "doc_id long, toxic int")
     got = toxicity(hard_table(spark), labels).collect()
