@@ -6,13 +6,14 @@ increasing subsequence, found as in patience sorting) is kept, and the gaps betw
 anchors are aligned in the same way, where more words are unique. Matching words next to an
 anchor are taken with it. A template's coverage is the share of its words that are aligned.
 
-A long text is no obstacle: only the stretches of the text in which enough of a template's
-words stand close together are aligned, and a stretch that holds too few of the template's
-words to reach the threshold is left out, which loses nothing.
+A long text is no obstacle: windows of one, one and a half and two template lengths slide over
+the places of a template's words, and where one holds enough of them, overlapping windows are
+aligned, so that other copies of a notice and stray words far away are in no window with it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -27,6 +28,8 @@ from shelfspark.llm.arrow import map_texts
 COVERAGE, SHORT = 0.8, 10
 #: An aligned stretch is at most so many times as long as its template.
 LOOSE = 2
+#: Widths of the windows in template lengths, and how many begin in a template length at least.
+WIDTHS, STARTS = (1, 1.5, LOOSE), 8
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 # Notices as public licenses word them, by SPDX identifier.
@@ -116,6 +119,17 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def near(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
+    """The most pairs whose places in the text lie within ``span``, the first if several."""
+    best, first = (0, 0), 0
+    for last in range(len(pairs)):
+        while pairs[last][0] - pairs[first][0] >= span:
+            first += 1
+        if last + 1 - first > best[1] - best[0]:
+            best = (first, last + 1)
+    return pairs[best[0] : best[1]]
+
+
 class Scanner:
     """The templates, and the vocabulary that tells which of them a text may cover."""
 
@@ -130,7 +144,7 @@ class Scanner:
         template with the highest coverage, then the most words, then the first place."""
         words = words_of(text) if text else []
         places = [i for i, w in enumerate(words) if w in self.vocabulary]
-        found: dict[str, tuple] = {}
+        hits: list[tuple] = []
         if not places:
             return []
         there = {words[i] for i in places}
@@ -139,36 +153,62 @@ class Scanner:
             if sum(n for w, n in bag.items() if w in there) < least:
                 continue
             own = [i for i in places if words[i] in bag]
-            for first, last in self.stretches(own, len(template)):
-                inside = Counter(words[first:last])
-                if sum(min(n, inside[w]) for w, n in bag.items()) < least:
-                    continue
-                pairs = align(words[first:last], template)
-                if len(pairs) >= least and pairs[-1][0] - pairs[0][0] < LOOSE * len(template):
-                    covered = len(pairs) / len(template)
-                    start, end = first + pairs[0][0], first + pairs[-1][0]
-                    rank = (covered, len(template), -start)
-                    if name not in found or rank > found[name][0]:
-                        found[name] = (rank, covered, start, end)
+            for covered, start, end in self.hits(words, own, template, bag):
+                hits.append((covered * len(template), name, (covered, len(template), -start), start, end))
         # Where two overlap, the notice with more words is meant: one may be worded like a part of another.
-        taken: list[tuple[str, float, int, int]] = []
-        for name, ((_, length, _), covered, start, end) in sorted(found.items(), key=lambda f: (-f[1][0][1] * f[1][1], f[0])):
-            if all(end < other[2] or start > other[3] for other in taken):
-                taken.append((name, covered, start, end))
-        return sorted(taken)
+        taken: list[tuple] = []
+        found: dict[str, tuple] = {}
+        for hit in sorted(set(hits), key=lambda h: (-h[0], h[1:])):
+            _, name, rank, start, end = hit
+            if all(name == other[1] or end < other[3] or start > other[4] for other in taken):
+                taken.append(hit)
+                if name not in found or rank > found[name][0]:
+                    found[name] = (rank, start, end)
+        return sorted((name, rank[0], start, end) for name, (rank, start, end) in found.items())
 
     def least(self, template: list[str]) -> float:
         return len(template) * (self.coverage if len(template) >= SHORT else 1)
 
-    def stretches(self, places: list[int], length: int) -> list[tuple[int, int]]:
-        """Runs of places with no more than a template's length between neighbours."""
-        runs, first = [], 0
-        for at in range(1, len(places) + 1):
-            if at == len(places) or places[at] - places[at - 1] > length:
-                if at - first >= self.coverage * length:
-                    runs.append((places[first], places[at - 1] + 1))
-                first = at
-        return runs
+    def hits(self, words: list[str], own: list[int], template: list[str], bag: Counter) -> list[tuple[float, int, int]]:
+        """Coverage, first and last place of the alignments that cover enough of a template."""
+        least, found, whole = self.least(template), [], set()
+        for width in WIDTHS:
+            width = math.ceil(width * len(template))
+            for first in self.starts(words, own, template, bag, width):
+                if any(first - len(template) <= start <= first + width and end >= first for start, end in whole):
+                    continue  # holds a complete copy, or begins inside one
+                pairs = near(align(words[first : first + width], template), LOOSE * len(template))
+                if len(pairs) >= least:
+                    start, end = first + pairs[0][0], first + pairs[-1][0]
+                    found.append((len(pairs) / len(template), start, end))
+                    if len(pairs) == len(template):
+                        whole.add((start, end))
+        return found
+
+    def starts(self, words: list[str], own: list[int], template: list[str], bag: Counter, width: int) -> list[int]:
+        """Where windows that hold enough of a template's words begin: those that hold most,
+        those at a first word of the template, and others at short distances."""
+        least, step, heads = self.least(template), max(1, len(template) // STARTS), set(template[:3])
+        inside, have, end, held = Counter(), 0, 0, []
+        for first in own:
+            while end < len(own) and own[end] < first + width:
+                word = words[own[end]]
+                inside[word] += 1
+                have += inside[word] <= bag[word]
+                end += 1
+            held.append(have)
+            word = words[first]
+            have -= inside[word] <= bag[word]
+            inside[word] -= 1
+        chosen, last, rose = [], -step, True
+        for i, n in enumerate(held):
+            rose = n > held[i - 1] or (rose and n == held[i - 1]) if i else True
+            if n >= least:
+                peak = rose and (i + 1 == len(held) or held[i + 1] < n)
+                if peak or words[own[i]] in heads or own[i] - last >= step:
+                    chosen.append(own[i])
+                    last = own[i]
+        return chosen
 
 
 def license_scan(

@@ -41,6 +41,49 @@ def test_each_template_is_found_in_prose():
             assert [f[0] for f in found] == [name] and found[0][1] == 1.0
 
 
+PROSE = "the owner of this house went to the market and any of the people in it had to be at the door or in a hall of stone".split()
+
+
+def prose(pick, words):
+    return " ".join(pick.choice(PROSE) for _ in range(words))
+
+
+def test_two_copies_in_long_prose():
+    scanner, pick = Scanner(), random.Random(7)
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            for between in (0, 3, 40, 700):
+                parts = (prose(pick, 900), text, prose(pick, between), text, prose(pick, 900))
+                found = scanner.scan(". ".join(p for p in parts if p))
+                assert [f[0] for f in found] == [name] and found[0][1] == 1.0
+                assert found[0][3] - found[0][2] == len(words_of(text)) - 1
+
+
+def test_edited_notices_in_long_prose():
+    scanner, pick = Scanner(), random.Random(11)
+    for name, texts in TEMPLATES.items():
+        template = words_of(texts[-1])
+        if len(template) < 20:
+            continue
+        for _ in range(20):
+            def edited():
+                gone = set(pick.sample(range(len(template)), len(template) // 10))
+                kept = [w for i, w in enumerate(template) if i not in gone]
+                for _ in range(3):
+                    kept.insert(pick.randrange(len(kept)), "edited")
+                return " ".join(kept)
+            stray = " ".join(pick.sample(template, 2))
+            text = " ".join([prose(pick, 300), stray, prose(pick, 200), edited(), prose(pick, 100), edited(), prose(pick, 300), stray])
+            assert name in [f[0] for f in scanner.scan(text)]
+
+
+def test_a_stray_word_far_from_an_edited_notice():
+    template = words_of(TEMPLATES["MIT"][-1])
+    assert template.count("permission") == 1
+    text = "permission " + "the of to and " * 100 + " ".join(template[2:])
+    assert [f[0] for f in Scanner().scan(text)] == ["MIT"]
+
+
 def test_nothing_is_found_in_prose():
     assert Scanner().scan("He was licensed to work under the general terms of the public house " * 50) == []
     assert Scanner().scan("Licensed under the SAME License") == []
