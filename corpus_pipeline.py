@@ -34,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and thins documents to the target sizes of their sources."""
-    return mixed_documents(docs)
+    """Repeats and thins whole documents to about the target sizes of their sources."""
+    return mixed_documents(docs, cut=False)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

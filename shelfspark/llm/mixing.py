@@ -126,10 +126,14 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", cut: bool = True, **settings
+) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: once for each whole time, with the text cut
     after its last taken word where a document is taken in part; rows of which nothing is
-    taken go. Columns are those of ``docs``. Rows that share an id must agree in size."""
+    taken go. Without ``cut`` no text is cut: a document taken in part is taken whole if that
+    part is at least half of it, else not, so a source misses its target by at most half a
+    document. Columns are those of ``docs``. Rows that share an id must agree in size."""
     same_id, same_size, taken, size, words = unused(docs, "same_id", "same_size", "taken", "size", "words")
     takes = (
         mix(docs, id_column, text_column, **settings)
@@ -139,10 +143,11 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     sized = docs.withColumn(size, size_in_words(text_column))
     joined = sized.join(takes, F.col(id_column).eqNullSafe(F.col(same_id)) & (F.col(size) == F.col(same_size)))
-    whole = F.array_repeat(F.col(size).cast("int"), F.floor(F.col(taken) / F.col(size)).cast("int"))
+    times = F.floor(F.col(taken) / F.col(size) + F.lit(0.0 if cut else 0.5))
+    whole = F.array_repeat(F.col(size).cast("int"), times.cast("int"))
     rest = F.filter(F.array((F.col(taken) % F.col(size)).cast("int")), lambda n: n > 0)
     text = F.when(F.col(words) == F.col(size), F.col(text_column)).otherwise(_front(F.col(text_column), F.col(words)))
-    repeated = joined.withColumn(words, F.explode(F.concat(whole, rest)))
+    repeated = joined.withColumn(words, F.explode(F.concat(whole, rest) if cut else whole))
     return repeated.select(*(text.alias(c) if c == text_column else F.col(c) for c in docs.columns))
 
 

@@ -1,10 +1,11 @@
 """Source targets and what the mix takes, against plain computations."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from shelfspark.llm.mixing import mix, mixed_documents
 from tests.llm.tables import empty_table, hard_cases, hard_table
 
@@ -59,6 +60,17 @@ def test_repeats_and_the_cut_document(spark):
     assert words == {d: t for d, t in takes.items() if t}
 
 
+def test_pipeline_cuts_no_document(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(20 + i % 7)), f"s{i // 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    takes = mix(docs).collect()
+    assert any(r.taken % r.size for r in takes)
+    got = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert all(r.text == rows[r.doc_id][1] for r in got)
+    times = Counter(r.doc_id for r in got)
+    assert all(times[r.doc_id] == int(r.taken / r.size + 0.5) for r in takes)
+
+
 def test_hard_cases(spark):
     got = mix(hard_table(spark)).collect()
     assert len(got) == len(hard_cases())
