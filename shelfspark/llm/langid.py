@@ -192,13 +192,19 @@ def in_known_language(
     bound: int = LEARN_ROWS,
 ) -> DataFrame:
     """The rows of ``docs``, as they are, whose language is told with a score of ``least`` or
-    more. Rows go where they lie, without a shuffle; with nothing to learn from, all go."""
+    more. Rows stay where they lie, without a shuffle; with nothing to learn from, those with a
+    letter are kept."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, id_column, text_column, lang_column, bound))
 
     def kept(batches):
         hold_only(__name__)
         for batch in slices(batches, text_column):
-            found = (model.value.predict(t) for t in batch.column(text_column).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            texts = batch.column(text_column).to_pylist()
+            if model.value.languages:
+                found = (model.value.predict(t) for t in texts)
+                told = [lang != UNKNOWN and score >= least for lang, score in found]
+            else:
+                told = [LETTERS.search(t or "") is not None for t in texts]
+            yield batch.filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -48,6 +48,12 @@ def test_nothing_to_learn_from(spark):
     assert [tuple(r) for r in identify(rows).select("lang_pred", "score").collect()] == [("und", 0.0)]
 
 
+def test_texts_stay_when_no_language_is_known(spark):
+    rows = [(1, "some words", None), (2, "12 %", None), (3, None, None), (4, "\u0e01\u0e32", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in in_known_language(docs).collect()) == [1, 4]
+
+
 def test_toxic_held_out_texts_score_higher(docs, labels):
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
     got = [r for r in toxicity(docs, labels).collect() if r.held_out and toxic.get(r.doc_id) is not None]
