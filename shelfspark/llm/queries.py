@@ -13,6 +13,7 @@ from shelfspark.llm.license_scan import license_scan
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.ngram_join import ngram_join
 from shelfspark.llm.perplexity import quality_rules
+from shelfspark.llm.prefix_trie import prefix_trie
 from shelfspark.llm.token_counts import token_counts
 from shelfspark.llm.token_files import read_token_files, write_token_files
 from shelfspark.llm.toxicity import toxicity
@@ -84,7 +85,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder, with_ids=False)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("enter_arcs", "exit_arcs")
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The table of the reflected polynomial 0xEDB88320, and the CRC-32 of a text's UTF-8 bytes by it.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(
+            list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS crc_table"""
+
+
+def crc32(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295],
+            list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)),
+            lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"""
+
 
 SQL = {
     "op6_content_sort": f"""
@@ -129,6 +145,46 @@ SQL = {
         SELECT doc_id, size, source_size, target,
                (epochs * size + least(greatest(rest - ahead, 0), size))::BIGINT AS taken
         FROM summed""",
+    "op11_prefix_trie": rf"""
+        WITH crc AS ({CRC_TABLE}),
+        turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+            SELECT conv_id, {crc32("conv_id::VARCHAR")} % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM turns), crc),
+        taken AS (
+            SELECT c.conv_id, t.i AS d, t.digest, t.text
+            FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i <= c.h),
+        kept AS (SELECT conv_id, count(*) AS n FROM taken GROUP BY conv_id),
+        rebuilt AS (
+            SELECT * FROM taken
+            UNION ALL
+            SELECT c.conv_id, t.i - c.h + coalesce(k.n, 0), t.digest, t.text
+            FROM turns t JOIN convs c USING (conv_id) LEFT JOIN kept k USING (conv_id) WHERE t.i > c.h),
+        members AS (
+            SELECT conv_id, d, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS prefix,
+                   len(regexp_extract_all(text, '[^ 	-]+')) AS words
+            FROM rebuilt
+            UNION ALL
+            SELECT conv_id, 0, '', 0 FROM convs),
+        ends AS (
+            SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+            FROM (SELECT * FROM members QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY prefix),
+        nodes AS (
+            SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved
+            FROM members GROUP BY prefix, d),
+        children AS (SELECT left(prefix, 32 * (d - 1)) AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+        below AS (
+            SELECT m.prefix, sum((c.n IS NULL)::BIGINT)::BIGINT AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+            FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.d <= n.d LEFT JOIN children c ON c.prefix = n.prefix
+            GROUP BY m.prefix)
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+               b.n_leaves, b.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM nodes n JOIN below b USING (prefix) LEFT JOIN children c USING (prefix) LEFT JOIN ends e USING (prefix)
+        LEFT JOIN nodes p ON n.d > 0 AND p.prefix = left(n.prefix, 32 * (n.d - 1))""",
 }
 
 QUERIES = {
@@ -142,4 +198,5 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
 }
