@@ -10,6 +10,7 @@ from shelfspark.llm.common import documents
 from shelfspark.llm.content_sort import content_sort
 from shelfspark.llm.langid import identify
 from shelfspark.llm.license_scan import license_scan
+from shelfspark.llm.lm_score import lm_score
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.ngram_join import ngram_join
 from shelfspark.llm.perplexity import quality_rules
@@ -90,6 +91,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("enter_arcs", "exit_arcs")
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document under the language model."""
+    return lm_score(documents(spark, sf_dir))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The table of the reflected polynomial 0xEDB88320, and the CRC-32 of a text's UTF-8 bytes by it.
 CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(
@@ -166,7 +172,8 @@ SQL = {
             FROM turns t JOIN convs c USING (conv_id) LEFT JOIN kept k USING (conv_id) WHERE t.i > c.h),
         members AS (
             SELECT conv_id, d, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS prefix,
-                   len(regexp_extract_all(text, '[^ 	-]+')) AS words
+                   len(regexp_extract_all(text, '[^ 	-
+]+')) AS words
             FROM rebuilt
             UNION ALL
             SELECT conv_id, 0, '', 0 FROM convs),
@@ -199,4 +206,5 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_token_files": op10_token_files,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lm_score": op12_lm_score,
 }
