@@ -15,6 +15,7 @@ from shelfspark.llm.mixing import mix
 from shelfspark.llm.ngram_join import ngram_join
 from shelfspark.llm.perplexity import quality_rules
 from shelfspark.llm.prefix_trie import prefix_trie
+from shelfspark.llm.spelling import spelling_variants
 from shelfspark.llm.token_counts import token_counts
 from shelfspark.llm.token_files import read_token_files, write_token_files
 from shelfspark.llm.toxicity import toxicity
@@ -96,6 +97,11 @@ def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with their near words and the forms they may stand for."""
+    return spelling_variants(documents(spark, sf_dir))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The table of the reflected polynomial 0xEDB88320, and the CRC-32 of a text's UTF-8 bytes by it.
 CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(
@@ -192,6 +198,37 @@ SQL = {
                b.n_leaves, b.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
         FROM nodes n JOIN below b USING (prefix) LEFT JOIN children c USING (prefix) LEFT JOIN ends e USING (prefix)
         LEFT JOIN nodes p ON n.d > 0 AND p.prefix = left(n.prefix, 32 * (n.d - 1))""",
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+        counted AS (SELECT doc_id, run, length(run) AS size, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        hashed AS (SELECT run, size, n, {crc32("doc_id || ':' || run")} AS h FROM counted, crc),
+        words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word,
+                   sum(n)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+        shorter AS (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS (
+            SELECT DISTINCT s.word AS a, w.word AS b FROM shorter s JOIN words w ON w.word = s.rest
+            UNION ALL
+            SELECT a.word, b.word FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word < b.word),
+        near AS (SELECT a AS word, b AS near FROM pairs UNION ALL SELECT b, a FROM pairs),
+        best AS (
+            SELECT e.word, count(*) AS n_near, min({{'less': -w.n, 'near': e.near}}) AS best
+            FROM near e JOIN words w ON w.word = e.near GROUP BY e.word),
+        named AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN -best.less >= 5 * n THEN best.near END AS form,
+                   CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n
+            FROM words LEFT JOIN best USING (word)),
+        steps AS (
+            SELECT word, word AS root, form AS next FROM named
+            UNION ALL
+            SELECT s.word, n.word, n.form FROM steps s JOIN named n ON n.word = s.next)
+        SELECT word, form, root, n, n_near, form_n FROM named JOIN steps USING (word) WHERE next IS NULL""",
 }
 
 QUERIES = {
@@ -207,4 +244,5 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_lm_score": op12_lm_score,
+    "op13_spelling_variants": op13_spelling_variants,
 }
