@@ -1,13 +1,15 @@
 """Exact inner-product top-k of many queries against many vectors.
 
-Both plans multiply blocks in numpy and emit at most k rows per query and block, so scored
-pairs never become rows:
+All plans multiply blocks in numpy and keep at most k hits per query and task in a matrix of
+heaps, so scored pairs never become rows:
 
 * ``scan``: the queries fit a byte bound that is checked before they are shipped; every
   vector partition is read once, where it lies, without a shuffle.
 * ``tile``: any number of queries. Both sides of a user are cut into tiles of bounded size
   by hash, and tile meets tile in a co-group. A user holding most of the vectors is many
   tiles.
+* ``search_blocks``: vectors that are kept in blocks with zone statistics, see ``pack_blocks``;
+  blocks that cannot reach a query's k-th score are skipped without being read or scored.
 
 Scores are rounded to ten decimals, far below the resolution of float32 vectors, so that
 ranks do not depend on how a product was blocked; ties go by file and chunk number.
@@ -17,16 +19,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.storage import cut_lineage
 
 SCORE_DECIMALS = 10
+#: More than rounding can move a score; candidates are taken with this margin.
+MARGIN = 1e-9
 QUERY_BYTES = 64 << 20
 QUERY_TILE = 4096
 VECTOR_TILE = 16384
 PLAN_ROWS = 500_000
+BLOCK_ROWS, PIVOTS, PIVOT_SAMPLE = 4096, 16, 20_000
+#: Users that reach the scan as literals.
+LITERAL_KEYS = 1000
 HIT_SCHEMA = "query_id string, user_id string, file_id string, chunk_idx int, ip double"
 
 _HIT_ARROW = pa.schema(
@@ -49,89 +57,138 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(values), -1).astype(np.float64)
 
 
-def _best(scores: np.ndarray, files: np.ndarray, chunks: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of one score row, ties by file and chunk."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= floor)
-    else:
-        kept = np.arange(len(scores))
-    order = np.lexsort((chunks[kept], files[kept], -scores[kept]))
-    return kept[order[:k]]
-
-
-def _score_block(query_ids, queries, user, files, chunks, vectors, k):
-    """Hits of a query block in a vector block, as Arrow columns."""
-    out = {name: [] for name in ("query_id", "file_id", "chunk_idx", "ip")}
-    for at in range(0, len(queries), 256):
-        scores = np.round(queries[at : at + 256] @ vectors.T, SCORE_DECIMALS)
-        for query_id, row in zip(query_ids[at : at + 256], scores, strict=True):
-            best = _best(row, files, chunks, k)
-            out["query_id"].append(np.repeat(query_id, len(best)))
-            out["file_id"].append(files[best])
-            out["chunk_idx"].append(chunks[best])
-            out["ip"].append(row[best])
-    merged = {name: np.concatenate(parts) if parts else [] for name, parts in out.items()}
-    merged["user_id"] = [user] * len(merged["ip"])
-    return pa.table({f.name: pa.array(merged[f.name], f.type) for f in _HIT_ARROW})
+class Best:
+    """The k best hits of each query so far: scores in a matrix of queries by k, the k-th of a
+    row being what a later vector must reach."""
+
+    ROWS = 512  # queries that are scored at once
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.keys = np.zeros((len(queries), k), np.int64)  # rows of ``named``
+        self.named: list[pa.Table] = []
+        self.size = 0
+
+    def kth(self) -> np.ndarray:
+        return self.scores[:, -1]
+
+    def add(self, names: pa.Table, vectors: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Scores ``vectors``, whose ``names`` are file_id and chunk_idx, for the queries asked."""
+        order = pa.compute.sort_indices(names, [("file_id", "ascending"), ("chunk_idx", "ascending")])
+        points = vectors[order.to_numpy()]
+        at = np.arange(len(self.queries)) if asked is None else asked
+        used, rows = [], []
+        for first in range(0, len(at), self.ROWS):
+            own = at[first : first + self.ROWS]
+            scores = self.queries[own] @ points.T
+            floor = self.kth()[own]
+            if scores.shape[1] > self.k:
+                floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            row, place = np.nonzero(scores >= floor[:, None] - MARGIN)
+            if len(row):
+                found = np.round(scores[row, place], SCORE_DECIMALS)
+                by = np.lexsort((place, -found, row))
+                row, place, found = row[by], place[by], found[by]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = rank < self.k
+                used.append(place[kept])
+                rows.append((own[row[kept]], rank[kept], found[kept]))
+        if not rows:
+            return
+        some, which = np.unique(np.concatenate(used), return_inverse=True)
+        query, rank, found = (np.concatenate(x) for x in zip(*rows))
+        self._merge(names.take(order.take(pa.array(some))), query, rank, found, which)
+
+    def _merge(self, names: pa.Table, query, rank, found, which) -> None:
+        """Takes hits in, at most k a query, in order; of equal scores the first by name."""
+        touched = np.unique(query)
+        if np.isneginf(self.scores[touched, 0]).all():  # nothing to compare with
+            self.scores[query, rank], self.keys[query, rank] = found, which + self.size
+        else:
+            old_query = np.repeat(touched, self.k)
+            old, key = self.scores[touched].ravel(), self.keys[touched].ravel()
+            there = ~np.isneginf(old)
+            old_query, old, key = old_query[there], old[there], key[there]
+            both = pa.concat_tables([self._all().take(pa.array(key)), names.take(pa.array(which))])
+            hits = both.append_column("query", pa.array(np.concatenate([old_query, query])))
+            hits = hits.append_column("worse", pa.array(-np.concatenate([old, found])))
+            by = pa.compute.sort_indices(
+                hits, [("query", "ascending"), ("worse", "ascending"), ("file_id", "ascending"), ("chunk_idx", "ascending")]
+            ).to_numpy()
+            keys = np.concatenate([key, which + self.size])[by]
+            query, found = hits.column("query").to_numpy()[by], -hits.column("worse").to_numpy()[by]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            kept = rank < self.k
+            self.scores[query[kept], rank[kept]], self.keys[query[kept], rank[kept]] = found[kept], keys[kept]
+        self.named.append(names.select(["file_id", "chunk_idx"]))
+        self.size += names.num_rows
+        if self.size > 4 * self.scores.size + 100_000:  # let go of names no longer held
+            there = ~np.isneginf(self.scores)
+            held, place = np.unique(self.keys[there], return_inverse=True)
+            self.named, self.size = [self._all().take(pa.array(held))], len(held)
+            self.keys[there] = place
+
+    def _all(self) -> pa.Table:
+        return pa.concat_tables(self.named).combine_chunks()
+
+    def hits(self, query_ids: np.ndarray, user: str) -> pa.Table:
+        there = ~np.isneginf(self.scores)
+        if not there.any():
+            return _HIT_ARROW.empty_table()
+        names = self._all().take(pa.array(self.keys[there]))
+        n = names.num_rows
+        ids = pa.array(query_ids[np.nonzero(there)[0]], pa.string())
+        users = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([user])).cast(pa.string())
+        columns = [ids, users, names.column("file_id").cast(pa.string()), names.column("chunk_idx"), pa.array(self.scores[there])]
+        return pa.table(columns, schema=_HIT_ARROW)
 
 
 def _objects(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
-def _keep_best(table: pa.Table, k: int) -> pa.Table:
-    """Top k per query of a table of hits."""
-    frame = table.to_pandas().sort_values(
-        ["query_id", "ip", "file_id", "chunk_idx"], ascending=[True, False, True, True]
-    )
-    return pa.Table.from_pandas(
-        frame.groupby("query_id", sort=False).head(k), _HIT_ARROW, preserve_index=False
-    )
-
-
-def _scan(rows: list, vectors: DataFrame, k: int) -> DataFrame:
+def _by_user(rows: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Query ids and points of each user."""
     by_user: dict[str, tuple[list, list]] = {}
     for row in rows:
         ids, points = by_user.setdefault(row["user_id"], ([], []))
         ids.append(row["query_id"])
         points.append(row["qvec"])
-    packed = {
-        user: (np.array(ids, dtype=object), np.array(points, dtype=np.float32))
-        for user, (ids, points) in by_user.items()
-    }
+    return {u: (np.array(ids, dtype=object), np.array(points, np.float32)) for u, (ids, points) in by_user.items()}
+
+
+def _of_users(vectors: DataFrame, users: list[str]) -> DataFrame:
+    """Rows of the users; a few are literals, which the scan takes as a filter."""
+    return vectors.where(F.col("user_id").isin(users)) if len(users) <= LITERAL_KEYS else vectors
+
+
+def _names(table) -> pa.Table:
+    return pa.table({"file_id": table.column("file_id"), "chunk_idx": table.column("chunk_idx")})
+
+
+def _scan(rows: list, vectors: DataFrame, k: int) -> DataFrame:
+    packed = _by_user(rows)
     shared = vectors.sparkSession.sparkContext.broadcast(packed)
-    limit = k
 
     def search(batches):
-        held: list[pa.Table] = []
-        rows = 0
+        best: dict[str, Best] = {}
         for batch in batches:
             users = batch.column("user_id").dictionary_encode()
             codes = users.indices.to_numpy(zero_copy_only=False)
-            files = _objects(batch.column("file_id"))
-            chunks = batch.column("chunk_idx").to_numpy(zero_copy_only=False)
             matrix = _matrix(batch.column("embedding"))
+            names = _names(batch)
             for code, user in enumerate(users.dictionary.to_pylist()):
                 if user not in shared.value:
                     continue
+                if user not in best:
+                    best[user] = Best(shared.value[user][1].astype(np.float64), k)
                 mine = np.flatnonzero(codes == code)
-                ids, block = shared.value[user]
-                found = _score_block(
-                    ids, block.astype(np.float64), user, files[mine], chunks[mine],
-                    matrix[mine], limit,
-                )
-                held.append(found)
-                rows += found.num_rows
-            if rows > 1_000_000:
-                held = [_keep_best(pa.concat_tables(held), limit)]
-                rows = held[0].num_rows
-        if held:
-            yield from _keep_best(pa.concat_tables(held), limit).to_batches()
+                best[user].add(names.take(pa.array(mine)), matrix[mine])
+        for user, own in best.items():
+            yield from own.hits(shared.value[user][0], user).to_batches(max_chunksize=65536)
 
-    wanted = sorted(packed)
-    if len(wanted) <= 1000:  # literal users reach the scan as partition and row-group filters
-        vectors = vectors.where(F.col("user_id").isin(wanted))
+    vectors = _of_users(vectors, sorted(packed))
     return vectors.select("user_id", "file_id", "chunk_idx", "embedding").mapInArrow(
         search, HIT_SCHEMA
     )
@@ -168,15 +225,9 @@ def _tile(queries: DataFrame, vectors: DataFrame, k: int, query_tile: int, vecto
     def meet(query_rows: pa.Table, vector_rows: pa.Table) -> pa.Table:
         if not query_rows.num_rows or not vector_rows.num_rows:
             return _HIT_ARROW.empty_table()
-        return _score_block(
-            _objects(query_rows["query_id"]),
-            _matrix(query_rows["qvec"]),
-            query_rows["user_id"][0].as_py(),
-            _objects(vector_rows["file_id"]),
-            vector_rows["chunk_idx"].to_numpy(),
-            _matrix(vector_rows["embedding"]),
-            k,
-        )
+        best = Best(_matrix(query_rows["qvec"]), k)
+        best.add(_names(vector_rows).combine_chunks(), _matrix(vector_rows["embedding"]))
+        return best.hits(_objects(query_rows["query_id"]), query_rows["user_id"][0].as_py())
 
     keys = ("user_id", "_q", "_v")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, HIT_SCHEMA)
@@ -193,9 +244,19 @@ def right_dimension(vectors: DataFrame, dim: int, column: str = "embedding") ->
     return vectors.where(F.size(column) == dim)
 
 
-def rank_hits(scored: DataFrame, k: int) -> DataFrame:
-    """Best k per query as (query_id, user_id, file_id, chunk_idx, dist, rank)."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("ip"), "file_id", "chunk_idx")
+def rank_hits(scored: DataFrame, k: int, merge: int = 0) -> DataFrame:
+    """Best k per query as (query_id, user_id, file_id, chunk_idx, dist, rank).
+
+    With ``merge`` the hits of many tasks are first cut to k in that many parts per query, so
+    that no task gets k rows of every task for a query.
+    """
+    order = (F.desc("ip"), "file_id", "chunk_idx")
+    best = Window.partitionBy("query_id").orderBy(*order)
+    if merge > 1:
+        part = F.pmod(F.xxhash64("file_id", "chunk_idx"), F.lit(merge)).cast("int")
+        parts = Window.partitionBy("query_id", "_merge").orderBy(*order)
+        cut = scored.withColumn("_merge", part).withColumn("_nth", F.row_number().over(parts))
+        scored = cut.where(F.col("_nth") <= k).drop("_merge", "_nth")
     return (
         scored.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -234,15 +295,18 @@ def score(
     return _tile(queries, vectors, k, query_tile, vector_tile)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 100, **options) -> DataFrame:
+def knn(
+    queries: DataFrame, vectors: DataFrame, k: int = 100, merge: int = 0, **options
+) -> DataFrame:
     """Top-k hits of every query among all vectors of the same user."""
-    return rank_hits(score(queries, vectors, k, **options), k)
+    return rank_hits(score(queries, vectors, k, **options), k, merge)
 
 
 def knn_within_kbs(queries: DataFrame, vectors: DataFrame, k: int = 100, **options) -> DataFrame:
     """Top-k of every query among the vectors of the bases it names in ``kb_ids``.
 
-    Each (query, base) pair is searched as a unit of its own, then the best k are kept.
+    Each (query, base) pair is searched as a unit of its own, then the best k are kept. The
+    users and bases asked for reach the scan as filters when they are few.
     """
     pairs = queries.select(
         F.explode(F.array_distinct("kb_ids")).alias("_kb"), "query_id", "user_id", "qvec"
@@ -252,6 +316,11 @@ def knn_within_kbs(queries: DataFrame, vectors: DataFrame, k: int = 100, **optio
         F.concat_ws("\u0001", "user_id", "_kb").alias("user_id"),
         "qvec",
     )
+    asked = pairs.select("user_id", F.col("_kb").alias("kb_id")).distinct()
+    few = asked.limit(LITERAL_KEYS + 1).collect()
+    if len(few) <= LITERAL_KEYS:
+        for key in ("user_id", "kb_id"):
+            vectors = vectors.where(F.col(key).isin(sorted({r[key] for r in few})))
     base = F.concat_ws("\u0001", "user_id", "kb_id")
     bases = vectors.select(base.alias("user_id"), "file_id", "chunk_idx", "embedding")
     found = score(units, bases, k, **options).select(
@@ -260,6 +329,218 @@ def knn_within_kbs(queries: DataFrame, vectors: DataFrame, k: int = 100, **optio
     return rank_hits(found.join(queries.select("query_id", "user_id"), "query_id"), k)
 
 
+# --- vectors kept in blocks -------------------------------------------------------
+
+ZONES = "max_norm double, low array<double>, high array<double>, rest array<double>"
+BLOCK_SCHEMA = (
+    "user_id string, block string, n int, file_ids array<string>, chunk_idxs array<int>, vectors binary, " + ZONES
+)
+
+
+def choose_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
+    """``n`` directions that lie far apart, of about ``sample`` vectors at most."""
+    rows = vectors.count()
+    share = F.pmod(F.xxhash64("file_id", "chunk_idx"), F.lit(1 << 20)) < max(1, int((1 << 20) * sample / max(rows, 1)))
+    some = (vectors if rows <= sample else vectors.where(share)).orderBy("file_id", "chunk_idx")
+    points = _matrix(some.select("embedding").toArrow().column("embedding"))
+    norms = np.linalg.norm(points, axis=1) if len(points) else np.zeros(0)
+    points = points[norms > 0] / norms[norms > 0][:, None] if len(points) else points
+    chosen: list[np.ndarray] = []
+    nearest = np.full(len(points), -np.inf)
+    for _ in range(min(n, len(points))):
+        at = int(np.argmin(nearest)) if chosen else 0
+        if chosen and nearest[at] > 1 - MARGIN:
+            break
+        chosen.append(points[at])
+        nearest = np.maximum(nearest, points @ points[at])
+    return np.array(chosen)
+
+
+def pack_blocks(vectors: DataFrame, pivots: np.ndarray, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of a user's vectors that lie near one pivot and have like norms, with zone
+    statistics: the largest norm, and per pivot the range of the projections on it and the
+    largest length beside it. Rows are range-partitioned, so a hot user is many tasks.
+    """
+
+    def placed(batches):
+        for batch in batches:
+            points = _matrix(batch.column("embedding"))
+            near = (points @ pivots.T).argmax(1) if len(pivots) and len(points) else np.zeros(len(points))
+            columns = {f.name: batch.column(f.name) for f in batch.schema}
+            yield pa.RecordBatch.from_pydict(
+                columns | {"_cell": near.astype(np.int32), "_norm": np.linalg.norm(points, axis=1) if len(points) else np.zeros(0)}
+            )
+
+    def packed(batches):
+        held: list[pa.RecordBatch] = []
+        key, size, made = None, 0, 0
+
+        def block():
+            table = pa.Table.from_batches(held)
+            points = _matrix(table.column("embedding"))
+            norm = np.linalg.norm(points, axis=1)
+            along = points @ pivots.T if len(pivots) else np.zeros((len(points), 0))
+            beside = np.sqrt(np.maximum(norm[:, None] ** 2 - along**2, 0))
+            name = f"{key[1]}-{table.column('_part')[0].as_py()}-{made}"
+            row = {
+                "user_id": key[0], "block": name, "n": len(points),
+                "file_ids": table.column("file_id").to_pylist(), "chunk_idxs": table.column("chunk_idx").to_pylist(),
+                "vectors": points.astype(np.float32).tobytes(), "max_norm": float(norm.max()),
+                "low": along.min(0).tolist(), "high": along.max(0).tolist(), "rest": beside.max(0).tolist(),
+            }
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for batch in batches:
+            users, cells = batch.column("user_id").to_pylist(), batch.column("_cell").to_pylist()
+            start = 0
+            for at in range(batch.num_rows):
+                own = (users[at], cells[at])
+                if own != key or size == block_rows:
+                    if at > start:
+                        held.append(batch.slice(start, at - start))
+                    if held:
+                        yield block()
+                        made += 1
+                    held, key, size, start = [], own, 0, at
+                size += 1
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
+        if held:
+            yield block()
+
+    schema = pa.schema(
+        [("user_id", pa.string()), ("block", pa.string()), ("n", pa.int32()), ("file_ids", pa.list_(pa.string()))]
+        + [("chunk_idxs", pa.list_(pa.int32())), ("vectors", pa.binary()), ("max_norm", pa.float64())]
+        + [(name, pa.list_(pa.float64())) for name in ("low", "high", "rest")]
+    )
+    rows = vectors.select("user_id", "file_id", "chunk_idx", "embedding")
+    rows = rows.mapInArrow(placed, "user_id string, file_id string, chunk_idx int, embedding array<float>, _cell int, _norm double")
+    order = ["user_id", "_cell", F.desc("_norm"), "file_id", "chunk_idx"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.withColumn("_part", F.spark_partition_id()).mapInArrow(packed, BLOCK_SCHEMA)
+
+
+def upper_bounds(queries: np.ndarray, pivots: np.ndarray, zone: dict) -> np.ndarray:
+    """What no vector of a block can score above, per query: by Cauchy and Schwarz, |q| |x|; and
+    for every pivot p the product along p and that of what lies beside it."""
+    norms = np.linalg.norm(queries, axis=1)
+    bound = norms * zone["max_norm"]
+    if len(pivots):
+        along = queries @ pivots.T
+        beside = np.sqrt(np.maximum(norms[:, None] ** 2 - along**2, 0))
+        by_pivot = np.maximum(along * np.array(zone["low"]), along * np.array(zone["high"])) + beside * np.array(zone["rest"])
+        bound = np.minimum(bound, by_pivot.min(1))
+    return bound + MARGIN
+
+
+def search_blocks(
+    queries: DataFrame, blocks: DataFrame, pivots: np.ndarray, k: int = 100, skipped=None, query_bytes: int = QUERY_BYTES
+) -> DataFrame:
+    """Scored candidates that hold the top k of every query, from packed ``blocks``.
+
+    First every query scores the block with its highest bound, which gives it a k-th score to
+    start from. A pass over the zones alone finds the blocks that some query may need; if they
+    are few, they reach the scan by name. Each task then scores a block only for queries whose
+    k-th score so far it may reach. ``skipped``, an accumulator, counts pairs of a query and a
+    block of its user that were not scored.
+    """
+    rows = _small(queries, query_bytes)
+    if rows is None:
+        raise ValueError("the queries exceed query_bytes; use the tile plan")
+    packed = {u: (ids, points.astype(np.float64)) for u, (ids, points) in _by_user(rows).items()}
+    context = blocks.sparkSession.sparkContext
+    shared = context.broadcast(packed)
+    blocks = _of_users(blocks, sorted(packed))
+    zones = ("user_id", "block", "n", "max_norm", "low", "high", "rest")
+
+    def opened(row):
+        names = pa.table({"file_id": pa.array(row["file_ids"], pa.string()), "chunk_idx": pa.array(row["chunk_idxs"], pa.int32())})
+        return names, np.frombuffer(row["vectors"], np.float32).reshape(row["n"], -1).astype(np.float64)
+
+    def likely(batches):
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["user_id"] in shared.value:
+                    points = shared.value[row["user_id"]][1]
+                    top, block = best.setdefault(row["user_id"], (np.full(len(points), -np.inf), np.full(len(points), "", object)))
+                    bound = upper_bounds(points, pivots, row)
+                    block[bound > top] = row["block"]
+                    np.maximum(top, bound, out=top)
+        for user, (top, block) in best.items():
+            out = {"user_id": [user] * len(top), "query": range(len(top)), "bound": top, "block": block.tolist()}
+            yield pa.RecordBatch.from_pydict(out)
+
+    tops = blocks.select(*zones).mapInArrow(likely, "user_id string, query long, bound double, block string")
+    tops = tops.groupBy("user_id", "query").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    first: dict[tuple[str, str], list[int]] = {}
+    for r in tops.collect():  # a row per query, of which there are few
+        first.setdefault((r["user_id"], r["block"]), []).append(r["query"])
+    homes = context.broadcast(first)
+
+    def start(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = homes.value.get((row["user_id"], row["block"]))
+                if own:
+                    best = Best(shared.value[row["user_id"]][1], k)
+                    best.add(*opened(row), asked=np.array(own))
+                    yield pa.RecordBatch.from_pydict(
+                        {"user_id": [row["user_id"]] * len(own), "query": own, "kth": best.kth()[own]}
+                    )
+
+    named = sorted({block for _, block in first})
+    seeds = blocks.where(F.col("block").isin(named)) if len(named) <= LITERAL_KEYS else blocks
+    floors = {u: np.full(len(points), -np.inf) for u, (_, points) in packed.items()}
+    for r in seeds.mapInArrow(start, "user_id string, query long, kth double").collect():
+        floors[r["user_id"]][r["query"]] = r["kth"]
+    floors = context.broadcast(floors)
+
+    def needed(batches):
+        for batch in batches:
+            names = []
+            for row in batch.to_pylist():
+                if row["user_id"] in shared.value:
+                    points = shared.value[row["user_id"]][1]
+                    asked = upper_bounds(points, pivots, row) >= floors.value[row["user_id"]] - MARGIN
+                    if asked.any():
+                        names.append(row["block"])
+                    elif skipped is not None:
+                        skipped.add(len(asked))
+            yield pa.RecordBatch.from_pydict({"block": pa.array(names, pa.string())})
+
+    wanted = [r["block"] for r in blocks.select(*zones).mapInArrow(needed, "block string").limit(LITERAL_KEYS + 1).collect()]
+    if len(wanted) <= LITERAL_KEYS:
+        blocks = blocks.where(F.col("block").isin(wanted))
+    counts_all = len(wanted) > LITERAL_KEYS  # then blocks that no query needs are met again
+
+    def search(batches):
+        best: dict[str, Best] = {}
+        for batch in batches:
+            heads = batch.select(list(zones)).to_pylist()
+            for at, head in enumerate(heads):
+                user = head["user_id"]
+                if user not in shared.value:
+                    continue
+                points = shared.value[user][1]
+                own = best.setdefault(user, Best(points, k))
+                reach = np.maximum(own.kth(), floors.value[user])
+                asked = np.flatnonzero(upper_bounds(points, pivots, head) >= reach - MARGIN)
+                if skipped is not None and (len(asked) or not counts_all):
+                    skipped.add(len(points) - len(asked))
+                if len(asked):
+                    own.add(*opened(batch.slice(at, 1).to_pylist()[0]), asked=asked)
+        for user, own in best.items():
+            yield from own.hits(shared.value[user][0], user).to_batches(max_chunksize=65536)
+
+    return blocks.select(*zones, "file_ids", "chunk_idxs", "vectors").mapInArrow(search, HIT_SCHEMA)
+
+
+def knn_blocks(queries: DataFrame, blocks: DataFrame, pivots: np.ndarray, k: int = 100, **options) -> DataFrame:
+    """Top-k hits of every query among the blocks of the same user."""
+    return rank_hits(search_blocks(queries, blocks, pivots, k, **options), k)
+
+
 def within_distance(hits: DataFrame, max_distance: float = 1.1) -> DataFrame:
     """Hits at most ``max_distance`` away; a query with none keeps all its hits."""
     per_query = Window.partitionBy("query_id")

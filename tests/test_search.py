@@ -69,6 +69,89 @@ def test_knn_takes_tiles_when_queries_exceed_the_bound(points):
         knn.knn(queries, vectors, 3, plan="scan", query_bytes=500)
 
 
+@pytest.mark.parametrize("block_rows", [1, 16, 4096])
+def test_knn_blocks(points, block_rows):
+    rows, asked, vectors, queries = points
+    pivots = knn.choose_pivots(vectors, 5)
+    blocks = knn.pack_blocks(vectors, pivots, block_rows)
+    assert blocks.agg(F.sum("n")).head()[0] == len(rows)
+    assert as_dict(knn.knn_blocks(queries, blocks, pivots, 7)) == brute(rows, asked, 7)
+    no_pivots = np.zeros((0, 8))
+    plain = knn.pack_blocks(vectors, no_pivots, block_rows)
+    assert as_dict(knn.knn_blocks(queries, plain, no_pivots, 7)) == brute(rows, asked, 7)
+
+
+def test_bounds_hold(points):
+    rows, _, _, _ = points
+    rng = np.random.default_rng(1)
+    block = np.array([r[4] for r in rows[:50]]) * rng.uniform(0.1, 3, (50, 1))
+    queries = rng.normal(size=(40, 8))
+    pivots = np.linalg.qr(rng.normal(size=(8, 8)))[0][:3]
+    along = block @ pivots.T
+    norm = np.linalg.norm(block, axis=1)
+    zone = {
+        "max_norm": norm.max(), "low": along.min(0), "high": along.max(0),
+        "rest": np.sqrt(norm[:, None] ** 2 - along**2).max(0),
+    }
+    assert (knn.upper_bounds(queries, pivots, zone) >= (queries @ block.T).max(1)).all()
+
+
+def test_blocks_are_skipped(spark):
+    """Vectors in far corners and of falling length: most blocks are never scored."""
+    rng = np.random.default_rng(3)
+    corners = np.eye(8)
+    rows = [
+        ("hot", "kb", f"f{i:05d}", 0, [float(x) for x in (corners[i % 8] + rng.normal(size=8) * 0.05) * (1 + i % 50)])
+        for i in range(4000)
+    ]
+    asked = [(f"q{i}", "hot", ["kb"], [float(x) for x in corners[i % 8]]) for i in range(16)]
+    vectors = spark.createDataFrame(rows, VECTORS)
+    queries = spark.createDataFrame(asked, QUERIES)
+    pivots = knn.choose_pivots(vectors, 8)
+    path = fresh_path(spark, "test-blocks")
+    knn.pack_blocks(vectors, pivots, 50).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    skipped = spark.sparkContext.accumulator(0)
+    got = as_dict(knn.knn_blocks(queries, blocks, pivots, 5, skipped=skipped))
+    assert got == brute(rows, asked, 5)
+    pairs = blocks.count() * len(asked)
+    assert pairs >= 80 * len(asked) and 0.9 * pairs <= skipped.value < pairs
+
+
+@pytest.mark.parametrize("k,batch", [(1, 3), (5, 7), (50, 10)])
+def test_best_keeps_the_first_of_equal_scores(k, batch):
+    """Heaps fed in batches, with many equal vectors, next to one sort."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(k)
+    points = rng.integers(-1, 2, size=(200, 3)).astype(float)
+    queries = rng.integers(-2, 3, size=(9, 3)).astype(float)
+    files, chunks = [f"f{i % 37}" for i in range(200)], [i // 37 for i in range(200)]
+    best = knn.Best(queries, k)
+    for at in range(0, 200, batch):
+        names = pa.table({"file_id": files[at : at + batch], "chunk_idx": pa.array(chunks[at : at + batch], pa.int32())})
+        best.add(names, points[at : at + batch])
+    hits = best.hits(np.array([f"q{i}" for i in range(9)], object), "u").to_pylist()
+    for i, q in enumerate(queries):
+        want = sorted(zip(-(points @ q), files, chunks))[:k]
+        got = sorted((-h["ip"], h["file_id"], h["chunk_idx"]) for h in hits if h["query_id"] == f"q{i}")
+        assert got == want
+
+
+def test_merging_in_parts_changes_nothing(points):
+    rows, asked, vectors, queries = points
+    assert as_dict(knn.knn(queries, vectors, 7, merge=4)) == brute(rows, asked, 7)
+
+
+def test_knn_within_kbs_reads_only_the_bases_asked_for(spark, points):
+    _, _, vectors, queries = points
+    path = fresh_path(spark, "test-bases")
+    vectors.write.partitionBy("kb_id").parquet(path)
+    df = knn.knn_within_kbs(queries, spark.read.parquet(path), 4)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "IN (kb0,kb1)" in plan
+
+
 def test_knn_within_kbs(points):
     rows, asked, vectors, queries = points
     assert as_dict(knn.knn_within_kbs(queries, vectors, 4)) == brute(rows, asked, 4, kbs=True)
