@@ -1,15 +1,38 @@
-"""Token search over chunks: an inverted index and searches that start at the rarest term."""
+"""Token search over chunks: a stored positional index and searches that read part of it.
+
+Chunks are numbered in ingest order (file, then chunk), and numbers fall into ranges of
+``RANGE``. The index holds one row per token and range, with the chunks of the range that have
+the token and where, so a frequent token is many rows, and lists that are met for a query are
+never longer than a range. Rows are sorted by token within buckets, which are folders: a search
+reads the buckets of the tokens asked for, and only the columns it needs. The vocabulary is kept
+apart in sorted blocks for searches by the beginning of a token.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass, replace
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import tokens
-from shelfspark.operators.scan import explode_rows
-from shelfspark.storage import spread
+from shelfspark.operators.scan import dense_ids, explode_rows
+from shelfspark.storage import cut_lineage, spread
 
 FIELDS = ("content", "file_id", "file_name", "chunk_id")
+#: Chunks of a range, buckets of the index, terms of a block of the vocabulary.
+RANGE, BUCKETS, BLOCK_TERMS = 4096, 64, 1024
+#: Positions of a field start here times the field's number.
+FIELD_SPAN = 1 << 40
+#: Tokens that are sent along with the scan; more are joined by shuffle.
+FEW_TOKENS = 100_000
+#: Prefixes that reach the vocabulary's scan as ranges.
+FEW_PREFIXES = 200
+#: Prefixes that are sent to the blocks of the vocabulary at once.
+MOST_PREFIXES = 100_000
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -41,150 +64,325 @@ def postings(indexed: DataFrame) -> DataFrame:
     return whole.select("token", "field", "pos", "chunk_id")
 
 
-def _all_tokens():
-    return F.array_distinct(F.concat(*(f"{name}_tokens" for name in FIELDS)))
-
+def bucket(token):
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")
 
-def _terms(queries: DataFrame, column: str) -> DataFrame:
-    """Distinct folded terms per query."""
-    return queries.select(
-        "query_id",
-        F.array_distinct(F.flatten(F.transform(column, tokens))).alias("terms"),
-    )
 
+@dataclass(frozen=True)
+class TokenIndex:
+    """A stored index: ``postings``, ``terms`` and ``chunks`` under a folder.
 
-def _containing(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Chunks holding the wanted ``token`` of a row, with the row.
+    postings: bucket, token, range, docs (places in the range, ascending) and positions, a list
+    per doc. terms: first, last and terms of a block of the sorted vocabulary. chunks: no,
+    chunk_id, file_id, chunk_idx. ``gone`` has no, the chunks that a search must not find.
+    """
 
-    A frequent token spreads over as many tasks as a shuffle has; the small wanted side is
-    repeated.
+    spark: SparkSession
+    path: str
+    gone: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/chunks")
+
+    def without_files(self, file_ids: DataFrame) -> TokenIndex:
+        """The index once the files are gone; what is stored stays as it is."""
+        gone = self.chunks.join(file_ids.select("file_id").distinct(), "file_id", "left_semi").select("no")
+        gone = gone if self.gone is None else gone.union(self.gone).distinct()
+        return replace(self, gone=cut_lineage(gone))
+
+
+_POSTINGS = "bucket int, token string, range long, docs array<int>, positions array<array<long>>"
+
+
+def _grouped(batches):
+    """Sorted occurrences (bucket, token, range, doc, at) as a row per token and range."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def row(table):
+        docs, at = table.column("doc").to_numpy(), table.column("at").to_pylist()
+        starts = [0, *((docs[1:] != docs[:-1]).nonzero()[0] + 1).tolist()]
+        positions = [at[a:b] for a, b in zip(starts, [*starts[1:], len(at)])]
+        return {**dict(zip(("bucket", "token", "range"), key)), "docs": docs[starts].tolist(), "positions": positions}
+
+    for batch in batches:
+        names = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "token", "range"))))
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(names)]):
+            if not names:
+                break
+            if names[a] != key:
+                if held:
+                    out.append(row(pa.Table.from_batches(held)))
+                held, key = [], names[a]
+            held.append(batch.slice(a, b - a))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _POSTINGS_ARROW)
+    if held:
+        yield pa.RecordBatch.from_pylist([row(pa.Table.from_batches(held))], _POSTINGS_ARROW)
+
+
+_POSTINGS_ARROW = pa.schema(
+    [("bucket", pa.int32()), ("token", pa.string()), ("range", pa.int64())]
+    + [("docs", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int64())))]
+)
+
+
+def _vocabulary(batches):
+    """Sorted distinct tokens as blocks."""
+    held: list[str] = []
+    for batch in batches:
+        held += batch.column("token").to_pylist()
+        while len(held) >= BLOCK_TERMS:
+            yield pa.RecordBatch.from_pylist([{"first": held[0], "last": held[BLOCK_TERMS - 1], "terms": held[:BLOCK_TERMS]}])
+            held = held[BLOCK_TERMS:]
+    if held:
+        yield pa.RecordBatch.from_pylist([{"first": held[0], "last": held[-1], "terms": held}])
+
+
+def store(chunks: DataFrame, path: str) -> TokenIndex:
+    """Index of ``chunks`` (chunk_id, file_id, chunk_idx, content, file_name) written to ``path``.
+
+    Occurrences are range-partitioned by token and range, so those of a frequent token are many
+    tasks.
     """
-    salts = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("_salt")
-    held = explode_rows(
-        indexed.select("chunk_id", salt, _all_tokens().alias("_tokens")), "_tokens", "token"
+    spark = chunks.sparkSession
+    names = chunks.select("chunk_id", "file_id", "chunk_idx")
+    dense_ids(names, ["file_id", "chunk_idx", "chunk_id"], "no").write.parquet(f"{path}/chunks")
+    numbers = spark.read.parquet(f"{path}/chunks").select("chunk_id", "no")
+    indexed = index(chunks).join(numbers, "chunk_id")
+    parts = [
+        explode_rows(indexed.select("no", F.col(f"{name}_tokens").alias("_tokens")), "_tokens", "token", "pos")
+        .select("token", "no", (F.col("pos") + F.lit(i * FIELD_SPAN)).alias("at"))
+        for i, name in enumerate(FIELDS)
+    ]
+    whole = reduce(DataFrame.unionByName, parts)
+    key = ["bucket", "token", "range"]
+    occurrences = whole.select(
+        bucket(F.col("token")).alias("bucket"),
+        "token",
+        F.floor(F.col("no") / RANGE).alias("range"),
+        (F.col("no") % RANGE).cast("int").alias("doc"),
+        "at",
     )
-    spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return held.join(spread, ["token", "_salt"]).drop("_salt")
-
+    ranged = occurrences.repartitionByRange(*key).sortWithinPartitions(*key, "doc", "at")
+    ranged.mapInArrow(_grouped, _POSTINGS).write.partitionBy("bucket").parquet(f"{path}/postings")
+    found = TokenIndex(spark, path)
+    terms = found.postings.select("token").distinct().repartitionByRange("token").sortWithinPartitions("token")
+    terms.mapInArrow(_vocabulary, "first string, last string, terms array<string>").write.parquet(f"{path}/terms")
+    return found
 
-def _frequencies(indexed: DataFrame, asked: DataFrame) -> DataFrame:
-    """In how many chunks each asked token occurs, combined before the shuffle."""
-    held = explode_rows(indexed.select(_all_tokens().alias("_tokens")), "_tokens", "token")
-    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
+def _folded(queries: DataFrame, column: str) -> DataFrame:
+    """Distinct folded terms per query."""
+    return queries.select(
+        "query_id",
+        F.array_distinct(F.flatten(F.transform(column, tokens))).alias("terms"),
+    )
 
-def _match_all(indexed: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) where every term occurs in some field.
 
-    The rarest term of a query yields the candidates; the others are tested on their token
-    arrays, so a frequent word never fans out.
-    """
-    asked = terms.select("query_id", F.explode("terms").alias("token"))
-    ranked = _frequencies(indexed, asked)
-    drivers = ranked.groupBy("query_id").agg(
-        F.min_by("token", F.struct("n", "token")).alias("token")
-    )
-    candidates = _containing(indexed, drivers.join(terms, "query_id"))
-    held = indexed.select("chunk_id", _all_tokens().alias("_held"))
-    return (
-        candidates.join(held, "chunk_id")
-        .where(F.size(F.array_except("terms", "_held")) == 0)
-        .select("query_id", "chunk_id")
-    )
+def _of_tokens(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the asked tokens (and ranges, if given) joined with ``asked``. Only their buckets
+    are read."""
+    asked = asked.withColumn("bucket", bucket(F.col("token")))
+    wanted = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
+    read = postings.where(F.col("bucket").isin(wanted)) if len(wanted) < BUCKETS else postings
+    few = asked.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS
+    keys = [c for c in ("bucket", "token", "range") if c in asked.columns]
+    return read.join(F.broadcast(asked) if few else asked, keys).drop("bucket")
 
 
-def _match_any(indexed: DataFrame, terms: DataFrame) -> DataFrame:
-    wanted = terms.select("query_id", F.explode("terms").alias("token"))
-    return _containing(indexed, wanted).select("query_id", "chunk_id").distinct()
+def _match_any(index: TokenIndex, asked: DataFrame) -> DataFrame:
+    """(query_id, range, docs) of chunks that have any of a query's tokens."""
+    found = _of_tokens(index.postings.select("bucket", "token", "range", "docs"), asked)
+    # Lists of a range meet: at most RANGE places of each of a query's tokens.
+    return found.groupBy("query_id", "range").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))
 
 
-def _match_phrase(indexed: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Chunks where a field has the terms side by side, in order."""
-    terms = phrases.select("query_id", F.array_distinct("phrase").alias("terms"))
-    candidates = _match_all(indexed, terms)
-
-    def padded(array):
-        return F.concat(F.lit(" "), F.array_join(array, " "), F.lit(" "))
-
-    sought = phrases.select("query_id", padded("phrase").alias("_sought"))
-    lines = indexed.select("chunk_id", *(padded(f"{n}_tokens").alias(f"_{n}") for n in FIELDS))
-    found = F.lit(False)
-    for name in FIELDS:
-        found = found | F.col(f"_{name}").contains(F.col("_sought"))
-    return (
-        candidates.join(lines, "chunk_id")
-        .join(sought, "query_id")
-        .where(found)
-        .select("query_id", "chunk_id")
-    )
+def _met(lists):
+    """Places that all lists have."""
+    rest = F.slice(lists, 2, F.size(lists))
+    return F.aggregate(rest, F.get(lists, F.lit(0)), lambda a, b: F.array_intersect(a, b))
 
 
-def _match_prefix(indexed: DataFrame, terms: DataFrame, length: int) -> DataFrame:
-    """Chunks where, for every term, some token starts with it.
+def _match_all(index: TokenIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, range, docs) of chunks that have every term.
 
-    Terms of at least ``length`` characters meet the vocabulary by their first characters.
+    The rarest term of a query names the ranges in which the others are met at all, so of a
+    frequent one only those are joined.
     """
-    tokens_held = indexed.select(_all_tokens().alias("_tokens"))
-    vocabulary = explode_rows(tokens_held, "_tokens", "token").distinct()
-    wanted = terms.select(
-        "query_id", F.size("terms").alias("_n"), F.explode("terms").alias("term")
-    )
-    grown = (
-        wanted.withColumn("_head", F.substring("term", 1, length))
-        .join(vocabulary.withColumn("_head", F.substring("token", 1, length)), "_head")
-        .where(F.col("token").startswith(F.col("term")))
-        .drop("_head")
+    terms = cut_lineage(terms)
+    asked = terms.select("query_id", F.size("terms").alias("_n"), F.explode("terms").alias("token"))
+    sizes = _of_tokens(
+        index.postings.select("bucket", "token", "range", F.size("docs").alias("n")), asked.select("token").distinct()
     )
-    return (
-        _containing(indexed, grown)
-        .groupBy("query_id", "chunk_id")
-        .agg(F.countDistinct("term").alias("_found"), F.first("_n").alias("_n"))
-        .where("_found = _n")
-        .select("query_id", "chunk_id")
+    sizes = sizes.groupBy("token").agg(F.sum("n").alias("n"))
+    counted = asked.join(sizes, "token")  # a term that no chunk has: no chunk has all
+    ranked = counted.groupBy("query_id", "_n").agg(
+        F.min_by("token", F.struct("n", "token")).alias("_rarest"), F.count("*").alias("_known")
     )
-
-
-def match(indexed: DataFrame, queries: DataFrame, mode: str = "all") -> DataFrame:
-    """(query_id, chunk_id) of matching chunks, unlimited.
-
-    ``queries`` has query_id, ``terms`` and optionally ``without`` (arrays of strings).
-    Modes: ``all`` and ``any`` of the terms, ``phrase`` (side by side), ``prefix``.
+    rarest = cut_lineage(ranked.where("_known = _n").drop("_known"))
+    lists = index.postings.select("bucket", "token", "range", "docs")
+    first = _of_tokens(lists, rarest.withColumnRenamed("_rarest", "token"))
+    first = cut_lineage(first.select("query_id", "range", "_n", F.col("token").alias("_rarest"), F.col("docs").alias("_first")))
+    rest = asked.join(rarest.select("query_id", "_rarest"), "query_id").where("token != _rarest")
+    needed = rest.select("query_id", "token").join(first.select("query_id", "range"), "query_id")
+    others = _of_tokens(lists, cut_lineage(needed))
+    others = others.groupBy("query_id", "range").agg(F.collect_list("docs").alias("_others"))
+    met = first.join(others, ["query_id", "range"], "left")
+    every = F.coalesce(F.size("_others"), F.lit(0)) == F.col("_n") - 1
+    lists = F.concat(F.array("_first"), F.coalesce("_others", F.array().cast("array<array<int>>")))
+    return met.where(every).select("query_id", "range", _met(lists).alias("docs")).where(F.size("docs") > 0)
+
+
+def _match_phrase(index: TokenIndex, phrases: DataFrame) -> DataFrame:
+    """Chunks in which a field has the terms side by side, in order.
+
+    Only candidates that have all terms are looked at: the places of the i-th word, less i, are
+    met over the words of the phrase.
     """
-    terms = _terms(queries, "terms").where(F.size("terms") > 0)
+    phrases = cut_lineage(phrases)
+    terms = phrases.select("query_id", F.array_distinct("phrase").alias("terms"))
+    candidates = cut_lineage(_match_all(index, terms))
+    words = phrases.select("query_id", F.size("phrase").alias("_n"), F.posexplode("phrase").alias("_i", "token"))
+    held = _of_tokens(index.postings, words)
+    held = held.join(candidates.select("query_id", "range", F.col("docs").alias("_both")), ["query_id", "range"])
+    place = F.transform("_both", lambda doc: F.get("positions", (F.array_position("docs", doc) - 1).cast("int")))
+    started = F.transform(place, lambda at: F.transform(at, lambda x: x - F.col("_i")))
+    pairs = held.select("query_id", "range", "_n", F.explode(F.arrays_zip(F.col("_both").alias("doc"), started.alias("starts"))).alias("p"))
+    met = pairs.groupBy("query_id", "range", "p.doc").agg(F.collect_list("p.starts").alias("_lists"), F.first("_n").alias("_n"))
+    kept = met.where((F.size("_lists") == F.col("_n")) & (F.size(_met(F.col("_lists"))) > 0))
+    return kept.groupBy("query_id", "range").agg(F.collect_list("doc").alias("docs"))
+
+
+def grown(index: TokenIndex, prefixes: DataFrame) -> DataFrame:
+    """``prefixes`` (query_id, term) with every ``token`` of the vocabulary that a term begins.
+
+    A block holds terms in order, so what a prefix begins there is found by bisection; blocks
+    outside all prefixes are not read when these are few.
+    """
+    if prefixes.schema["query_id"].dataType.simpleString() != "string":
+        raise TypeError("query_id of searches by prefix is a string")
+    asked = cut_lineage(prefixes.select("query_id", "term").distinct())
+    parts = max(1, -(-asked.count() // MOST_PREFIXES))
+    part = F.pmod(F.xxhash64("term"), F.lit(parts))
+    found = [_begun(index, asked.where(part == i).collect()) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _begun(index: TokenIndex, asked: list) -> DataFrame:
+    by_term: dict[str, list] = {}
+    for row in asked:
+        by_term.setdefault(row["term"], []).append(row["query_id"])
+    ordered = sorted(by_term)
+    blocks = index.terms
+    if len(ordered) <= FEW_PREFIXES:
+        inside = F.lit(False)
+        for term in ordered:
+            inside = inside | ((F.col("last") >= term) & (F.substring("first", 1, len(term)) <= term))
+        blocks = blocks.where(inside)
+    shared = index.spark.sparkContext.broadcast((ordered, by_term))
+    schema = pa.schema([(c, pa.string()) for c in ("query_id", "term", "token")])
+
+    def run(batches):
+        terms_asked, queries = shared.value
+        for batch in batches:
+            rows = []
+            for block in batch.column("terms").to_pylist():
+                for term in terms_asked[: bisect_right(terms_asked, block[-1])]:
+                    for token in block[bisect_left(block, term) :]:
+                        if not token.startswith(term):
+                            break
+                        rows += [{"query_id": q, "term": term, "token": token} for q in queries[term]]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return blocks.select("terms").mapInArrow(run, "query_id string, term string, token string")
+
+
+def _match_prefix(index: TokenIndex, terms: DataFrame) -> DataFrame:
+    """Chunks in which, for every term, some token starts with it."""
+    wanted = terms.select("query_id", F.size("terms").alias("_n"), F.explode("terms").alias("term"))
+    asked = cut_lineage(grown(index, wanted))
+    found = _of_tokens(index.postings.select("bucket", "token", "range", "docs"), asked)
+    lists = found.groupBy("query_id", "term", "range").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))
+    sizes = wanted.select("query_id", "_n").distinct()
+    met = lists.groupBy("query_id", "range").agg(F.collect_list("docs").alias("_lists")).join(sizes, "query_id")
+    return met.where(F.size("_lists") == F.col("_n")).select("query_id", "range", _met(F.col("_lists")).alias("docs")).where(F.size("docs") > 0)
+
+
+def _lists(index: TokenIndex, queries: DataFrame, mode: str) -> DataFrame:
+    """(query_id, range, docs) of matching chunks, those without and gone left out."""
+    terms = _folded(queries, "terms").where(F.size("terms") > 0)
     if mode == "all":
-        found = _match_all(indexed, terms)
+        found = _match_all(index, terms)
     elif mode == "any":
-        found = _match_any(indexed, terms)
+        found = _match_any(index, terms.select("query_id", F.explode("terms").alias("token")))
     elif mode == "phrase":
         phrases = queries.select(
             "query_id", F.flatten(F.transform("terms", tokens)).alias("phrase")
         ).where(F.size("phrase") > 0)
-        found = _match_phrase(indexed, phrases)
+        found = _match_phrase(index, phrases)
     elif mode == "prefix":
-        shortest = terms.select(F.min(F.array_min(F.transform("terms", F.length)))).head()[0]
-        found = _match_prefix(indexed, terms, shortest or 1)
+        found = _match_prefix(index, terms)
     else:
         raise ValueError(f"unknown mode {mode!r}")
+
+    def less(found, others, keys):
+        others = others.withColumnRenamed("docs", "_less")
+        rest = F.array_except("docs", F.coalesce("_less", F.array().cast("array<int>")))
+        return found.join(others, keys, "left").withColumn("docs", rest).drop("_less").where(F.size("docs") > 0)
+
     if "without" in queries.columns:
-        barred = _match_any(indexed, _terms(queries, "without"))
-        found = found.join(barred, ["query_id", "chunk_id"], "left_anti")
+        barred = _folded(queries, "without").select("query_id", F.explode("terms").alias("token"))
+        found = less(found, _match_any(index, barred), ["query_id", "range"])
+    if index.gone is not None:
+        places = index.gone.select(F.floor(F.col("no") / RANGE).alias("range"), (F.col("no") % RANGE).cast("int").alias("doc"))
+        found = less(found, places.groupBy("range").agg(F.collect_list("doc").alias("docs")), ["range"])
     return found
 
 
-def search(
-    indexed: DataFrame, queries: DataFrame, limit: int = 50, mode: str = "all"
-) -> DataFrame:
-    """The first ``limit`` matches of each query in ingest order (file, then chunk)."""
-    first = Window.partitionBy("query_id").orderBy("file_id", "chunk_idx")
-    order = indexed.select("chunk_id", "file_id", "chunk_idx")
-    return (
-        match(indexed, queries, mode)
-        .join(order, "chunk_id")
-        .withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= limit)
-    )
+def _numbers(lists: DataFrame) -> DataFrame:
+    rows = lists.select("query_id", "range", F.explode("docs").alias("doc"))
+    return rows.select("query_id", (F.col("range") * RANGE + F.col("doc")).alias("no"))
+
+
+def match(index: TokenIndex, queries: DataFrame, mode: str = "all") -> DataFrame:
+    """(query_id, chunk_id) of matching chunks, unlimited.
+
+    ``queries`` has query_id, ``terms`` and optionally ``without`` (arrays of strings).
+    Modes: ``all`` and ``any`` of the terms, ``phrase`` (side by side), ``prefix``.
+    """
+    found = _numbers(_lists(index, queries, mode))
+    return found.join(index.chunks.select("no", "chunk_id"), "no").select("query_id", "chunk_id")
+
+
+def search(index: TokenIndex, queries: DataFrame, limit: int = 50, mode: str = "all") -> DataFrame:
+    """The first ``limit`` matches of each query in ingest order (file, then chunk).
+
+    Ranges are in ingest order too: those behind enough matches are dropped before their
+    chunks become rows.
+    """
+    sized = _lists(index, queries, mode).withColumn("_size", F.size("docs"))
+    along = Window.partitionBy("query_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    near = sized.withColumn("_ahead", F.coalesce(F.sum("_size").over(along), F.lit(0))).where(F.col("_ahead") < limit)
+    places = F.posexplode(F.slice(F.array_sort("docs"), 1, limit)).alias("_at", "_doc")
+    rows = near.select("query_id", "range", "_ahead", places)
+    kept = rows.select(
+        "query_id",
+        (F.col("range") * RANGE + F.col("_doc")).alias("no"),
+        (F.col("_ahead") + F.col("_at") + 1).cast("int").alias("rank"),
+    ).where(F.col("rank") <= limit)
+    return kept.join(index.chunks, "no").select("query_id", "chunk_id", "file_id", "chunk_idx", "rank")
 
 
 def delete(indexed: DataFrame, file_ids: DataFrame) -> DataFrame:
