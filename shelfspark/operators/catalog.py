@@ -155,17 +155,19 @@ def add_users(users: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.join(users.select("user_id"), "user_id", "left_anti")
 
 
+# What a refused file is answered with.
+UNKNOWN_USER = "invalid user_id, please check..."
+UNKNOWN_KB = ("invalid kb_id, please check ['", "']")
+
+
 def register_files(incoming: DataFrame, kbs: DataFrame, users: DataFrame) -> DataFrame:
     """Outcome of adding files: accepted, or refused because of the user or the base."""
     known = users.select("user_id", F.lit(True).alias("_user"))
     owned = live(kbs).select("user_id", "kb_id", F.lit(True).alias("_kb"))
     joined = incoming.join(known, "user_id", "left").join(owned, ["user_id", "kb_id"], "left")
     message = (
-        F.when(F.col("_user").isNull(), "invalid user_id, please check...")
-        .when(
-            F.col("_kb").isNull(),
-            F.concat(F.lit("invalid kb_id, please check ['"), "kb_id", F.lit("']")),
-        )
+        F.when(F.col("_user").isNull(), UNKNOWN_USER)
+        .when(F.col("_kb").isNull(), F.concat(F.lit(UNKNOWN_KB[0]), "kb_id", F.lit(UNKNOWN_KB[1])))
         .otherwise("success")
     )
     return joined.withColumn("msg", message).drop("_user", "_kb")

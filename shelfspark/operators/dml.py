@@ -60,6 +60,18 @@ def file_update_events(changes: DataFrame, seq: int) -> DataFrame:
     return _event(changes, FILE_EVENTS, "update", seq)
 
 
+def add_file_events(registered: DataFrame, seq: int) -> DataFrame:
+    """Add events of the files that were accepted (``msg`` is success); they wait for ingest."""
+    accepted = registered.where("msg = 'success'").withColumn("status", F.lit("gray"))
+    return _event(accepted, FILE_EVENTS, "add", seq)
+
+
+def add_kb_events(kbs: DataFrame, users: DataFrame, incoming: DataFrame, seq: int) -> DataFrame:
+    """Add events of incoming (user_id, kb_id, kb_name) bases with a known user and a new id."""
+    fresh = incoming.join(users.select("user_id"), "user_id", "left_semi").join(kbs.select("kb_id"), "kb_id", "left_anti")
+    return _event(fresh.dropDuplicates(["kb_id"]), KB_EVENTS, "add", seq)
+
+
 def delete_file_events(files: DataFrame, asked: DataFrame, seq: int) -> DataFrame:
     """Delete events for asked (kb_id, file_id) rows that exist."""
     hit = files.select("kb_id", "file_id").join(
