@@ -84,35 +84,46 @@ def decode_text(content: Column, charsets=CHARSETS) -> Column:
     return F.coalesce(plain, other(F.when(plain.isNull(), content)))
 
 
+def _mail_texts(message) -> Iterator[str]:
+    """Plain texts of a mail in order: all of its text/plain parts, or the body of a simple one."""
+    parts = message.walk() if message.is_multipart() else iter((message,))
+    for part in parts:
+        if part is not message and part.get_content_type() != "text/plain" or part.is_multipart():
+            continue
+        raw = part.get_payload(decode=True)
+        if not raw:
+            continue
+        try:
+            yield raw.decode(part.get_content_charset("utf-8"), errors="replace")
+        except LookupError:  # no such charset
+            yield raw.decode("utf-8", errors="replace")
+
+
 def mail_text(raw: bytes) -> str:
-    """Subject line, then every plain-text part, blank lines between."""
+    """Subject line, then every plain text, blank lines between."""
     message = email.message_from_bytes(bytes(raw), policy=email.policy.default)
-    parts = []
-    subject = message.get("Subject", "")
-    if subject:
-        parts.append(f"Subject: {subject}")
-    inner = message.walk() if message.is_multipart() else [message]
-    for part in inner:
-        if message.is_multipart() and part.get_content_type() != "text/plain":
-            continue
-        payload = part.get_payload(decode=True)
-        if payload:
-            charset = part.get_content_charset() or "utf-8"
-            try:
-                parts.append(payload.decode(charset, errors="replace"))
-            except LookupError:  # no such charset
-                parts.append(payload.decode("utf-8", errors="replace"))
-    return "\n\n".join(parts)
+    subject = message["Subject"]
+    head = [f"Subject: {subject}"] if subject else []
+    return "\n\n".join([*head, *_mail_texts(message)])
 
 
 def mail_documents(files: DataFrame) -> DataFrame:
-    """Mail files (file_id, content) as one text each."""
+    """Mail files (file_id, content) as one text each; one that cannot be read has an ``error``
+    and no text."""
+    kind = T.StructType().add("text", "string").add("error", "string")
 
-    @F.pandas_udf(T.StringType())
-    def parse(contents: pd.Series) -> pd.Series:
-        return contents.map(mail_text)
+    @F.pandas_udf(kind)
+    def parse(contents: pd.Series) -> pd.DataFrame:
+        def one(raw):
+            try:
+                return mail_text(raw), None
+            except (ValueError, TypeError, LookupError, AttributeError, IndexError) as failure:
+                return None, f"{type(failure).__name__}: {failure}"
+
+        return pd.DataFrame([one(raw) for raw in contents], columns=["text", "error"])
 
-    return files.select("file_id", parse("content").alias("text"))
+    read = files.select("file_id", parse("content").alias("_read"))
+    return read.select("file_id", "_read.text", "_read.error")
 
 
 # --- zipped XML files -----------------------------------------------------------

@@ -9,6 +9,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,31 +28,101 @@ RAGGED = "_ragged_record"
 ROWS_SCHEMA = f"file_id string, sheet string, row bigint, cells {CELLS}"
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, _split, _at, record) of UTF-8 CSV files whose quoted cells may hold line ends.
+
+    Files are read in splits, line by line. A line end is inside quotes if the number of quotes
+    before it is odd, and the parity before a split is that of the splits before it together: one
+    row a split. A record's lines then meet under the line that it starts with, wherever its end
+    lies. Quotes stand around cells, and doubled inside them.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("_line"),
+        (F.regexp_count("value", F.lit('"')) % 2).alias("_odd"),
+    )
+    inside = Window.partitionBy("file_id", "_split").orderBy("_at")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = lines.withColumn("_before", F.coalesce(F.sum("_odd").over(earlier), F.lit(0)) % 2)
+    # In a split that starts inside quotes the lines that start records are the other ones.
+    parts = local.groupBy("file_id", "_split").agg(
+        (F.sum("_odd") % 2).alias("_parity"),
+        F.max(F.when(F.col("_before") == 0, F.col("_at"))).alias("_last0"),
+        F.max(F.when(F.col("_before") == 1, F.col("_at"))).alias("_last1"),
+    )
+    along = Window.partitionBy("file_id").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    known = parts.withColumn("_start", F.coalesce(F.sum("_parity").over(along), F.lit(0)) % 2)
+    last = F.when(F.col("_start") == 0, F.col("_last0")).otherwise(F.col("_last1"))
+    known = known.withColumn("_last", F.when(last.isNotNull(), F.struct("_split", last.alias("_at"))))
+    known = known.withColumn("_open", F.last("_last", ignorenulls=True).over(along)).select("file_id", "_split", "_start", "_open")
+    placed = local.join(known, ["file_id", "_split"])
+    starts = F.when((F.col("_before") + F.col("_start")) % 2 == 0, F.col("_at"))
+    own = F.last(starts, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    keyed = placed.withColumn("_own", own).select(
+        "file_id",
+        F.when(F.col("_own").isNotNull(), F.struct(F.col("_split"), F.col("_own").alias("_at"))).otherwise(F.col("_open")).alias("_key"),
+        F.struct("_split", "_at", "_line").alias("_part"),
+    )
+    records = keyed.groupBy("file_id", "_key").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    whole = F.array_join(F.transform("_parts", lambda part: part["_line"]), "\n")
+    return records.select(
+        "file_id", F.col("_key._split").alias("_split"), F.col("_key._at").alias("_at"),
+        F.regexp_replace(whole, r"\r\z", "").alias("record"),
+    )
+
+
+def _table_rows(spark: SparkSession, path: str, multi_line: bool, options: dict) -> tuple[list[str], DataFrame]:
+    """The header's names, and raw rows with a column for records of another length."""
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAGGED, **options}
+
+    def schema(names):
+        return T.StructType([T.StructField(n, T.StringType()) for n in (*names, RAGGED)])
+
+    if multi_line and options["encoding"].upper() in ("UTF-8", "UTF8"):
+        records = csv_records(spark, path).where("record != ''")
+        first = records.where("_split = 0").groupBy("file_id").agg(F.min(F.struct("_at", "record")).alias("_head"))
+        heads = [r[0] for r in first.select("_head.record").distinct().limit(2).collect()]
+        if len(heads) > 1:
+            raise ValueError("the files have different headers")
+        names = next(csv.reader(io.StringIO(heads[0], newline=""))) if heads else []
+        body = records.join(first.select("file_id", F.col("_head._at").alias("_first")), "file_id")
+        body = body.where((F.col("_split") > 0) | (F.col("_at") > F.col("_first")))
+        places = [f"_c{i}" for i in range(len(names))]
+        parsed = F.from_csv("record", schema(places).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {**options, "multiLine": "true"})
+        rows = body.select("file_id", "_split", "_at", parsed.alias("_row")).select("file_id", "_split", "_at", "_row.*")
+        return names, rows.toDF("file_id", "_split", "_at", *names, RAGGED)
+    options |= {"header": True, "multiLine": multi_line}
+    names = spark.read.csv(path, **options).columns
+    raw = spark.read.csv(path, schema=schema(names), enforceSchema=False, **options)
+    return names, raw.withColumns(
+        {
+            "file_id": F.col("_metadata.file_path"),
+            "_split": F.col("_metadata.file_block_start"),
+            "_at": F.monotonically_increasing_id(),
+        }
+    )
+
+
 def csv_table(
     spark: SparkSession, path: str, multi_line: bool = False, encoding: str = "UTF-8"
 ) -> DataFrame:
     """Rows of large CSV files with one shared header, read in splits.
 
     Rows are numbered by split and position, so one very large file is still numbered by
-    many tasks. As in ``csv_files`` an empty cell is empty and a missing trailing one null. A
-    file with another header and a row with more cells than the header are errors.
+    many tasks, also with ``multi_line``, where quoted cells may hold line ends (UTF-8 only, see
+    ``csv_records``; a file in another encoding is one task then). As in ``csv_files`` an empty
+    cell is empty and a missing trailing one null, and a file with a row of more cells than the
+    header has an error row in place of its rows. A file with another header is an error of the
+    whole.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": encoding}
-    names = spark.read.csv(path, **options).columns
-    fields = [T.StructField(n, T.StringType()) for n in (*names, RAGGED)]
-    raw = spark.read.csv(
-        path,
-        schema=T.StructType(fields),
-        enforceSchema=False,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=RAGGED,
-        **options,
-    )
+    names, raw = _table_rows(spark, path, multi_line, {"encoding": encoding})
     # A record whose number of cells is not the header's comes with its own text as well.
     cells = F.regexp_count(F.regexp_replace(f"`{RAGGED}`", '"[^"]*"', ""), F.lit(",")) + 1
-    many = F.raise_error(F.lit("a row has more cells than the header"))
-    width = F.when(F.col(f"`{RAGGED}`").isNull(), len(names)).when(cells > len(names), many.cast("int"))
-    placed = raw.withColumn(RAGGED, width.otherwise(cells)).select(
+    width = F.when(F.col(f"`{RAGGED}`").isNull(), len(names)).otherwise(cells)
+    sized = raw.withColumn(RAGGED, width)
+    placed = sized.select(
         F.array(
             *(
                 F.struct(
@@ -61,11 +132,21 @@ def csv_table(
                 for i, n in enumerate(names)
             )
         ).alias("cells"),
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_at"),
+        "file_id",
+        "_split",
+        "_at",
+        # The reader tells bad records only where it reads all cells.
+        ((F.col(f"`{RAGGED}`") > len(names)) & (F.length(F.concat_ws("", *(f"`{n}`" for n in names))) >= 0)).alias("_many"),
     )
-    return number_rows(placed).select("file_id", F.lit("").alias("sheet"), "row", "cells")
+    many = placed.where("_many").select("file_id").distinct()
+    rows = number_rows(placed.drop("_many")).join(many, "file_id", "left_anti")
+    failed = many.select(
+        "file_id",
+        F.lit("ValueError: a row has more cells than the header").alias("sheet"),
+        F.lit(-1).cast("bigint").alias("row"),
+        F.lit(None).cast(CELLS).alias("cells"),
+    )
+    return rows.select("file_id", F.lit("").alias("sheet"), "row", "cells").unionByName(failed)
 
 
 def number_rows(placed: DataFrame) -> DataFrame:
@@ -107,25 +188,45 @@ def _frames(file_id: str, sheet: str, text: str) -> Iterator[pd.DataFrame]:
         )
 
 
-def _readable(read) -> list[pd.DataFrame]:
-    """All frames of a file, or none if any part of it cannot be read."""
+def _readable(file_id: str, read) -> list[pd.DataFrame]:
+    """All frames of a file, or one with an error row if any part of it cannot be read."""
     try:
         return list(read())
     except (ValueError, KeyError, IndexError, TypeError, csv.Error, zipfile.BadZipFile, ET.ParseError) as error:
         log.warning("unreadable file: %s", error)
-        return []
+        return [_error_frame(file_id, f"{type(error).__name__}: {error}")]
+
+
+def _error_frame(file_id: str, error: str) -> pd.DataFrame:
+    return pd.DataFrame({"file_id": [file_id], "sheet": [error], "row": [-1], "cells": [None]})
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """(file_id, error) of the files that could not be read; their rows have no cells."""
+    return rows.where(F.col("cells").isNull()).select("file_id", F.col("sheet").alias("error"))
+
+
+def place_sheets(rows: DataFrame) -> DataFrame:
+    """``part`` numbers the rows of a file (file_id, sheet, row) over its sheets, by their names.
+
+    Rows per sheet are counted first, so only counts of sheets meet in a file."""
+    sizes = rows.groupBy("file_id", "sheet").agg((F.max("row") + 1).alias("_n"))
+    before = Window.partitionBy("file_id").orderBy("sheet").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file_id", "sheet", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, ["file_id", "sheet"]).withColumn("part", F.col("_start") + F.col("row")).drop("_start")
 
 
 def csv_files(texts: DataFrame) -> DataFrame:
     """Rows of many small CSV files (file_id, text), each with a header of its own.
 
-    A file with a row of more cells than its header has no rows, so its ingest ends red.
+    A file with a row of more cells than its header has an error row, see ``failures``, so its
+    ingest ends red.
     """
 
     def parse(frames):
         for frame in frames:
             for file_id, text in zip(frame["file_id"], frame["text"], strict=True):
-                yield from _readable(lambda: _frames(file_id, "", text or ""))
+                yield from _readable(file_id, lambda: _frames(file_id, "", text or ""))
 
     return texts.select("file_id", "text").mapInPandas(parse, ROWS_SCHEMA)
 
@@ -142,7 +243,32 @@ def _column_number(address: str) -> int:
     return number - 1
 
 
-def _cell_value(cell, shared: list[str]):
+# Number formats of dates and times that need no code in a workbook.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or a time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ET.fromstring(book.read("xl/styles.xml"))
+    codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(_MAIN + "numFmt")}
+
+    def shows_date(number: int) -> bool:
+        bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.|\*.', "", codes.get(number, ""))
+        return number in DATE_FORMATS if number not in codes else bool(re.search("[dmhysDMHYS]", bare))
+
+    styles = root.find(_MAIN + "cellXfs")
+    return {i for i, xf in enumerate(styles if styles is not None else ()) if shows_date(int(xf.get("numFmtId", 0)))}
+
+
+def _as_date(number: float, first: datetime):
+    """A serial number as a day and time, to the millisecond; fractions of a day as a time."""
+    moment = first + timedelta(milliseconds=round(number * 86_400_000))
+    return moment.time() if 0 <= number < 1 else moment
+
+
+def _cell_value(cell, shared: list[str], dates: set[int], first: datetime):
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(_MAIN + "t"))
@@ -153,8 +279,12 @@ def _cell_value(cell, shared: list[str]):
         return shared[int(value.text)]
     if kind == "b":
         return value.text == "1"
+    if kind == "d":
+        return datetime.fromisoformat(value.text)
     if kind == "n":
         number = float(value.text)
+        if int(cell.get("s", 0)) in dates:
+            return _as_date(number, first)
         return int(number) if number.is_integer() else number
     return value.text
 
@@ -170,6 +300,9 @@ def _sheets(content: bytes) -> Iterator[tuple[str, list[list]]]:
         links = ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))
         targets = {r.get("Id"): r.get("Target") for r in links.iter(_PKG + "Relationship")}
         workbook = ET.fromstring(book.read("xl/workbook.xml"))
+        dates = _date_styles(book)
+        since_1904 = any(p.get("date1904") in ("1", "true") for p in workbook.iter(_MAIN + "workbookPr"))
+        first = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30)
         for sheet in workbook.iter(_MAIN + "sheet"):
             target = targets[sheet.get(_REL + "id")]
             path = target.lstrip("/") if target.startswith("/") else "xl/" + target
@@ -178,7 +311,7 @@ def _sheets(content: bytes) -> Iterator[tuple[str, list[list]]]:
                 cells = {}
                 for at, cell in enumerate(row.iter(_MAIN + "c")):
                     ref = cell.get("r")
-                    cells[_column_number(ref) if ref else at] = _cell_value(cell, shared)
+                    cells[_column_number(ref) if ref else at] = _cell_value(cell, shared, dates, first)
                 rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
             width = max((len(r) for r in rows), default=0)
             yield sheet.get("name"), [r + [None] * (width - len(r)) for r in rows]
@@ -188,23 +321,60 @@ def _sheet_csv(rows: list[list]) -> str:
     """A sheet as CSV text: typed per column, rows that are empty throughout left out."""
     if not rows:
         return ""
-    filled = [["" if v is None else v for v in row] for row in rows]
-    frame = pd.io.parsers.TextParser(filled, header=0).read()
+    header, *body = [["" if v is None else v for v in row] for row in rows]
+    names = [str(n) if n != "" else f"Unnamed: {i}" for i, n in enumerate(header)]
+    columns = {i: _typed_column([row[i] for row in body]) for i in range(len(names))}
+    frame = pd.DataFrame(columns, index=range(len(body)))
+    frame.columns = _distinct(names)
     return frame.dropna(how="all").to_csv(index=False)
 
 
+# Texts that stand for an empty cell.
+EMPTY = {
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+}
+
+
+def _typed_column(values: list) -> pd.Series:
+    """Cells of one column: numbers if all that are filled are, dates likewise, else as they are."""
+    cells = [None if isinstance(v, str) and v in EMPTY else v for v in values]
+    filled = [v for v in cells if v is not None]
+    if filled and all(isinstance(v, datetime) for v in filled):
+        return pd.Series(pd.to_datetime(pd.Series(cells, dtype=object)))
+    if filled and all(isinstance(v, str) for v in filled):
+        numbers = pd.to_numeric(pd.Series(cells, dtype=object), errors="coerce")
+        if numbers.notna().sum() == len(filled):
+            return numbers
+    if filled and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in filled):
+        whole = len(filled) == len(cells) and all(isinstance(v, int) for v in filled)
+        return pd.Series(cells, dtype="int64" if whole else "float64")
+    return pd.Series(cells, dtype=object)
+
+
+def _distinct(names: list[str]) -> list[str]:
+    """Repeated names get a number from the second on."""
+    seen: dict[str, int] = {}
+    out = []
+    for name in names:
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return out
+
+
 def xlsx_files(files: DataFrame) -> DataFrame:
-    """Rows of all sheets of workbooks (file_id, content BINARY); a broken one has none."""
+    """Rows of all sheets of workbooks (file_id, content BINARY); a broken one has an error row."""
 
     def parse(frames):
         for frame in frames:
             for file_id, content in zip(frame["file_id"], frame["content"], strict=True):
                 yield from _readable(
+                    file_id,
                     lambda: (
                         frame
                         for sheet, values in _sheets(content)
                         for frame in _frames(file_id, sheet, _sheet_csv(values))
-                    )
+                    ),
                 )
 
     return files.select("file_id", "content").mapInPandas(parse, ROWS_SCHEMA)

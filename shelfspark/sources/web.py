@@ -64,6 +64,42 @@ def links(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Pages of a level that are sent to where the visited ones lie; larger levels are joined by shuffle.
+BROADCAST_PAGES = 200_000
+
+
+class Visited:
+    """Pages (root, url) that have been reached, in runs that are merged as they double.
+
+    A level is compared with the runs where they lie: it is sent to them if it is small, so
+    they are not shuffled. Each page is rewritten once for each doubling, a logarithmic number
+    of times, however many levels a walk has.
+    """
+
+    def __init__(self):
+        self.runs: list[tuple[int, DataFrame]] = []
+        self.rewritten = 0
+
+    def add(self, pages: DataFrame, n: int) -> None:
+        self.runs.append((n, pages))
+        while len(self.runs) > 1 and self.runs[-2][0] <= 2 * self.runs[-1][0]:
+            (m, other), (n, pages) = self.runs[-2:]
+            parts = max(1, -(-(m + n) // BROADCAST_PAGES))
+            self.runs[-2:] = [(m + n, cut_lineage(other.unionByName(pages).repartition(parts, "root", "url")))]
+            self.rewritten += m + n
+
+    def unseen(self, pages: DataFrame, n: int) -> DataFrame:
+        """Those of ``pages`` (distinct, counted) that no run has."""
+        small = n <= BROADCAST_PAGES
+        for _, run in self.runs:
+            if small:
+                met = run.join(F.broadcast(pages), ["root", "url"], "left_semi")  # at most the pages asked for
+                pages = pages.join(F.broadcast(met), ["root", "url"], "left_anti")
+            else:
+                pages = pages.join(run, ["root", "url"], "left_anti")
+        return pages
+
+
 def crawl(
     edges: DataFrame, roots: DataFrame, exclude: tuple[str, ...] = (), max_depth: int = -1
 ) -> DataFrame:
@@ -85,24 +121,25 @@ def crawl(
         return frontier
 
     frontier = cut_lineage(roots.select("root", F.col("root").alias("url")).distinct())
-    visited = expandable(frontier, 0)
+    visited = Visited()
+    visited.add(expandable(frontier, 0), frontier.count())
     emitted = []
     depth = 0
     while True:
         opened = expandable(frontier, depth)
         emitted.append(opened.select("root", "url", F.lit(depth).alias("depth")))
-        children = (
+        children = cut_lineage(
             opened.join(edges.select(F.col("src").alias("url"), "dst"), "url")
             .select("root", F.col("dst").alias("url"))
             .distinct()
-            .join(visited, ["root", "url"], "left_anti")
         )
-        fresh = cut_lineage(children)
-        if fresh.isEmpty():
+        fresh = cut_lineage(visited.unseen(children, children.count()))
+        n = fresh.count()
+        if not n:
             break
         depth += 1
         emitted.append(fresh.select("root", "url", F.lit(depth).alias("depth")))
-        visited = visited.unionByName(fresh)
+        visited.add(fresh, n)
         frontier = fresh.where(F.col("url").endswith("/"))
     every = emitted[0]
     for part in emitted[1:]:
