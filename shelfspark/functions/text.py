@@ -97,9 +97,14 @@ def is_title(text: Column, max_chars: int = 20, min_letters: float = 0.5) -> Col
     )
 
 
+# Fixed value: what stands around a title before content that follows it.
+TITLE_PREFIX = ("下文与(", ")有关。")
+
+
 def titled(content: Column, title: Column) -> Column:
     """Content that follows a title, prefixed with it."""
-    return F.concat(F.lit("下文与("), title, F.lit(")有关。"), content)
+    before, after = TITLE_PREFIX
+    return F.concat(F.lit(before), title, F.lit(after), content)
 
 
 def titled_pieces(pieces: Column, titles: Column, inherited: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import answers as parse
 from shelfspark.functions.text import trim_blanks
-from shelfspark.operators.scan import fill_forward, ordered_concat
+from shelfspark.operators.scan import dense_ids, fill_forward, ordered_concat
 
 
 def fold_answers(events: DataFrame) -> DataFrame:
@@ -50,38 +50,47 @@ def strip_think_stream(chunks: DataFrame) -> DataFrame:
     )
 
 
-def exchanges(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, q, a): a user turn and the assistant turn right after it.
+def _spoken(conversations: DataFrame, *kept: str) -> DataFrame:
+    """Turns of users and assistants with their number ``_no`` in the order of conversations.
 
-    An equi-join on conversation and turn number, so a very long conversation is spread.
+    Numbers run over the whole table in one ordered scan, so a very long conversation is many
+    tasks; turns of others, and gaps in the turn numbers, leave no gap in them.
     """
-    asked = conversations.where("role = 'user'").select(
-        "conv_id", "turn", F.col("text").alias("q")
-    )
-    answered = conversations.where("role = 'assistant'").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a")
+    spoken = conversations.where(F.col("role").isin("user", "assistant"))
+    rows = spoken.select("conv_id", "turn", "role", "text", *kept)
+    return dense_ids(rows, ["conv_id", "turn", "role", "text"], "_no")
+
+
+def _paired(spoken: DataFrame) -> DataFrame:
+    asked = spoken.where("role = 'user'").drop("role").withColumnRenamed("text", "q")
+    answered = spoken.where("role = 'assistant'").select(
+        "conv_id", (F.col("_no") - 1).alias("_no"), F.col("text").alias("a")
     )
-    return asked.join(answered, ["conv_id", "turn"])
+    return asked.join(answered, ["conv_id", "_no"])
+
+
+def exchanges(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, q, a): a user turn and the assistant turn that comes next.
+
+    System turns between the two, and numbers that are left out, do not part them.
+    """
+    return _paired(_spoken(conversations)).select("conv_id", "turn", "q", "a")
 
 
 def with_history(conversations: DataFrame) -> DataFrame:
-    """User turns with their history: the exchange right before, if there is one.
+    """User turns with their history: the last exchange before, if there is one.
 
-    The new pair takes the last one's place, so a history never holds more than one pair.
+    The new pair takes the last one's place, so a history never holds more than one pair. A
+    question without an answer is no exchange, and a later question still has the one before.
     """
-    before = exchanges(conversations).select(
-        "conv_id",
-        (F.col("turn") + 2).alias("turn"),
-        F.array(F.struct("q", "a")).alias("_history"),
-    )
+    spoken = _spoken(conversations)
+    pairs = _paired(spoken).select("conv_id", "_no", F.struct("q", "a").alias("_pair"))
+    asked = spoken.where("role = 'user'").join(pairs, ["conv_id", "_no"], "left")
+    before = fill_forward(asked, ["conv_id"], "_no", "_pair", "_history", inclusive=False)
     none = F.array().cast("array<struct<q:string,a:string>>")
-    return (
-        conversations.where("role = 'user'")
-        .join(before, ["conv_id", "turn"], "left")
-        .select(
-            "conv_id",
-            "turn",
-            F.col("text").alias("question"),
-            F.coalesce("_history", none).alias("history"),
-        )
+    return before.select(
+        "conv_id",
+        "turn",
+        F.col("text").alias("question"),
+        F.when(F.col("_history").isNull(), none).otherwise(F.array("_history")).alias("history"),
     )

@@ -75,8 +75,9 @@ def uptime(start: Column, now: Column) -> Column:
     return F.round((F.unix_micros(now) - F.unix_micros(start)) / 1_000_000, 1)
 
 
-def task_gauge(task_events: DataFrame) -> DataFrame:
-    """Pending and active tasks after each event (event_seq, op of submit, start, finish)."""
+def task_gauge(task_events: DataFrame, max_workers: int = 4) -> DataFrame:
+    """Pending and active tasks after each event (event_seq, op of submit, start, finish), with
+    how many can be active at once."""
     op = F.col("op")
     steps = task_events.withColumns(
         {
@@ -84,6 +85,5 @@ def task_gauge(task_events: DataFrame) -> DataFrame:
             "_active": F.when(op == "start", 1).when(op == "finish", -1).otherwise(0),
         }
     )
-    return running_sums(steps, ["event_seq"], {"pending": "_pending", "active": "_active"}).drop(
-        "_pending", "_active"
-    )
+    summed = running_sums(steps, ["event_seq"], {"pending": "_pending", "active": "_active"})
+    return summed.drop("_pending", "_active").withColumn("max_workers", F.lit(max_workers))

@@ -37,11 +37,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame, *keys: str, split_bytes: int = 128 << 20) -> DataFrame:
     """Spread a small table by ``keys`` over the cores before heavy work per row.
 
-    A small file is often one row group, hence one task. A table with at least a split per
-    core is left where it lies; streams are too.
+    A small file is often one row group, hence one task. A table that its scan deals out to
+    every core, by the number of its files or by their size, is left where it lies; streams are
+    too.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * split_bytes else df
+    if size >= cores * split_bytes or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)

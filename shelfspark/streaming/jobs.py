@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from shelfspark.config import SERVICES, Settings
 from shelfspark.functions import answers as parse
 from shelfspark.functions.names import chunk_id
 from shelfspark.operators.health import complete_services, outcome_windows, state_aggregates
-from shelfspark.operators.scan import ordered_concat
 from shelfspark.plans.ingest import chunk_texts
 from shelfspark.storage import cut_lineage
 
@@ -125,29 +125,101 @@ def service_windows(
     )
 
 
-def answers(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Parsed deltas of answer lines (stream_id, seq, raw), appended as they arrive.
+ANSWERS = "stream_id string, answer string, done boolean, error string"
 
-    The stream keeps no growing text in its state; ``read_answers`` folds what has arrived.
+
+class AnswerFold(StatefulProcessor):
+    """Pieces of one answer stream, in any order, to one final record.
+
+    The state of a stream is its pieces until the closing line and all before it are there; the
+    first arrival of a piece counts. A stream that stays silent for ``silence`` of event time is
+    closed with an error record and what has come without a gap. Of a closed stream only a mark
+    is kept, for as long again, so that repeated lines do not open it anew.
     """
-    deltas = events.select(
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getValueState("pieces", "seqs array<bigint>, deltas array<string>, last bigint")
+        self.closed = handle.getValueState("closed", "closed boolean")
+
+    def _wake(self, at: int) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def _final(self, key, held: dict[int, str], last: int | None, error: str | None):
+        whole, seq = [], 0
+        while seq in held and (last is None or seq <= last):
+            whole.append(held[seq])
+            seq += 1
+        self.pieces.clear()
+        self.closed.update((True,))
+        yield pd.DataFrame({"stream_id": [key[0]], "answer": ["".join(whole)], "done": [error is None], "error": [error]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        seqs, deltas, last = self.pieces.get() if self.pieces.exists() else ([], [], None)
+        held, newest = dict(zip(seqs, deltas)), 0
+        for frame in rows:
+            for seq, delta, done, ts in zip(frame["seq"], frame["delta"], frame["done"], frame["ts"]):
+                held.setdefault(int(seq), delta)
+                newest = max(newest, int(ts.timestamp() * 1000))
+                if done:
+                    last = int(seq) if last is None else min(last, int(seq))
+        if self.closed.exists():
+            return
+        self._wake(max(newest, timerValues.getCurrentWatermarkInMs()) + self.silence_ms)
+        if last is not None and all(seq in held for seq in range(last)):
+            yield from self._final(key, held, last, None)
+        else:
+            self.pieces.update((list(held), list(held.values()), last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.closed.exists():
+            self.closed.clear()
+            return
+        seqs, deltas, last = self.pieces.get()
+        held = dict(zip(seqs, deltas))
+        missing = f"piece {next(i for i in range(len(held) + 1) if i not in held)} is missing"
+        self._wake(timerValues.getCurrentWatermarkInMs() + self.silence_ms)
+        yield from self._final(key, held, last, "no closing line" if last is None else missing)
+
+    def close(self) -> None:
+        pass
+
+
+def answers(
+    events: DataFrame, path: str, checkpoint: str, silence_seconds: int = 600
+) -> StreamingQuery:
+    """One final record (stream_id, answer, done, error) per answer stream of lines (stream_id,
+    seq, raw, ts): the whole answer at its closing line, or an error record once the stream has
+    been silent for ``silence_seconds``. Rows without a stream only move the time on."""
+    spark = events.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    # The condition names the time, or the optimizer would apply it before the watermark.
+    in_stream = F.when(F.col("ts").isNotNull(), F.col("stream_id")).isNotNull()
+    lines = events.withWatermark("ts", "0 seconds").where(in_stream)
+    deltas = lines.select(
         "stream_id",
         "seq",
         parse.delta(F.col("raw")).alias("delta"),
         parse.is_done(F.col("raw")).alias("done"),
+        "ts",
     )
-    return _start(deltas, checkpoint, "append", _replace_batch(path))
+    folded = deltas.groupBy("stream_id").transformWithStateInPandas(
+        AnswerFold(1000 * silence_seconds), ANSWERS, "Append", "EventTime"
+    )
+    return _start(folded, checkpoint, "append", _replace_batch(path))
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """(stream_id, answer, done) of everything that has arrived up to the closing line."""
-    arrived = spark.read.parquet(path).dropDuplicates(["stream_id", "seq"])
-    ends = arrived.where("done").groupBy("stream_id").agg(F.min("seq").alias("_end"))
-    shown = arrived.join(ends, "stream_id", "left").where("_end is null or seq <= _end")
-    whole = ordered_concat(shown, ["stream_id"], "seq", "delta", "answer")
-    return whole.join(ends, "stream_id", "left").select(
-        "stream_id", "answer", F.col("_end").isNotNull().alias("done")
-    )
+    """The final records so far."""
+    return spark.read.parquet(path).drop("batch")
 
 
 def pending(status_events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -166,11 +238,13 @@ def read_pending(spark: SparkSession, path: str) -> DataFrame:
     return newest.groupBy("kb_id").agg(F.bool_or(F.col("status") == "gray").alias("pending"))
 
 
-def task_gauge(task_events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def task_gauge(
+    task_events: DataFrame, path: str, checkpoint: str, max_workers: int = 4
+) -> StreamingQuery:
     """Pending and active tasks so far: two sums whose state is one row."""
     op = F.col("op")
     counts = task_events.groupBy().agg(
         (F.count_if(op == "submit") - F.count_if(op == "start")).alias("pending"),
         (F.count_if(op == "start") - F.count_if(op == "finish")).alias("active"),
-    )
+    ).withColumn("max_workers", F.lit(max_workers))
     return _start(counts, checkpoint, "complete", _replace_batch(path))

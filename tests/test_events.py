@@ -89,10 +89,12 @@ def test_think_stream(spark):
 
 def test_history(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "assistant", "a1"), (1, 3, "user", "q2"),
-            (1, 4, "user", "q3"), (1, 5, "assistant", "a3"), (1, 6, "user", "q4")]
+            (1, 4, "user", "q3"), (1, 5, "assistant", "a3"), (1, 6, "user", "q4"),
+            (2, 0, "user", "x"), (2, 1, "system", "s"), (2, 5, "assistant", "y"), (2, 6, "system", "t"), (2, 9, "user", "z")]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    got = {r["turn"]: [tuple(p) for p in r["history"]] for r in answers.with_history(df).collect()}
-    assert got == {1: [], 3: [("q1", "a1")], 4: [], 6: [("q3", "a3")]}
+    got = {(r["conv_id"], r["turn"]): [tuple(p) for p in r["history"]] for r in answers.with_history(df).collect()}
+    first = {(1, 1): [], (1, 3): [("q1", "a1")], (1, 4): [("q1", "a1")], (1, 6): [("q3", "a3")]}
+    assert got == {**first, (2, 0): [], (2, 9): [("x", "y")]}
 
 
 def test_embed_retries_and_errors(spark):
@@ -144,3 +146,56 @@ def test_ingest_stream_takes_a_file_once(spark):
         jobs.ingest(spark.readStream.schema(schema).parquet(src), out, mark).awaitTermination()
     got = sorted((r["chunk_id"], r["content"]) for r in spark.read.parquet(out).collect())
     assert got == [("a_0", "one."), ("a_1", "two."), ("b_0", "three.")]
+
+
+LINES = "stream_id string, seq bigint, raw string, ts timestamp"
+
+
+def line(stream, seq, text, minute=0):
+    from datetime import datetime, timedelta
+
+    raw = "data: [DONE]\n\n" if text is None else f'data: {{"answer": "{text}"}}\n\n'
+    return (stream, seq, raw, datetime(2024, 1, 1) + timedelta(minutes=minute))
+
+
+def test_answer_streams(spark):
+    """Out of order, repeated, never ending and incomplete streams; each has one final record."""
+    src, out, mark = (fresh_path(spark, n) for n in ("lines", "answers", "mark"))
+    arrivals = [
+        [line("order", 2, None), line("order", 1, "b"), line("twice", 0, "x"), line("twice", 0, "y"),
+         line("endless", 0, "so "), line("endless", 1, "far"), line("gap", 0, "g"), line("gap", 2, "p"), line("gap", 3, None)],
+        [line("order", 0, "a", 1), line("twice", 1, None, 1), line("twice", 1, None, 1), line("silent", 0, None, 2)],
+        [line("twice", 0, "z", 5), line("order", 2, None, 5), (None, 0, "", line("", 0, None, 30)[3])],
+        [line("late", 0, None, 40), (None, 0, "", line("", 0, None, 90)[3])],
+    ]
+    for rows in arrivals:
+        arrive(spark, src, rows, LINES)
+        jobs.answers(spark.readStream.schema(LINES).parquet(src), out, mark, 600).awaitTermination()
+    got = sorted(((r["stream_id"], r["answer"], r["done"], r["error"]) for r in jobs.read_answers(spark, out).collect()))
+    assert got == [
+        ("endless", "so far", False, "no closing line"),
+        ("gap", "g", False, "piece 1 is missing"),
+        ("late", "", True, None),
+        ("order", "ab", True, None),
+        ("silent", "", True, None),
+        ("twice", "x", True, None),
+    ]
+
+
+def test_one_bad_picture_harms_no_other(spark):
+    images = spark.createDataFrame([("a", b"one|two"), ("b", b""), ("c", b"x")], "file_id string, image binary")
+
+    def model(raw):
+        if not raw:
+            raise ValueError("blank")
+        return raw.decode().split("|")
+
+    got = sorted(((r["file_id"], r["line_no"], r["text"], r["error"]) for r in models.recognise(images, model).collect()), key=str)
+    assert got == [("a", 0, "one", None), ("a", 1, "two", None), ("b", None, None, "ValueError: blank"), ("c", 0, "x", None)]
+
+
+def test_models_are_not_run_again_for_a_filter(spark):
+    pairs = spark.createDataFrame([("q", "what", "c")], "query_id string, question string, content string")
+    scored = models.rerank_scores(pairs, lambda q, p: [0.9] * len(p)).where("rerank_score > 0.5 and rerank_score < 1")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("score(question") == 1
