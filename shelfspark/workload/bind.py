@@ -12,7 +12,7 @@ from shelfspark.functions.answers import answer_line
 from shelfspark.operators.answers import exchanges
 from shelfspark.storage import spread
 
-PIECES = 10  # vectors per file in the given data
+PIECES = 10  # chunks, and vectors, per document
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,26 +120,27 @@ def chunks(spark, sf_dir):
 
 
 def vectors(spark, sf_dir):
-    """Each vector stands for one tenth of a document."""
-    number = F.floor(F.col("vec_id") / PIECES)
-    owners = table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("KB_"), _user(F.col("doc_id")), F.lit("_"), "source").alias("kb_id")
+    """A vector for every chunk of every document.
+
+    Chunks take the given embeddings in turn; each further time around an embedding is rotated
+    by one place more, so that no two chunks agree by construction.
+    """
+    embeddings = table(spark, sf_dir, "embeddings")
+    n = embeddings.count()
+    doc, at = F.col("doc_id"), F.col("doc_id") * PIECES + F.col("chunk_idx")
+    turned = F.floor(at / n) % F.size("embedding")
+    chunked = table(spark, sf_dir, "documents").select(
+        doc, "source", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("chunk_idx")
     )
-    return (
-        table(spark, sf_dir, "embeddings")
-        .select(
-            number.alias("doc_id"),
-            (F.col("vec_id") % PIECES).cast("int").alias("chunk_idx"),
-            "embedding",
-        )
-        .join(owners, "doc_id")
-        .select(
-            _user(F.col("doc_id")).alias("user_id"),
-            "kb_id",
-            _file_id(F.col("doc_id")).alias("file_id"),
-            "chunk_idx",
-            "embedding",
-        )
+    return chunked.join(embeddings, at % n == F.col("vec_id")).select(
+        _user(doc).alias("user_id"),
+        F.concat(F.lit("KB_"), _user(doc), F.lit("_"), "source").alias("kb_id"),
+        _file_id(doc).alias("file_id"),
+        "chunk_idx",
+        F.concat(
+            F.slice("embedding", (turned + 1).cast("int"), F.size("embedding")),
+            F.slice("embedding", F.lit(1), turned.cast("int")),
+        ).alias("embedding"),
     )
 
 

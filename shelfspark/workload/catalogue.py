@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions import names
-from shelfspark.operators import catalog, dml
+from shelfspark.operators import catalog, dml, versions
 from shelfspark.schema import FILE_EVENTS, FILES, KB_EVENTS, missing_columns, require_columns
 from shelfspark.sources import sinks
 from shelfspark.storage import fresh_path
@@ -567,13 +567,14 @@ def snk_vectors(spark, d):
 
 @register(
     "snk_reload",
-    """SELECT file_id, chunk_idx, 'vector' AS lacks FROM chunks c WHERE NOT EXISTS (
-         SELECT 1 FROM vectors v WHERE v.file_id = c.file_id AND v.chunk_idx = c.chunk_idx)""",
+    """SELECT file_id, chunk_idx, CASE WHEN ends_with(file_id, '7') THEN 'vector' ELSE 'chunk' END AS lacks
+       FROM chunks WHERE ends_with(file_id, '7') <> (chunk_idx = 9)""",
 )
 def snk_reload(spark, d):
-    return dml.orphans(bind.vectors(spark, d), bind.chunks(spark, d)).select(
-        "file_id", "chunk_idx", "lacks"
-    )
+    """Some files have lost their vectors, all have lost their last chunk."""
+    vectors = bind.vectors(spark, d).where(~F.col("file_id").endswith("7"))
+    chunks = bind.chunks(spark, d).where("chunk_idx < 9")
+    return dml.orphans(vectors, chunks).select("file_id", "chunk_idx", "lacks")
 
 
 @register(
@@ -597,6 +598,83 @@ def snk_catalog(spark, d):
     )
 
 
+@register(
+    "snk_add_events",
+    """SELECT f.file_id, f.kb_id, f.file_name, 'gray' AS status, f.file_size
+       FROM (SELECT *, 'u' || CAST(CAST(file_id AS BIGINT) % 6 AS VARCHAR) AS user_id FROM files) f
+       JOIN users u ON u.user_id = f.user_id
+       JOIN kbs k ON k.kb_id = f.kb_id AND k.user_id = f.user_id AND k.deleted = 0""",
+)
+def snk_add_events(spark, d):
+    """Accepted files as add events, appended to a log and read back as state."""
+    incoming = bind.files(spark, d).select(
+        "file_id", "kb_id", "file_name", "timestamp", "file_size",
+        F.concat(F.lit("u"), (F.col("file_id").cast("bigint") % 6).cast("string")).alias("user_id"),
+    )
+    accepted = catalog.register_files(incoming, bind.kbs(spark, d), bind.users(spark, d))
+    log = versions.file_log(spark, fresh_path(spark, "file-log"))
+    log.append(dml.add_file_events(accepted, 1), 1)
+    return log.read().select("file_id", "kb_id", "file_name", "status", "file_size")
+
+
+@register(
+    "dml_state_as_of",
+    """SELECT file_id, CASE WHEN CAST(file_id AS BIGINT) % 3 = 0 THEN 'green' ELSE status END AS status,
+              CASE WHEN CAST(file_id AS BIGINT) % 4 = 1 THEN 7 ELSE file_size END AS file_size,
+              CASE WHEN CAST(file_id AS BIGINT) % 10 = 2 THEN 1 ELSE 0 END AS deleted FROM files""",
+)
+def dml_state_as_of(spark, d):
+    """A log of files with a snapshot in it, read as of a change before the last."""
+    files = bind.files(spark, d).select("file_id", "kb_id", "file_name", "status", "timestamp", "file_size")
+    log = versions.file_log(spark, fresh_path(spark, "file-log"))
+    number = F.col("file_id").cast("bigint")
+    log.append(dml.file_update_events(files, 1), 1)
+    log.append(dml.file_update_events(files.where(number % 3 == 0).select("file_id", F.lit("green").alias("status")), 2), 2)
+    log.compact()
+    log.append(dml.file_update_events(files.where(number % 4 == 1).select("file_id", F.lit(7).alias("file_size")), 3), 3)
+    log.append(dml.delete_file_events(files, files.where(number % 10 == 2), 4), 4)
+    log.append(dml.file_update_events(files.select("file_id", F.lit("red").alias("status")), 5), 5)
+    return log.read(as_of=4).select("file_id", "status", "file_size", "deleted")
+
+
+@register(
+    "dml_cas_sequence",
+    """SELECT f.file_id, coalesce(list_reduce(list_prepend(f.status, c.steps),
+                lambda held, step: CASE WHEN held = split_part(step, '>', 1) THEN split_part(step, '>', 2) ELSE held END),
+              f.status) AS status
+       FROM files f LEFT JOIN (
+         SELECT lpad(CAST(user_id % 50 AS VARCHAR), 32, '0') AS file_id,
+                list(['green', 'yellow', 'red', 'gray'][event_id % 4 + 1] || '>'
+                     || ['green', 'yellow', 'red', 'gray'][CAST(floor(value) AS BIGINT) % 4 + 1] ORDER BY event_id) AS steps
+         FROM events GROUP BY 1) c ON c.file_id = f.file_id""",
+)
+def dml_cas_sequence(spark, d):
+    """Ordered conditional changes of status, very many to the same few files."""
+    names = F.array(*(F.lit(s) for s in ("green", "yellow", "red", "gray")))
+    status = lambda number: F.element_at(names, (number % 4 + 1).cast("int"))
+    changes = bind.table(spark, d, "events").select(
+        F.lpad((F.col("user_id") % 50).cast("string"), 32, "0").alias("file_id"), F.col("event_id").alias("seq"),
+        status(F.col("event_id")).alias("old"), status(F.floor("value")).alias("new"),
+    )
+    return versions.compose_swaps(bind.files(spark, d).select("file_id", "status"), changes)
+
+
+@register(
+    "dml_delete_marks",
+    """SELECT file_id, chunk_idx FROM vectors WHERE CAST(file_id AS BIGINT) % 3 <> 0
+         AND kb_id <> 'KB_u1_src1' AND CAST(file_id AS BIGINT) < 900000""",
+)
+def dml_delete_marks(spark, d):
+    """Stored vectors after deletions by file and by base, marked in bitmaps, and a compaction."""
+    table = versions.VectorTable(spark, fresh_path(spark, "vector-table"))
+    vectors = bind.vectors(spark, d)
+    table.append(vectors)
+    table.delete(vectors.where(F.col("file_id").cast("bigint") % 3 == 0))
+    table.compact(0.3)
+    table.delete_kbs(spark.createDataFrame([("KB_u1_src1",)], "kb_id string"))
+    return table.read().select("file_id", "chunk_idx")
+
+
 @register(
     "snk_new_users",
     """SELECT 'u' || CAST(user_id AS VARCHAR) AS user_id, min(event_type) AS user_name

@@ -112,6 +112,16 @@ def win_topk(spark, d):
     return _shown(hits(spark, d, plan="tile", query_tile=64, vector_tile=128))
 
 
+@register("knn_blocks", _HITS.format("hits"))
+def knn_blocks(spark, d):
+    """The search over vectors that are kept in blocks with zones."""
+    vectors = bind.vectors(spark, d)
+    pivots = knn.choose_pivots(vectors)
+    path = fresh_path(spark, "blocks")
+    knn.pack_blocks(vectors, pivots, 256).write.partitionBy("user_id").parquet(path)
+    return _shown(knn.knn_blocks(bind.queries(spark, d), spark.read.parquet(path), pivots, K))
+
+
 @register("sort_hits", _HITS.format("hits") + " ORDER BY query_id, dist, rank")
 def sort_hits(spark, d):
     return _shown(hits(spark, d)).orderBy("query_id", "dist", "rank")

@@ -40,14 +40,19 @@ PARTS: dict[str, str] = {
         FROM documents CROSS JOIN numbers10""",
     "vectors": f"""
         SELECT {_USER.format('doc_id')} AS user_id, {_KB} AS kb_id,
-               {_FILE_ID.format('doc_id')} AS file_id,
-               CAST(vec_id % 10 AS INTEGER) AS chunk_idx, embedding
-        FROM embeddings JOIN documents ON doc_id = vec_id // 10""",
+               {_FILE_ID.format('doc_id')} AS file_id, chunk_idx,
+               list_concat(embedding[turned + 1:], embedding[:turned]) AS embedding
+        FROM (SELECT d.doc_id, d.source, c.chunk_idx, e.embedding,
+                     (d.doc_id * 10 + c.chunk_idx) // n.n % len(e.embedding) AS turned
+              FROM documents d CROSS JOIN numbers10 c CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
+              JOIN embeddings e ON e.vec_id = (d.doc_id * 10 + c.chunk_idx) % n.n)""",
+    "spoken": """
+        SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+        FROM conversations WHERE role IN ('user', 'assistant')
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""",
     "pairs": """
-        SELECT u.conv_id, u.turn, u.text AS q, a.text AS a
-        FROM conversations u JOIN conversations a
-          ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-        WHERE u.role = 'user' AND a.role = 'assistant'""",
+        SELECT conv_id, turn, text AS q, next_text AS a FROM spoken
+        WHERE role = 'user' AND next_role = 'assistant'""",
     "first_pairs": """
         SELECT conv_id, q, a FROM (
           SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM pairs)

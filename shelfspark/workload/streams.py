@@ -61,21 +61,34 @@ def agg_answer(spark, d):
 
 
 def reply_stream(conversations):
-    """Lines of assistant turns as answer lines, the closing line last."""
+    """Lines of assistant turns as answer lines, the closing line first; some streams have none.
+
+    Every turn also tells, without a stream, that an hour has passed.
+    """
     turns = conversations.where("role = 'assistant'")
     name = F.concat("conv_id", F.lit(":"), "turn").alias("stream_id")
     lines = F.transform(F.split("text", r"(?<=\n)"), lambda line: parse.answer_line(line))
-    every = F.concat(lines, F.array(F.lit("data: [DONE]\n\n")))
-    return turns.select(name, F.posexplode(every).alias("seq", "raw")).withColumn(
-        "seq", F.col("seq").cast("bigint")
+    closing = F.struct(F.size(lines).alias("seq"), F.lit("data: [DONE]\n\n").alias("raw"))
+    numbered = F.transform(lines, lambda line, at: F.struct(at.alias("seq"), line.alias("raw")))
+    every = F.concat(F.when(F.col("conv_id") % 7 != 3, F.array(closing)).otherwise(F.array().cast("array<struct<seq:int,raw:string>>")), numbered)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    later = turns.select(
+        F.lit(None).cast("string").alias("stream_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("raw"),
+        (start + F.expr("INTERVAL 1 HOUR")).alias("ts"),
     )
+    rows = turns.select(name, F.explode(every).alias("line"))
+    return rows.select("stream_id", F.col("line.seq").cast("bigint").alias("seq"), "line.raw", start.alias("ts")).unionByName(later)
 
 
-@register("str_answer", _REPLIES)
+@register(
+    "str_answer",
+    """SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS stream_id, text AS answer,
+              conv_id % 7 <> 3 AS done FROM conversations WHERE role = 'assistant'""",
+)
 def str_answer(spark, d):
     path, checkpoint = _paths(spark, "answers")
     _finish(jobs.answers(reply_stream(stream(spark, d, "conversations")), path, checkpoint))
-    return jobs.read_answers(spark, path)
+    return jobs.read_answers(spark, path).select("stream_id", "answer", "done")
 
 
 @register(
@@ -161,10 +174,13 @@ def fn_ollama_line(spark, d):
 
 @register(
     "win_history",
-    """SELECT u.conv_id, u.turn, u.text AS question, coalesce(p.q, '') AS last_q,
-              coalesce(p.a, '') AS last_a, coalesce(p.q, '') = '' AS first_question
-       FROM conversations u LEFT JOIN pairs p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2
-       WHERE u.role = 'user'""",
+    """SELECT conv_id, turn, text AS question, coalesce(pair.q, '') AS last_q,
+              coalesce(pair.a, '') AS last_a, pair IS NULL AS first_question
+       FROM (SELECT *, last_value(CASE WHEN role = 'user' AND next_role = 'assistant'
+                                       THEN {'q': text, 'a': next_text} END IGNORE NULLS) OVER (
+                      PARTITION BY conv_id ORDER BY turn, role, text
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pair FROM spoken)
+       WHERE role = 'user'""",
 )
 def win_history(spark, d):
     last = F.get("history", F.lit(0))
@@ -272,7 +288,8 @@ def _task_events(events):
               CAST(sum(CASE op WHEN 'submit' THEN 1 WHEN 'start' THEN -1 ELSE 0 END)
                    OVER (ORDER BY event_seq) AS BIGINT) AS pending,
               CAST(sum(CASE op WHEN 'start' THEN 1 WHEN 'finish' THEN -1 ELSE 0 END)
-                   OVER (ORDER BY event_seq) AS BIGINT) AS active
+                   OVER (ORDER BY event_seq) AS BIGINT) AS active,
+              4 AS max_workers
        FROM (SELECT event_id AS event_seq, {_OP} AS op FROM events)""",
 )
 def str_queue(spark, d):
@@ -284,7 +301,7 @@ def str_queue(spark, d):
     f"""SELECT CAST(sum(CASE op WHEN 'submit' THEN 1 WHEN 'start' THEN -1 ELSE 0 END) AS BIGINT)
                 AS pending,
               CAST(sum(CASE op WHEN 'start' THEN 1 WHEN 'finish' THEN -1 ELSE 0 END) AS BIGINT)
-                AS active
+                AS active, 4 AS max_workers
        FROM (SELECT {_OP} AS op FROM events)""",
 )
 def str_queue_now(spark, d):

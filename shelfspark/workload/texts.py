@@ -14,6 +14,7 @@ from shelfspark.functions import names, text
 from shelfspark.operators import fts
 from shelfspark.operators.scan import ordered_concat
 from shelfspark.plans import ingest
+from shelfspark.plans.files import read_files
 from shelfspark.sources import documents, tables, web
 from shelfspark.storage import cut_lineage, fresh_path
 from shelfspark.workload import bind, office
@@ -112,11 +113,18 @@ def fn_pdf_normalise(spark, d):
     )
 
 
+@register("fn_token_split")
+def fn_token_split(spark, d):
+    """Production pieces of whole texts: default counter, with overlap."""
+    cut = text.token_split(F.array("text"), CFG.chunk_tokens, CFG.chunk_overlap_tokens)
+    return bind.texts(spark, d).select("file_id", F.posexplode(cut).alias("pos", "content"))
+
+
 @register(
-    "fn_token_split",
+    "fn_token_split_whole",
     r"""SELECT file_id, regexp_replace(text, '\s', '', 'g') AS content, true AS fits FROM texts""",
 )
-def fn_token_split(spark, d):
+def fn_token_split_whole(spark, d):
     """Pieces without overlap, put together again without blanks, are the text without
     blanks; a piece has at most the tokens asked for, or no place to cut it. The counter
     leaves no text without a token, as such texts are repeated in the next piece."""
@@ -204,7 +212,7 @@ def src_text(spark, d):
         F.encode("text", "UTF-8")
     )
     return bind.table(spark, d, "documents").select(
-        "doc_id", documents.decode_text(raw, ("latin-1",)).alias("text")
+        "doc_id", documents.decode_text(raw).alias("text")
     )
 
 
@@ -385,7 +393,7 @@ def read_image(raw: bytes) -> list[str]:
 )
 def src_docx(spark, d):
     parts = documents.word_parts(office_files(spark, d, _word_files))
-    lines = models.recognise(parts.where("kind = 'image'"), read_image)
+    lines = models.recognise(parts.where("kind = 'image'"), read_image).where("error is null")
     return documents.word_documents(parts, lines).drop("whole")
 
 
@@ -402,7 +410,7 @@ def src_docx(spark, d):
 )
 def src_pptx(spark, d):
     parts = documents.slide_parts(office_files(spark, d, _slide_files))
-    lines = models.recognise(parts.where("kind = 'image'"), read_image)
+    lines = models.recognise(parts.where("kind = 'image'"), read_image).where("error is null")
     return documents.slide_documents(parts, lines)
 
 
@@ -412,12 +420,25 @@ SELECT doc_id, CAST(i AS INTEGER) AS line_no, list[i + 1] AS text FROM (
          unnest(range(len(string_split(text, {NL})))) AS i FROM documents)"""
 
 
-@register("udf_ocr", "SELECT doc_id, line_no, text FROM doc_lines", {"doc_lines": _LINES})
+@register(
+    "udf_ocr",
+    """SELECT doc_id, line_no, text, NULL AS error FROM doc_lines WHERE doc_id % 50 <> 7
+       UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: blurred' FROM documents WHERE doc_id % 50 = 7""",
+    {"doc_lines": _LINES},
+)
 def udf_ocr(spark, d):
+    """Lines of pictures; the model fails on some, which harms no other."""
     images = bind.table(spark, d, "documents").select(
-        "doc_id", F.encode("text", "UTF-8").alias("image")
+        "doc_id",
+        F.when(F.col("doc_id") % 50 == 7, F.lit("blurred").cast("binary")).otherwise(F.encode("text", "UTF-8")).alias("image"),
     )
-    return models.recognise(images, lambda raw: raw.decode().split("\n"))
+
+    def model(raw):
+        if raw == b"blurred":
+            raise ValueError("blurred")
+        return raw.decode().split("\n")
+
+    return models.recognise(images, model)
 
 
 def doc_lines(spark, d):
@@ -577,22 +598,138 @@ def ingest_outcome(spark, d):
     return outcome
 
 
+# --- files of all kinds ---------------------------------------------------------
+
+KINDS = ("txt", "md", "csv", "eml", "docx", "pptx", "xlsx", "png", "docx", "zip", "csv", "png")
+
+
+@F.pandas_udf(T.BinaryType())
+def _file_bytes(numbers: pd.Series, texts: pd.Series, images: pd.Series) -> pd.Series:
+    """A file of the kind that stands at its number; the last ones cannot be read."""
+
+    def one(number, text, image):
+        kind = number % len(KINDS)
+        if kind in (0, 1):
+            return text.encode()
+        if kind == 2:
+            quoted = text.replace('"', '""')
+            return f'id,body\n{number},"x{quoted}x"\n{number + 1},\n'.encode()
+        if kind == 3:
+            return f"Subject: {image}\nContent-Type: text/plain; charset=utf-8\n\n{number}".encode()
+        if kind == 4:
+            return office.word_file([f"w{number}"], image.encode())
+        if kind == 5:
+            return office.slide_file([[f"s{number}"]], image.encode())
+        if kind == 6:
+            return office.workbook({"a": [["k", "v"], [number, "one"]], "b": [["k"], ["x"], ["y"]]})
+        if kind == 7:
+            return image.encode()
+        if kind == 10:
+            return b"a,b\n1,2,3\n"
+        return b"broken" if kind in (8, 11) else text.encode()
+
+    return pd.Series([one(*row) for row in zip(numbers, texts, images, strict=True)])
+
+
+def mixed_files(spark, d):
+    """A file of some kind for each document."""
+    doc = F.col("doc_id")
+    endings = F.array(*(F.lit(e) for e in KINDS))
+    ending = F.element_at(endings, (doc % len(KINDS) + 1).cast("int"))
+    return bind.table(spark, d, "documents").select(
+        F.lpad(doc.cast("string"), 32, "0").alias("file_id"),
+        F.concat(F.col("source"), F.lit("_"), doc.cast("string"), F.lit("."), ending).alias("file_name"),
+        F.concat(F.lit("KB_u"), (doc % 5).cast("string"), F.lit("_"), "source").alias("kb_id"),
+        F.concat(F.lit("u"), (doc % 5).cast("string")).alias("user_id"),
+        _file_bytes(doc, "text", F.concat("source", F.lit("|"), "lang")).alias("content"),
+    )
+
+
+def read_or_blurred(raw: bytes) -> list[str]:
+    if raw == b"broken":
+        raise ValueError("blurred")
+    return read_image(raw)
+
+
+_RULED = f"repeat('-', 24) || {NL} || {{0}} || {NL} || repeat('-', 24)"
+_FILE_TEXTS = f"""
+SELECT doc_id, part, text FROM (
+  SELECT doc_id, doc_id % 12 AS kind, 0 AS part, text FROM documents WHERE doc_id % 12 < 2
+  UNION ALL SELECT doc_id, 2, 0, {_RULED.format("'id: ' || doc_id || ' & body: x' || text || 'x'")} FROM documents
+  UNION ALL SELECT doc_id, 2, 1, {_RULED.format("'id: ' || (doc_id + 1) || ' & body: x' || text || 'x'")} FROM documents
+  UNION ALL SELECT doc_id, 3, 0, 'Subject: ' || source || '|' || lang || {NL} || {NL} || doc_id FROM documents
+  UNION ALL SELECT doc_id, 4, 0, 'w' || doc_id FROM documents
+  UNION ALL SELECT doc_id, 4, 1, source || {NL} || lang FROM documents
+  UNION ALL SELECT doc_id, 5, 0, 's' || doc_id || {NL} || {NL} || source || {NL} || {NL} || lang FROM documents
+  UNION ALL SELECT doc_id, 6, 0, {_RULED.format("'k: ' || doc_id || ' & v: one'")} FROM documents
+  UNION ALL SELECT doc_id, 6, 1, {_RULED.format("'k: x'")} FROM documents
+  UNION ALL SELECT doc_id, 6, 2, {_RULED.format("'k: y'")} FROM documents
+  UNION ALL SELECT doc_id, 7, 0, source || {NL} || lang FROM documents)
+WHERE doc_id % 12 = kind"""
+
+
+@register(
+    "ingest_files",
+    """SELECT lpad(CAST(doc_id AS VARCHAR), 32, '0') AS file_id, CAST(part AS BIGINT) AS part, text, FALSE AS failed
+       FROM file_texts
+       UNION ALL SELECT lpad(CAST(doc_id AS VARCHAR), 32, '0'), 0, NULL, TRUE FROM documents WHERE doc_id % 12 > 7""",
+    {"file_texts": _FILE_TEXTS},
+)
+def ingest_files(spark, d):
+    """Files of all kinds to texts, broken and unsupported ones among them."""
+    files = mixed_files(spark, d).select("file_id", "file_name", "content")
+    return read_files(files, read_or_blurred).select("file_id", "part", "text", F.col("error").isNotNull().alias("failed"))
+
+
+@register(
+    "ingest_vectors",
+    """SELECT lpad(CAST(d.doc_id AS VARCHAR), 32, '0') AS file_id,
+              CASE WHEN d.doc_id % 12 > 7 OR coalesce(t.bad, FALSE) THEN 'red'
+                   WHEN d.doc_id % 13 = 5 AND (d.doc_id % 12 > 1 OR c.file_id IS NOT NULL) THEN 'yellow' ELSE 'green' END AS status
+       FROM documents d
+       LEFT JOIN (SELECT doc_id, bool_or(contains(text, 'Ö')) AS bad FROM file_texts GROUP BY doc_id) t ON t.doc_id = d.doc_id
+       LEFT JOIN (SELECT DISTINCT file_id FROM final_chunks) c ON c.file_id = lpad(CAST(d.doc_id AS VARCHAR), 32, '0')""",
+    {"file_texts": _FILE_TEXTS},
+)
+def ingest_vectors(spark, d):
+    """Files to vectors in a store that loses some files: red, yellow and green ones."""
+    files = mixed_files(spark, d)
+    read = read_files(files.select("file_id", "file_name", "content"), read_or_blurred)
+    texts = read.where("error is null").select("file_id", "part", "text", "whole")
+    path = fresh_path(spark, "vectors")
+
+    def store(vectors):
+        kept = vectors.where(F.col("file_id").cast("bigint") % 13 != 5)
+        kept.write.mode("append").partitionBy("user_id").parquet(path)
+        return spark.read.schema(vectors.schema).parquet(path).select("file_id").distinct()
+
+    single = replace(CFG, embed_batch=1, embed_attempts=1)
+    _, _, outcome = ingest.ingest(texts, files.select("file_id", "file_name", "kb_id", "user_id"), _counts, single, store=store)
+    return outcome.select("file_id", "status")
+
+
 # --- token search -----------------------------------------------------------------
 
 
-def doc_index(spark, d):
+def doc_chunks(spark, d):
     """Each document as one chunk."""
-    return fts.index(
-        bind.texts(spark, d).select(
-            "file_id", F.lit(0).alias("chunk_idx"), F.lit("").alias("file_name"),
-            F.concat("file_id", F.lit("_0")).alias("chunk_id"), F.col("text").alias("content"),
-        )
+    return bind.texts(spark, d).select(
+        "file_id", F.lit(0).alias("chunk_idx"), F.lit("").alias("file_name"),
+        F.concat("file_id", F.lit("_0")).alias("chunk_id"), F.col("text").alias("content"),
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def stored_index(spark, d):
-    """The index as searches find it: written once, read several times."""
-    return cut_lineage(doc_index(spark, d))
+    """The index as searches find it: written by the first of an application that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = fresh_path(spark, "token-index")
+        fts.store(doc_chunks(spark, d), path)
+        _STORED[key] = path
+    return fts.TokenIndex(spark, _STORED[key])
 
 
 def _items(spark, d):
@@ -607,9 +744,12 @@ def _items(spark, d):
          SELECT file_id, unnest(list) AS token FROM doc_words) GROUP BY token""",
 )
 def fts_index(spark, d):
-    occurrences = fts.postings(doc_index(spark, d)).where("field = 'content'")
-    return occurrences.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_id").alias("n_files")
+    """Occurrences and files of each token, from the lists that the index keeps."""
+    in_content = F.transform("positions", lambda at: F.size(F.filter(at, lambda x: x < fts.FIELD_SPAN)))
+    held = stored_index(spark, d).postings.select("token", F.filter(in_content, lambda n: n > 0).alias("ns"))
+    return held.where(F.size("ns") > 0).groupBy("token").agg(
+        F.sum(F.aggregate("ns", F.lit(0).cast("bigint"), lambda a, n: a + n)).alias("n"),
+        F.sum(F.size("ns")).alias("n_files"),
     )
 
 
@@ -694,4 +834,16 @@ def fts_without(spark, d):
 )
 def fts_delete(spark, d):
     gone = bind.files(spark, d).where("status = 'red'")
-    return fts.delete(doc_index(spark, d), gone).select("file_id")
+    return fts.delete(fts.index(doc_chunks(spark, d)), gone).select("file_id")
+
+
+@register(
+    "fts_search_gone",
+    _ranked_sql("""SELECT DISTINCT q.item_id AS query_id, t.file_id FROM item_tokens q
+                   JOIN doc_tokens t ON t.token = q.token
+                   JOIN files f ON f.file_id = t.file_id AND f.status <> 'red'"""),
+)
+def fts_search_gone(spark, d):
+    """A search of the stored index after files are gone."""
+    gone = bind.files(spark, d).where("status = 'red'")
+    return _ranked(fts.search(stored_index(spark, d).without_files(gone), _items(spark, d), mode="any"))

@@ -1,5 +1,8 @@
 """Catalogue, state changes, scans and sources on small tables."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,7 +239,7 @@ def test_token_search(spark):
          ("f2", 0, "hello.md", "f2_0", "bar foo")],
         "file_id string, chunk_idx int, file_name string, chunk_id string, content string",
     )
-    index = fts.index(chunks)
+    index = fts.store(chunks, fresh_path(spark, "test-index"))
 
     def found(terms, mode="all", without=None):
         row = ("q", terms) if without is None else ("q", terms, without)
@@ -253,6 +256,81 @@ def test_token_search(spark):
     assert found(["absent"]) == []
 
 
+def plain_matches(rows, terms, mode, without=()):
+    """chunk_id of rows (file_id, chunk_idx, file_name, chunk_id, content), by looking at all."""
+    split = re.compile(r"[^\W_]+").findall
+    out = []
+    for file_id, _, name, chunk_id, content in sorted(rows):
+        fields = [split(x.lower()) for x in (content, file_id, name, chunk_id)]
+        held = {t for f in fields for t in f}
+        words = [w for t in terms for w in split(t.lower())]
+        phrase = any(f[i : i + len(words)] == words for f in fields for i in range(len(f)))
+        fits = {
+            "all": all(w in held for w in words),
+            "any": any(w in held for w in words),
+            "phrase": phrase,
+            "prefix": all(any(h.startswith(w) for h in held) for w in words),
+        }
+        if words and fits[mode] and not any(w in held for w in without):
+            out.append(chunk_id)
+    return out
+
+
+@pytest.fixture(scope="module")
+def many_chunks(spark):
+    rnd = random.Random(5)
+    words = ["the", "a"] * 20 + [f"w{i}" for i in range(40)] + ["zz", "zebra", "zeal"]
+    rows = [
+        (f"f{i // 7:03d}", i % 7, f"name {i % 3}", f"c{i}", " ".join(rnd.choices(words, k=rnd.choice([0, 3, 30]))))
+        for i in range(300)
+    ]
+    rows.append(("f999", 0, "", "last", "a b a b a zebra " * 50))
+    chunks = spark.createDataFrame(rows, "file_id string, chunk_idx int, file_name string, chunk_id string, content string")
+    return rows, fts.store(chunks, fresh_path(spark, "test-index"))
+
+
+@pytest.mark.parametrize("mode", ["all", "any", "phrase", "prefix"])
+def test_stored_index_equals_a_look_at_all(spark, many_chunks, mode):
+    rows, index = many_chunks
+    asked = {
+        "rare": ["zebra", "the"], "common": ["the", "a"], "words": ["w1 w2"], "again": ["a b a"], "none": ["absent the"],
+        "short": ["z", "w1"], "empty": [""], "name": ["name 1"],
+    }
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, terms array<string>")
+    order = {r[3]: i for i, r in enumerate(sorted(rows))}
+    whole, first = {}, {}
+    for r in fts.match(index, queries, mode).collect():
+        whole.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for r in sorted(fts.search(index, queries, 5, mode).collect(), key=lambda r: r["rank"]):
+        first.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for name, terms in asked.items():
+        want = plain_matches(rows, terms, mode)
+        assert sorted(whole.get(name, []), key=order.get) == want, name
+        assert first.get(name, []) == want[:5], name
+
+
+def test_search_after_files_are_gone(spark, many_chunks):
+    rows, index = many_chunks
+    gone = spark.createDataFrame([("f999",), ("f003",), ("f100",)], "file_id string")
+    queries = spark.createDataFrame([("q", ["the"])], "query_id string, terms array<string>")
+    left = index.without_files(gone.limit(2)).without_files(gone)
+    found = sorted(r["chunk_id"] for r in fts.match(left, queries).collect())
+    assert found == sorted(plain_matches([r for r in rows if r[0] not in ("f999", "f003", "f100")], ["the"], "all"))
+
+
+def test_search_reads_the_buckets_asked_for(spark, many_chunks):
+    _, index = many_chunks
+    asked = spark.createDataFrame([("zebra",)], "token string")
+    plan = fts._of_tokens(index.postings.select("bucket", "token", "docs"), asked)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in text and "positions" not in text
+    files = {r[0] for r in plan.select(F.input_file_name()).distinct().collect()}
+    assert all("bucket=" in f for f in files) and len(files) == 1
+    blocks = fts.grown(index, spark.createDataFrame([("q", "ze")], "query_id string, term string"))
+    assert sorted(r["token"] for r in blocks.collect()) == ["zeal", "zebra"]
+    assert "GreaterThanOrEqual(last,ze)" in blocks._jdf.queryExecution().executedPlan().toString()
+
+
 def test_files_on_disk(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes("中文".encode())
     (tmp_path / "b.csv").write_text("k\nv\n")
@@ -263,3 +341,77 @@ def test_files_on_disk(spark, tmp_path):
     assert [r["file_name"] for r in documents.unsupported(files).collect()] == ["c.bin"]
     read = documents.by_kind(files, "text").select(documents.decode_text(F.col("content")).alias("t"))
     assert read.head()["t"] == "中文"
+
+
+def test_sheets_hold_dates_and_types(spark):
+    """Date styles, a custom format, times, gaps, repeated and missing names."""
+    import io
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    styles = f"""<styleSheet xmlns="{main}"><numFmts count="2"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/>
+        <numFmt numFmtId="165" formatCode="0.00&quot;d&quot;"/></numFmts>
+        <cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>"""
+    plain = office.workbook({"s": [["day", "day", None, "n", "x"], [45293, 45293.5, "a", 1, 2.5], [45294, None, "b", None, 3]]})
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(plain)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            body = old.read(name).decode()
+            for at, style in (("A2", 1), ("A3", 1), ("B2", 2), ("E2", 3), ("E3", 3)):
+                body = body.replace(f'r="{at}"', f'r="{at}" s="{style}"')
+            new.writestr(name, body)
+        new.writestr("xl/styles.xml", styles)
+    files = spark.createDataFrame([("f", out.getvalue())], "file_id string, content binary")
+    rows = [[(c["name"], c["value"]) for c in r["cells"]] for r in tables.xlsx_files(files).orderBy("row").collect()]
+    assert rows == [
+        [("day", "2024-01-02 00:00:00"), ("day.1", "2024-01-02 12:00:00"), ("Unnamed: 2", "a"), ("n", "1.0"), ("x", "2.5")],
+        [("day", "2024-01-03 00:00:00"), ("day.1", ""), ("Unnamed: 2", "b"), ("n", ""), ("x", "3.0")],
+    ] or rows == [
+        [("day", "2024-01-02"), ("day.1", "2024-01-02 12:00:00"), ("Unnamed: 2", "a"), ("n", "1.0"), ("x", "2.5")],
+        [("day", "2024-01-03"), ("day.1", ""), ("Unnamed: 2", "b"), ("n", ""), ("x", "3.0")],
+    ]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_line_ends_over_splits(spark, tmp_path, seed):
+    """A file cut into many splits, line ends and commas inside quotes, next to one reader."""
+    import csv
+    import io
+
+    rnd = random.Random(seed)
+    cell = lambda: "".join(rnd.choices(['a', 'bc', ',', '"', "\n", "\r\n", " ", "é"], k=rnd.choice([0, 1, 5, 40])))
+    rows = [[str(i), cell(), cell()] for i in range(400)]
+    out = io.StringIO(newline="")
+    end = "\r\n" if seed % 2 else "\n"
+    csv.writer(out, lineterminator=end).writerows([["k", "a", "b"], *rows])
+    (tmp_path / "t.csv").write_bytes(out.getvalue().encode())
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 400)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        table = tables.csv_table(spark, str(tmp_path), multi_line=True)
+        got = [[c["value"] for c in r["cells"]] for r in table.orderBy("row").collect()]
+        splits = tables.csv_records(spark, str(tmp_path)).select("_split").distinct().count()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == rows and splits > 5
+
+
+def test_visited_pages_are_rewritten_a_logarithmic_number_of_times(spark, monkeypatch):
+    one = spark.createDataFrame([("r", "u0")], "root string, url string")
+    for bound in (200_000, 0):  # sent to the runs, or joined by shuffle
+        monkeypatch.setattr(web, "BROADCAST_PAGES", bound or 1)
+        visited = web.Visited()
+        for i in range(24):
+            pages = spark.createDataFrame([("r", f"u{i}")], "root string, url string")
+            assert [r["url"] for r in visited.unseen(pages, 2 if not bound else 1).collect()] == [f"u{i}"]
+            visited.add(pages, 1)
+            assert len(visited.runs) <= 6
+        assert visited.rewritten <= 24 * 6 and visited.unseen(one, 1).isEmpty()
+
+
+def test_crawl_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"r/{'a/' * i}", f"r/{'a/' * (i + 1)}") for i in range(30)], "src string, dst string")
+    got = web.crawl(edges, spark.createDataFrame([("r/",)], "root string")).collect()
+    assert {len(r["url"].split("a/")) - 1: r["depth"] for r in got} == {i: i for i in range(31)}
