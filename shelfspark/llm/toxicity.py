@@ -37,8 +37,8 @@ REGULARISATION = 1e-3
 PART_ROWS = 4_000
 ROUNDS, STEPS, RATE = 4, 50, 0.03
 THRESHOLD = 0.3
-#: Windows are two neighbouring blocks of so many n-gram starts; so many are scored at a time.
-BLOCK, WINDOWS_AT_ONCE = 1_000, 1_000
+#: Windows are two neighbouring blocks of so many n-gram starts; so many blocks are hashed at a time.
+BLOCK, BLOCKS_AT_ONCE = 1_000, 1_000
 #: The rise of the level is the mean excess of clean windows over this quantile; one clean text
 #: in 1 / (1 - TAIL) may be above the level.
 TAIL = 0.99
@@ -77,6 +77,17 @@ def features(text: str | None, bits: int = BITS, lengths=LENGTHS) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+_scratch: list[np.ndarray] = []
+
+
+def _marks() -> list[np.ndarray]:
+    """For each feature, a place within a block, and whether the block before had it; kept by the
+    worker between texts."""
+    if not _scratch:
+        _scratch.extend((np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, bool)))
+    return _scratch
+
+
 class Classifier:
     """Weights of the features, the intercept, and the rise and start of the level."""
 
@@ -85,23 +96,38 @@ class Classifier:
         self.known = weights != 0
 
     def margins(self, text: str | None) -> np.ndarray:
-        """The margin of each window; a text of up to two blocks is one window."""
+        """The margin of each window; a text of up to two blocks is one window.
+
+        A window's features are those of its two blocks together, so its margin is the sum over
+        either less that over the features that both have."""
         codes = codes_of(text)
-        windows = max(1, -(-(len(codes) - LENGTHS[0] + 1) // BLOCK) - 1)
-        found = np.full(windows, self.intercept)
-        for first in range(0, windows, WINDOWS_AT_ONCE):
-            n = min(WINDOWS_AT_ONCE, windows - first)
-            start, stop = first * BLOCK, (first + n + 1) * BLOCK
-            keys = []
+        blocks = max(1, -(-(len(codes) - LENGTHS[0] + 1) // BLOCK))
+        place, seen = _marks()
+        alone, common = np.zeros(blocks), np.zeros(blocks)
+        last = place[:0]
+        for first in range(0, blocks, BLOCKS_AT_ONCE):
+            start, stop = first * BLOCK, (first + BLOCKS_AT_ONCE) * BLOCK
+            here = min(BLOCKS_AT_ONCE, blocks - first)
+            cut = []  # for each length the features that count, by block
             for length in LENGTHS:
-                slots = slots_of(codes[start : stop + length - 1], length)
+                slots = slots_of(codes[start : stop + length - 1], length).astype(np.intp)
                 at = np.flatnonzero(self.known[slots])
-                keys.append(at // BLOCK << BITS | slots[at])  # by block
-            own = np.concatenate(keys)
-            own = np.concatenate([own, own - (1 << BITS)])  # by window: a block ends one and begins one
-            own = np.unique(own[(own >= 0) & (own < n << BITS)])
-            found[first : first + n] += np.bincount(own >> BITS, self.weights[own & ((1 << BITS) - 1)], n)
-        return found
+                edges = np.searchsorted(at, np.arange(here + 1) * BLOCK).tolist()
+                slots = slots[at]
+                cut.append([slots[a:b] for a, b in zip(edges, edges[1:])])
+            for block, parts in enumerate(zip(*cut), first):
+                own = np.concatenate(parts)
+                order = np.arange(len(own), dtype=np.int32)
+                place[own] = order
+                own = own[place[own] == order]  # each once
+                weights = self.weights[own]
+                alone[block] = weights.sum()
+                common[block] = weights[seen[own]].sum()
+                seen[last], seen[own], last = False, True, own
+        seen[last] = False
+        if blocks == 1:
+            return alone + self.intercept
+        return alone[:-1] + alone[1:] - common[1:] + self.intercept
 
     def score(self, text: str | None) -> float:
         margins = self.margins(text)
