@@ -4,7 +4,10 @@ Most documents share nothing: their distance to nearly every pivot is 1, where t
 inequality tells no two apart. So a pivot's region is first narrowed to the documents whose
 distance to it can be below 1 at all, by a shingle they share: documents that link agree in at
 least one of the first shingles of either, in an order common to all (rare ones first), so each
-such shingle gathers a region. In each region:
+such shingle gathers a region. How many documents have a shingle is counted in full: blocks of
+documents ask shards of hashes and are answered. A document with more shingles of its own than
+it has first ones is in no region, which is so of all that are not mostly copied, and common
+passages are first shingles only of documents that consist of them. In each region:
 
 1. the document with the smallest id is the pivot, and its distance to the others is measured;
    those within the threshold are its cell and are linked to it;
@@ -23,20 +26,26 @@ so the intersection has at most those in common and the rest of that document.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfspark.llm.arrow import Memo, held, map_texts
-from shelfspark.llm.common import sampled, unused
+from shelfspark.llm.arrow import Memo, held, hold_only, map_texts, slices
+from shelfspark.llm.common import shuffle_partitions, unused
+from shelfspark.llm.lm_score import packed, unpacked
 from shelfspark.storage import cut_lineage, fresh_path
 
 WORDS, PERCENT = 5, 75
-#: Frequent shingles are found in one of so many documents, or in about so many if that is more;
-#: at most so many are told apart from rare ones. Only speed hangs on this, no link.
-SAMPLE_SHARE, SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 16, 4_000, 3, 1_000_000
+#: Words of a block and shingles of a shard, about; a longer text is a block of its own.
+BLOCK_TOKENS, SHARD_TOKENS = 2 << 20, 4 << 20
 #: Pivots of a region grow by this factor from level to level.
 MORE_PIVOTS = 16
 #: Ids that may be sent to every task to pick texts; beyond, texts and ids are joined by shuffle.
@@ -57,26 +66,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     known = _words()
-    ids = [known.get(w) or known.keep(w, int.from_bytes(blake2b(w, digest_size=8).digest(), "little") | 1) for w in found]
-    at = np.array(ids, np.uint64)
-    width = min(words, len(at))
-    n = len(at) - width + 1
-    mixed = np.full(n, width, np.uint64)
-    for i in range(width):
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * STEP + at[i : i + n]
-    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))
-
-
-def first_shingles(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """As many shingles, rare ones first, that any linked document has one of its own among them."""
-    count = len(found) - -(-len(found) * percent // 100) + 1
-    hashes, often = frequent
-    if not len(hashes) or not len(found):
-        return found[:count] if len(found) else found
-    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-    rank = np.where(hashes[at] == found, often[at], 0)
-    return found[np.lexsort((found, rank))[:count]]
+    at = np.array([known.get(w) or known.keep(w, xxhash.xxh3_64_intdigest(w)) for w in found], np.uint64)
+    return np.unique(_mixed(at, min(words, len(at))))
 
 
 def linked(common: int, either: int, percent: int = PERCENT) -> bool:
@@ -94,37 +85,168 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of shingles that several of the sampled texts have."""
-    rows = texts.count()
-    some = texts.where(sampled("doc_id", rows, max(SAMPLE_ROWS, rows // SAMPLE_SHARE)))
-
-    def of(batch):
-        sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-        return {"shingle": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)}
+class Block:
+    """The shingles of some texts: ``hashes`` without repeats, sorted, and for each text those it
+    has, as pairs of ``doc`` and ``id`` without repeats, sorted."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, names: np.ndarray, words: int):
+        hashed, of = [], []
+        starts = np.cumsum(lengths) - lengths
+        short = (lengths > 0) & (lengths < words)
+        at = names[tokens]
+        if len(at) >= words:
+            place = np.arange(len(at) - words + 1)
+            owner = np.repeat(np.arange(len(lengths)), lengths)[place]
+            inside = place + words <= (starts + lengths)[owner]
+            hashed.append(_mixed(at, words)[inside])
+            of.append(owner[inside])
+        for doc in np.flatnonzero(short).tolist():
+            hashed.append(_mixed(at[starts[doc] : starts[doc] + lengths[doc]], int(lengths[doc])))
+            of.append(np.array([doc]))
+        every = np.concatenate([*hashed, np.zeros(0, np.uint64)])
+        owners = np.concatenate([*of, np.zeros(0, np.int64)])
+        self.hashes, ids = np.unique(every, return_inverse=True)
+        both = np.unique(owners << 32 | ids)
+        self.doc, self.id = both >> 32, both & 0xFFFFFFFF
+        self.docs = len(lengths)
+        #: Where each text's pairs begin, and the end.
+        self.edges = np.searchsorted(self.doc, np.arange(self.docs + 1))
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.edges)
+
+    def shards(self, shards: int) -> np.ndarray:
+        """Where the hashes of each shard begin: shards are ranges of hashes."""
+        first = np.arange(shards + 1, dtype=object) * (1 << 64) // shards
+        return np.append(np.searchsorted(self.hashes, np.array(first[:-1], np.uint64)), len(self.hashes))
+
+    def digests(self) -> list[bytes | None]:
+        own = self.hashes[self.id]
+        return [blake2b(own[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(self.edges, self.edges[1:])]
+
+    def regions(self, counts: np.ndarray, percent: int) -> list[np.ndarray]:
+        """The first shingles of each text, rare ones first by the ``counts`` of all texts, less
+        those that no other text has."""
+        often = counts[self.id]
+        order = np.lexsort((self.id, often, self.doc))
+        size = self.sizes()
+        first = size - -(-size * percent // 100) + 1
+        place = np.arange(len(order)) - np.repeat(self.edges[:-1], size)
+        kept = order[(place < np.repeat(first, size)) & (often[order] > 1)]
+        edges = np.searchsorted(self.doc[kept], np.arange(self.docs + 1))
+        named = _signed(self.hashes[self.id[kept]])
+        return [named[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def _mixed(at: np.ndarray, width: int) -> np.ndarray:
+    n = len(at) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for i in range(width):
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * STEP + at[i : i + n]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
 
-    counts = map_texts(some.select("text"), of, "shingle long").groupBy("shingle").count()
-    table = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()
-    hashes = table.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], table.column("count").to_numpy()[order]
 
+def blocks_of(texts: DataFrame, block_tokens: int) -> DataFrame:
+    """Rows (doc_id, text) in blocks: block, doc_ids, n_tokens, and their words, packed."""
+    schema = pa.schema(
+        [("block", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(texts.schema["doc_id"].dataType)))]
+        + [("n_tokens", pa.int64()), ("packed", pa.binary())]
+    )
 
-def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the regions of each row (doc_id, text)."""
-    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words))
+    def run(batches):
+        hold_only(__name__)
+        part, made = TaskContext.get().partitionId(), 0
+        vocabulary, ids, lengths, pieces, size = defaultdict(count().__next__), [], [], [], 0
+
+        def row():
+            names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
+            tokens = np.concatenate(pieces).astype(np.uint32)
+            blob = packed(tokens, np.array(lengths, np.uint32), names)
+            one = {"block": (part << 32) | made, "doc_ids": ids, "n_tokens": len(tokens), "packed": blob}
+            return pa.RecordBatch.from_pylist([one], schema)
+
+        for batch in slices(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                found = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+                if ids and size + len(found) > block_tokens:
+                    yield row()
+                    vocabulary, ids, lengths, pieces, size = defaultdict(count().__next__), [], [], [], 0
+                    made += 1
+                pieces.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+                ids.append(doc)
+                lengths.append(len(found))
+                size += len(found)
+        if ids:
+            yield row()
 
-    def of(batch):
-        sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "n_shingles": [len(s) for s in sets],
-            "digest": [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            "regions": [_signed(first_shingles(s, frequent.value, percent)) for s in sets],
-        }
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_tokens long, packed binary")
+
+
+def _read(blob: bytes, words: int) -> Block:
+    tokens, lengths, names = unpacked(blob)
+    return Block(tokens, lengths.astype(np.int64), names, words)
+
+
+def in_how_many(blocks: DataFrame, words: int, shards: int) -> DataFrame:
+    """block, shard, blob: in how many texts the block's shingles of a shard are, in order.
+
+    A shingle reaches its shard once for each block that has it, with the number of its texts."""
+
+    def ask(batches):
+        for batch in batches:
+            for name, blob in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist()):
+                block = _read(blob, words)
+                own = np.bincount(block.id, minlength=len(block.hashes)).astype(np.uint32)
+                edges = block.shards(shards)
+                out = [
+                    {"shard": i, "block": name, "blob": packed(block.hashes[a:b], own[a:b])}
+                    for i, (a, b) in enumerate(zip(edges, edges[1:]))
+                    if b > a
+                ]
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    def merge(table: pa.Table) -> pa.Table:
+        asked = [unpacked(b) for b in table.column("blob").to_pylist()]
+        _, place = np.unique(np.concatenate([a for a, _ in asked]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([n for _, n in asked])).astype(np.uint32)[place]
+        edges = np.cumsum([0, *(len(a) for a, _ in asked)])
+        blobs = [packed(total[a:b]) for a, b in zip(edges, edges[1:])]
+        return pa.table({"shard": table.column("shard"), "block": table.column("block"), "blob": blobs}, schema)
+
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
+    kind = "shard int, block long, blob binary"
+    return blocks.select("block", "packed").mapInArrow(ask, kind).groupBy("shard").applyInArrow(merge, kind)
+
+
+def signatures(texts: DataFrame, words: int, percent: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, and the regions of each row (doc_id, text).
+
+    How many texts have a shingle is counted in full, so a text of which more than its first
+    shingles allow is its own has no region at all, and common passages come last."""
+    spark = texts.sparkSession
+    blocks = _stored(blocks_of(texts, block_tokens), "blocks")
+    n = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(shuffle_partitions(spark), -(-n // SHARD_TOKENS))
+    given = in_how_many(blocks, words, shards)
+    fields = [("doc_id", to_arrow_type(texts.schema["doc_id"].dataType)), ("n_shingles", pa.int64())]
+    schema = pa.schema([*fields, ("digest", pa.binary()), ("regions", pa.list_(pa.int64()))])
+
+    def sign(own: pa.Table, answers: pa.Table) -> pa.Table:
+        by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist()))
+        tables = []
+        for row in own.to_pylist():
+            block = _read(row["packed"], words)
+            counts = [unpacked(by_shard[s])[0] for s in sorted(by_shard)]
+            counts = np.concatenate([*counts, np.zeros(0, np.uint32)])
+            columns = [row["doc_ids"], block.sizes(), block.digests(), block.regions(counts, percent)]
+            tables.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema))
+        return pa.concat_tables(tables) if tables else schema.empty_table()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return map_texts(texts, of, f"doc_id {kind}, n_shingles long, digest binary, regions array<long>")
+    both = blocks.select("block", "doc_ids", "packed").groupBy("block").cogroup(given.groupBy("block"))
+    return both.applyInArrow(sign, f"doc_id {kind}, n_shingles long, digest binary, regions array<long>")
 
 
 def may_link(n_a, n_b, common, percent: int):
@@ -203,6 +325,7 @@ def ngram_join(
     text_column: str = "text",
     words: int = WORDS,
     percent: int = PERCENT,
+    block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of each row.
 
@@ -211,13 +334,15 @@ def ngram_join(
     nothing. Two documents link if their sets' intersection is at least ``percent`` percent of
     the union, as equal sets do. ``component_id`` is the smallest id that links lead to, the
     own one included. Rows that share an id are one document in this. A row with a null id
-    takes the component of equal sets, else null. A row per input row; other columns are not read.
+    takes the component of equal sets, else null. A row per input row, none for an empty table;
+    other columns are not read. Texts are read whole; one of very many words makes a block by
+    itself, in the memory of its task.
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    signed = _stored(signatures(texts, words, percent), "signatures")  # read several times
+    signed = _stored(signatures(texts, words, percent, block_tokens), "signatures")  # read several times
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
     classes = _stored(classes, "classes")
-    firsts = signed.join(classes, "digest").where("doc_id = first")
+    firsts = signed.where(F.size("regions") > 0).join(classes, "digest").where("doc_id = first")
     found = _connected(firsts, texts.where("doc_id is not null"), words, percent)
 
     own = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from shelfspark.llm import ngram_join as module
-from shelfspark.llm.ngram_join import components, first_shingles, ngram_join, shingles, without_near_copies
+from shelfspark.llm.ngram_join import Block, components, ngram_join, shingles, without_near_copies
 from tests.llm.tables import SCHEMA, empty_table, hard_cases, hard_table
 
 
@@ -60,15 +60,31 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("sample", [4_000, 0])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, sample):
-    """Also where no shingle is known to be frequent, so that regions are large and recursion deep."""
-    monkeypatch.setattr(module, "FREQUENT", 3 if sample else 10**9)
+@pytest.mark.parametrize("block_tokens", [2 << 20, 700])
+def test_components_are_those_of_all_pairs(spark, block_tokens):
+    """Also over many small blocks, some of one text alone."""
     rows = corpus()
-    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join(df, block_tokens=block_tokens)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == plain(rows)
 
 
+def test_texts_with_shingles_of_their_own_have_no_region(spark):
+    """Shared passages make no region for texts that cannot link."""
+    rows = spark.createDataFrame(corpus(), "doc_id long, text string")
+    signed = {r.doc_id: r for r in module.signatures(rows, 5, 75).collect()}
+    texts = dict(corpus())
+    counts = defaultdict(int)
+    for text in texts.values():
+        for h in shingles(text).tolist():
+            counts[h] += 1
+    for doc_id, row in signed.items():
+        own = shingles(texts[doc_id]).tolist()
+        first = len(own) - -(-len(own) * 75 // 100) + 1
+        alone = sum(counts[h] == 1 for h in own)
+        assert row.n_shingles == len(own) and len(row.regions) == max(0, first - alone if own else 0)
+
+
 def test_texts_and_ids_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(module, "BROADCAST_IDS", 0)
     rows = corpus()[:150]
@@ -77,17 +93,19 @@ def test_texts_and_ids_joined_by_shuffle(spark, monkeypatch):
 
 
 def test_first_shingles_meet():
+    """Regions of a block, with counts of a corpus: texts that link share one."""
     pick = np.random.default_rng(2)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for _ in range(300):
-        pool = np.unique(pick.integers(0, 1 << 63, 60, dtype=np.uint64))
-        frequent = (pool[::3], np.arange(len(pool[::3])))
-        a = np.unique(pick.choice(pool, pick.integers(1, 40)))
-        b = np.unique(np.concatenate([a[pick.random(len(a)) < 0.9], pick.choice(pool, 2)]))
-        common, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if 100 * common >= 75 * either:
-            for order in (none, frequent):
-                assert len(np.intersect1d(first_shingles(a, order), first_shingles(b, order)))
+    for _ in range(200):
+        names = pick.integers(0, 1 << 63, 50, dtype=np.uint64)
+        a = pick.integers(0, 50, pick.integers(5, 60))
+        b = a.copy()
+        b[pick.random(len(b)) < 0.03] = pick.integers(0, 50)
+        block = Block(np.concatenate([a, b]).astype(np.uint32), np.array([len(a), len(b)]), names, 5)
+        sets = [set(block.id[x:y].tolist()) for x, y in zip(block.edges, block.edges[1:])]
+        counts = np.bincount(block.id, minlength=len(block.hashes)) + pick.integers(0, 3, len(block.hashes))
+        if 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]):
+            one, other = block.regions(counts, 75)
+            assert set(one.tolist()) & set(other.tolist())
 
 
 def test_star_contraction(spark):
