@@ -195,11 +195,10 @@ def _of_tokens(postings: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows of the asked tokens (and ranges, if given) joined with ``asked``. Only their buckets
     are read."""
     asked = asked.withColumn("bucket", bucket(F.col("token")))
-    wanted = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
+    wanted, n = asked.agg(F.collect_set("bucket"), F.count("*")).first()  # at most BUCKETS
     read = postings.where(F.col("bucket").isin(wanted)) if len(wanted) < BUCKETS else postings
-    few = asked.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS
     keys = [c for c in ("bucket", "token", "range") if c in asked.columns]
-    return read.join(F.broadcast(asked) if few else asked, keys).drop("bucket")
+    return read.join(F.broadcast(asked) if n <= FEW_TOKENS else asked, keys).drop("bucket")
 
 
 def _match_any(index: TokenIndex, asked: DataFrame) -> DataFrame:
@@ -221,27 +220,22 @@ def _match_all(index: TokenIndex, terms: DataFrame) -> DataFrame:
     The rarest term of a query names the ranges in which the others are met at all, so of a
     frequent one only those are joined.
     """
-    terms = cut_lineage(terms)
-    asked = terms.select("query_id", F.size("terms").alias("_n"), F.explode("terms").alias("token"))
-    sizes = _of_tokens(
-        index.postings.select("bucket", "token", "range", F.size("docs").alias("n")), asked.select("token").distinct()
-    )
-    sizes = sizes.groupBy("token").agg(F.sum("n").alias("n"))
+    asked = cut_lineage(terms.select("query_id", F.size("terms").alias("_n"), F.explode("terms").alias("token")))
+    sizes = index.postings.select("bucket", "token", "range", F.size("docs").alias("n"))
+    sizes = _of_tokens(sizes, asked.select("token").distinct()).groupBy("token").agg(F.sum("n").alias("n"))
     counted = asked.join(sizes, "token")  # a term that no chunk has: no chunk has all
     ranked = counted.groupBy("query_id", "_n").agg(
-        F.min_by("token", F.struct("n", "token")).alias("_rarest"), F.count("*").alias("_known")
+        F.min_by("token", F.struct("n", "token")).alias("token"), F.count("*").alias("_known")
     )
     rarest = cut_lineage(ranked.where("_known = _n").drop("_known"))
     lists = index.postings.select("bucket", "token", "range", "docs")
-    first = _of_tokens(lists, rarest.withColumnRenamed("_rarest", "token"))
-    first = cut_lineage(first.select("query_id", "range", "_n", F.col("token").alias("_rarest"), F.col("docs").alias("_first")))
-    rest = asked.join(rarest.select("query_id", "_rarest"), "query_id").where("token != _rarest")
+    first = cut_lineage(_of_tokens(lists, rarest))
+    rest = asked.join(rarest.select("query_id", F.col("token").alias("_rarest")), "query_id").where("token != _rarest")
     needed = rest.select("query_id", "token").join(first.select("query_id", "range"), "query_id")
-    others = _of_tokens(lists, cut_lineage(needed))
-    others = others.groupBy("query_id", "range").agg(F.collect_list("docs").alias("_others"))
+    others = _of_tokens(lists, needed).groupBy("query_id", "range").agg(F.collect_list("docs").alias("_others"))
     met = first.join(others, ["query_id", "range"], "left")
     every = F.coalesce(F.size("_others"), F.lit(0)) == F.col("_n") - 1
-    lists = F.concat(F.array("_first"), F.coalesce("_others", F.array().cast("array<array<int>>")))
+    lists = F.concat(F.array("docs"), F.coalesce("_others", F.array().cast("array<array<int>>")))
     return met.where(every).select("query_id", "range", _met(lists).alias("docs")).where(F.size("docs") > 0)
 
 
