@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, and defined results for hard cases."""
 
 import math
+import random
 import re
 
 import numpy as np
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import held_out
-from shelfspark.llm.langid import identify, in_known_language
-from shelfspark.llm.perplexity import KneserNey, base_counts, ngrams_of, quality_rules, symbols_of
+from shelfspark.llm.langid import WordFirst, identify, in_known_language
+from shelfspark.llm.perplexity import KneserNey, base_counts, groups_of, ngrams_of, quality_rules, symbols_of
 from shelfspark.llm.toxicity import BLOCK, Classifier, features, learn, toxicity
 from tests.llm.tables import empty_table, hard_cases, hard_table
 
@@ -94,6 +95,61 @@ def test_windows_cover_texts():
     assert model.margins(None) == model.margins(" ") == [0.5]
 
 
+def invented(rnd, letters, words, n):
+    """Texts over words of their own, from a small alphabet."""
+    own = ["".join(rnd.choices(letters, k=rnd.choice([2, 3, 5, 8]))) for _ in range(words)]
+    return [" ".join(rnd.choices(own, k=rnd.choice([5, 40]))) for _ in range(n)]
+
+
+def test_a_script_without_blanks(spark):
+    """Texts that are one run of letters are learned by their n-grams."""
+    rnd = random.Random(4)
+    thai = ["".join(rnd.choices(["ภาษา", "ไทย", "เขียน", "ติดกัน", "ไม่มี", "วรรค"], k=30)) for _ in range(120)]
+    texts = [(t, "th") for t in thai] + [(t, "en") for t in invented(rnd, "abcdefgh", 300, 400)]
+    rows = [(i, text, lang) for i, (text, lang) in enumerate(texts)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(i, lang) for i, _, lang in rows if got[i].held_out]
+    assert sum(got[i].lang_pred == lang for i, lang in held) >= 0.97 * len(held)
+
+
+def test_many_languages(spark):
+    """Fifty languages of very different sizes; one of them has two texts alone."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(50):
+        letters = "".join(chr(ord("a") + (7 * k + 3 * j) % 26) for j in range(6 + k % 5))
+        rows += [(text, f"l{k:02d}") for text in invented(rnd, letters, 60, 2 if k == 49 else rnd.choice([20, 40]))]
+    rows = [(i, text, lang) for i, (text, lang) in enumerate(rows)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(i, lang) for i, _, lang in rows if got[i].held_out]
+    assert sum(got[i].lang_pred == lang for i, lang in held) >= 0.9 * len(held)
+    assert sum(got[i].lang_pred == "l49" for i, _ in held) <= 3
+
+
+def test_scores_equal_plain_sums():
+    """The sparse tables next to logarithms of smoothed frequencies, up to what all languages share."""
+    counts = [("a", 0, "x", 5), ("a", 0, "y", 1), ("b", 0, "x", 2), ("b", 0, "z", 7), ("a", 1, "q", 3), ("b", 1, "r", 1)]
+    model = WordFirst(counts, {"a": 3, "b": 1, "c": 1})
+
+    def plain(language, length, entry):
+        own = {(l, e): n for l, k, e, n in counts if k == length}
+        total = {l: sum(n for (m, _), n in own.items() if m == l) for l in "abc"}
+        average = sum(own.get((l, entry), 0) / total[l] for l in "ab") / 3
+        return math.log((own.get((language, entry), 0) + 50 * average) / (total[language] + 50)) - math.log(average)
+
+    for words in (["x"], ["x", "y", "z", "x"], ["q"], ["z", "rrr", "unseen"]):
+        want = []
+        for language, prior in zip("abc", (0.6, 0.2, 0.2)):
+            total = math.log(prior)
+            for w in words:
+                if w in "xyz":
+                    total += plain(language, 0, w)
+                else:
+                    total += sum(plain(language, 1, g) for g in f"<{w}>" if g in "qr")
+            want.append(total)
+        assert model.scores(words) == pytest.approx(want)
+
+
 def test_toxicity_of_hard_cases(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (8, 0), (9, None), (None, 1), (11, 0)], "doc_id long, toxic int")
     got = toxicity(hard_table(spark), labels).collect()
@@ -181,6 +237,56 @@ def test_quality_rules(spark, docs):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
 
 
+def greek(rnd, words, n):
+    """Prose over some words, each text with most of its own order."""
+    return [" ".join(rnd.choices(words, k=60)) + f" {i}" for i in range(n)]
+
+
+def test_letters_of_any_alphabet_count(spark):
+    """In a Greek text with other letters in the same places the model sees another text."""
+    rnd = random.Random(8)
+    words = ["και", "το", "είναι", "στην", "θάλασσα", "ημέρα", "λόγος", "άνθρωπος", "πόλη", "νερό", "με", "για", "δρόμος"]
+    texts = greek(rnd, words, 80)
+    letters = sorted({c for w in words for c in w})
+    noise = ["".join(rnd.choice(letters) if c in letters else c for c in t) for t in texts[:3]]
+    rows = [(i, t, "el") for i, t in enumerate([*texts, *noise])]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    prose = [r.perplexity for r in got if r.doc_id < 80]
+    assert min(r.perplexity for r in got if r.doc_id >= 80) > max(prose)
+    assert not any(r.kept for r in got if r.doc_id >= 80) and np.mean([r.kept for r in got if r.doc_id < 80]) > 0.9
+
+
+@pytest.mark.parametrize("group_grams", [4_000_000, 1500])
+def test_languages_of_any_number_and_size(spark, group_grams):
+    """Ten languages, one of six documents, null and empty ones apart: clean documents stay,
+    whether models go out together or in groups."""
+    from shelfspark.llm.perplexity import score
+
+    rnd = random.Random(3)
+    rows = []
+    for k in range(10):
+        letters = "".join(chr(ord("a") + (5 * k + 3 * j) % 26) for j in range(9))
+        words = ["".join(rnd.choices(letters, k=rnd.choice([2, 4, 7]))) for _ in range(40)]
+        rows += [(text, [f"l{k}", None, ""][k - 7 if k > 7 else 0]) for text in greek(rnd, words, 6 if k == 4 else 30)]
+    rows = [(i, *row) for i, row in enumerate(rows)] + [(9999, "12 !", "other"), (10000, "", "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    if group_grams > 10_000:
+        got = quality_rules(df).collect()
+        small = [r.kept for r in got if r.lang == "l4"]
+        assert len(small) == 6 and all(small) and np.mean([r.kept for r in got]) > 0.9
+        assert {r.lang for r in got} >= {None, ""}
+    else:
+        one = {r.doc_id: r.log_ppl for r in score(df).collect()}
+        many = {r.doc_id: r.log_ppl for r in score(df, group_grams=group_grams).collect()}
+        assert one.keys() == many.keys()
+        assert {k for k, v in one.items() if v is None} == {k for k, v in many.items() if v is None}
+        assert [v for v in one.values() if v is not None] == pytest.approx([many[k] for k, v in one.items() if v is not None])
+
+
+def test_groups_of_languages():
+    assert groups_of({"a": 3, "b": 4, "c": 9, "d": 1}, 7) == [["a", "b"], ["c"], ["d"]] and groups_of({}, 5) == []
+
+
 def test_quality_rules_of_hard_cases(spark):
     got = quality_rules(hard_table(spark)).collect()
     assert len(got) == len(hard_cases())
