@@ -46,37 +46,99 @@ TEMPLATES = {
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version",
     ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version",
+    ),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version",
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    ),
+    "CC-BY-SA-4.0": (
+        "CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    ),
+    "CC-BY-ND-4.0": (
+        "CC BY-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     ),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
-    "BSD-3-Clause": (
+    "CC-BY-NC-SA-4.0": (
+        "CC BY-NC-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "CC BY-NC-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    ),
+    "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met",
     ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission",
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies",
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
+#: Words that tell licenses of like wording apart, besides version numbers. A notice
+#: must have those of its template, and none that the template lacks.
+DECIDING = frozenset(
+    "affero lesser mit apache gnu mozilla eclipse mpl creative sharealike sa noderivatives nd noncommercial nc not".split()
+)
+VERSION = re.compile(r"v?[0-9](\.[0-9]+)*")
+#: A notice right behind such a word is not given.
+NEGATIONS = frozenset("not never neither nor without".split())
+#: A license that another one's notice contains.
+CONTAINED = {"BSD-2-Clause": "BSD-3-Clause"}
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def decides(word: str) -> bool:
+    return word in DECIDING or VERSION.fullmatch(word) is not None
+
+
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs, in order of their first numbers, whose second numbers
     rise: piles of patience sorting with links to the pile before."""
@@ -164,7 +226,8 @@ class Scanner:
                 taken.append(hit)
                 if name not in found or rank > found[name][0]:
                     found[name] = (rank, start, end)
-        return sorted((name, rank[0], start, end) for name, (rank, start, end) in found.items())
+        kept = {n: hit for n, hit in found.items() if CONTAINED.get(n) not in found}
+        return sorted((name, rank[0], start, end) for name, (rank, start, end) in kept.items())
 
     def least(self, template: list[str]) -> float:
         return len(template) * (self.coverage if len(template) >= SHORT else 1)
@@ -178,13 +241,25 @@ class Scanner:
                 if any(first - len(template) <= start <= first + width and end >= first for start, end in whole):
                     continue  # holds a complete copy, or begins inside one
                 pairs = near(align(words[first : first + width], template), LOOSE * len(template))
-                if len(pairs) >= least:
+                if len(pairs) >= least and self.meant(words, first, pairs, template):
                     start, end = first + pairs[0][0], first + pairs[-1][0]
                     found.append((len(pairs) / len(template), start, end))
                     if len(pairs) == len(template):
                         whole.add((start, end))
         return found
 
+    def meant(self, words: list[str], first: int, pairs: list[tuple[int, int]], template: list[str]) -> bool:
+        """Whether the aligned words are this license's notice: they have all deciding words of
+        the template, no other stands between them, and nothing before them takes it back."""
+        start, end = first + pairs[0][0], first + pairs[-1][0]
+        aligned = {first + i for i, _ in pairs}
+        has = {words[i] for i in aligned}
+        if any(decides(w) and w not in has for w in template):
+            return False
+        if any(i not in aligned and decides(words[i]) for i in range(start, end + 1)):
+            return False
+        return NEGATIONS.isdisjoint(words[max(0, start - 2) : start])
+
     def starts(self, words: list[str], own: list[int], template: list[str], bag: Counter, width: int) -> list[int]:
         """Where windows that hold enough of a template's words begin: those that hold most,
         those at a first word of the template, and others at short distances."""
@@ -223,8 +298,10 @@ def license_scan(
     most aligned words counts, on a tie the first by name.
 
     Words are runs of letters and digits, lower-cased (version numbers keep their points). A
-    null text counts as empty. A row per input row, repeated rows included; other columns are
-    not read.
+    null text counts as empty. Texts are read whole, of any length. A notice whose deciding words
+    (names, clauses, versions) differ from the template's, or that stands behind a negation, is
+    not found. A row per input row, repeated rows included, none for an empty table; other
+    columns are not read.
     """
     scanner = Scanner(templates, coverage)
     names = ("license", "coverage", "first_word", "last_word")
