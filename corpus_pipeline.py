@@ -1,8 +1,10 @@
 """The corpus pipeline: from raw documents to encoded ones, in stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but
-the last return the columns of ``documents``. Between stages the rows are written as Parquet
-to the shared folder and read again, which also cuts lineage.
+the last return the columns of ``documents``, others of clashing names included, as they are.
+Between stages the rows are written as Parquet to the shared folder and read again, which also
+cuts lineage. Every stage reads whole texts of any length, and gives an empty table for an empty
+one.
 """
 
 from __future__ import annotations
@@ -19,27 +21,33 @@ from shelfspark.storage import fresh_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language cannot be told."""
+    """Rejects documents whose language cannot be told: null and empty texts, texts without a
+    letter, and those between languages. A null lang or id is no reason; repeated rows stay. With
+    no language to learn from every text with a letter stays."""
     return in_known_language(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the largest id of equal texts."""
+    """Keeps the largest id of equal texts, null ids last; a null text equals an empty one. Of
+    rows that agree in id and text one stays, whichever comes first if they differ elsewhere."""
     return without_copies(docs, keep="largest")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of documents that near-duplicate links connect."""
+    """Keeps the smallest id of documents that near-duplicate links connect. Texts without words
+    and rows with a null id stay; rows that share an id are one document."""
     return without_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and thins whole documents to about the target sizes of their sources."""
+    """Repeats and thins whole documents to about the target sizes of their sources. A null
+    source is one of its own, the last; texts without words are taken for nothing and go."""
     return mixed_documents(docs, cut=False)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded text of each document, each time it is taken."""
+    """Digests of the ids and of the decoded text of each document, each time it is taken; a
+    null text is an empty one, null ids and repeated rows have their rows."""
     return digests(encode_decode(docs, tokenizer("word_bpe_49k.json")))
 
 
