@@ -9,8 +9,9 @@ documents ask shards of hashes and are answered. A document with more shingles o
 it has first ones is in no region, which is so of all that are not mostly copied, and common
 passages are first shingles only of documents that consist of them. In each region:
 
-1. the document with the smallest id is the pivot, and its distance to the others is measured;
-   those within the threshold are its cell and are linked to it;
+1. the document with the most regions is the pivot, so that neighbouring regions have few
+   different ones. Each document is measured against its most usual pivot, and then against
+   those of its regions that are not in its component yet; who links is in the pivot's cell;
 2. the others are pending. A pair of documents can link only if their distances to the pivot
    differ by the threshold at most: this window tells which documents of the cell a pending
    one must be compared with, across the cell's border;
@@ -50,6 +51,8 @@ BLOCK_TOKENS, SHARD_TOKENS = 2 << 20, 4 << 20
 MORE_PIVOTS = 16
 #: Ids that may be sent to every task to pick texts; beyond, texts and ids are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Links that one task joins to components; more are contracted by joins.
+LINKS_AT_ONCE = 500_000
 REGION_BITS = 48
 MEMO_WORDS = 300_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -124,18 +127,20 @@ class Block:
         own = self.hashes[self.id]
         return [blake2b(own[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(self.edges, self.edges[1:])]
 
-    def regions(self, counts: np.ndarray, percent: int) -> list[np.ndarray]:
+    def regions(self, counts: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The first shingles of each text, rare ones first by the ``counts`` of all texts, less
-        those that no other text has."""
+        those that no other text has; and at which place each stands, from 0."""
         often = counts[self.id]
         order = np.lexsort((self.id, often, self.doc))
         size = self.sizes()
         first = size - -(-size * percent // 100) + 1
         place = np.arange(len(order)) - np.repeat(self.edges[:-1], size)
-        kept = order[(place < np.repeat(first, size)) & (often[order] > 1)]
+        chosen = (place < np.repeat(first, size)) & (often[order] > 1)
+        kept, place = order[chosen], place[chosen]
         edges = np.searchsorted(self.doc[kept], np.arange(self.docs + 1))
         named = _signed(self.hashes[self.id[kept]])
-        return [named[a:b] for a, b in zip(edges, edges[1:])]
+        spans = list(zip(edges, edges[1:]))
+        return [named[a:b] for a, b in spans], [place[a:b] for a, b in spans]
 
 
 def _mixed(at: np.ndarray, width: int) -> np.ndarray:
@@ -221,7 +226,8 @@ def in_how_many(blocks: DataFrame, words: int, shards: int) -> DataFrame:
 
 
 def signatures(texts: DataFrame, words: int, percent: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the regions of each row (doc_id, text).
+    """doc_id, n_shingles, digest of the set, and the regions of each row (doc_id, text) with the
+    places of their shingles.
 
     How many texts have a shingle is counted in full, so a text of which more than its first
     shingles allow is its own has no region at all, and common passages come last."""
@@ -231,7 +237,8 @@ def signatures(texts: DataFrame, words: int, percent: int, block_tokens: int = B
     shards = max(shuffle_partitions(spark), -(-n // SHARD_TOKENS))
     given = in_how_many(blocks, words, shards)
     fields = [("doc_id", to_arrow_type(texts.schema["doc_id"].dataType)), ("n_shingles", pa.int64())]
-    schema = pa.schema([*fields, ("digest", pa.binary()), ("regions", pa.list_(pa.int64()))])
+    lists = [("regions", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
+    schema = pa.schema([*fields, ("digest", pa.binary()), *lists])
 
     def sign(own: pa.Table, answers: pa.Table) -> pa.Table:
         by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist()))
@@ -240,22 +247,33 @@ def signatures(texts: DataFrame, words: int, percent: int, block_tokens: int = B
             block = _read(row["packed"], words)
             counts = [unpacked(by_shard[s])[0] for s in sorted(by_shard)]
             counts = np.concatenate([*counts, np.zeros(0, np.uint32)])
-            columns = [row["doc_ids"], block.sizes(), block.digests(), block.regions(counts, percent)]
+            columns = [row["doc_ids"], block.sizes(), block.digests(), *block.regions(counts, percent)]
             tables.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     both = blocks.select("block", "doc_ids", "packed").groupBy("block").cogroup(given.groupBy("block"))
-    return both.applyInArrow(sign, f"doc_id {kind}, n_shingles long, digest binary, regions array<long>")
+    return both.applyInArrow(sign, f"doc_id {kind}, n_shingles long, digest binary, regions array<long>, places array<long>")
+
+
+def needed(n_a, n_b, percent: int):
+    """The least intersection of sets of these sizes that link."""
+    return F.ceil((n_a + n_b) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
 
 
 def may_link(n_a, n_b, common, percent: int):
     """Whether sets of these sizes may link with at most ``common`` of their first shingles in
     common: the rest of the larger set is the most that can come to it."""
     less, more = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    needed = F.ceil((n_a + n_b) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
     beyond = F.ceil(more * percent / 100) - 1
-    return (100 * less >= percent * more) & (common + beyond >= needed)
+    return (100 * less >= percent * more) & (common + beyond >= needed(n_a, n_b, percent))
+
+
+def may_meet(n_a, place_a, n_b, place_b, percent: int):
+    """Whether sets may link of which a region's shingle is the first that both have: what they
+    have in common stands at its places or behind. Pairs that link pass in the region of
+    their first common shingle, if not in others."""
+    return F.least(n_a - place_a, n_b - place_b) >= needed(n_a, n_b, percent)
 
 
 def promising(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -297,14 +315,44 @@ def measure(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return _stored(measured.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("link").alias("link")), "pairs")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of links (a, b), by alternating star contraction."""
+def components(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """node, component (its smallest node) of links (a, b).
+
+    Up to ``at_once`` links, which are counted first, one task joins them; more are brought
+    together by alternating star contraction, which gives the same."""
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    edges = _stored(edges, "links")
+    if edges.count() > at_once:
+        return _contracted(edges)
+    kind = edges.schema["a"].dataType
+
+    def join(batches):
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+        nodes = [x for x in parent if root(x) != x]
+        columns = {"node": pa.array(nodes, to_arrow_type(kind)), "component": pa.array([root(x) for x in nodes], to_arrow_type(kind))}
+        yield pa.RecordBatch.from_pydict(columns)
+
+    name = kind.simpleString()
+    return _stored(edges.repartition(1).mapInArrow(join, f"node {name}, component {name}"), "components")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """node, component of distinct edges (a, b) with a > b, by alternating star contraction."""
 
     def mark(edges):
         return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
 
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    edges = cut_lineage(edges)
     before = None
     while before != (now := mark(edges)):
         before = now
@@ -353,17 +401,19 @@ def ngram_join(
 
 def _connected(firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """node, component of the documents that have links."""
-    places = firsts.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "regions")
-    places = _stored(places, "places")
-    placed = places.select(F.explode("regions").alias("region"), "x")
-    regions = placed.groupBy("region").agg(F.count("*").alias("n"), F.min("x").alias("pivot")).where("n > 1")
-    regions = _stored(regions.select("region", "pivot"), "regions")
-    members = _stored(placed.join(regions, "region").where("x != pivot"), "members")
+    places = firsts.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.arrays_zip("regions", "places").alias("at"))
+    placed = places.select("x", "n", F.explode("at").alias("at")).select("x", "n", F.col("at.regions").alias("region"), F.col("at.places").alias("place"))
+    placed = _stored(placed, "places")
+    # A region's pivot: of its documents the one with most regions, so that pivots are few.
+    joint = placed.groupBy("x").agg(F.count("*").alias("joint"))
+    ranked = placed.join(joint, "x")
+    pivot = F.max(F.struct("joint", F.xxhash64("x").alias("draw"), "x", "n", "place")).alias("pivot")
+    regions = ranked.groupBy("region").agg(F.count("*").alias("size"), pivot).where("size > 1")
+    regions = _stored(regions.select("region", F.col("pivot.x").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.place").alias("pivot_place")), "regions")
+    members = _stored(placed.join(regions, "region"), "members")
 
     # Regions of a document with others: their number is bounded by the length of its text.
-    joint = members.select("x", "region").union(regions.select(F.col("pivot").alias("x"), "region"))
-    joint = joint.groupBy("x").agg(F.collect_set("region").alias("regions"))
-    shared = places.select("x", "n").groupBy("x").agg(F.max("n").alias("n")).join(joint, "x")
+    shared = members.groupBy("x").agg(F.max("n").alias("n"), F.collect_set("region").alias("regions"))
     shared = _stored(shared, "shared")
 
     def measured_pairs(pairs):
@@ -371,24 +421,44 @@ def _connected(firsts: DataFrame, texts: DataFrame, words: int, percent: int) ->
         hopeful = _stored(promising(pairs, shared, percent), "promising")
         return measure(hopeful, texts, words, percent)
 
-    # The first level: every region's pivot with all its members.
-    pairs = _stored(members.select(F.col("x").alias("a"), F.col("pivot").alias("b")).distinct(), "level-pairs")
+    meets = may_meet(F.col("n"), F.col("place"), F.col("pivot_n"), F.col("pivot_place"), percent)
+    due = members.where((F.col("x") != F.col("pivot")) & meets)
+    # First each document with the pivot that most of its regions have, which settles most of a
+    # group of near copies with a comparison a document.
+    usual = due.groupBy("x", "pivot").agg(F.count("*").alias("often"))
+    usual = usual.groupBy("x").agg(F.max_by("pivot", F.struct("often", F.col("pivot").cast("string"))).alias("pivot"))
+    pairs = _stored(usual.select(F.greatest("x", "pivot").alias("a"), F.least("x", "pivot").alias("b")).distinct(), "level-pairs")
     measured = measured_pairs(pairs)
     links = measured.where("link").select("a", "b")
     known = components(links)
-    failed = pairs.join(links, ["a", "b"], "left_anti")
-    if failed.isEmpty():
-        return known
+
+    # The first level: every region's pivot with the members that are not in its component yet.
+    def named_by(rows, known, *names):
+        for name in names:
+            own = known.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+            rows = rows.join(own, name, "left").withColumn(f"{name}_component", F.coalesce(f"{name}_component", name))
+        return rows
+
+    apart = F.col("x_component") != F.col("pivot_component")
+    open_pairs = named_by(due, known, "x", "pivot").where(apart)
+    pairs = open_pairs.select(F.greatest("x", "pivot").alias("a"), F.least("x", "pivot").alias("b")).distinct()
+    tried = _stored(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "level-pairs")
+    later = measured_pairs(tried)
+    measured = _stored(measured.unionByName(later), "measured")
+    links = later.where("link").select("a", "b")
+    if not links.isEmpty():
+        known = components(links.union(known.select("node", "component")))
+
+    # Regions whose documents are not all of one component: those apart from the pivot are pending.
+    state = _stored(named_by(members, known, "x", "pivot"), "state")
+    open_regions = state.where(apart).select("region").distinct()
+    distances = measured.select("a", "b", "distance")
+    rest = state.withColumns({"a": F.greatest("x", "pivot"), "b": F.least("x", "pivot")}).join(open_regions, "region", "left_semi")
+    rest = rest.join(distances, ["a", "b"], "left").join(shared.select("x", F.size("regions").alias("joint")), "x")
+    own = F.when(F.col("x") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("distance"))
+    pending = apart & (F.col("x") != F.col("pivot"))
+    rest = _stored(rest.select("region", "x", "n", "place", "joint", own.alias("distance"), pending.alias("pending")), "rest")
     reach = F.lit((100 - percent) / 100 + 1e-9)
-    missed = members.join(failed.select(F.col("a").alias("x"), F.col("b").alias("pivot")), ["x", "pivot"])
-    open_regions = _stored(missed.select("region").distinct(), "open")
-    away = measured.select(F.col("a").alias("x"), F.col("b").alias("pivot"), "distance", "link")
-    rest = members.join(open_regions, "region", "left_semi").join(away, ["x", "pivot"], "left")
-    pending = ~F.coalesce("link", F.lit(False))
-    joint_with = F.size("regions").alias("joint")  # the most first shingles in common with any
-    rest = rest.join(shared.select("x", "n", joint_with), "x")
-    rest = _stored(rest.select("region", "x", "n", "joint", "distance", pending.alias("pending")), "rest")
-    tried = pairs
 
     pivots_each = 1
     while True:
@@ -408,25 +478,19 @@ def _connected(firsts: DataFrame, texts: DataFrame, words: int, percent: int) ->
         share = F.pmod(F.xxhash64("x", F.lit(pivots_each)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         chosen = waiting & ((F.col("x") == F.col("least")) | (share * F.col("n_pending") < pivots_each))
         named = _stored(named.select(*rest.columns, "component", chosen.alias("chosen")), "level")
-        pivots = named.where("chosen").select(
-            "region",
-            F.col("x").alias("q"),
-            F.col("n").alias("q_n"),
-            F.col("joint").alias("q_joint"),
-            F.col("distance").alias("q_distance"),
-            F.col("component").alias("q_component"),
-        )
+        pivots = named.where("chosen").select("region", *(F.col(c).alias(f"q_{c}") for c in ("x", "n", "place", "joint", "distance", "component")))
         # Distances that were not measured tell nothing.
         window = F.coalesce(F.abs(F.col("distance") - F.col("q_distance")) <= reach, F.lit(True))
-        due = window & may_link(F.col("n"), F.col("q_n"), F.least("joint", "q_joint"), percent)
-        near = named.join(pivots, "region").where((F.col("component") != F.col("q_component")) & due)
-        pairs = near.select(F.greatest("x", "q").alias("a"), F.least("x", "q").alias("b")).distinct()
-        pairs = _stored(pairs.join(tried, ["a", "b"], "left_anti"), "level-pairs")
-        measured = measured_pairs(pairs)
-        links = measured.where("link").select("a", "b")
+        near = window & may_link(F.col("n"), F.col("q_n"), F.least("joint", "q_joint"), percent)
+        near &= may_meet(F.col("n"), F.col("place"), F.col("q_n"), F.col("q_place"), percent)
+        pairs = named.join(pivots, "region").where((F.col("component") != F.col("q_component")) & near)
+        pairs = pairs.select(F.greatest("x", "q_x").alias("a"), F.least("x", "q_x").alias("b")).distinct()
+        pairs = _stored(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "level-pairs")
+        later = measured_pairs(pairs)
+        links = later.where("link").select("a", "b")
         if not links.isEmpty():  # components so far stand for all earlier links
             known = components(links.union(known.select("node", "component")))
-        tried = _stored(tried.union(pairs), "tried")
+        measured = _stored(measured.unionByName(later), "measured")
         rest = named.where("not chosen").select(*rest.columns)
         pivots_each *= MORE_PIVOTS
 

@@ -104,14 +104,16 @@ def test_first_shingles_meet():
         sets = [set(block.id[x:y].tolist()) for x, y in zip(block.edges, block.edges[1:])]
         counts = np.bincount(block.id, minlength=len(block.hashes)) + pick.integers(0, 3, len(block.hashes))
         if 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]):
-            one, other = block.regions(counts, 75)
+            (one, other), _ = block.regions(counts, 75)
             assert set(one.tolist()) & set(other.tolist())
 
 
-def test_star_contraction(spark):
-    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 98), (98, 100)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+@pytest.mark.parametrize("at_once", [500_000, 0])  # in one task, and by star contraction
+def test_components_of_links(spark, at_once):
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 98), (98, 100), (7, 7)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long"), at_once).collect()}
     assert found == {**{i: 0 for i in range(1, 61)}, 99: 98, 100: 98}
+    assert components(spark.createDataFrame([], "a string, b string"), at_once).collect() == []
 
 
 def test_hard_cases(spark):
