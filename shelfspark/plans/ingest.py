@@ -52,11 +52,23 @@ def split_sentences(
     return explode_rows(arrays.select(*kept, "pieces"), "pieces", "content", "piece_idx")
 
 
-def _with_titles(arrays: DataFrame) -> DataFrame:
+def last_titles(raw: DataFrame, cfg: Settings = Settings(), kind: Column | None = None) -> DataFrame:
+    """(file_id, title) of the last title in the texts of each file that has one."""
+    arrays = _piece_arrays(raw, cfg, kind)
+    found = arrays.select(
+        "file_id",
+        F.col("part") if "part" in arrays.columns else F.lit(0).alias("part"),
+        F.get("pieces", F.array_max(title_positions(F.col("pieces")))).alias("title"),
+    )
+    return found.where("title is not null").groupBy("file_id").agg(F.max_by("title", "part").alias("title"))
+
+
+def _with_titles(arrays: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Pieces as (content, category), titles carried within a text and over the parts.
 
     Inside a text the pieces are an array of one row, so nothing is shuffled. What a text
-    inherits from the parts before it is one title per part, filled forward in blocks.
+    inherits from the parts before it is one title per part, filled forward in blocks. ``earlier``
+    (file_id, title) has the titles that files bring along from before.
     """
     located = arrays.withColumn("_titles", title_positions(F.col("pieces")))
     inherited = None
@@ -71,8 +83,12 @@ def _with_titles(arrays: DataFrame) -> DataFrame:
         )
         located = located.join(before, ["file_id", "part"], "left")
         inherited = F.col("_inherited")
+    if earlier is not None:
+        brought = earlier.select("file_id", F.col("title").alias("_brought"))
+        located = located.join(brought, "file_id", "left")
+        inherited = F.col("_brought") if inherited is None else F.coalesce(inherited, F.col("_brought"))
     shown = titled_pieces(F.col("pieces"), F.col("_titles"), inherited)
-    return located.withColumn("pieces", shown).drop("_titles", "_inherited")
+    return located.withColumn("pieces", shown).drop("_titles", "_inherited", "_brought")
 
 
 def enhance_titles(
@@ -111,7 +127,11 @@ def _part_offsets(sized: DataFrame, block_parts: int = 65536) -> DataFrame:
 
 
 def chunk_texts(
-    raw: DataFrame, cfg: Settings = Settings(), kind: Column | None = None, measure=None
+    raw: DataFrame,
+    cfg: Settings = Settings(),
+    kind: Column | None = None,
+    measure=None,
+    earlier_titles: DataFrame | None = None,
 ) -> DataFrame:
     """Both splits: (…, chunk_idx, chunk_id, content) from texts (file_id, text).
 
@@ -122,7 +142,7 @@ def chunk_texts(
     arrays = _piece_arrays(raw, cfg, kind)
     pieces = F.col("pieces")
     if cfg.title_enhance:
-        arrays = _with_titles(arrays)
+        arrays = _with_titles(arrays, earlier_titles)
         pieces = F.transform("pieces", lambda piece: piece["content"])
     cut = token_split(pieces, cfg.chunk_tokens, cfg.chunk_overlap_tokens, measure)
     texts = arrays.withColumn("_cut", cut).drop("pieces")
@@ -173,6 +193,19 @@ def ingest(
     known = raw.join(files.select("file_id", "file_name"), "file_id").withColumn("_kind", kind)
     readable = known.where(F.col("_kind").isNotNull()).drop("file_name")
     chunks = stamp(chunk_texts(readable, cfg, F.col("_kind"), measure).drop("_kind"), files)
+    return embed_and_store(chunks, files, readable.select("file_id"), model, cfg, store)
+
+
+def embed_and_store(
+    chunks: DataFrame,
+    files: DataFrame,
+    parsed: DataFrame,
+    model: Callable,
+    cfg: Settings = Settings(),
+    store: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, vectors, outcome) of stamped chunks of ``files`` (file_id, kb_id); ``parsed`` has
+    the files of which a text could be read. See ``ingest``."""
     embedded = cut_lineage(embed(chunks, model, cfg=cfg))
     chunks = embedded.select(*chunks.columns)
     failed = embedded.groupBy("file_id").agg(
@@ -183,7 +216,7 @@ def ingest(
     # A file is indexed whole or not at all.
     whole = failed.where("_embedded").select("file_id")
     vectors = embedded.join(whole, "file_id", "left_semi").drop("embedding_error")
-    parsed = readable.select("file_id", F.lit(True).alias("_parsed")).distinct()
+    parsed = parsed.select("file_id", F.lit(True).alias("_parsed")).distinct()
     reached = (
         files.select("file_id", "kb_id")
         .join(parsed, "file_id", "left")

@@ -17,7 +17,7 @@ from shelfspark.config import SERVICES, Settings
 from shelfspark.functions import answers as parse
 from shelfspark.functions.names import chunk_id
 from shelfspark.operators.health import complete_services, outcome_windows, state_aggregates
-from shelfspark.plans.ingest import chunk_texts
+from shelfspark.plans.ingest import chunk_texts, embed_and_store, last_titles, stamp
 from shelfspark.storage import cut_lineage
 
 
@@ -44,29 +44,49 @@ def _has_rows(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+#: Folders that the ledger of an ingest stream is cut into by a hash of the file.
+LEDGER_BUCKETS = 64
+
+
 def ingest(
-    texts: DataFrame, path: str, checkpoint: str, cfg: Settings = Settings()
+    texts: DataFrame,
+    path: str,
+    checkpoint: str,
+    cfg: Settings = Settings(),
+    files: DataFrame | None = None,
+    model: Callable | None = None,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Chunk texts (file_id, text and, if files have several, part) as they arrive.
 
     A text seen in an earlier batch is not taken again; of texts that share file and part in
     one batch the first by code point is. A part that arrives later goes on numbering where
-    its file stands. What has been taken is kept in a ledger of one row per text beside
-    ``path``, so chunks are not read again.
+    its file stands, under the last title of its file if titles are kept. What has been taken
+    is kept in a ledger of one row per text beside ``path``, in buckets by file: a batch reads
+    those of its own files. With a ``model`` the chunks of ``files`` (file_id, user_id, kb_id,
+    file_name) are embedded and stored as in ``plans.ingest.ingest``; vectors and a status per
+    file are written beside ``path`` as well. A batch that is run again replaces what it wrote.
     """
     ledger = f"{path}-taken"
 
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(LEDGER_BUCKETS)).cast("int"))
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keys = [c for c in ("file_id", "part") if c in batch.columns]
         kept = [c for c in batch.columns if c not in (*keys, "text")]
         first = F.min(F.struct("text", *kept)).alias("_first")
-        fresh = batch.groupBy(*keys).agg(first).select(*keys, "_first.*")
-        earlier = None
+        fresh = cut_lineage(batch.groupBy(*keys).agg(first).select(*keys, "_first.*"))
+        earlier = titles = None
         if number and _has_rows(spark, ledger):
-            earlier = spark.read.parquet(ledger).where(F.col("batch") < number)
-            fresh = fresh.join(earlier.select(*keys), keys, "left_anti")
-        chunks = chunk_texts(cut_lineage(fresh), cfg)
+            wanted = [r[0] for r in bucketed(fresh).select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
+            held = spark.read.parquet(ledger).where((F.col("batch") < number) & F.col("bucket").isin(wanted))
+            earlier = held.join(fresh.select("file_id").distinct(), "file_id", "left_semi")
+            fresh = cut_lineage(fresh.join(earlier.select(*keys), keys, "left_anti"))
+            at = F.struct("batch", "n")
+            titles = earlier.where("title is not null").groupBy("file_id").agg(F.max_by("title", at).alias("title"))
+        chunks = chunk_texts(fresh, cfg, earlier_titles=titles)
         if earlier is not None:
             taken = earlier.groupBy("file_id").agg(F.sum("n").alias("_taken"))
             at = (F.col("chunk_idx") + F.coalesce("_taken", F.lit(0))).cast("int")
@@ -77,19 +97,34 @@ def ingest(
                 .drop("_taken")
             )
         chunks.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        counts = spark.read.parquet(f"{path}/batch={number}").groupBy("file_id").count()
-        # The number of chunks stands with one text of the file.
-        texts = fresh.select(*keys).withColumn(
+        chunks = spark.read.parquet(f"{path}/batch={number}")
+        if model is not None:
+            own = files.join(fresh.select("file_id").distinct(), "file_id", "left_semi")
+            _, vectors, outcome = embed_and_store(stamp(chunks, own), own, fresh.select("file_id"), model, cfg, store)
+            outcome = cut_lineage(outcome)
+            vectors.write.mode("overwrite").parquet(f"{path}-vectors/batch={number}")
+            outcome.write.mode("overwrite").parquet(f"{path}-status/batch={number}")
+        counts = chunks.groupBy("file_id").count()
+        # The number of chunks, and the last title, stand with one text of the file.
+        rows = fresh.select(*keys).withColumn(
             "_nth", F.row_number().over(Window.partitionBy("file_id").orderBy(*keys))
         )
-        n = F.when(F.col("_nth") == 1, F.coalesce("count", F.lit(0))).otherwise(0)
-        texts.join(counts, "file_id", "left").select(*keys, n.alias("n")).write.mode(
-            "overwrite"
-        ).parquet(f"{ledger}/batch={number}")
+        only = F.col("_nth") == 1
+        n = F.when(only, F.coalesce("count", F.lit(0))).otherwise(0)
+        last = last_titles(fresh, cfg) if cfg.title_enhance else fresh.select("file_id", F.lit(None).cast("string").alias("title")).limit(0)
+        rows = rows.join(counts, "file_id", "left").join(last, "file_id", "left")
+        rows = rows.select(*keys, n.alias("n"), F.when(only, F.col("title")).alias("title"))
+        bucketed(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/batch={number}")
 
     return _start(texts, checkpoint, "append", write)
 
 
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, status) of an ingest stream's files: red or yellow if any batch ended so."""
+    worst = F.when(F.col("status") == "red", 0).when(F.col("status") == "yellow", 1).otherwise(2)
+    return spark.read.parquet(f"{path}-status").groupBy("file_id").agg(F.min_by("status", worst).alias("status"))
+
+
 def service_state(
     events: DataFrame, path: str, checkpoint: str, services=SERVICES
 ) -> StreamingQuery:

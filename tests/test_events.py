@@ -199,3 +199,41 @@ def test_models_are_not_run_again_for_a_filter(spark):
     scored = models.rerank_scores(pairs, lambda q, p: [0.9] * len(p)).where("rerank_score > 0.5 and rerank_score < 1")
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("score(question") == 1
+
+
+def test_ingest_stream_carries_titles_and_statuses(spark):
+    """Parts over two batches: titles go on, red and yellow are reached, a replay changes nothing."""
+    from dataclasses import replace
+
+    from shelfspark.config import Settings
+
+    src, out, mark, index = (fresh_path(spark, n) for n in ("texts", "chunks", "mark", "index"))
+    cfg = replace(Settings(), title_enhance=True, embed_attempts=1, embed_batch=1)
+    files = spark.createDataFrame(
+        [(f, "u", "k", f"{f}.txt") for f in ("a", "bad", "lost")], "file_id string, user_id string, kb_id string, file_name string"
+    )
+
+    def model(texts):
+        if any("worse" in t for t in texts):
+            raise RuntimeError("cannot embed")
+        return [[1.0, 2.0] for _ in texts]
+
+    def store(vectors):
+        vectors.where("file_id != 'lost'").write.mode("append").parquet(index)
+        return spark.read.parquet(index).select("file_id").distinct()
+
+    schema = "file_id string, part int, text string"
+    arrivals = [
+        [("a", 0, "第一章标题\n\n内容在这里。"), ("bad", 0, "fine."), ("lost", 0, "one.")],
+        [("a", 1, "后面的内容也很长。"), ("a", 0, "again."), ("bad", 1, "worse.")],
+    ]
+    for rows in arrivals:
+        arrive(spark, src, rows, schema)
+        stream = spark.readStream.schema(schema).parquet(src)
+        jobs.ingest(stream, out, mark, cfg, files, model, store).awaitTermination()
+    got = {(r["file_id"], r["chunk_idx"]): r["content"] for r in spark.read.parquet(out).collect()}
+    own = [got[k] for k in sorted(got) if k[0] == "a"]
+    assert sorted(k[1] for k in got if k[0] == "a") == list(range(len(own)))
+    assert own[-1] == "下文与(第一章标题)有关。后面的内容也很长。"
+    assert {r["file_id"]: r["status"] for r in jobs.read_status(spark, out).collect()} == {"a": "green", "bad": "red", "lost": "yellow"}
+    assert {r["file_id"] for r in spark.read.parquet(f"{out}-vectors").collect()} == {"a", "bad"}
