@@ -46,7 +46,7 @@ from shelfspark.storage import cut_lineage, fresh_path
 
 WORDS, PERCENT = 5, 75
 #: Words of a block and shingles of a shard, about; a longer text is a block of its own.
-BLOCK_TOKENS, SHARD_TOKENS = 2 << 20, 4 << 20
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 2 << 20
 #: Pivots of a region grow by this factor from level to level.
 MORE_PIVOTS = 16
 #: Ids that may be sent to every task to pick texts; beyond, texts and ids are joined by shuffle.
@@ -54,7 +54,7 @@ BROADCAST_IDS = 500_000
 #: Links that one task joins to components; more are contracted by joins.
 LINKS_AT_ONCE = 500_000
 REGION_BITS = 48
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 

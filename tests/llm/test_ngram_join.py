@@ -60,7 +60,7 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block_tokens", [2 << 20, 700])
+@pytest.mark.parametrize("block_tokens", [1 << 20, 700])
 def test_components_are_those_of_all_pairs(spark, block_tokens):
     """Also over many small blocks, some of one text alone."""
     rows = corpus()
