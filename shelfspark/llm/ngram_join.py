@@ -189,6 +189,11 @@ def blocks_of(texts: DataFrame, block_tokens: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_tokens long, packed binary")
 
 
+def _let_go() -> None:
+    """Gives the memory of finished blocks back: idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+
+
 def _read(blob: bytes, words: int) -> Block:
     tokens, lengths, names = unpacked(blob)
     return Block(tokens, lengths.astype(np.int64), names, words)
@@ -211,6 +216,8 @@ def in_how_many(blocks: DataFrame, words: int, shards: int) -> DataFrame:
                     if b > a
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema)
+                del block, out
+                _let_go()
 
     def merge(table: pa.Table) -> pa.Table:
         asked = [unpacked(b) for b in table.column("blob").to_pylist()]
@@ -249,6 +256,8 @@ def signatures(texts: DataFrame, words: int, percent: int, block_tokens: int = B
             counts = np.concatenate([*counts, np.zeros(0, np.uint32)])
             columns = [row["doc_ids"], block.sizes(), block.digests(), *block.regions(counts, percent)]
             tables.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema))
+            del block, counts, columns
+        _let_go()
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
