@@ -39,9 +39,12 @@ QUERIES, SQL, register = registry()
 
 
 def stream(spark, d, name):
-    """The table as a stream of its file."""
+    """The table as a stream of its file, or of the files of its folder.
+
+    The path is a pattern, as a stream's plain path must be a folder.
+    """
     schema = bind.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _finish(query):
