@@ -16,3 +16,10 @@ def test_answers_of_a_table_in_several_files(spark):
     d = folder(spark, "conversations", rows, "conv_id bigint, turn bigint, role string, text string")
     got = sorted(tuple(r) for r in streams.str_answer(spark, d).collect())
     assert got == [("1:1", "one\ntwo", True), ("3:1", "open", False)]
+
+
+def test_texts_of_a_table_in_several_files(spark):
+    rows = [(1, "one. two."), (2, "three.")]
+    d = folder(spark, "documents", rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in streams.str_ingest(spark, d).collect())
+    assert got == [("1".zfill(32), 0, "one."), ("1".zfill(32), 1, "two."), ("2".zfill(32), 0, "three.")]
