@@ -23,3 +23,10 @@ def test_texts_of_a_table_in_several_files(spark):
     d = folder(spark, "documents", rows, "doc_id bigint, text string")
     got = sorted(tuple(r) for r in streams.str_ingest(spark, d).collect())
     assert got == [("1".zfill(32), 0, "one."), ("1".zfill(32), 1, "two."), ("2".zfill(32), 0, "three.")]
+
+
+def test_files_of_a_table_in_several_files(spark):
+    rows = [(1, "src1", 3), (11, "src1", 4), (2, "src1", 5)]
+    d = folder(spark, "documents", rows, "doc_id bigint, source string, n_chars bigint")
+    got = sorted(tuple(r) for r in streams.str_poll(spark, d).collect())
+    assert got == [("KB_u1_src1", True), ("KB_u2_src1", False)]
