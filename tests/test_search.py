@@ -360,3 +360,45 @@ def test_hot_users_are_many_tiles(points):
     scored = knn.score(queries, vectors, 2, plan="tile", query_tile=5, vector_tile=30)
     per_query = scored.groupBy("query_id").count().agg(F.max("count")).head()[0]
     assert 2 < per_query <= 2 * math.ceil(305 / 30)
+
+
+def test_small_tiles_do_not_multiply_copies(points):
+    """Tiles of one row: only as many cells are made as the cores need, not one a pair."""
+    rows, asked, vectors, queries = points
+    scored = knn.score(queries, vectors, 2, plan="tile", query_tile=1, vector_tile=1)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    per_query = scored.groupBy("query_id").count().agg(F.max("count")).head()[0]
+    assert per_query <= 2 * knn.CELLS * cores < 305
+    assert as_dict(knn.rank_hits(scored, 2)) == brute(rows, asked, 2)
+
+
+def test_scan_is_left_when_its_hits_would_be_many(points, monkeypatch):
+    rows, asked, vectors, queries = points
+    monkeypatch.setattr(knn, "SCAN_HITS", 20)
+    scans = []
+    monkeypatch.setattr(knn, "_scan", lambda *given: scans.append(given))
+    assert as_dict(knn.knn(queries, vectors, 7)) == brute(rows, asked, 7)
+    assert not scans
+
+
+def test_single_precision_loses_no_hit(spark):
+    """Vectors that differ beyond single precision's error, many copies, and lengths too large for it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    near = base + rng.normal(size=(3000, 16)) * 1e-7
+    for points in (near, np.repeat(near[:3], 1000, axis=0), rng.normal(size=(3000, 16)) * 1e25):
+        queries = np.concatenate([base[None], rng.normal(size=(4, 16))])
+        order = rng.permutation(3000)
+        names = pa.table({"file_id": [f"f{i:04d}" for i in order], "chunk_idx": pa.array([0] * 3000, pa.int32())})
+        best = knn.Best(queries, 7)
+        for at in range(0, 3000, 500):
+            best.feed(names.slice(at, 500), points[at : at + 500])
+        hits = best.hits(np.array([f"q{i}" for i in range(5)], object), "u").to_pylist()
+        scores = np.round(np.array([[np.einsum("i,i", q, p) for p in points] for q in queries]), 10)
+        for i, own in enumerate(scores):
+            want = sorted(zip(-own, (f"f{i:04d}" for i in order)))[:7]
+            got = sorted((-h["ip"], h["file_id"]) for h in hits if h["query_id"] == f"q{i}")
+            assert [n for _, n in got] == [n for _, n in want]
+            assert np.allclose([s for s, _ in got], [s for s, _ in want], rtol=1e-12, atol=2e-10)
