@@ -14,7 +14,9 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ RANGE, BUCKETS, BLOCK_TERMS = 4096, 64, 1024
 FIELD_SPAN = 1 << 40
 #: Tokens that are sent along with the scan; more are joined by shuffle.
 FEW_TOKENS = 100_000
+#: Numbers of candidate chunks that are sent along with them.
+FEW_CHUNKS = 2_000_000
 #: Prefixes that reach the vocabulary's scan as ranges.
 FEW_PREFIXES = 200
 #: Prefixes that are sent to the blocks of the vocabulary at once.
@@ -103,33 +107,109 @@ class TokenIndex:
 _POSTINGS = "bucket int, token string, range long, docs array<int>, positions array<array<long>>"
 
 
-def _grouped(batches):
-    """Sorted occurrences (bucket, token, range, doc, at) as a row per token and range."""
-    held: list[pa.RecordBatch] = []
-    key = None
+#: Tokens of a row that is grouped in a task, rows that are grouped there at once, and
+#: occurrences that are merged at once.
+RUN_TOKENS, RUN_ROWS, MERGE_AT = 512, 4000, 1 << 20
+_RUNS = "token string, range long, docs array<int>, counts array<int>, at array<long>"
+_RUNS_ARROW = pa.schema(
+    [("token", pa.string()), ("range", pa.int64()), ("docs", pa.list_(pa.int32()))]
+    + [("counts", pa.list_(pa.int32())), ("at", pa.list_(pa.int64()))]
+)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places at which one of the columns changes, the first included."""
+    changed = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for column in columns:
+        changed |= column[1:] != column[:-1]
+    return np.concatenate([[0], np.flatnonzero(changed) + 1])
+
+
+def _lengths(lists) -> np.ndarray:
+    return pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _list(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists of all values, that begin at the starts."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def _runs(batches):
+    """Tokens (no, base, tokens) to a row per token and range of some texts: their places, how
+    often each has the token and where."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, RUN_ROWS):
+            batch = whole.slice(first, RUN_ROWS)
+            lists = batch.column("tokens")
+            n = _lengths(lists)
+            words = lists.flatten().dictionary_encode()
+            code = words.indices.to_numpy()
+            if not len(code):
+                continue
+            no = np.repeat(batch.column("no").to_numpy(), n)
+            at = np.repeat(batch.column("base").to_numpy() - (np.cumsum(n) - n), n) + np.arange(len(code))
+            order = np.lexsort((at, no, code))
+            code, no, at = code[order], no[order], at[order]
+            docs, keys = _starts(code, no), _starts(code, no // RANGE)
+            of_key = np.searchsorted(docs, keys)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.take(pa.array(code[keys])),
+                    pa.array(no[keys] // RANGE),
+                    _list(of_key, pa.array((no[docs] % RANGE).astype(np.int32))),
+                    _list(of_key, pa.array(np.diff(np.append(docs, len(code))).astype(np.int32))),
+                    _list(keys, pa.array(at)),
+                ],
+                schema=_RUNS_ARROW,
+            )
+
+
+def _key(table: pa.Table) -> np.ndarray:
+    """Numbers of the tokens and ranges of sorted rows."""
+    n = table.num_rows
+    changed = np.zeros(n, bool)
+    for name in ("bucket", "token", "range"):
+        column = table.column(name).combine_chunks()
+        changed[1:] |= pa.compute.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.cumsum(changed)
+
+
+def _merged(table: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+    """Sorted runs of whole tokens and ranges as a row for each."""
+    lists = {c: table.column(c).combine_chunks() for c in ("docs", "counts", "at")}
+    doc, counts, at = (lists[c].flatten().to_numpy() for c in ("docs", "counts", "at"))
+    doc, of = np.repeat(doc, counts), np.repeat(key, _lengths(lists["at"]))
+    order = np.lexsort((at, doc, of))
+    doc, of, at = doc[order], of[order], at[order]
+    docs, keys = _starts(of, doc), _starts(of)
+    of_key = np.searchsorted(docs, keys)
+    head = table.select(["bucket", "token", "range"]).take(pa.array(_starts(key))).combine_chunks()
+    columns = [head.column(c).combine_chunks() for c in ("bucket", "token", "range")]
+    columns += [_list(of_key, pa.array(doc[docs])), _list(of_key, _list(docs, pa.array(at)))]
+    return pa.RecordBatch.from_arrays(columns, schema=_POSTINGS_ARROW)
 
-    def row(table):
-        docs, at = table.column("doc").to_numpy(), table.column("at").to_pylist()
-        starts = [0, *((docs[1:] != docs[:-1]).nonzero()[0] + 1).tolist()]
-        positions = [at[a:b] for a, b in zip(starts, [*starts[1:], len(at)])]
-        return {**dict(zip(("bucket", "token", "range"), key)), "docs": docs[starts].tolist(), "positions": positions}
 
+def _grouped(batches):
+    """Sorted runs (bucket, token, range, docs, counts, at) as a row per token and range."""
+    held: list[pa.RecordBatch] = []
+    waiting, enough = 0, MERGE_AT
     for batch in batches:
-        names = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "token", "range"))))
-        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
-        out = []
-        for a, b in zip(cuts, [*cuts[1:], len(names)]):
-            if not names:
-                break
-            if names[a] != key:
-                if held:
-                    out.append(row(pa.Table.from_batches(held)))
-                held, key = [], names[a]
-            held.append(batch.slice(a, b - a))
-        if out:
-            yield pa.RecordBatch.from_pylist(out, _POSTINGS_ARROW)
+        for first in range(0, batch.num_rows, 1000):
+            held.append(batch.slice(first, 1000))
+            waiting += len(held[-1].column("at").flatten())
+            if waiting < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            key = _key(table)
+            done = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if done:
+                yield _merged(table.slice(0, done), key[:done])
+                held = table.slice(done).to_batches()
+                waiting = sum(len(h.column("at").flatten()) for h in held)
+            enough = waiting + MERGE_AT
     if held:
-        yield pa.RecordBatch.from_pylist([row(pa.Table.from_batches(held))], _POSTINGS_ARROW)
+        table = pa.Table.from_batches(held)
+        yield _merged(table, _key(table))
 
 
 _POSTINGS_ARROW = pa.schema(
@@ -161,21 +241,23 @@ def store(chunks: DataFrame, path: str) -> TokenIndex:
     dense_ids(names, ["file_id", "chunk_idx", "chunk_id"], "no").write.parquet(f"{path}/chunks")
     numbers = spark.read.parquet(f"{path}/chunks").select("chunk_id", "no")
     indexed = index(chunks).join(numbers, "chunk_id")
-    parts = [
-        explode_rows(indexed.select("no", F.col(f"{name}_tokens").alias("_tokens")), "_tokens", "token", "pos")
-        .select("token", "no", (F.col("pos") + F.lit(i * FIELD_SPAN)).alias("at"))
-        for i, name in enumerate(FIELDS)
-    ]
-    whole = reduce(DataFrame.unionByName, parts)
+    parts = []
+    for i, name in enumerate(FIELDS):
+        # In the outer form, as in ``explode_rows``; an empty array has one empty row.
+        every = F.sequence(F.lit(0), F.greatest(F.size("_tokens") - 1, F.lit(0)), F.lit(RUN_TOKENS))
+        rows = indexed.select("no", F.col(f"{name}_tokens").alias("_tokens"))
+        rows = rows.select("no", "_tokens", F.explode_outer(every).alias("_begin"))
+        parts.append(
+            rows.select(
+                "no",
+                (F.col("_begin").cast("long") + F.lit(i * FIELD_SPAN)).alias("base"),
+                F.coalesce(F.slice("_tokens", F.col("_begin") + 1, F.lit(RUN_TOKENS)), F.array().cast("array<string>")).alias("tokens"),
+            )
+        )
+    runs = reduce(DataFrame.unionByName, parts).mapInArrow(_runs, _RUNS)
     key = ["bucket", "token", "range"]
-    occurrences = whole.select(
-        bucket(F.col("token")).alias("bucket"),
-        "token",
-        F.floor(F.col("no") / RANGE).alias("range"),
-        (F.col("no") % RANGE).cast("int").alias("doc"),
-        "at",
-    )
-    ranged = occurrences.repartitionByRange(*key).sortWithinPartitions(*key, "doc", "at")
+    placed = runs.select(bucket(F.col("token")).alias("bucket"), "*")
+    ranged = placed.repartitionByRange(*key).sortWithinPartitions(*key)
     ranged.mapInArrow(_grouped, _POSTINGS).write.partitionBy("bucket").parquet(f"{path}/postings")
     found = TokenIndex(spark, path)
     terms = found.postings.select("token").distinct().repartitionByRange("token").sortWithinPartitions("token")
@@ -191,14 +273,14 @@ def _folded(queries: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _of_tokens(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of the asked tokens (and ranges, if given) joined with ``asked``. Only their buckets
-    are read."""
+def _of_tokens(postings: DataFrame, asked: DataFrame, few: bool = True) -> DataFrame:
+    """Rows of the asked tokens (and ranges, if given) joined with ``asked``, by broadcast if
+    these are ``few``. Only their buckets are read."""
     asked = asked.withColumn("bucket", bucket(F.col("token")))
     wanted, n = asked.agg(F.collect_set("bucket"), F.count("*")).first()  # at most BUCKETS
     read = postings.where(F.col("bucket").isin(wanted)) if len(wanted) < BUCKETS else postings
     keys = [c for c in ("bucket", "token", "range") if c in asked.columns]
-    return read.join(F.broadcast(asked) if n <= FEW_TOKENS else asked, keys).drop("bucket")
+    return read.join(F.broadcast(asked) if few and n <= FEW_TOKENS else asked, keys).drop("bucket")
 
 
 def _match_any(index: TokenIndex, asked: DataFrame) -> DataFrame:
@@ -249,8 +331,10 @@ def _match_phrase(index: TokenIndex, phrases: DataFrame) -> DataFrame:
     terms = phrases.select("query_id", F.array_distinct("phrase").alias("terms"))
     candidates = cut_lineage(_match_all(index, terms))
     words = phrases.select("query_id", F.size("phrase").alias("_n"), F.posexplode("phrase").alias("_i", "token"))
-    held = _of_tokens(index.postings, words)
-    held = held.join(candidates.select("query_id", "range", F.col("docs").alias("_both")), ["query_id", "range"])
+    # Places are long, so they are never sent for each query: candidates go to where they lie.
+    sought = words.join(candidates.select("query_id", "range", F.col("docs").alias("_both")), "query_id")
+    chunks = sought.agg(F.sum(F.size("_both"))).first()[0] or 0
+    held = _of_tokens(index.postings, sought, few=chunks <= FEW_CHUNKS)
     place = F.transform("_both", lambda doc: F.get("positions", (F.array_position("docs", doc) - 1).cast("int")))
     started = F.transform(place, lambda at: F.transform(at, lambda x: x - F.col("_i")))
     pairs = held.select("query_id", "range", "_n", F.explode(F.arrays_zip(F.col("_both").alias("doc"), started.alias("starts"))).alias("p"))

@@ -415,3 +415,47 @@ def test_crawl_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"r/{'a/' * i}", f"r/{'a/' * (i + 1)}") for i in range(30)], "src string, dst string")
     got = web.crawl(edges, spark.createDataFrame([("r/",)], "root string")).collect()
     assert {len(r["url"].split("a/")) - 1: r["depth"] for r in got} == {i: i for i in range(31)}
+
+
+def test_places_of_a_phrase_are_not_sent_for_each_query(spark, many_chunks, monkeypatch):
+    """Rows with places are asked for by token and range of candidates, not by token alone."""
+    _, index = many_chunks
+    asked, plain = [], fts._of_tokens
+
+    def seen(postings, wanted, *more, **options):
+        if "positions" in postings.columns:
+            asked.append(set(wanted.columns))
+        return plain(postings, wanted, *more, **options)
+
+    monkeypatch.setattr(fts, "_of_tokens", seen)
+    word = index.postings.select("token").head()["token"]
+    queries = spark.createDataFrame([("q", [word, word])], "query_id string, terms array<string>")
+    fts.match(index, queries, "phrase").collect()
+    assert asked and all("range" in columns for columns in asked)
+
+
+def test_runs_of_tasks_merge_to_rows():
+    """Tokens of many texts in several batches, of several ranges, next to a dictionary."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [
+        {"no": rng.randrange(3) * fts.RANGE + rng.randrange(5), "base": 1000 * i, "tokens": rng.choices("abcd", k=rng.randrange(6))}
+        for i in range(400)
+    ]
+    want = {}
+    for r in rows:
+        for i, token in enumerate(r["tokens"]):
+            places = want.setdefault((token, r["no"] // fts.RANGE), {})
+            places.setdefault(r["no"] % fts.RANGE, []).append(r["base"] + i)
+    schema = pa.schema([("no", pa.int64()), ("base", pa.int64()), ("tokens", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 90], schema) for i in range(0, 400, 90)]
+    runs = pa.Table.from_batches(list(fts._runs(batches)))
+    runs = runs.append_column("bucket", pa.array([0] * runs.num_rows, pa.int32()))
+    runs = runs.sort_by([("token", "ascending"), ("range", "ascending")])
+    for enough in (1, 1 << 20):
+        fts.MERGE_AT, before = enough, fts.MERGE_AT
+        got = [r for b in fts._grouped(runs.to_batches(max_chunksize=7)) for r in b.to_pylist()]
+        fts.MERGE_AT = before
+        assert {(r["token"], r["range"]): dict(zip(r["docs"], r["positions"])) for r in got} == want
+        assert len(got) == len(want) and all(r["docs"] == sorted(r["docs"]) for r in got)
