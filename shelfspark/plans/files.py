@@ -70,9 +70,9 @@ def _parsed(kind: str, files: DataFrame, ocr: Callable[[bytes], Sequence[str]] |
     if kind in ("csv", "xlsx"):
         if kind == "csv":
             texts = files.select("file_id", documents.decode_text(F.col("content")).alias("text"))
-            rows = tables.csv_files(texts)
+            rows = tables.csv_files(texts, errors=True)
         else:
-            rows = tables.xlsx_files(files)
+            rows = tables.xlsx_files(files, errors=True)
         numbered = tables.place_sheets(tables.row_documents(rows))
         none = F.lit(None).cast("string").alias("error")
         texts = numbered.select("file_id", F.col("part").cast("bigint").alias("part"), "text", F.lit(False).alias("whole"), "metadata", none)
