@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, and defined results for hard cases."""
 
+import collections
 import math
 import random
 import re
@@ -256,6 +257,29 @@ def test_letters_of_any_alphabet_count(spark):
     assert not any(r.kept for r in got if r.doc_id >= 80) and np.mean([r.kept for r in got if r.doc_id < 80]) > 0.9
 
 
+def test_letters_beyond_the_most_frequent_are_told_apart(spark):
+    """Rare letters, also of another plane, cost more than usual ones in the same places, by their
+    shares of the letters that have no class of their own."""
+    from shelfspark.llm.perplexity import score
+
+    rnd = random.Random(4)
+    texts = ["".join(chr(0x4E00 + rnd.randrange(60)) for _ in range(40)) for _ in range(200)]
+    tops = sorted(collections.Counter("".join(texts)).items(), key=lambda x: (-x[1], x[0]))
+    words = ["".join(c for c, _ in tops[-3:]), "\u9f98\u9f8d\u9f96", "\U00020000\U0001f600\U0001f602", "\U0001f600" * 3]
+    texts += [f"{word} " * 8 for word in words]
+    rows = [(i, t, "zh") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.log_ppl for r in score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    own = {c for c, _ in tops[:26]}
+    count = collections.Counter(c for t in texts for c in t if c != " " and c not in own)
+
+    def within(word):
+        of = sum(n for c, n in count.items() if (c < "\U00010000") == (word < "\U00010000"))
+        return 8 * sum(math.log(count[c] / of) for c in word) / 32
+
+    for a, b in ((200, 201), (202, 203)):
+        assert got[b] - got[a] == pytest.approx(within(words[a - 200]) - within(words[b - 200]))
+
+
 @pytest.mark.parametrize("group_grams", [4_000_000, 1500])
 def test_languages_of_any_number_and_size(spark, group_grams):
     """Ten languages, one of six documents, null and empty ones apart: clean documents stay,
