@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +30,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.arrow import Memo, held, slices
+from shelfspark.llm.arrow import Memo, held, let_go, slices
+from shelfspark.llm.bpe import byte_alphabet
 from shelfspark.storage import cut_lineage
 
 #: Unicode's white space, and four controls that Python, but not Unicode, counts to it.
 SPACE = " \t\n\r\f\v\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 CONTROLS = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile(f"[^{SPACE}]+")
-MEMO_CHUNKS, MEMO_CORES = 1_000_000, 700_000
-JOINED = 1_000
+MEMO_CHUNKS = 1_000_000
 #: Marks that part what stands before them at the end of a run, if the library agrees.
 MARKS = ".,!?%$&*#|"
+#: The characters that stand for bytes in a vocabulary.
+SPELLED = dict(enumerate(byte_alphabet()))
 DOC = np.dtype([("there", "u1"), ("doc_id", "<i8")])
 READ_DOCS = 4096
 
 
+#: Whether a byte is a letter or a mark in Latin-1, whose letters are all composed, and the words
+#: of such letters that lose nothing but their case.
+LETTER = np.array([chr(c).isalpha() for c in range(256)])
+MARK = np.isin(np.arange(256), [ord(m) for m in MARKS])
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 def runs(text: str) -> list[str]:
     """Runs without white space."""
     return CHUNK.findall(text) if any(c in text for c in CONTROLS) else text.split()
 
 
+class Known(Memo):
+    """Ids of runs, made when first asked for."""
+
+    def __init__(self, most: int, make: Callable[[str], bytes]):
+        super().__init__(most)
+        self.make = make
+
+    def __missing__(self, run: str) -> bytes:
+        return self.keep(run, self.make(run))
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each distinct run without white
     space once as long as the memo holds it. The library's rules for a vocabulary of
-    words never look beyond such a run; others are encoded as whole texts."""
+    words never look beyond such a run; others are encoded as whole texts. If the library also
+    lower-cases and parts letters from marks, texts of Latin-1 are put so first, which leaves
+    fewer runs, and words of letters go to its model at once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,13 +85,14 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        spec = json.loads(self.library.to_str())
+        #: What special strings begin with: they are told from texts before these lose their case.
+        self.special = {t["content"][:1] for t in spec["added_tokens"]}
+        self.model = self.library.model
         self.by_chunk = self._drops_space()
-        end = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
-        self.by_core = self.by_chunk and bool(end) and self._parts_marks()
-        self.last = np.zeros(self.library.get_vocab_size(), bool)  # ids that end a word
-        if self.by_core:
-            self.last[[i for string, i in self.library.get_vocab().items() if string.endswith(end)]] = True
-        self.chunks, self.cores = Memo(MEMO_CHUNKS), Memo(MEMO_CORES)
+        self.by_core = self.by_chunk and self._parts_marks() and self._models_words()
+        self.known = Known(MEMO_CHUNKS, self._run)
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -79,55 +103,57 @@ class Encoder:
         return all(self._ids(f"a{s}b 1{s}{s}!c") == apart for s in SPACE)
 
     def _parts_marks(self) -> bool:
-        """True if letters lose their case and marks behind them are tokens of their own."""
-        return all(self._ids(f"Word{m}{n}") == self._ids("word") + self._ids(m + n) for m in MARKS for n in MARKS)
-
-    def _cut(self, chunk: str) -> tuple[str, ...]:
-        """What the library sees of a chunk: a lower-case core and its marks, or the whole."""
-        core = chunk.rstrip(MARKS)
-        if self.by_core and core.isascii() and core.isalpha():
-            return (core.lower(), chunk[len(core) :]) if len(core) < len(chunk) else (core.lower(),)
-        return (chunk,)
+        """True if letters lose their case and are parted from marks behind them."""
+        letters = [chr(c) for c in range(256) if PLAIN.match(chr(c))]
+        if any(self._ids(f"{c}w{c}") != self._ids(f"{c}w{c}".lower()) for c in letters):
+            return False
+        marks = [m + n for m in MARKS for n in ("", *MARKS)]
+        letters = [chr(c) for c in np.flatnonzero(LETTER)]
+        if any(self._ids(f"{c}{m}d") != self._ids(c) + self._ids(f"{m}d") for c in letters for m in MARKS):
+            return False
+        behind = ("", "a", "1", "(", "'s")
+        return all(self._ids(f"Word{m}{b}") == self._ids("word") + self._ids(m + b) for m in marks for b in behind)
+
+    def _models_words(self) -> bool:
+        """True if a lower-case word's ids are those of its bytes by the model."""
+        letters = sorted({chr(c).lower() for c in range(256) if PLAIN.match(chr(c))})
+        words = [*letters, *(f"{c}w{d}e{c}" for c, d in zip(letters, letters[1:])), "the", "word", "straße", "été"]
+        try:
+            return all(self._word(w) == array(self.code, self._ids(w)).tobytes() for w in words)
+        except Exception:  # a model that takes no such words
+            return False
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(SPELLED)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        if self.by_core and PLAIN.fullmatch(run):
+            lower = run.lower()
+            return self._word(run) if lower == run else self.known[lower]
+        return array(self.code, self._ids(run)).tobytes()
+
+    def _runs(self, text: str) -> list[str]:
+        if not self.by_chunk:
+            return [text] if text else []
+        return runs(self._parted(text) if self.by_core else text)
+
+    def _parted(self, text: str) -> str:
+        """A text of Latin-1 in lower case and with blanks between letters and marks; others, and
+        those that may hold special strings, as they are."""
+        try:
+            text.encode("latin-1")  # first, as lower-casing may lead into it
+        except UnicodeEncodeError:
+            return text
+        if any(first in text for first in self.special):
+            return text
+        codes = np.frombuffer(text.lower().encode("latin-1"), np.uint8)
+        behind = np.flatnonzero(LETTER[codes[:-1]] & MARK[codes[1:]]) + 1
+        return np.insert(codes, behind, 32).tobytes().decode("latin-1")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [runs(t) if self.by_chunk else [t] if t else [] for t in texts]
-        chunks, cores = self.chunks, self.cores
-        seen = set().union(*chunked)
-        cut = {c: self._cut(c) for c in seen if c not in chunks}
-        parts = {p for parts in cut.values() for p in parts}
-        self._extend(cores, parts, self._encode_parts([p for p in parts if p not in cores]))
-        made = {c: b"".join([cores[p] for p in parts]) for c, parts in cut.items()}
-        self._extend(chunks, seen, made)
-        result = [b"".join(map(chunks.__getitem__, found)) for found in chunked]
-        for memo, new in ((cores, parts), (chunks, cut)):
-            for key in new:
-                if len(key) > memo.key_length:
-                    del memo[key]
-        return result
-
-    @staticmethod
-    def _extend(memo: Memo, needed: set[str], new: dict[str, bytes]) -> None:
-        """Adds ``new`` to a memo; beyond its size only what is needed now stays."""
-        if len(memo) + len(new) > memo.most:
-            new.update((key, memo[key]) for key in needed if key in memo)
-            memo.clear()
-        memo.update(new)
-
-    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of each part. Words of ASCII letters go to the library many at a time, as its
-        overhead for a text is larger than the work on a word; their last ids are marked."""
-        plain = [p for p in parts if self.by_core and p.isascii() and p.isalpha()]
-        done = {}
-        for first in range(0, len(plain), JOINED):
-            words = plain[first : first + JOINED]
-            ids = np.array(self._ids(" ".join(words)), self.type)
-            ends = (np.flatnonzero(self.last[ids]) + 1) * self.type.itemsize
-            flat = ids.tobytes()
-            done.update(zip(words, [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], strict=True))
-        rest = [p for p in parts if p not in done]
-        found = self.library.encode_batch_fast(rest, add_special_tokens=False)
-        code = "H" if self.type.itemsize == 2 else "I"
-        return done | {p: array(code, e.ids).tobytes() for p, e in zip(rest, found)}
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self._runs(t))) for t in texts]
 
 
 def load(path: str) -> Encoder:
@@ -190,6 +216,7 @@ def write_token_files(
         for kind, out in outs.items():
             out.close()
             files.move(f"{name}.{kind}{own}", f"{name}.{kind}")
+        let_go()
         yield pa.RecordBatch.from_pydict(
             {"part": [task.partitionId()], "name": [name.rpartition("/")[2]], "bits": [encoder.type.itemsize * 8], "n_docs": [n_docs], "n_tokens": [n_ids]}
         )

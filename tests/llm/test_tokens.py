@@ -52,6 +52,18 @@ def test_encoder_is_the_library(library):
         assert np.frombuffer(flat, files.type).tolist() == want
 
 
+def test_latin_texts_have_few_runs(library):
+    """Case and marks behind letters make no runs of their own, and ids are the library's."""
+    files = Encoder(WORD)
+    (flat,) = files.encode(["Étude étude, ÉTUDE. étude! (étude"])
+    assert set(files.known) == {"étude", ",", ".", "!", "(étude"}
+    pick = random.Random(9)
+    letters = [*map(chr, range(256)), *".,!?%$&*#|<'œ€İΣ", "<|ENDOFTEXT|>", "<|endoftext|>", "Word", "'re", "###"]
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 14))) for _ in range(3000)]
+    for text, flat in zip(texts, files.encode(texts)):
+        assert np.frombuffer(flat, files.type).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)))
 def test_any_text_is_counted_right(text):
