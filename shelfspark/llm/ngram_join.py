@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfspark.llm.arrow import Memo, held, hold_only, map_texts, slices
+from shelfspark.llm.arrow import Memo, held, hold_only, let_go, map_texts, slices
 from shelfspark.llm.common import shuffle_partitions, unused
 from shelfspark.llm.lm_score import packed, unpacked
 from shelfspark.storage import cut_lineage, fresh_path
@@ -98,19 +98,25 @@ class Block:
         short = (lengths > 0) & (lengths < words)
         at = names[tokens]
         if len(at) >= words:
-            place = np.arange(len(at) - words + 1)
-            owner = np.repeat(np.arange(len(lengths)), lengths)[place]
-            inside = place + words <= (starts + lengths)[owner]
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            inside = owner[: len(at) - words + 1] == owner[words - 1 :]
             hashed.append(_mixed(at, words)[inside])
-            of.append(owner[inside])
+            of.append(owner[: len(inside)][inside])
+            del owner, inside
         for doc in np.flatnonzero(short).tolist():
             hashed.append(_mixed(at[starts[doc] : starts[doc] + lengths[doc]], int(lengths[doc])))
-            of.append(np.array([doc]))
+            of.append(np.array([doc], np.int32))
+        del at
         every = np.concatenate([*hashed, np.zeros(0, np.uint64)])
-        owners = np.concatenate([*of, np.zeros(0, np.int64)])
+        owners = np.concatenate([*of, np.zeros(0, np.int32)])
+        del hashed, of
         self.hashes, ids = np.unique(every, return_inverse=True)
-        both = np.unique(owners << 32 | ids)
-        self.doc, self.id = both >> 32, both & 0xFFFFFFFF
+        del every
+        both = ids | owners.astype(np.int64) << 32
+        del ids, owners
+        both.sort()
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        self.doc, self.id = (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)
         self.docs = len(lengths)
         #: Where each text's pairs begin, and the end.
         self.edges = np.searchsorted(self.doc, np.arange(self.docs + 1))
@@ -184,16 +190,13 @@ def blocks_of(texts: DataFrame, block_tokens: int) -> DataFrame:
                 size += len(found)
         if ids:
             yield row()
+        del vocabulary, pieces
+        let_go()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_tokens long, packed binary")
 
 
-def _let_go() -> None:
-    """Gives the memory of finished blocks back: idle workers would keep it."""
-    pa.default_memory_pool().release_unused()
-
-
 def _read(blob: bytes, words: int) -> Block:
     tokens, lengths, names = unpacked(blob)
     return Block(tokens, lengths.astype(np.int64), names, words)
@@ -217,7 +220,7 @@ def in_how_many(blocks: DataFrame, words: int, shards: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema)
                 del block, out
-                _let_go()
+                let_go()
 
     def merge(table: pa.Table) -> pa.Table:
         asked = [unpacked(b) for b in table.column("blob").to_pylist()]
@@ -225,6 +228,8 @@ def in_how_many(blocks: DataFrame, words: int, shards: int) -> DataFrame:
         total = np.bincount(place, np.concatenate([n for _, n in asked])).astype(np.uint32)[place]
         edges = np.cumsum([0, *(len(a) for a, _ in asked)])
         blobs = [packed(total[a:b]) for a, b in zip(edges, edges[1:])]
+        del asked, place, total
+        let_go()
         return pa.table({"shard": table.column("shard"), "block": table.column("block"), "blob": blobs}, schema)
 
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
@@ -257,7 +262,7 @@ def signatures(texts: DataFrame, words: int, percent: int, block_tokens: int = B
             columns = [row["doc_ids"], block.sizes(), block.digests(), *block.regions(counts, percent)]
             tables.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema))
             del block, counts, columns
-        _let_go()
+        let_go()
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     kind = texts.schema["doc_id"].dataType.simpleString()

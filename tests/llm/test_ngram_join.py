@@ -132,3 +132,12 @@ def test_hard_cases(spark):
 
 def test_empty(spark):
     assert ngram_join(empty_table(spark)).collect() == []
+
+
+def test_block_holds_small_numbers():
+    """Pairs of a block are 32-bit numbers, and those of windows within one text."""
+    names = np.arange(10, 20, dtype=np.uint64)
+    tokens = np.array([0, 1, 2, 0, 1, 2, 0, 5, 6, 7], np.uint32)
+    block = Block(tokens, np.array([7, 0, 1, 2]), names, 3)
+    assert block.doc.dtype == block.id.dtype == np.int32
+    assert block.sizes().tolist() == [3, 0, 1, 1] and len(block.hashes) == 5
