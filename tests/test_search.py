@@ -5,6 +5,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,3 +403,16 @@ def test_single_precision_loses_no_hit(spark):
             got = sorted((-h["ip"], h["file_id"]) for h in hits if h["query_id"] == f"q{i}")
             assert [n for _, n in got] == [n for _, n in want]
             assert np.allclose([s for s, _ in got], [s for s, _ in want], rtol=1e-12, atol=2e-10)
+
+
+def test_blocks_of_a_search_grow_with_k():
+    """Few hits are found in blocks of few vectors, many in large ones; both are exact."""
+    pick = np.random.default_rng(3)
+    asked, stored = pick.standard_normal((300, 8)), pick.standard_normal((9000, 8))
+    names = pa.table({"file_id": [f"{i:05d}" for i in range(9000)], "chunk_idx": pa.array([0] * 9000, pa.int32())})
+    few, many = knn.Best(asked, 5), knn.Best(asked, 200)
+    assert few.batch == knn.Best.LEAST and many.batch == knn.Best.BATCH
+    want = np.round(-np.sort(-(asked @ stored.T), axis=1), knn.SCORE_DECIMALS)
+    for best in (few, many):
+        best.add(names, stored)
+        assert best.scores == pytest.approx(want[:, : best.k], abs=2e-10)
