@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfspark.llm.arrow import Memo, held, hold_only, let_go, map_texts, slices
+from shelfspark.llm.arrow import Memo, held, hold_only, let_go, map_texts, slices, small_batches
 from shelfspark.llm.common import shuffle_partitions, unused
 from shelfspark.llm.lm_score import packed, unpacked
 from shelfspark.storage import cut_lineage, fresh_path
@@ -55,6 +55,9 @@ BROADCAST_IDS = 500_000
 LINKS_AT_ONCE = 500_000
 REGION_BITS = 48
 MEMO_WORDS = 100_000
+#: Bytes that go to a Python worker at once, and of a text slice: batches of whole blocks or of
+#: thousands of texts would stand in the JVM and in the worker at the same time.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,7 +87,8 @@ def _signed(hashes: np.ndarray) -> np.ndarray:
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession, BATCH_BYTES):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -172,19 +176,19 @@ def blocks_of(texts: DataFrame, block_tokens: int) -> DataFrame:
 
         def row():
             names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-            tokens = np.concatenate(pieces).astype(np.uint32)
+            tokens = np.concatenate(pieces)
             blob = packed(tokens, np.array(lengths, np.uint32), names)
             one = {"block": (part << 32) | made, "doc_ids": ids, "n_tokens": len(tokens), "packed": blob}
             return pa.RecordBatch.from_pylist([one], schema)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
                 if ids and size + len(found) > block_tokens:
                     yield row()
                     vocabulary, ids, lengths, pieces, size = defaultdict(count().__next__), [], [], [], 0
                     made += 1
-                pieces.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+                pieces.append(np.fromiter(map(vocabulary.__getitem__, found), np.uint32, len(found)))
                 ids.append(doc)
                 lengths.append(len(found))
                 size += len(found)
@@ -209,8 +213,8 @@ def in_how_many(blocks: DataFrame, words: int, shards: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for name, blob in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist()):
-                block = _read(blob, words)
+            for name, blob in zip(batch.column("block").to_pylist(), batch.column("packed")):
+                block = _read(blob.as_py(), words)
                 own = np.bincount(block.id, minlength=len(block.hashes)).astype(np.uint32)
                 edges = block.shards(shards)
                 out = [
@@ -255,11 +259,11 @@ def signatures(texts: DataFrame, words: int, percent: int, block_tokens: int = B
     def sign(own: pa.Table, answers: pa.Table) -> pa.Table:
         by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist()))
         tables = []
-        for row in own.to_pylist():
-            block = _read(row["packed"], words)
+        for ids, blob in zip(own.column("doc_ids").to_pylist(), own.column("packed")):
+            block = _read(blob.as_py(), words)
             counts = [unpacked(by_shard[s])[0] for s in sorted(by_shard)]
             counts = np.concatenate([*counts, np.zeros(0, np.uint32)])
-            columns = [row["doc_ids"], block.sizes(), block.digests(), *block.regions(counts, percent)]
+            columns = [ids, block.sizes(), block.digests(), *block.regions(counts, percent)]
             tables.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema))
             del block, counts, columns
         let_go()
@@ -325,7 +329,7 @@ def measure(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
         return {"a": batch.column("a"), "b": batch.column("b"), "distance": distance, "link": link}
 
     kind = pairs.schema["a"].dataType.simpleString()
-    measured = map_texts(both.select("a", "b", "text_a", "text"), of, f"a {kind}, b {kind}, distance double, link boolean")
+    measured = map_texts(both.select("a", "b", "text_a", "text"), of, f"a {kind}, b {kind}, distance double, link boolean", most=SLICE_BYTES)
     return _stored(measured.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("link").alias("link")), "pairs")
 
 
