@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.llm.arrow import small_batches
 from shelfspark.llm.bpe import digests, encode_decode
 from shelfspark.llm.content_sort import without_copies
 from shelfspark.llm.langid import in_known_language
@@ -19,6 +20,9 @@ from shelfspark.llm.ngram_join import without_near_copies
 from shelfspark.llm.queries import tokenizer
 from shelfspark.storage import fresh_path
 
+#: Bytes of texts that reach an encoder at once.
+BATCH_BYTES = 4 << 20
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language cannot be told: null and empty texts, texts without a
@@ -47,8 +51,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of each document, each time it is taken; a
-    null text is an empty one, null ids and repeated rows have their rows."""
-    return digests(encode_decode(docs, tokenizer("word_bpe_49k.json")))
+    null text is an empty one, null ids and repeated rows have their rows. The digests are stored
+    here, so that texts go to the encoders in small batches."""
+    path = fresh_path(spark, "digests")
+    with small_batches(spark, BATCH_BYTES):
+        digests(encode_decode(docs, tokenizer("word_bpe_49k.json"))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 STAGES = [

@@ -27,7 +27,10 @@ from shelfspark.llm.arrow import Memo, held, map_texts
 CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 #: The characters of Unicode's White_Space property.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MEMO_CHUNKS, MEMO_WORDS = 300_000, 400_000
+#: Entries of a worker's memos, which hold ids alone: some 200 bytes for a word of both.
+MEMO_CHUNKS, MEMO_WORDS = 250_000, 300_000
+#: Text bytes that are encoded at once: ids and decoded text take several times as much.
+SLICE_BYTES = 1 << 20
 #: Bits for the place in a queue entry, a number made of the merge's rank and the place.
 PLACE = 40
 
@@ -100,46 +103,45 @@ class WordBpe:
                     heappush(queue, rank << PLACE | h)
         return [i for i in ids if i >= 0]
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids (little-endian unsigned 32-bit) of a pre-token, and its decoded text."""
+    def word(self, word: str) -> bytes:
+        """Ids (little-endian unsigned 32-bit) of a pre-token."""
         found = self.words.get(word)
         if found is None:
             ids = [self.inner[b] for b in word.encode("utf-8")]
             ids[-1] = self.ends[ids[-1]]
-            ids = self.merge(ids)
-            found = self.words.keep(word, (array("I", ids).tobytes(), self.decode(ids)))
+            found = self.words.keep(word, array("I", self.merge(ids)).tobytes())
         return found
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids of a run without ASCII white space, and its decoded text."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a run without ASCII white space."""
         found = self.chunks.get(chunk)
         if found is None:
             parts = []
             for piece in self.cut.split(chunk) if "<" in chunk else (chunk,):
                 if piece in self.special:
-                    parts.append((array("I", [self.special[piece]]).tobytes(), piece))
+                    parts.append(array("I", [self.special[piece]]).tobytes())
                 elif piece.isascii():
                     lowered = piece.lower()
+                    if lowered == chunk:
+                        lowered = chunk  # both memos then hold one string
                     parts += map(self.word, (lowered,) if lowered.isalpha() else self.ascii.findall(lowered))
                 else:
                     # One by one: a final capital sigma is not special.
                     lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
                     parts += map(self.word, self.split.findall(lowered))
-            found = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
-            self.chunks.keep(chunk, found)
+            found = self.chunks.keep(chunk, parts[0] if len(parts) == 1 else b"".join(parts))
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids of a whole text as bytes, and the text they decode to."""
         known, make = self.chunks.get, self.chunk
-        parts = [p for p in [known(c) or make(c) for c in CHUNK.findall(text)] if p[0]]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        ids = b"".join([known(c) or make(c) for c in CHUNK.findall(text)])
+        return ids, self.decode(memoryview(ids).cast("I"))
 
     def decode(self, ids) -> str:
         """Vocabulary strings joined by a blank: the file names no decoder that would take
         the word ends and the byte alphabet away."""
-        strings = self.strings
-        return " ".join([strings[i] for i in ids])
+        return " ".join(map(self.strings.__getitem__, ids))
 
 
 def load(path: str) -> WordBpe:
@@ -161,7 +163,7 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_texts(rows, of, f"doc_id {kind}, ids binary, decoded string")
+    return map_texts(rows, of, f"doc_id {kind}, ids binary, decoded string", most=SLICE_BYTES)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
