@@ -373,6 +373,23 @@ def test_small_tiles_do_not_multiply_copies(points):
     assert as_dict(knn.rank_hits(scored, 2)) == brute(rows, asked, 2)
 
 
+def test_pairs_of_a_cell_are_bounded_however_large_the_tables(spark, points, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_PAIRS", 100_000)
+    user = F.when(F.col("id") % 10 == 0, "other").otherwise("hot").alias("user_id")
+    for asked, stored in ((1000, 20_000), (2000, 40_000)):
+        queries = spark.range(asked).select(user, F.array(F.lit(0.0), F.lit(1.0)).alias("qvec"))
+        plan, parts = knn._plan(queries, spark.range(stored).select(user), 5, 100, 100)
+        tiles = {r["user_id"]: (r["_qn"], r["_vn"]) for r in plan.collect()}
+        for name, share in (("hot", 0.9), ("other", 0.1)):
+            q, v = tiles[name]
+            assert -(-asked * share // q) * -(-stored * share // v) <= 1.1 * knn.CELL_PAIRS
+        assert parts == sum(q * v for q, v in tiles.values())
+    rows, given, vectors, queries = points
+    monkeypatch.setattr(knn, "CELL_PAIRS", 50)
+    found = knn.knn(queries, vectors, 3, plan="tile", query_tile=2, vector_tile=5)
+    assert as_dict(found) == brute(rows, given, 3)
+
+
 def test_scan_is_left_when_its_hits_would_be_many(points, monkeypatch):
     rows, asked, vectors, queries = points
     monkeypatch.setattr(knn, "SCAN_HITS", 20)
