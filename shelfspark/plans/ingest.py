@@ -18,7 +18,7 @@ from shelfspark.functions.text import (
 from shelfspark.models import embed
 from shelfspark.operators.dml import stage_status
 from shelfspark.operators.scan import explode_rows, fill_forward
-from shelfspark.storage import cut_lineage, spread
+from shelfspark.storage import spread, stored
 
 WHOLE_KINDS = ("csv", "xlsx", "pptx", "eml")
 
@@ -126,19 +126,16 @@ def _part_offsets(sized: DataFrame, block_parts: int = 65536) -> DataFrame:
     )
 
 
-def chunk_texts(
+def final_texts(
     raw: DataFrame,
     cfg: Settings = Settings(),
     kind: Column | None = None,
     measure=None,
     earlier_titles: DataFrame | None = None,
 ) -> DataFrame:
-    """Both splits: (…, chunk_idx, chunk_id, content) from texts (file_id, text).
-
-    A text is split inside its row and numbered by position: no shuffle. Files of several
-    texts have a ``part`` number (from zero); their counts are added up per file, and only
-    those numbers are shuffled.
-    """
+    """Both splits of texts (file_id, text): their final texts as arrays, ``_cut``, inside the row
+    of a text. Files of several texts have a ``part`` number; their arrays are stored, as they are
+    read several times: whatever gives the texts, parsers say, runs once."""
     arrays = _piece_arrays(raw, cfg, kind)
     pieces = F.col("pieces")
     if cfg.title_enhance:
@@ -146,12 +143,19 @@ def chunk_texts(
         pieces = F.transform("pieces", lambda piece: piece["content"])
     cut = token_split(pieces, cfg.chunk_tokens, cfg.chunk_overlap_tokens, measure)
     texts = arrays.withColumn("_cut", cut).drop("pieces")
+    return stored(texts, "texts") if "part" in raw.columns else texts
+
+
+def number_texts(texts: DataFrame) -> DataFrame:
+    """(…, chunk_idx, chunk_id, content) of ``final_texts``, numbered by position: no shuffle. Of
+    files of several texts, by ``part`` from zero, counts are added up per file, and only those
+    numbers are shuffled."""
+    kept = [c for c in texts.columns if c not in ("_cut", "part")]
     start = F.lit(0)
-    if "part" in raw.columns:
+    if "part" in texts.columns:
         sized = texts.select("file_id", "part", F.size("_cut").cast("bigint").alias("_n"))
         texts = texts.join(_part_offsets(sized), ["file_id", "part"], "left")
         start = F.coalesce("_before", F.lit(0))
-    kept = [c for c in raw.columns if c not in ("text", "part", "whole")]
     numbered = explode_rows(
         texts.select(*kept, start.alias("_start"), "_cut"), "_cut", "content", "_at"
     )
@@ -164,6 +168,17 @@ def chunk_texts(
     )
 
 
+def chunk_texts(
+    raw: DataFrame,
+    cfg: Settings = Settings(),
+    kind: Column | None = None,
+    measure=None,
+    earlier_titles: DataFrame | None = None,
+) -> DataFrame:
+    """Both splits: (…, chunk_idx, chunk_id, content) from texts (file_id, text)."""
+    return number_texts(final_texts(raw, cfg, kind, measure, earlier_titles))
+
+
 def stamp(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks with owner, base and shown name: the base name of a path, or the address."""
     is_url = F.col("file_name").rlike(r"\Ahttps?://")
@@ -187,13 +202,14 @@ def ingest(
     characters, chunks and status; a file without any text row failed to parse and is red, as
     is one whose model call failed. ``store`` writes vectors and returns the file_ids that are
     in the index then; the other files are yellow. The model runs once per chunk: its vectors
-    are checkpointed and all three results are read from there.
+    are stored and all three results are read from there.
     """
     kind = names.parser_kind(F.col("file_name"), F.col("file_name").rlike(r"\Ahttps?://"))
     known = raw.join(files.select("file_id", "file_name"), "file_id").withColumn("_kind", kind)
     readable = known.where(F.col("_kind").isNotNull()).drop("file_name")
-    chunks = stamp(chunk_texts(readable, cfg, F.col("_kind"), measure).drop("_kind"), files)
-    return embed_and_store(chunks, files, readable.select("file_id"), model, cfg, store)
+    texts = final_texts(readable, cfg, F.col("_kind"), measure).drop("_kind")
+    parsed = texts if "part" in raw.columns else readable  # the one that is stored, or leaves out the split
+    return embed_and_store(stamp(number_texts(texts), files), files, parsed.select("file_id"), model, cfg, store)
 
 
 def embed_and_store(
@@ -206,7 +222,7 @@ def embed_and_store(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, vectors, outcome) of stamped chunks of ``files`` (file_id, kb_id); ``parsed`` has
     the files of which a text could be read. See ``ingest``."""
-    embedded = cut_lineage(embed(chunks, model, cfg=cfg))
+    embedded = stored(embed(chunks, model, cfg=cfg), "embedded")
     chunks = embedded.select(*chunks.columns)
     failed = embedded.groupBy("file_id").agg(
         F.bool_and(F.col("embedding_error").isNull()).alias("_embedded"),

@@ -237,3 +237,28 @@ def test_ingest_stream_carries_titles_and_statuses(spark):
     assert own[-1] == "下文与(第一章标题)有关。后面的内容也很长。"
     assert {r["file_id"]: r["status"] for r in jobs.read_status(spark, out).collect()} == {"a": "green", "bad": "red", "lost": "yellow"}
     assert {r["file_id"] for r in spark.read.parquet(f"{out}-vectors").collect()} == {"a", "bad"}
+
+
+def test_small_batches_are_handed_over_in_runs(monkeypatch):
+    """A task hands its threads runs of batches, in order, however small a batch is."""
+    from concurrent.futures import ThreadPoolExecutor
+    from dataclasses import replace
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from shelfspark.config import Settings
+
+    handed = []
+
+    class Pool(ThreadPoolExecutor):
+        def submit(self, *args, **options):
+            handed.append(1)
+            return super().submit(*args, **options)
+
+    monkeypatch.setattr(models, "ThreadPoolExecutor", Pool)
+    frame = SimpleNamespace(schema=SimpleNamespace(fields=[]), mapInArrow=lambda run, schema: run)
+    run = models.embed(frame, lambda texts: [[float(t)] for t in texts], cfg=replace(Settings(), embed_batch=1))
+    (got,) = run(iter([pa.RecordBatch.from_pydict({"content": [str(i) for i in range(5000)]})]))
+    assert got.column("embedding").to_pylist() == [[float(i)] for i in range(5000)]
+    assert len(handed) < 100
