@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.names import PARSERS, base_name, parser_kind
 from shelfspark.models import recognise
 from shelfspark.sources import documents, tables
+from shelfspark.storage import stored
 
 SUPPORTED = ", ".join(ending for _, endings in PARSERS for ending in endings)
 
@@ -73,6 +74,7 @@ def _parsed(kind: str, files: DataFrame, ocr: Callable[[bytes], Sequence[str]] |
             rows = tables.csv_files(texts, errors=True)
         else:
             rows = tables.xlsx_files(files, errors=True)
+        rows = stored(rows, "rows")  # each file is read once, its rows several times below
         numbered = tables.place_sheets(tables.row_documents(rows))
         none = F.lit(None).cast("string").alias("error")
         texts = numbered.select("file_id", F.col("part").cast("bigint").alias("part"), "text", F.lit(False).alias("whole"), "metadata", none)

@@ -8,10 +8,11 @@ import logging
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,10 @@ RULE = "-" * 24
 CELLS = "array<struct<name:string,value:string>>"
 RAGGED = "_ragged_record"
 ROWS_SCHEMA = f"file_id string, sheet string, row bigint, cells {CELLS}"
+_CELL_ARROW = pa.struct([("name", pa.string()), ("value", pa.string())])
+_ROWS_ARROW = pa.schema([("file_id", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("cells", pa.list_(_CELL_ARROW))])
+#: Rows, and characters or bytes of files, that go out together.
+OUT_ROWS, OUT_SIZE = 10_000, 4 << 20
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -180,25 +185,45 @@ def _csv_rows(text: str) -> Iterator[list[dict]]:
         yield [{"name": n, "value": v} for n, v in merged.items()]
 
 
-def _frames(file_id: str, sheet: str, text: str) -> Iterator[pd.DataFrame]:
-    rows = list(_csv_rows(text))
-    if rows:
-        yield pd.DataFrame(
-            {"file_id": file_id, "sheet": sheet, "row": range(len(rows)), "cells": rows}
-        )
+def _sheet_rows(sheet: str, text: str) -> list[tuple]:
+    """(sheet, row, cells) of a sheet's rows."""
+    return [(sheet, at, cells) for at, cells in enumerate(_csv_rows(text))]
 
 
-def _readable(file_id: str, read) -> list[pd.DataFrame]:
-    """All frames of a file, or one with an error row if any part of it cannot be read."""
+def _readable(read: Callable[[], list[tuple]]) -> list[tuple]:
+    """All rows of a file, or one error row if any part of it cannot be read."""
     try:
-        return list(read())
+        return read()
     except (ValueError, KeyError, IndexError, TypeError, csv.Error, zipfile.BadZipFile, ET.ParseError) as error:
         log.warning("unreadable file: %s", error)
-        return [_error_frame(file_id, f"{type(error).__name__}: {error}")]
+        return [(f"{type(error).__name__}: {error}", -1, None)]
 
 
-def _error_frame(file_id: str, error: str) -> pd.DataFrame:
-    return pd.DataFrame({"file_id": [file_id], "sheet": [error], "row": [-1], "cells": [None]})
+def _file_rows(files: DataFrame, column: str, read: Callable[[str | bytes | None], list[tuple]]) -> DataFrame:
+    """Rows of the files whose ``column`` each is read; many small files go out together."""
+
+    def batch(held):
+        ids, sheets, rows, cells = zip(*held)
+        kinds = [pa.array(values, field.type) for values, field in zip((ids, sheets, rows, cells), _ROWS_ARROW)]
+        return pa.RecordBatch.from_arrays(kinds, schema=_ROWS_ARROW)
+
+    def parse(batches):
+        held, size = [], 0
+        for files in batches:
+            for file_id, content in zip(files.column(0).to_pylist(), files.column(1).to_pylist()):
+                for row in _readable(lambda: read(content)):
+                    held.append((file_id, *row))
+                    if len(held) >= OUT_ROWS:
+                        yield batch(held)
+                        held, size = [], 0
+                size += len(content or ())
+                if size >= OUT_SIZE and held:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
+
+    return files.select("file_id", column).mapInArrow(parse, ROWS_SCHEMA)
 
 
 def failures(rows: DataFrame) -> DataFrame:
@@ -223,12 +248,7 @@ def csv_files(texts: DataFrame, errors: bool = False) -> DataFrame:
     row, see ``failures``, so its ingest ends red.
     """
 
-    def parse(frames):
-        for frame in frames:
-            for file_id, text in zip(frame["file_id"], frame["text"], strict=True):
-                yield from _readable(file_id, lambda: _frames(file_id, "", text or ""))
-
-    rows = texts.select("file_id", "text").mapInPandas(parse, ROWS_SCHEMA)
+    rows = _file_rows(texts, "text", lambda text: _sheet_rows("", text or ""))
     return rows if errors else rows.where(F.col("cells").isNotNull())
 
 
@@ -367,19 +387,10 @@ def xlsx_files(files: DataFrame, errors: bool = False) -> DataFrame:
     """Rows of all sheets of workbooks (file_id, content BINARY); with ``errors`` a broken one has
     an error row, see ``failures``, else none."""
 
-    def parse(frames):
-        for frame in frames:
-            for file_id, content in zip(frame["file_id"], frame["content"], strict=True):
-                yield from _readable(
-                    file_id,
-                    lambda: (
-                        frame
-                        for sheet, values in _sheets(content)
-                        for frame in _frames(file_id, sheet, _sheet_csv(values))
-                    ),
-                )
+    def read(content):
+        return [row for sheet, values in _sheets(content) for row in _sheet_rows(sheet, _sheet_csv(values))]
 
-    rows = files.select("file_id", "content").mapInPandas(parse, ROWS_SCHEMA)
+    rows = _file_rows(files, "content", read)
     return rows if errors else rows.where(F.col("cells").isNotNull())
 
 

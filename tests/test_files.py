@@ -132,3 +132,27 @@ def test_office_files_are_opened_once(spark):
     texts = sorted(tuple(r) for r in documents.slide_documents(parts).collect())
     failed = [tuple(r) for r in documents.failures(parts).collect()]
     assert (texts, failed, opened.value) == ([("a", "one"), ("b", "two")], [("c", "ValueError: bad")], 3)
+
+
+def test_files_are_read_once(spark):
+    """What gives the contents runs once a table file, and what gives the texts once in an ingest."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def given(value):
+        ran.add(1)
+        return value
+
+    again = F.udf(given, "string")
+    rows = spark.createDataFrame([("f", "a.csv", "k,v\n1,2\n3,\n"), ("g", "b.csv", "k\n1,2\n")], "file_id string, file_name string, body string")
+    files = rows.select("file_id", "file_name", again("body").cast("binary").alias("content"))
+    read = read_files(files)
+    got = {(r["file_id"], r["part"]): r["text"] for r in read.where("error is null").collect()}
+    assert got.keys() == {("f", 0), ("f", 1)} and ran.value == 2
+    before = ran.value
+    raw = spark.createDataFrame([("f", 0, "one. two."), ("f", 1, "three."), ("g", 0, "four.")], "file_id string, part int, text string")
+    raw = raw.select("file_id", "part", again("text").alias("text"))
+    owned = rows.select("file_id", "file_name", F.lit("k").alias("kb_id"), F.lit("u").alias("user_id"))
+    chunks, _, outcome = ingest(raw, owned.withColumn("file_name", F.lit("a.txt")), lambda texts: [[1.0]] * len(texts))
+    assert sorted((r["chunk_id"], r["content"]) for r in chunks.collect()) == [("f_0", "one."), ("f_1", "two."), ("f_2", "three."), ("g_0", "four.")]
+    assert {r["file_id"]: (r["chunk_size"], r["status"]) for r in outcome.collect()} == {"f": (3, "green"), "g": (1, "green")}
+    assert ran.value - before == 3
