@@ -390,6 +390,31 @@ def test_pairs_of_a_cell_are_bounded_however_large_the_tables(spark, points, mon
     assert as_dict(found) == brute(rows, given, 3)
 
 
+def test_hits_travel_packed(points):
+    """A row per query and cell, whose hits are merged in order, also those that tie."""
+    rows, asked, vectors, queries = points
+    packed = knn.score(queries, vectors, 40, plan="tile", query_tile=8, vector_tile=50, packed=True)
+    got = packed.select("query_id", F.size("ips").alias("n")).collect()
+    assert len(got) < sum(r["n"] for r in got) / 10 and max(r["n"] for r in got) == 40
+    assert as_dict(knn.rank_packed(packed.repartition(7), 40)) == brute(rows, asked, 40)
+    twice = packed.withColumn("query_id", F.when(F.col("query_id") != "q1", F.col("query_id")))
+    ranked = knn.rank_packed(twice, 3).where("query_id is null").orderBy("rank").collect()
+    assert [r["rank"] for r in ranked] == [1, 2, 3] and ranked[0]["dist"] <= ranked[1]["dist"] <= ranked[2]["dist"]
+
+
+def test_many_hits_make_fewer_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_PAIRS", 100_000)
+    monkeypatch.setattr(knn, "CELL_ROWS", 1000)
+    queries = spark.range(2000).select(F.lit("u").alias("user_id"), F.array(F.lit(0.0)).alias("qvec"))
+    vectors = spark.range(40_000).select(F.lit("u").alias("user_id"))
+
+    def tiles(k):
+        return knn._plan(queries, vectors, k, 10, 10)[0].select("_qn", "_vn").head()
+
+    (q5, v5), (q100, v100) = tiles(5), tiles(100)
+    assert q100 * v100 < q5 * v5 / 3 and -(-2000 // q100) * -(-40_000 // v100) <= 4.4 * knn.CELL_PAIRS
+
+
 def test_scan_is_left_when_its_hits_would_be_many(points, monkeypatch):
     rows, asked, vectors, queries = points
     monkeypatch.setattr(knn, "SCAN_HITS", 20)
