@@ -120,7 +120,7 @@ def csv_table(
     ``csv_records``; a file in another encoding is one task then). As in ``csv_files`` an empty
     cell is empty and a missing trailing one null, and a file with a row of more cells than the
     header has an error row in place of its rows. A file with another header is an error of the
-    whole.
+    whole, and so is it if no file is left.
     """
     names, raw = _table_rows(spark, path, multi_line, {"encoding": encoding})
     # A record whose number of cells is not the header's comes with its own text as well.
@@ -143,11 +143,14 @@ def csv_table(
         # The reader tells bad records only where it reads all cells.
         ((F.col(f"`{RAGGED}`") > len(names)) & (F.length(F.concat_ws("", *(f"`{n}`" for n in names))) >= 0)).alias("_many"),
     )
-    many = placed.where("_many").select("file_id").distinct()
+    flagged = placed.groupBy("file_id").agg(F.max("_many").alias("_many"))
+    many = flagged.where("_many").select("file_id")
     rows = number_rows(placed.drop("_many")).join(many, "file_id", "left_anti")
-    failed = many.select(
+    none = F.broadcast(flagged.agg(F.min("_many").alias("_none")))  # one row
+    message = "a row has more cells than the header"
+    failed = many.crossJoin(none).select(
         "file_id",
-        F.lit("ValueError: a row has more cells than the header").alias("sheet"),
+        F.when(F.col("_none"), F.raise_error(F.lit(message))).otherwise(f"ValueError: {message}").alias("sheet"),
         F.lit(-1).cast("bigint").alias("row"),
         F.lit(None).cast(CELLS).alias("cells"),
     )
